@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("views", "logs")
+MODULES = ("views", "logs", "weekly")
 
 
 def load() -> tuple[dict, dict]:

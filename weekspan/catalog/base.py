@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Runner = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Runner] = {}
@@ -59,17 +58,19 @@ SQL_CASTS = {
 }
 
 
+SPARK_CASTS = {
+    "i": "cast({0} as bigint)",
+    "b": "cast(cast({0} as int) as bigint)",
+    "d": "round(cast({0} as double), 6)",
+    "f": "round(cast({0} as double), 3)",
+    "s": "cast({0} as string)",
+    "t": "date_format({0}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')",
+    "y": "date_format({0}, 'yyyy-MM-dd')",
+}
+
+
 def present(df: DataFrame, spec: str | list[str]) -> DataFrame:
-    casts = {
-        "i": lambda c: c.cast("bigint"),
-        "b": lambda c: c.cast("int").cast("bigint"),
-        "d": lambda c: F.round(c.cast("double"), 6),
-        "f": lambda c: F.round(c.cast("double"), 3),
-        "s": lambda c: c.cast("string"),
-        "t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"),
-        "y": lambda c: F.date_format(c, "yyyy-MM-dd"),
-    }
-    return df.select(*[casts[k](F.col(f"`{n}`")).alias(n) for n, k in _columns(spec)])
+    return df.selectExpr(*[f"{SPARK_CASTS[k].format(f'`{n}`')} as `{n}`" for n, k in _columns(spec)])
 
 
 def query(name: str, spec: str | list[str] | None = None, sql: str | None = None, needs: tuple[str, ...] | str = ()):

@@ -15,6 +15,12 @@ from weekspan.functions.scalars import (
 )
 from weekspan.operators.features import categories_of
 
+
+def sql_text(value: str) -> str:
+    """SQL literal of a text value."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 PREFIXES = {"gender": "gender", "canton": "canton", "school_type": "school"}
 
 
@@ -38,11 +44,9 @@ def demographic_features(users: DataFrame, categories: dict[str, Sequence[str]]
     categories = categories or demographic_categories(users)
     typed = school_columns(users)
     flags = [
-        (F.col(c) == v).cast("int").alias(f"{prefix}_{v}")
-        for c, prefix in PREFIXES.items()
-        for v in categories[c]
+        f"cast({c} = {sql_text(v)} as int) as `{prefix}_{v}`" for c, prefix in PREFIXES.items() for v in categories[c]
     ]
-    return typed.select("user_id", "study", "class_year", *flags)
+    return typed.selectExpr("user_id", "study", "class_year", *flags)
 
 
 def demographic_columns(columns: Sequence[str]) -> list[str]:
@@ -108,5 +112,5 @@ def demographic_index(users: DataFrame, genders: Sequence[str] | None = None) ->
             users.select(c).distinct().withColumn(f"{c}_index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c)) - 1)
         )
         out = out.join(F.broadcast(index), c)
-    flags = [(F.col("gender") == g).cast("double").alias(f"gender_{g}") for g in genders]
-    return out.select("user_id", "canton_index", "class_level_index", *flags)
+    flags = [f"cast(gender = {sql_text(g)} as double) as `gender_{g}`" for g in genders]
+    return out.selectExpr("user_id", "canton_index", "class_level_index", *flags)

@@ -104,18 +104,21 @@ def _aggregate(df: DataFrame, keys: Sequence[str], measures: dict[str, Column])
 
 def fill_missing_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every listed column exists as a double and holds 0 instead of null."""
+    wanted = set(columns)
     have = set(df.columns)
-    return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in columns}
-    )
+    kept = [f"coalesce(cast(`{c}` as double), 0D) as `{c}`" if c in wanted else f"`{c}`" for c in df.columns]
+    return df.selectExpr(*kept, *[f"0D as `{c}`" for c in columns if c not in have])
 
 
 # --- stage 1: one row per user -------------------------------------------------------------------------------------
 
 
+def _stage1_event_measures() -> dict[str, Column]:
+    return {"total_events_0_2": F.count("event_id"), **_event_measures("_0_2"), "std_hour_0_2": F.stddev_samp("hour")}
+
+
 def stage1_events(events: DataFrame) -> DataFrame:
-    measures = {"total_events_0_2": F.count("event_id"), **_event_measures("_0_2"), "std_hour_0_2": F.stddev_samp("hour")}
-    return _aggregate(events, ["user_id"], measures)
+    return _aggregate(events, ["user_id"], _stage1_event_measures())
 
 
 def stage1_transactions(transactions: DataFrame) -> DataFrame:
@@ -173,11 +176,13 @@ def stage1_review_rate(events: DataFrame) -> DataFrame:
 def stage1_behavioral(events: DataFrame, transactions: DataFrame) -> DataFrame:
     """All 22 features of users with at least one early event.
 
-    Only those users are kept, so the parts hang on the event part by left joins; every side is already
-    partitioned by user.
+    Only those users are kept, so the other parts hang on the event part by left joins, all of them keyed by user.
+    Event features and the review rate come from one aggregation.
     """
-    features = stage1_events(events)
-    for part in (stage1_transactions(transactions), stage1_sessions(events), stage1_review_rate(events)):
+    answers, reviews = (F.count_if(F.col("action") == a) for a in ("SUBMIT_ANSWER", "REVIEW_TASK"))
+    measures = {**_stage1_event_measures(), "_reviews": reviews, "_answers": answers}
+    features = _aggregate(events, ["user_id"], measures).withColumn("review_rate_0_2", safe_divide("_reviews", "_answers"))
+    for part in (stage1_transactions(transactions), stage1_sessions(events)):
         features = features.join(part, "user_id", "left")
     return fill_missing_columns(features, STAGE1_FEATURES).select("user_id", *STAGE1_FEATURES)
 

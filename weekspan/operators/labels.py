@@ -16,7 +16,7 @@ from weekspan.functions.scalars import (
     micros_between,
     overlaps_summer,
 )
-from weekspan.operators.timeline import add_week_dates
+from weekspan.operators.timeline import add_week_dates, relative_week
 
 
 def came_back(events: DataFrame, users: DataFrame, return_from: int = 3, return_to: int | None = None) -> DataFrame:
@@ -30,6 +30,17 @@ def came_back(events: DataFrame, users: DataFrame, return_from: int = 3, return_
     )
 
 
+def came_back_by_last_event(events: DataFrame, anchors: DataFrame, users: DataFrame, return_from: int = 3) -> DataFrame:
+    """Same flag without an upper bound, from each user's last event alone: no join on raw rows is needed."""
+    last = events.groupBy("user_id").agg(F.max("event_date").alias("_last_event"))
+    late = relative_week("_last_event", "_anchor") >= return_from
+    anchored = last.join(anchors.select("user_id", F.col("first_activity_time").alias("_anchor")), "user_id")
+    flags = anchored.select("user_id", late.cast("int").alias("_back"))
+    return (
+        users.join(flags, "user_id", "left").withColumn("came_back", F.coalesce(F.col("_back"), F.lit(0))).drop("_back")
+    )
+
+
 def add_dropout_labels(timeline: DataFrame, horizon_weeks: int = 4) -> DataFrame:
     """Interruption label of each week on the dense timeline.
 

@@ -7,13 +7,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from weekspan.operators.clean import clean_events, clean_transactions
 from weekspan.operators.demographics import demographic_categories, demographic_features
 from weekspan.operators.features import STAGE1_FEATURES, stage1_behavioral
-from weekspan.operators.labels import came_back
-from weekspan.operators.timeline import clean_logs, early_window
+from weekspan.operators.labels import came_back, came_back_by_last_event
+from weekspan.operators.timeline import clean_logs, early_window, first_activity
+from weekspan.session import durable
 from weekspan.sources.logs import Logs
 
 
+EARLY_EVENT_COLUMNS = [
+    "user_id", "event_id", "event_date", "event_type", "action", "session_id", "topic_id", "date", "hour",
+]
+
+
 @dataclass(frozen=True)
 class Dataset:
     df: DataFrame
@@ -29,7 +36,8 @@ def stage1_dataset(
     return_to: int | None = None,
 ) -> Dataset:
     logs = clean_logs(raw)
-    early_events = early_window(logs.events, 0, early_end)
+    # two aggregations read the early events: store those few weeks once instead of joining the raw log twice
+    early_events = durable(early_window(logs.events, 0, early_end).select(*EARLY_EVENT_COLUMNS))
     early_transactions = early_window(logs.transactions, 0, early_end)
     df = stage1_behavioral(early_events, early_transactions)
     features = list(STAGE1_FEATURES)
@@ -39,5 +47,8 @@ def stage1_dataset(
         extra = [c for c in demographics.columns if c != "user_id"]
         df = df.join(demographics, "user_id", "left").fillna(0, subset=extra)
         features += extra
-    df = came_back(logs.events, df, return_from, return_to)
+    if return_to is None:
+        df = came_back_by_last_event(clean_events(raw.events), first_activity(clean_transactions(raw.transactions)), df, return_from)
+    else:
+        df = came_back(logs.events, df, return_from, return_to)
     return Dataset(df.select("user_id", *features, "came_back"), features)

@@ -6,10 +6,9 @@ years). Both give the same three raw tables as ``sources.logs.read_raw_logs``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekspan.functions.ordered import previous_value, running_total
 from weekspan.functions.scalars import DAY_MICROS, micros_between
 from weekspan.sources.logs import Logs
 
@@ -21,101 +20,110 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, folder, "events").withColumn("k", k)
+    return table(spark, folder, "events").selectExpr("*", "cast(get_json_object(props, '$.k') as bigint) as k")
 
 
 def short_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    micros = F.round((F.col("value") * 30 - 60) * 1_000_000).cast("long")
-    grade = F.col("k") % 5
-    evaluation = F.when(grade == 0, "CORRECT").when(grade == 1, "PARTIAL").when(grade == 2, "WRONG").when(grade == 3, "CORRECT")
+    purchases = _stream(spark, folder).filter("event_type = 'purchase'")
+    return purchases.selectExpr(
+        "event_id as transaction_id",
+        "user_id",
+        "ts as start_time",
+        "timestampadd(MICROSECOND, cast(round((value * 30 - 60) * 1000000) as bigint), ts) as commit_time",
+        "element_at(array('CORRECT', 'PARTIAL', 'WRONG', 'CORRECT', null), cast(k % 5 + 1 as int)) as evaluation",
+        "k as document_id",
+        "k % 7 as topic_id",
+        "k % 3 as challenge_id",
+    )
+
+
+def number_sessions(df: DataFrame, ts: str, tie: str, gap_micros: int) -> DataFrame:
+    """Add ``sid``: 1 for a user's first row, one more after every pause longer than ``gap_micros``.
+
+    Rows are ordered inside user-hours; the hours of a user are then chained by their first and last time and their
+    number of pauses, so a very active user is spread over as many tasks as they have active hours.
+    """
+    hours = df.withColumn("_hour", F.date_trunc("hour", ts))
+    inside = Window.partitionBy("user_id", "_hour").orderBy(ts, tie)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    pause = (micros_between("_before", ts) > gap_micros).cast("int")
+    rows = hours.withColumn("_before", F.lag(ts).over(inside)).withColumn("_new", F.coalesce(pause, F.lit(0)))
+    per_hour = rows.groupBy("user_id", "_hour").agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_new").alias("_inner")
+    )
+    by_hour = Window.partitionBy("user_id").orderBy("_hour")
+    opens = F.when(micros_between(F.lag("_last").over(by_hour), "_first") <= gap_micros, 0).otherwise(1)
+    before = F.sum(F.col("_opens") + F.col("_inner")).over(by_hour.rowsBetween(Window.unboundedPreceding, -1))
+    chained = per_hour.withColumn("_opens", opens).select(
+        "user_id", "_hour", (F.col("_opens") + F.coalesce(before, F.lit(0))).alias("_offset")
+    )
     return (
-        _stream(spark, folder)
-        .filter(F.col("event_type") == "purchase")
-        .select(
-            F.col("event_id").alias("transaction_id"),
-            "user_id",
-            F.col("ts").alias("start_time"),
-            F.timestamp_add("MICROSECOND", micros, F.col("ts")).alias("commit_time"),
-            evaluation.alias("evaluation"),
-            F.col("k").alias("document_id"),
-            (F.col("k") % 7).alias("topic_id"),
-            (F.col("k") % 3).alias("challenge_id"),
-        )
+        rows.withColumn("_sum", F.sum("_new").over(upto))
+        .join(chained, ["user_id", "_hour"])
+        .withColumn("sid", F.col("_sum") + F.col("_offset"))
+        .drop("_hour", "_before", "_new", "_sum", "_offset")
     )
 
 
 def short_events(spark: SparkSession, folder: str) -> DataFrame:
     """Everything but purchases, with sessions cut at pauses of more than six hours."""
-    hour = F.date_format("ts", "yyyyMMddHH").cast("long")
-    order = ["ts", "event_id"]
-    stream = _stream(spark, folder).filter(F.col("event_type") != "purchase").drop("props", "value")
-    stream = previous_value(stream, ["user_id"], hour, order, "ts", "_before")
-    pause = micros_between("_before", "ts")
-    stream = stream.withColumn("_new", F.when(pause <= SESSION_GAP_MICROS, 0).otherwise(1))
-    stream = running_total(stream, ["user_id"], hour, order, "_new", "_sid")
-    kind = F.col("event_type")
-    return stream.select(
+    stream = _stream(spark, folder).filter("event_type <> 'purchase'").drop("props", "value")
+    return number_sessions(stream, "ts", "event_id", SESSION_GAP_MICROS).selectExpr(
         "event_id",
         "user_id",
-        F.col("ts").alias("event_date"),
-        F.upper(kind).alias("event_type"),
-        F.when(kind == "view", "REVIEW_TASK").when(kind == "click", "SUBMIT_ANSWER").when(kind == "signup", "OPEN_TOPIC").alias("action"),
-        F.when(kind != "error", F.concat_ws("-", "user_id", "_sid")).alias("session_id"),
-        F.when(F.col("k") % 10 != 0, F.col("k") % 13).alias("topic_id"),
+        "ts as event_date",
+        "upper(event_type) as event_type",
+        "case event_type when 'view' then 'REVIEW_TASK' when 'click' then 'SUBMIT_ANSWER' when 'signup' then 'OPEN_TOPIC' end as action",
+        "case when event_type <> 'error' then concat(user_id, '-', sid) end as session_id",
+        "case when k % 10 <> 0 then k % 13 end as topic_id",
     )
 
 
 def star_users(spark: SparkSession, folder: str) -> DataFrame:
-    segment, key = F.col("c_mktsegment"), F.col("c_custkey")
-    school = F.element_at(F.array(*map(F.lit, ("Gymnasium", "WMS", "BM", "KME Passerelle"))), (key % 4 + 1).cast("int"))
-    nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    nation = table(spark, folder, "nation").selectExpr("n_nationkey as c_nationkey", "n_name")
+    school = "element_at(array('Gymnasium', 'WMS', 'BM', 'KME Passerelle'), cast(c_custkey % 4 + 1 as int))"
     return (
         table(spark, folder, "customer")
         .join(nation, "c_nationkey", "left")
-        .select(
-            key.alias("user_id"),
-            F.when(segment == "BUILDING", "FEMALE").when(segment == "AUTOMOBILE", "MALE").when(segment == "HOUSEHOLD", "STAR")
-            .when(segment == "FURNITURE", "*").alias("gender"),
-            F.when(F.col("c_acctbal") >= 0, F.col("n_name")).alias("canton"),
-            F.when(key % 11 != 0, F.concat(school, F.lit(" - "), (key % 5 + 1).cast("string"), F.lit(". Jahr"))).alias("class_level"),
-            F.when(key % 6 != 0, F.concat(F.lit("c"), (key % 40).cast("string"))).alias("class_id"),
-            F.when(key % 3 == 0, "True").when(key % 3 == 1, "False").alias("study"),
+        .selectExpr(
+            "c_custkey as user_id",
+            "case c_mktsegment when 'BUILDING' then 'FEMALE' when 'AUTOMOBILE' then 'MALE' when 'HOUSEHOLD' then 'STAR' "
+            "when 'FURNITURE' then '*' end as gender",
+            "case when c_acctbal >= 0 then n_name end as canton",
+            f"case when c_custkey % 11 <> 0 then concat({school}, ' - ', c_custkey % 5 + 1, '. Jahr') end as class_level",
+            "case when c_custkey % 6 <> 0 then concat('c', c_custkey % 40) end as class_id",
+            "case c_custkey % 3 when 0 then 'True' when 1 then 'False' end as study",
         )
     )
 
 
 def long_events(spark: SparkSession, folder: str) -> DataFrame:
-    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-    return table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("event_id"),
-        F.col("o_custkey").alias("user_id"),
-        F.col("o_orderdate").alias("event_date"),
-        F.when(status == "O", "CLICK").when(status == "F", "VIEW").otherwise("OTHER").alias("event_type"),
-        F.when(priority == "1-URGENT", "REVIEW_TASK").when(priority == "5-LOW", None).otherwise("SUBMIT_ANSWER").alias("action"),
-        (F.col("o_orderkey") % 997).cast("string").alias("session_id"),
-        (F.col("o_orderkey") % 17).alias("topic_id"),
+    return table(spark, folder, "orders").selectExpr(
+        "o_orderkey as event_id",
+        "o_custkey as user_id",
+        "o_orderdate as event_date",
+        "case o_orderstatus when 'O' then 'CLICK' when 'F' then 'VIEW' else 'OTHER' end as event_type",
+        "case o_orderpriority when '1-URGENT' then 'REVIEW_TASK' when '5-LOW' then null else 'SUBMIT_ANSWER' end as action",
+        "cast(o_orderkey % 997 as string) as session_id",
+        "o_orderkey % 17 as topic_id",
     )
 
 
 def long_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    status, flag = F.col("l_linestatus"), F.col("l_returnflag")
-    evaluation = (
-        F.when((status == "O") & (flag == "A"), None).when(flag == "N", "CORRECT").when(flag == "A", "PARTIAL").otherwise("WRONG")
-    )
-    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    orders = table(spark, folder, "orders").selectExpr("o_orderkey as l_orderkey", "o_custkey", "o_orderdate")
     return (
         table(spark, folder, "lineitem")
         .join(orders, "l_orderkey")
-        .select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("transaction_id"),
-            F.col("o_custkey").alias("user_id"),
-            F.col("o_orderdate").alias("start_time"),
-            F.timestamp_add("SECOND", F.round(F.col("l_quantity") * 100).cast("long"), F.col("o_orderdate")).alias("commit_time"),
-            evaluation.alias("evaluation"),
-            F.col("l_partkey").alias("document_id"),
-            (F.col("l_suppkey") % 23).alias("topic_id"),
-            F.col("l_orderkey").alias("challenge_id"),
+        .selectExpr(
+            "l_orderkey * 10 + l_linenumber as transaction_id",
+            "o_custkey as user_id",
+            "o_orderdate as start_time",
+            "timestampadd(SECOND, cast(round(l_quantity * 100) as bigint), o_orderdate) as commit_time",
+            "case when l_linestatus = 'O' and l_returnflag = 'A' then null when l_returnflag = 'N' then 'CORRECT' "
+            "when l_returnflag = 'A' then 'PARTIAL' else 'WRONG' end as evaluation",
+            "l_partkey as document_id",
+            "l_suppkey % 23 as topic_id",
+            "l_orderkey as challenge_id",
         )
     )
 
@@ -130,40 +138,33 @@ def long_view(spark: SparkSession, folder: str) -> Logs:
 
 def scored_view(spark: SparkSession, folder: str) -> DataFrame:
     """One scored row per labelled document: true label, probability, prediction and group columns."""
-    prob = F.round(F.col("n_chars") / (F.col("n_chars") + F.lit(500.0)), 6)
-    labels = table(spark, folder, "labels")
-    return (
-        table(spark, folder, "documents")
-        .select("doc_id", "lang", "source", "n_chars")
-        .join(labels, "doc_id")
-        .select(
-            F.col("doc_id").alias("user_id"),
-            F.col("quality").alias("y_true"),
-            prob.alias("y_prob"),
-            (prob > 0.5).cast("int").alias("y_pred"),
-            F.col("lang").alias("gender"),
-            F.col("source").alias("canton"),
-            "toxic",
-        )
+    documents = table(spark, folder, "documents").selectExpr(
+        "doc_id", "lang", "source", "round(n_chars / (n_chars + 500D), 6) as y_prob"
+    )
+    return documents.join(table(spark, folder, "labels"), "doc_id").selectExpr(
+        "doc_id as user_id",
+        "quality as y_true",
+        "y_prob",
+        "cast(y_prob > 0.5D as int) as y_pred",
+        "lang as gender",
+        "source as canton",
+        "toxic",
     )
 
 
 def clusters_view(spark: SparkSession, folder: str) -> DataFrame:
     """One assigned row per order with three partitions, two attributes and an outcome."""
-    user, key = F.col("o_custkey"), F.col("o_orderkey")
-    return table(spark, folder, "orders").select(
-        key.alias("row_index"),
-        user.alias("user_id"),
-        (user % 4).alias("spectral_eucl"),
-        (key % 4).alias("kmeans_flat"),
-        ((user % 4 + F.when(key % 5 == 0, 1).otherwise(0)) % 4).alias("kmeans_eucl"),
-        F.col("o_orderpriority").alias("gender"),
-        F.col("o_orderstatus").alias("school_type"),
-        (F.col("o_totalprice") > 200000).cast("int").alias("is_dropout_point"),
+    return table(spark, folder, "orders").selectExpr(
+        "o_orderkey as row_index",
+        "o_custkey as user_id",
+        "o_custkey % 4 as spectral_eucl",
+        "o_orderkey % 4 as kmeans_flat",
+        "(o_custkey % 4 + if(o_orderkey % 5 = 0, 1, 0)) % 4 as kmeans_eucl",
+        "o_orderpriority as gender",
+        "o_orderstatus as school_type",
+        "cast(o_totalprice > 200000 as int) as is_dropout_point",
     )
 
 
 def vectors_view(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("vector"), "label"
-    )
+    return table(spark, folder, "embeddings").selectExpr("vec_id", "cast(embedding as array<double>) as vector", "label")
