@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("views", "logs", "weekly")
+MODULES = ("views", "logs", "weekly", "scored")
 
 
 def load() -> tuple[dict, dict]:

@@ -151,7 +151,7 @@ def dropout_labels(spark, folder):
 
 
 DIGEST = " ".join(f"{c}:f" for c in features.WEEKLY_FEATURES)
-DIGEST_SQL = ", ".join(f"sum({c} * (1 + relative_week % 7)) as {c}" for c in features.WEEKLY_FEATURES)
+DIGEST_SQL = ", ".join(f"sum({c} * (1 + relative_week % 7)) / pi() as {c}" for c in features.WEEKLY_FEATURES)
 
 
 @query(
@@ -172,7 +172,7 @@ def stage2_table(spark, folder):
         F.sum("is_dropout_point").alias("n_positive"),
         F.count_if("is_summer").alias("n_summer"),
         F.max("week_start").alias("last_week_start"),
-        *[F.expr(f"sum({c} * (1 + relative_week % 7)) as {c}") for c in features.WEEKLY_FEATURES],
+        *[F.expr(f"sum({c} * (1 + relative_week % 7)) / pi() as {c}") for c in features.WEEKLY_FEATURES],
     )
 
 
