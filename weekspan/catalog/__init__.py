@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("views", "logs", "weekly", "scored")
+MODULES = ("views", "logs", "weekly", "scored", "sequences")
 
 
 def load() -> tuple[dict, dict]:
