@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("views", "logs", "weekly", "scored", "sequences")
+MODULES = ("views", "logs", "weekly", "scored", "sequences", "sampling", "clusters", "models")
 
 
 def load() -> tuple[dict, dict]:

@@ -33,7 +33,7 @@ def with_ctes(body: str, needs: tuple[str, ...]) -> str:
 
     for n in needs:
         visit(n)
-    parts = [f"{n} as ({CTES[n][1]})" for n in ordered]
+    parts = [f"{n} as materialized ({CTES[n][1]})" for n in ordered]
     parts.append(f"result_rows as ({body.strip()})")
     return "with " + ",\n".join(parts)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,11 +58,31 @@ def drop_positions(seq: str | Column, positions: Sequence[int], features: int) -
     return F.transform(col(seq), lambda week: F.array(*[week[i] for i in kept]))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also when the body uses it inside array functions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def zero_weeks(seq: str | Column, chosen: Column, features: int) -> Column:
     """Zero all features of the weeks whose 0-based position is in the array ``chosen``."""
-    return F.transform(col(seq), lambda week, t: F.when(F.array_contains(chosen, t), zeros(features)).otherwise(week))
+    s, blank = col(seq), F.array(*[F.lit(0.0)] * features)
+
+    def zeroed(positions: Column) -> Column:
+        return F.transform(s, lambda week, t: F.when(F.array_contains(positions, t), blank).otherwise(week))
+
+    return bind(chosen, zeroed)
+
+
+def swap_positions(order: Column, i: Column, j: Column) -> Column:
+    """Exchange two entries of an array of positions."""
+
+    def swapped(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        return F.transform(order, lambda p, t: F.when(t == a, F.get(order, b)).when(t == b, F.get(order, a)).otherwise(p))
+
+    return bind(F.struct(i.alias("a"), j.alias("b")), swapped)
 
 
-def swap_weeks(seq: str | Column, i: Column, j: Column) -> Column:
+def reorder_weeks(seq: str | Column, order: Column) -> Column:
     s = col(seq)
-    return F.transform(s, lambda week, t: F.when(t == i, F.get(s, j)).when(t == j, F.get(s, i)).otherwise(week))
+    return bind(order, lambda positions: F.transform(positions, lambda p: F.get(s, p)))

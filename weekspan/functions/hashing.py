@@ -27,7 +27,13 @@ def uniform(keys: str | Column | Sequence[str | Column], seed: str | int) -> Col
     return hash32(keys, seed) / F.lit(float(2**HASH_BITS))
 
 
+def fast_uniform(keys: Sequence[str | Column], seed: str | int) -> Column:
+    """Uniform number in [0, 1) from a 64-bit hash: for the many draws of a noise array."""
+    bits = F.xxhash64(*[col(k) for k in keys], F.lit(str(seed)))
+    return F.shiftrightunsigned(bits, 11) / F.lit(float(2**53))
+
+
 def gaussian(keys: Sequence[str | Column], seed: str | int) -> Column:
     """Standard normal draw by the Box-Muller transform of two hashed uniforms."""
-    u = F.lit(1.0) - uniform(keys, f"{seed}|a")
-    return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0) * F.pi() * uniform(keys, f"{seed}|b"))
+    u = F.lit(1.0) - fast_uniform(keys, f"{seed}|a")
+    return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0) * F.pi() * fast_uniform(keys, f"{seed}|b"))

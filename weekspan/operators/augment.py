@@ -6,14 +6,14 @@ features). Draws are joined on hashed ranks, which are uniform, so no join key i
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekspan.functions.arrays import swap_weeks, zero_weeks, zeros
+from weekspan.functions.arrays import bind, reorder_weeks, swap_positions, zero_weeks, zeros
 from weekspan.functions.hashing import gaussian, uniform
 from weekspan.functions.ordered import hash_rank
 from weekspan.functions.quantiles import exact_medians
@@ -239,12 +239,21 @@ def swap_nearby(seq, keys: Sequence[str], seed: str, length: int, max_swaps: int
     """One to ``max_swaps`` exchanges of two weeks at most ``distance`` apart."""
     keys = [F.col(k) for k in keys]
     n = F.lit(1) + _pick(keys, f"{seed}|swaps", F.lit(max_swaps))
-    for s in range(max_swaps):
+    order = F.array(*[F.lit(t) for t in range(length)])
+
+    def swapped(order: Column, s: int) -> Column:
         i = _pick(keys, f"{seed}|i{s}", F.lit(length)).cast("int")
-        low, high = F.greatest(F.lit(0), i - distance), F.least(F.lit(length - 1), i + distance)
-        j = low + _pick(keys, f"{seed}|j{s}", high - low + 1).cast("int")
-        seq = F.when(n > s, swap_weeks(seq, i, j)).otherwise(seq)
-    return seq
+
+        def with_partner(i: Column) -> Column:
+            low, high = F.greatest(F.lit(0), i - distance), F.least(F.lit(length - 1), i + distance)
+            return swap_positions(order, i, low + _pick(keys, f"{seed}|j{s}", high - low + 1).cast("int"))
+
+        return F.when(n > s, bind(i, with_partner)).otherwise(order)
+
+    def chain(order: Column, s: int) -> Column:
+        return order if s == max_swaps else bind(swapped(order, s), lambda o: chain(o, s + 1))
+
+    return reorder_weeks(seq, chain(order, 0))
 
 
 def jitter(seq, keys: Sequence[str], seed: str, sigma: float = 0.03) -> Column:
@@ -255,11 +264,16 @@ def jitter(seq, keys: Sequence[str], seed: str, sigma: float = 0.03) -> Column:
     )
 
 
-def _stepwise(df: DataFrame, steps: Sequence[tuple[Column, Column]]) -> DataFrame:
-    """Apply (condition, new sequence) one after the other."""
-    for condition, changed in steps:
-        df = df.withColumn("seq", F.when(condition, changed).otherwise(F.col("seq")))
-    return df
+def _stepwise(df: DataFrame, steps: Sequence[tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
+    """Apply (condition, change) one after the other; every step sees the finished sequence of the one before."""
+
+    def chain(seq: Column, position: int) -> Column:
+        if position == len(steps):
+            return seq
+        condition, change = steps[position]
+        return bind(F.when(condition, change(seq)).otherwise(seq), lambda done: chain(done, position + 1))
+
+    return df.withColumn("seq", chain(F.col("seq"), 0))
 
 
 def policy_mask_crop(df: DataFrame, keys: Sequence[str], length: int, features: int, seed=SEED, p_mask=0.5, p_crop=0.5):
@@ -272,8 +286,8 @@ def policy_mask_crop(df: DataFrame, keys: Sequence[str], length: int, features:
     return _stepwise(
         df,
         [
-            (mask | (neither & instead), mask_weeks(F.col("seq"), keys, str(seed), length, features, max(1, length // 4))),
-            (crop | (neither & ~instead), crop_and_pad(F.col("seq"), keys, str(seed), length, features, max(4, length // 2))),
+            (mask | (neither & instead), lambda s: mask_weeks(s, keys, str(seed), length, features, max(1, length // 4))),
+            (crop | (neither & ~instead), lambda s: crop_and_pad(s, keys, str(seed), length, features, max(4, length // 2))),
         ],
     )
 
@@ -290,9 +304,9 @@ def policy_conservative(
     return _stepwise(
         df,
         [
-            (drop, mask_weeks(F.col("seq"), keys, str(seed), length, features, n)),
-            (swap, swap_nearby(F.col("seq"), keys, str(seed), length, 2, 1)),
-            (shake | (~drop & ~swap), jitter(F.col("seq"), keys, str(seed))),
+            (drop, lambda s: mask_weeks(s, keys, str(seed), length, features, n)),
+            (swap, lambda s: swap_nearby(s, keys, str(seed), length, 2, 1)),
+            (shake | (~drop & ~swap), lambda s: jitter(s, keys, str(seed))),
         ],
     )
 
