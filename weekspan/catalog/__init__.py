@@ -10,4 +10,4 @@ def load() -> tuple[dict, dict]:
 
     for m in MODULES:
         import_module(f"weekspan.catalog.{m}")
-    return dict(base.QUERIES), dict(base.ORACLES)
+    return dict(base.QUERIES), base.oracle_texts()

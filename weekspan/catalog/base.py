@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Runner = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Runner] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -83,8 +83,16 @@ def query(name: str, spec: str | list[str] | None = None, sql: str | None = None
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = (lambda spark, folder: present(run(spark, folder), spec)) if spec else run
         if sql is not None:
-            chosen = ", ".join(f"{SQL_CASTS[k].format(_quoted(n))} as {_quoted(n)}" for n, k in _columns(spec))
-            ORACLES[name] = f"{with_ctes(sql, needs)}\nselect {chosen} from result_rows"
+            ORACLES[name] = (sql, needs, spec)
         return run
 
     return register
+
+
+def oracle_texts() -> dict[str, str]:
+    """Complete SQL of every registered oracle."""
+    texts = {}
+    for name, (sql, needs, spec) in ORACLES.items():
+        chosen = ", ".join(f"{SQL_CASTS[k].format(_quoted(n))} as {_quoted(n)}" for n, k in _columns(spec))
+        texts[name] = f"{with_ctes(sql, needs)}\nselect {chosen} from result_rows"
+    return texts
