@@ -166,8 +166,13 @@ def run_gaussian_mixture(df: DataFrame, k: int, values: str = "vector", seed: in
 
 
 def run_hierarchical(df: DataFrame, k: int, values: str = "vector", seed: int = SEED, out: str = "cluster"):
-    """Top-down hierarchical clustering by repeated bisection."""
-    data = _as_vectors(df, values)
+    """Top-down hierarchical clustering by repeated bisection.
+
+    A split starts from small offsets in proportion to the length of the centre, which is zero for standardised data;
+    moving all points by the same vector leaves their distances alone and gives the first split a start.
+    """
+    moved = df.withColumn("_moved", F.transform(values, lambda v: v + F.lit(1.0)))
+    data = _as_vectors(moved, "_moved").drop("_moved")
     return BisectingKMeans(k=k, seed=seed, featuresCol="_vector", predictionCol=out).fit(data).transform(data).drop("_vector")
 
 
@@ -206,8 +211,10 @@ def silhouette_rows(df: DataFrame, key: str, cluster: str, values: str = "vector
             for start in range(0, len(batch), 512):
                 part = batch.iloc[start : start + 512]
                 block = np.stack(part[values].to_numpy()).astype(float)
-                squared = (block**2).sum(axis=1)[:, None] - 2 * block @ all_points.T + (all_points**2).sum(axis=1)[None, :]
-                totals = np.sqrt(np.maximum(squared, 0.0)) @ one_hot
+                lengths = (block**2).sum(axis=1)[:, None] + (all_points**2).sum(axis=1)[None, :]
+                squared = lengths - 2 * block @ all_points.T
+                squared[squared < 1e-13 * lengths] = 0.0  # equal points up to rounding, such as a row and itself
+                totals = np.sqrt(squared) @ one_hot
                 own = np.searchsorted(names, part[cluster].to_numpy())
                 rows = np.arange(len(part))
                 alone = sizes[own] <= 1
