@@ -34,13 +34,13 @@ def weighted(cols: list[str], t: str = "t") -> str:
 
 
 def condensed(df, seq="seq", label="label", week="target_week", by="user_id"):
-    check = f"aggregate(transform(flatten({seq}), (x, i) -> x * (i % 97 + 1)), 0D, (a, x) -> a + x)"
-    return df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n_sequences"),
-        F.sum(label).alias("n_positive"),
-        F.min(week).alias("first_week"),
-        F.max(week).alias("last_week"),
-        F.expr(f"sum({check}) / {SCALE}").alias("checksum"),
+    cells = df.select(by, F.col(label).alias("_y"), F.col(week).alias("_week"), F.posexplode(F.flatten(seq)).alias("i", "x"))
+    return cells.groupBy(by).agg(
+        F.count_if(F.col("i") == 0).alias("n_sequences"),
+        F.expr("sum(if(i = 0, _y, 0))").alias("n_positive"),
+        F.min("_week").alias("first_week"),
+        F.max("_week").alias("last_week"),
+        F.expr(f"sum(x * (i % 97 + 1)) / {SCALE}").alias("checksum"),
     )
 
 

@@ -63,17 +63,19 @@ def in_summer(ts: str | Column) -> Column:
 
 
 def overlaps_summer(start: str | Column, end: str | Column) -> Column:
-    """Does [start, end] meet [1 July 00:00, 31 August 00:00] of any year it spans? Null bounds give false."""
-    start, end = col(start), col(end)
-
-    def meets(year: Column) -> Column:
-        july = F.make_timestamp_ntz(year, F.lit(7), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-        august = F.make_timestamp_ntz(year, F.lit(8), F.lit(31), F.lit(0), F.lit(0), F.lit(0))
-        return (end >= july) & (start <= august)
+    """Does [start, end] meet [1 July 00:00, 31 August 00:00] of any year it spans? Null bounds give false.
 
-    first, last = F.year(start), F.year(end)
-    spanned = F.when(first <= last, F.exists(F.sequence(first, F.greatest(first, last)), meets))
-    return F.coalesce(spanned, F.lit(False))
+    Within one year both ends decide; an interval into a later year misses the summer only if it starts after one
+    and ends before the next.
+    """
+    start, end = col(start), col(end)
+    years = F.year(end) - F.year(start)
+    midnight = F.to_date(start).cast("timestamp_ntz") == start
+    last_day = (F.month(start) == 8) & ((F.day(start) < 31) | midnight)
+    starts_before = (F.month(start) < 8) | last_day
+    ends_after = F.month(end) >= 7
+    same_year = (years == 0) & starts_before & ends_after
+    return F.coalesce(same_year | ((years > 0) & (starts_before | ends_after)) | (years > 1), F.lit(False))
 
 
 # Token lists and labels of the school categories, first match wins.
