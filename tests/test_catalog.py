@@ -35,3 +35,12 @@ def test_registry():
 def test_against_duckdb(spark, con, name):
     ok, note = compare.compare(spark, con, FOLDER, name, QUERIES[name], ORACLES[name])
     assert ok, note
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_entry(spark):
+    import __spark_entry__
+
+    df = __spark_entry__.entry(spark)
+    assert df.columns[0] == "user_id" and df.columns[-1] == "came_back" and df.count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

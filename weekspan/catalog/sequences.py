@@ -77,19 +77,27 @@ def seq_no_summer(spark, folder):
     return condensed(Q.make_sequences(stage2(spark, folder), FEW, L, drop_summer=True))
 
 
-@query(
-    "seq_multi_window",
-    CONDENSED,
-    f"""select user_id, count(*) / 12 as n_sequences, sum(label) / 12 as n_positive, min(idx) as first_week, max(idx) as last_week,
-        sum({weighted(FEW[:2], 'p')}) / {SCALE} as checksum
-        from (select q.user_id, q.idx, label, len, p, s.n_events, s.n_transactions
-              from (select user_id, idx, is_dropout_point as label, unnest(range(2, least(12, idx) + 1)) as len from ll_stage2
+def _multi_window_sql(cols: list[str]) -> str:
+    """The week k before the target takes position 12 - k in every window of at least k weeks, and also fills the
+    padding of the window of exactly k weeks: its weight is summed over the windows instead of building them."""
+    width = len(cols)
+
+    def padding(f: int) -> str:
+        return "[" + ", ".join(str(sum((p * width + f) % 97 + 1 for p in range(12 - k)) if k >= 2 else 0) for k in range(1, 13)) + "]"
+
+    terms = " + ".join(
+        f"{c} * ((longest - greatest(k, 2) + 1) * (((12 - k) * {width} + {f}) % 97 + 1) + {padding(f)}[k])" for f, c in enumerate(cols)
+    )
+    return f"""select user_id, sum(case when k = 1 then longest - 1 end) as n_sequences, sum(case when k = 1 then label * (longest - 1) end) as n_positive,
+        min(target) as first_week, max(target) as last_week, sum({terms}) / {SCALE} as checksum
+        from (select q.user_id, q.idx as target, label, longest, k, s.n_events, s.n_transactions
+              from (select user_id, idx, is_dropout_point as label, least(12, idx) as longest from ll_stage2
                     where is_dropout_point is not null and idx >= 2) q
-              cross join range(0, 12) r(p)
-              join ll_stage2 s on s.user_id = q.user_id and s.idx = q.idx - len + greatest(0, p - (12 - len)))
-        group by user_id""",
-    "ll_stage2",
-)
+              cross join range(1, 13) r(k) join ll_stage2 s on s.user_id = q.user_id and s.idx = q.idx - k where k <= longest)
+        group by user_id"""
+
+
+@query("seq_multi_window", CONDENSED, _multi_window_sql(FEW[:2]), "ll_stage2")
 def seq_multi_window(spark, folder):
     return condensed(Q.make_sequences_multi_window(stage2(spark, folder), FEW[:2], L))
 
