@@ -210,8 +210,7 @@ cte("toxicity", "select user_id, toxic as y_true, y_prob from scored", "scored")
 def experiment_comparison(spark, folder):
     """Metric tables of three scorings with different columns, stacked and sorted."""
     df = scored(spark, folder)
-    counted = E.binary_metrics(df, 0.5).withColumn("_one", F.lit(1))
-    counted = counted.join(E.roc_auc(df).select("n_pos", F.lit(1).alias("_one")), "_one").drop("_one")
+    counted = E.binary_metrics(df, 0.5).withColumn("n_pos", F.lit(E.roc_auc(df).first()["n_pos"]))
     toxic = df.select("user_id", F.col("toxic").alias("y_true"), "y_prob")
     tables = {
         "length": counted,

@@ -111,6 +111,6 @@ def demographic_index(users: DataFrame, genders: Sequence[str] | None = None) ->
         index = (
             users.select(c).distinct().withColumn(f"{c}_index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c)) - 1)
         )
-        out = out.join(F.broadcast(index), c)
+        out = out.join(index, c)
     flags = [f"cast(gender = {sql_text(g)} as double) as `gender_{g}`" for g in genders]
     return out.selectExpr("user_id", "canton_index", "class_level_index", *flags)

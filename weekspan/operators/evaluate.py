@@ -145,9 +145,8 @@ def binary_metrics(df: DataFrame, threshold: float, label="y_true", prob="y_prob
         F.lit(float(threshold)).alias("threshold"),
     )
     auc = roc_auc(df, label, prob, by).select(*by, "roc_auc")
-    if by:
-        return rates.join(auc, list(by))
-    return rates.withColumn("_one", F.lit(1)).join(auc.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    both = rates.unionByName(auc, allowMissingColumns=True)  # one row of each kind per group
+    return both.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("roc_auc", "f1", "precision", "recall", "threshold")])
 
 
 def validation_tuned_metrics(validation: DataFrame, test: DataFrame, label="y_true", prob="y_prob") -> DataFrame:
