@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,32 +26,39 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+LOCAL_SCRATCH = "file:///tmp/checkpoints/weekspan"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting, such as a test, gets a private folder.
+    Only a local session without that setting, such as a test, gets a folder of its own; a cluster must name one.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="weekspan-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = LOCAL_SCRATCH
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own for one written table."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    """A path of its own for one written table; the application's folder is deleted when the application ends."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    file_system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    file_system.mkdirs(hadoop_path)
+    file_system.deleteOnExit(hadoop_path)
+    return f"{folder}/{uuid.uuid4().hex}/{name}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and continue from the written copy.
+def durable(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder and continue from the written copy.
 
     Used before anything that reads a table several times (model fitting, fitted statistics): losing an executor
-    then costs a re-read, not a recomputation.
+    then costs a re-read, not a recomputation, and each reader scans only the columns it needs.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
