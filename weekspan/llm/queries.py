@@ -5,10 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weekspan.llm import sql
+from weekspan.llm.decontaminate import scan
+from weekspan.llm.language import identify, learn
 from weekspan.llm.sharding import interleave
-from weekspan.llm.textbatch import table
+from weekspan.llm.textbatch import key_remainder, table
+from weekspan.llm.warc import read_archives, write_archives
+from weekspan.session import scratch_path
+
+
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    remainder = key_remainder("doc_id", 4)
+    model = learn(documents.filter(remainder != 2))
+    found = identify(documents.select("doc_id", "text"), model, kept=["doc_id"])
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    write_archives(table(spark, folder, "pages"), path)
+    records = read_archives(spark, path, with_payload=False)
+    number = lambda c: F.expr(f"try_cast({c} as long)")  # noqa: E731  the key of a null page id is no number
+    return records.select(number("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"), kept=["doc_id"])
+    n_hit = F.size("hit_words").cast("long")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
 
 
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +46,9 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op4_warc": op4_warc,
+    "op5_decontamination": op5_decontamination,
     "op9_sharding": op9_sharding,
 }
 

@@ -40,4 +40,47 @@ select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_
 from placed
 """
 
-ORACLES: dict[str, str] = {"op9_sharding": OP9}
+#: SHA-1 as base32: the hash's hexadecimal digits as bits, read five at a time.
+OP4 = """
+with rows_in as (select page_id, coalesce(html, '') as body from pages),
+hashed as (select page_id, strlen(body) as payload_bytes, sha1(body) as digest from rows_in),
+bits as (
+  select *, list_reduce(list_transform(regexp_extract_all(digest, '.'), lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', c)]), lambda a, b: a || b) as b,
+    max(page_id) over (partition by digest, payload_bytes) as head
+  from hashed
+),
+shown as (
+  select *, list_reduce(list_transform(regexp_extract_all(b, '.....'), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * cast(g[1] as int) + 8 * cast(g[2] as int) + 4 * cast(g[3] as int) + 2 * cast(g[4] as int) + cast(g[5] as int), 1)), lambda a, c: a || c) as payload_digest
+  from bits
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+  case when head is null or page_id = head then 'response' else 'revisit' end as record_type,
+  case when head is null or page_id = head then null else head end as refers_to
+from shown
+"""
+
+OP5 = r"""
+with docs as materialized (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+),
+items as materialized (
+  select coalesce(cast(item_id as varchar), 'null') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+),
+grams as materialized (
+  select distinct item, least(len(w), 10) as size, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') as gram
+  from (select item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as p from items where len(w) > 0)
+),
+sizes as (select distinct size from grams),
+windows as materialized (
+  select r, p, size, array_to_string(w[p : p + size - 1], ' ') as gram
+  from (select r, w, size, unnest(range(1, len(w) - size + 2)) as p from docs, sizes where len(w) >= size)
+),
+hits as materialized (select r, p, windows.size, item from windows join grams using (size, gram)),
+hit_words as (select r, count(distinct q) as n from (select r, unnest(range(p, p + size)) as q from hits) group by r),
+hit_items as (select r, count(distinct item) as n, array_to_string(list_sort(list(distinct item)), ',') as names from hits group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(h.n, 0) as bigint) as n_hit, cast(coalesce(i.n, 0) as bigint) as n_items,
+  sha256(coalesce(i.names, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from docs left join hit_words h using (r) left join hit_items i using (r)
+"""
+
+ORACLES: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op9_sharding": OP9}

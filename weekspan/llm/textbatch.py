@@ -169,8 +169,8 @@ def roll(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """Cut a text column into runs of rows (first, last + 1, texts) of bounded size."""
+def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, Texts]]:
+    """Cut a text column into runs of rows (first, last + 1, texts) of bounded bytes and at most ``rows`` rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
@@ -187,7 +187,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
     first = 0
     while first < len(column):
         last = int(np.searchsorted(bounds, bounds[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), len(column))
+        last = min(max(last, first + 1), first + rows, len(column))
         yield first, last, Texts(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
         first = last
 
@@ -196,3 +196,18 @@ def packed(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     """``values[cuts[i]:cuts[i + 1]]`` as bytes."""
     raw, width = values.tobytes(), values.itemsize
     return [raw[a * width : b * width] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def key_remainder(key: str, divisor: int):
+    """crc32 of the key as text, modulo ``divisor``; null for a null key."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % divisor
+
+
+def batch_column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def with_columns(batch: pa.RecordBatch, kept: list[str], added: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The kept columns of a batch followed by new ones."""
+    arrays = [batch_column(batch, n) for n in kept] + list(added.values())
+    return pa.RecordBatch.from_arrays(arrays, names=[*kept, *added])
