@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weekspan.llm import sql
 from weekspan.llm.decontaminate import scan
+from weekspan.llm.embeddings import near_duplicates
 from weekspan.llm.language import identify, learn
 from weekspan.llm.sharding import interleave
 from weekspan.llm.textbatch import key_remainder, table
@@ -45,11 +46,16 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return interleave(table(spark, folder, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op9_sharding": op9_sharding,
+    "op10_embeddings": op10_embeddings,
 }
 
 

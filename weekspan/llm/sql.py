@@ -83,4 +83,22 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(h.n, 0) as bigin
 from docs left join hit_words h using (r) left join hit_items i using (r)
 """
 
-ORACLES: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op9_sharding": OP9}
+OP10 = """
+with recursive rows_in as materialized (
+  select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+),
+sound as materialized (
+  select r, vec_id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u
+  from rows_in where label is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links as materialized (
+  select a.r as a, b.r as b from sound a join sound b on a.label = b.label and len(a.u) = len(b.u) and a.r <> b.r and list_inner_product(a.u, b.u) >= 0.98
+),
+reach(r, s) as (select r, r from rows_in union select reach.r, links.b from reach join links on reach.s = links.a),
+parts as (select reach.r, min(other.vec_id) as component_id from reach join rows_in other on reach.s = other.r group by reach.r),
+degrees as (select a as r, count(*) as n from links group by a)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, coalesce(vec_id = component_id, false) as kept
+from rows_in join parts using (r) left join degrees using (r)
+"""
+
+ORACLES: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op9_sharding": OP9, "op10_embeddings": OP10}
