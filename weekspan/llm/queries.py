@@ -11,6 +11,7 @@ from weekspan.llm import sql
 from weekspan.llm.decontaminate import scan
 from weekspan.llm.embeddings import near_duplicates
 from weekspan.llm.language import identify, learn
+from weekspan.llm.packing import pack
 from weekspan.llm.sharding import interleave
 from weekspan.llm.textbatch import key_remainder, table
 from weekspan.llm.warc import read_archives, write_archives
@@ -42,6 +43,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"))
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return interleave(table(spark, folder, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
+    "op6_packing": op6_packing,
     "op9_sharding": op9_sharding,
     "op10_embeddings": op10_embeddings,
 }
