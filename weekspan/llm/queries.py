@@ -13,6 +13,7 @@ from weekspan.llm.embeddings import near_duplicates
 from weekspan.llm.language import identify, learn
 from weekspan.llm.packing import pack
 from weekspan.llm.sharding import interleave
+from weekspan.llm.substrings import remove_repeats
 from weekspan.llm.textbatch import key_remainder, table
 from weekspan.llm.warc import read_archives, write_archives
 from weekspan.session import scratch_path
@@ -47,6 +48,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"), digest=True)
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return interleave(table(spark, folder, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op8_substrings": op8_substrings,
     "op9_sharding": op9_sharding,
     "op10_embeddings": op10_embeddings,
 }

@@ -101,4 +101,25 @@ select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, coalesce
 from rows_in join parts using (r) left join degrees using (r)
 """
 
-ORACLES: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op9_sharding": OP9, "op10_embeddings": OP10}
+OP8 = r"""
+with docs as materialized (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+),
+windows as materialized (
+  select r, coalesce(doc_id, 9223372036854775807) as d, p, md5(array_to_string(w[p : p + 12], ' ')) as gram
+  from (select r, doc_id, w, unnest(range(1, len(w) - 11)) as p from docs where len(w) >= 13)
+),
+firsts as materialized (select gram, min(d) as d from windows group by gram),
+gone as (
+  select distinct r, q from (select r, unnest(range(p, p + 13)) as q from windows join firsts using (gram) where windows.d > firsts.d)
+),
+words as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as q from docs),
+kept as (
+  select words.r, string_agg(word, ' ' order by words.q) filter (gone.q is null) as body, count(gone.q) as n_removed
+  from words left join gone on words.r = gone.r and words.q = gone.q group by words.r
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from docs left join kept using (r)
+"""
+
+ORACLES: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op8_substrings": OP8, "op9_sharding": OP9, "op10_embeddings": OP10}

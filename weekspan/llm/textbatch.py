@@ -211,3 +211,26 @@ def with_columns(batch: pa.RecordBatch, kept: list[str], added: dict[str, pa.Arr
     """The kept columns of a batch followed by new ones."""
     arrays = [batch_column(batch, n) for n in kept] + list(added.values())
     return pa.RecordBatch.from_arrays(arrays, names=[*kept, *added])
+
+
+def squeezed(words: Words, kept: np.ndarray | None = None) -> tuple[Texts, np.ndarray]:
+    """The kept words of each document with one space between them, and where each kept word starts there.
+
+    Works for words that end at bytes they do not contain: the byte after a word then becomes its space.
+    """
+    texts = words.texts
+    n = len(words)
+    kept = np.ones(n, bool) if kept is None else kept
+    chosen = np.flatnonzero(kept)
+    owner = words.documents()[chosen]
+    last = np.append(owner[1:] != owner[:-1], True) if len(chosen) else np.zeros(0, bool)
+    steps = np.zeros(len(texts.data) + 2, np.int32)
+    ends = words.ends[chosen] + np.where(last, 0, 1)
+    np.add.at(steps, words.starts[chosen], 1)
+    np.add.at(steps, ends, -1)
+    inside = np.cumsum(steps[:-2]) > 0
+    data = texts.data.copy()
+    data[words.ends[chosen][~last]] = 32
+    before = np.zeros(len(texts.data) + 1, np.int64)
+    np.cumsum(inside, out=before[1:])
+    return Texts(data[inside], before[texts.bounds]), before[words.starts[chosen]]
