@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekspan.llm.components import connected_components
-from weekspan.llm.textbatch import batch_column, buckets_for
+from weekspan.llm.textbatch import batch_column, buckets_for, local_components
 from weekspan.session import durable
 
 THRESHOLD = 0.98
@@ -172,7 +172,7 @@ def near_links(reps: DataFrame, threshold: float) -> DataFrame:
                     continue
                 nodes = a_nodes + b_nodes
                 n = np.concatenate([linked @ np.array(b_copies), np.zeros(len(b_nodes), np.int64) if a == b else np.array(a_copies) @ linked])
-                first = _local_components(linked)
+                first = local_components(linked, a == b)
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in at]), pa.array(n[at].astype(np.int64)), pa.array([nodes[first[i]] for i in at])], ["node", "n", "to"])
 
@@ -186,18 +186,6 @@ def _links(a: np.ndarray, b: np.ndarray, rows: int, columns: int, same: bool, th
     return linked
 
 
-def _local_components(linked: np.ndarray) -> np.ndarray:
-    """For each row, then each column of a block pair, the number of its component's first member."""
-    rows, columns = linked.shape
-    label_r, label_c = np.arange(rows), np.full(columns, rows + columns)
-    while True:
-        new_c = np.minimum(label_c, np.where(linked, label_r[:, None], rows + columns).min(0))
-        new_r = np.minimum(label_r, np.where(linked, new_c[None, :], rows + columns).min(1))
-        if (new_c == label_c).all() and (new_r == label_r).all():
-            return np.concatenate([label_r, label_c])
-        label_r, label_c = new_r, new_c
-
-
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``df``: key, n_links, component_id, kept."""
     if not 0 < threshold <= 1:

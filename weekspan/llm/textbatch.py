@@ -234,3 +234,40 @@ def squeezed(words: Words, kept: np.ndarray | None = None) -> tuple[Texts, np.nd
     before = np.zeros(len(texts.data) + 1, np.int64)
     np.cumsum(inside, out=before[1:])
     return Texts(data[inside], before[texts.bounds]), before[words.starts[chosen]]
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of neighbouring rows with equal keys, from batches that are sorted by them."""
+    waiting: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])]).combine_chunks()
+        change = np.zeros(rows.num_rows, bool)
+        for k in keys:
+            values = rows.column(k).to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(change)])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield rows.slice(a, b - a)
+        waiting = rows.slice(cuts[-1])
+    if waiting is not None:
+        yield waiting
+
+
+def local_components(linked: np.ndarray, same: bool) -> np.ndarray:
+    """For the rows, then the columns of a matrix of links between two lists: the first member of each one's component.
+
+    ``same``: row i and column i are one member.
+    """
+    rows, columns = linked.shape
+    if same:
+        linked = linked | np.eye(rows, dtype=bool)
+    none = rows + columns
+    by_row, by_column = np.arange(rows), np.arange(rows, none)
+    while True:
+        new_column = np.minimum(by_column, np.where(linked, by_row[:, None], none).min(0, initial=none))
+        new_row = np.minimum(by_row, np.where(linked, new_column[None, :], none).min(1, initial=none))
+        if (new_column == by_column).all() and (new_row == by_row).all():
+            return np.concatenate([by_row, by_column])
+        by_row, by_column = new_row, new_column
