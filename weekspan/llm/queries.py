@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weekspan.llm import sql
 from weekspan.llm.decontaminate import scan
 from weekspan.llm.embeddings import near_duplicates
+from weekspan.llm.jaccard import link
 from weekspan.llm.language import identify, learn
 from weekspan.llm.packing import pack
 from weekspan.llm.sharding import interleave
@@ -27,6 +28,10 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return link(table(spark, folder, "documents"))
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     write_archives(table(spark, folder, "pages"), path)
@@ -62,6 +67,7 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op3_jaccard": op3_jaccard,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,

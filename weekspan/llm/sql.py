@@ -122,4 +122,23 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as
 from docs left join kept using (r)
 """
 
-ORACLES: dict[str, str] = {"op4_warc": OP4, "op5_decontamination": OP5, "op8_substrings": OP8, "op9_sharding": OP9, "op10_embeddings": OP10}
+OP3 = r"""
+with recursive docs as materialized (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+),
+grams as materialized (
+  select distinct r, md5(array_to_string(w[p : p + 4], ' ')) as gram
+  from (select r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as p from docs where len(w) > 0)
+),
+sizes as materialized (select r, count(*) as n from grams group by r),
+common as (select a.r as a, b.r as b, count(*) as n from grams a join grams b on a.gram = b.gram and a.r <> b.r group by a.r, b.r),
+links as materialized (
+  select a, b from common join sizes x on a = x.r join sizes y on b = y.r where 5 * common.n >= 4 * (x.n + y.n - common.n)
+),
+reach(r, s) as (select r, r from docs union select reach.r, links.b from reach join links on reach.s = links.a),
+classes as (select reach.r, min(other.doc_id) as class_id from reach join docs other on reach.s = other.r group by reach.r),
+degrees as (select a as r, count(*) as n from links group by a)
+select doc_id, class_id, cast(coalesce(n, 0) as bigint) as n_links from docs join classes using (r) left join degrees using (r)
+"""
+
+ORACLES: dict[str, str] = {"op3_jaccard": OP3, "op4_warc": OP4, "op5_decontamination": OP5, "op8_substrings": OP8, "op9_sharding": OP9, "op10_embeddings": OP10}
