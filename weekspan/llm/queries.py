@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekspan.llm import sql
+from weekspan.llm import quality, sql
 from weekspan.llm.decontaminate import scan
 from weekspan.llm.embeddings import near_duplicates
 from weekspan.llm.jaccard import link
@@ -28,6 +28,14 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    remainder = key_remainder("doc_id", 5)
+    field = quality.learn(documents, table(spark, folder, "labels").filter(remainder != 0))
+    found = quality.score_documents(documents.select("doc_id", "text"), field, kept=["doc_id"])
+    return found.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return link(table(spark, folder, "documents"))
 
@@ -67,6 +75,7 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_quality": op2_quality,
     "op3_jaccard": op3_jaccard,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
