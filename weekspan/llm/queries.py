@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekspan.llm import quality, sql
+from weekspan.llm import lm, quality, sql
 from weekspan.llm.decontaminate import scan
 from weekspan.llm.embeddings import near_duplicates
 from weekspan.llm.jaccard import link
@@ -61,6 +61,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+def op7_attention(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"), key_remainder("doc_id", 10) == 0)
+
+
 def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), digest=True)
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op7_attention": op7_attention,
     "op8_substrings": op8_substrings,
     "op9_sharding": op9_sharding,
     "op10_embeddings": op10_embeddings,
