@@ -1,0 +1,321 @@
+"""Defined results on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from weekspan.llm import components, decontaminate, embeddings, jaccard, language, lm, packing, quality, sharding, substrings, warc
+from weekspan.session import scratch_path
+
+LONG = " ".join(f"word{i}" for i in range(30_000))
+SPEC = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, `n_words` string, node string"
+
+
+def _rows():
+    prose = "the quick brown fox jumps over the lazy dog and runs through the wide green forest until night"
+    texts = [None, "", "   \n\t ", "...!!!", "a", "one two three", prose, prose, prose + " again", LONG, "über straße naïve " * 8, "é" * 300, "x" * 5_000]
+    return [(i, t, "en" if i % 2 else None, None if i % 3 else "s", 1, 0.5, 3, "clash", "n") for i, t in enumerate(texts)] + [(6, prose, "en", "s", 1, 0.5, 3, "clash", "n"), (None, prose, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(_rows(), SPEC).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SPEC)
+
+
+def test_language(odd, none):
+    model = language.learn(odd)
+    found = language.identify(odd, model, kept=["doc_id", "text"]).collect()
+    assert len(found) == len(_rows())
+    assert all(r.lang_pred == language.UNKNOWN and r.score == 0 for r in found if r.text is None or not any(c.isalpha() for c in r.text))
+    assert all(r.lang_pred == "en" for r in found if r.text and r.text.startswith("the quick"))
+    assert language.identify(odd, model).columns == [c for c in odd.columns if c != "score"] + ["lang_pred", "score"]
+    assert language.identify(none, model).count() == 0
+    nothing = language.learn(none)
+    assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {language.UNKNOWN}
+
+
+def test_quality(spark, odd, none):
+    labels = spark.createDataFrame([(6, 1), (6, 1), (9, 0), (9, 1), (10, 0), (None, 1), (7, None), (8, 5)], "doc_id long, quality int")
+    field = quality.learn(odd, labels)
+    found = quality.score_documents(odd, field).collect()
+    assert len(found) == len(_rows()) and all(0 <= r.score <= 1 for r in found)
+    assert {r.score for r in found if not (r.text or "").strip("\n")} == {field.without_lines}
+    assert quality.score_documents(none, field).count() == 0
+    plain = quality.learn(none, labels)
+    assert {r.score for r in quality.score_documents(odd, plain).collect()} == {0.5}
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(0)
+    good, moves = rng.normal(size=4), rng.normal(size=(2, 2))
+    weights = {}
+    for labels in np.ndindex(2, 2, 2, 2):
+        weights[labels] = np.exp(sum(g * y for g, y in zip(good, labels, strict=True)) + sum(moves[a, b] for a, b in zip(labels, labels[1:], strict=False)))
+    total = sum(weights.values())
+    want = [sum(w for y, w in weights.items() if y[i]) / total for i in range(4)]
+    assert np.allclose(quality.marginals(good, moves, np.array([0, 4, 4])), want)
+
+
+def _jaccard_classes(rows):
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = [[j for j in range(len(rows)) if j != i and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    out = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += [j for j in links[todo.pop()] if j not in seen and not seen.add(j)]
+        keys = [rows[j][0] for j in seen if rows[j][0] is not None]
+        out.append((rows[i][0], min(keys) if keys else None, len(links[i])))
+    return sorted(out, key=repr)
+
+
+def test_jaccard(spark, odd, none, monkeypatch):
+    rows = [(r[0], r[1]) for r in _rows()]
+    assert sorted([tuple(r) for r in jaccard.link(odd).collect()], key=repr) == _jaccard_classes(rows)
+    assert jaccard.link(none).count() == 0 and jaccard.deduplicate(none).count() == 0
+    kept = jaccard.deduplicate(odd)
+    assert kept.columns == odd.columns
+    texts = [r.text for r in kept.collect()]
+    assert len([t for t in texts if t and t.startswith("the quick")]) == 1 and len([t for t in texts if t is None]) == 2
+
+
+def test_jaccard_group_of_near_copies(spark, monkeypatch):
+    random.seed(5)
+    base = [f"w{random.randrange(10_000)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(random.randrange(3)):
+            words[random.randrange(120)] = f"x{random.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1_000 + i, rows[i % 5][1]) for i in range(40)]
+    for chunk in (512, 32):
+        monkeypatch.setattr(jaccard, "FAMILY_CHUNK", chunk)
+        monkeypatch.setattr(jaccard, "BUCKET_CHUNK", chunk)
+        found = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted([tuple(r) for r in found], key=repr) == _jaccard_classes(rows)
+
+
+def test_bands_reach_the_recall():
+    for threshold, recall in ((0.8, 0.9999), (0.5, 0.9), (0.95, 0.999)):
+        bands, rows = jaccard.bands_for(threshold, recall)
+        assert bands * rows <= jaccard.HASHES and 1 - (1 - threshold**rows) ** bands >= recall
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 200)] + [(300, 300 + i) for i in range(1, 90)] + [(500, 500), (None, 3), (601, 600), (600, 601)]
+    found = components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [list(range(1, 201)), list(range(300, 390)), [500], [600, 601]]
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/\r\nx", "<p>é</p>"), (2, None, None), (3, "http://b", ""), (4, "http://c", "<p>é</p>"), (4, "http://c", "<p>é</p>"), (None, "http://d", "<p>é</p>"), (None, None, "only"), (9, "u", "y" * 300_000)]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload_digest string")
+    path = scratch_path(spark, "archives")
+    warc.write_archives(pages, path)
+    found = warc.read_archives(spark, path).collect()
+    assert len(found) == len(rows)
+    kinds = sorted((r.record_key, r.record_type, r.refers_to or "", r.payload_bytes) for r in found)
+    assert kinds == sorted([("1", "revisit", "4", 9), ("2", "revisit", "3", 0), ("3", "response", "", 0), ("4", "response", "", 9), ("4", "response", "", 9), ("null", "revisit", "4", 9), ("null", "response", "", 4), ("9", "response", "", 300_000)])
+    assert {bytes(r.payload).decode() for r in found if r.payload is not None} == {"<p>é</p>", "", "only", "y" * 300_000}
+    path = scratch_path(spark, "archives")
+    warc.write_archives(pages.limit(0), path)
+    assert warc.read_archives(spark, path).count() == 0
+
+
+def test_archive_leads_with_its_dictionary(spark):
+    path = scratch_path(spark, "archives")
+    random.seed(2)
+    rows = [(i, "http://x", f"<html><body>{' '.join(random.choice(['alpha', 'beta', 'gamma', 'delta']) for _ in range(200))}</body></html>") for i in range(400)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    contents = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).filter("length > 0").collect()]
+    assert all(c[:4] == (0x184D2A5D).to_bytes(4, "little") for c in contents)
+    assert sum(len(list(warc.records_of(c))) for c in contents) == 400
+
+
+def test_decontamination(spark, odd, none, monkeypatch):
+    prose = _rows()[6][1]
+    benchmark = spark.createDataFrame([(1, prose), (1, prose), (2, "One, two; THREE"), (3, None), (4, ""), (None, "naïve über")], "item_id long, text string")
+    found = {(r.doc_id, r.text): r for r in decontaminate.scan(odd, benchmark).collect()}
+    assert found[(5, "one two three")]["items"] == ["2"] and found[(5, "one two three")].hit_words == [0, 1, 2]
+    assert found[(6, prose)]["items"] == ["1"] and len(found[(6, prose)].hit_words) == len(prose.split())
+    assert found[(0, None)].n_words == 0 and found[(0, None)]["items"] == []
+    assert [r["items"] for (i, _), r in found.items() if i == 10] == [["null"]]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    again = {(r.doc_id, r.text): r for r in decontaminate.scan(odd, benchmark).collect()}
+    assert {k: (r.hit_words, r["items"]) for k, r in again.items()} == {k: (r.hit_words, r["items"]) for k, r in found.items()}
+    cut = {(r.doc_id): r.text for r in decontaminate.decontaminate(odd, benchmark, remove="spans").collect()}
+    assert cut[5] == "" and cut[8] == " again"
+    left = decontaminate.decontaminate(odd, benchmark)
+    assert left.columns == odd.columns and left.filter("text like '%quick%'").count() == 0 and left.filter("text is null").count() == 2
+    assert decontaminate.scan(odd, benchmark.limit(0)).filter(F.size("items") > 0).count() == 0
+    assert decontaminate.scan(none, benchmark).count() == 0
+
+
+def test_packing(odd, none):
+    found = packing.pack(odd, with_ids=True).collect()
+    assert sum(r.piece == 0 for r in found) == len(_rows())
+    assert [(r.start, r.length) for r in found if r.doc_id == 0] == [(0, 1)]
+    assert all(len(r.ids) == r.length for r in found) and packing.pack(none).count() == 0
+
+
+def test_packing_plan_places_every_piece_once():
+    rng = np.random.default_rng(1)
+    for capacity, groups in ((64, 5), (1024, 12), (1, 1), (7, 3)):
+        counts = {int(s): int(n) for s, n in zip(range(1, capacity + 1), rng.integers(0, 40, capacity), strict=True) if n}
+        plan = packing.Plan(counts, capacity, groups)
+        fill = np.zeros(plan.sequences, int)
+        placed = dict.fromkeys(counts, 0)
+        for length, rank, n, first, each, at in sorted(plan.runs, key=lambda r: r[5]):
+            size = np.full(-(-n // each), each)
+            if n % each:
+                size[-1] = n % each
+            assert (fill[first : first + len(size)] == at).all()
+            fill[first : first + len(size)] += size * length
+            placed[length] += n
+        assert placed == counts and fill.max(initial=0) <= capacity and (fill > 0).all()
+
+
+def test_special_token_is_one_id():
+    text = f"a {packing.SPECIAL} b"
+    assert list(packing.token_ids(text)) == [*packing._full(packing.TOKENIZER).encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_attention_gradient_and_shares():
+    rng = np.random.default_rng(0)
+    p = {n: x.astype(np.float64) for n, x in lm.start_parameters(12).items()}
+    context, target, weight = rng.integers(0, 12, (2, 2 * lm.STRIDE)), rng.integers(0, lm.CLASSES, (2, lm.STRIDE)), np.ones((2, lm.STRIDE))
+    _, g = lm.gradients(p, context, target, weight)
+    for n in p:
+        at = tuple(rng.integers(0, s) for s in p[n].shape)
+        held, step = p[n][at], 1e-5
+        p[n][at] = held + step
+        above = lm.gradients(p, context, target, weight)[0]
+        p[n][at] = held - step
+        below = lm.gradients(p, context, target, weight)[0]
+        p[n][at] = held
+        assert (above - below) / (2 * step) == pytest.approx(g[n][at], abs=1e-6)
+    small = {n: x.astype(np.float32) for n, x in p.items()}
+    assert np.allclose(lm.forward(small, context, lm.projections(small))["classes"], lm.class_scores(small, context, lm.scoring_tables(small)), atol=1e-4)
+    # the future does not reach a prediction
+    changed = context.copy()
+    changed[:, -1] = (changed[:, -1] + 1) % 12
+    a, b = (lm.class_scores(small, c, lm.scoring_tables(small)).reshape(2, lm.STRIDE, -1) for c in (context, changed))
+    assert np.array_equal(a, b)
+
+
+def test_language_model(odd, none):
+    found = lm.score(odd, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, steps=3).collect()
+    assert len(found) == len(_rows()) and all(r.score < 0 and r.base_score < 0 for r in found)
+    assert {r.n_tokens for r in found if r.doc_id in (0, 1, 2)} == {1}
+    same = [r for r in found if r.doc_id == 6]
+    assert len(same) == 2 and len({(r.score, r.base_score, r.n_known) for r in same}) == 1
+    assert lm.score(none, F.lit(False), steps=1).count() == 0
+
+
+def _without_repeats(rows):
+    words = [(t or "").split() for _, t in rows]
+    keys = [10**18 if k is None else k for k, _ in rows]
+    first = {}
+    for k, w in zip(keys, words, strict=True):
+        for p in range(len(w) - 12):
+            gram = tuple(w[p : p + 13])
+            first[gram] = min(first.get(gram, 10**19), k)
+    out = []
+    for (key, _), k, w in zip(rows, keys, words, strict=True):
+        gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < k for q in range(p, p + 13)}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((key, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("bits", [40, 6])
+def test_substrings(spark, odd, bits):
+    """With 6 bits nearly all edges collide, so every removal rests on the verified source coordinates."""
+    random.seed(1)
+    base = [[f"{random.choice('abcdefgh')}{random.randrange(40)}" for _ in range(60)] for _ in range(10)]
+    rows = [(r[0], r[1]) for r in _rows()]
+    for i in range(120):
+        words = []
+        for _ in range(random.randrange(4)):
+            b, a = random.choice(base), random.randrange(50)
+            words += b[a : a + random.randrange(40)] + [str(random.random())] * random.randrange(2)
+        rows.append((random.choice([i, i // 2, None]), random.choice([" ", "\n", "  "]).join(words)))
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=True, edge_bits=bits).collect()
+    assert sorted([tuple(r) for r in found], key=repr) == _without_repeats(rows)
+
+
+def test_substrings_keep_columns(odd, none):
+    found = substrings.remove_repeats(odd)
+    assert found.columns == [c for c in odd.columns if c != "n_words"] + ["n_words", "n_removed"]
+    texts = {r.doc_id: r.text for r in found.collect()}
+    assert texts[7] == "" and texts[2] == "   \n\t " and texts[0] is None and texts[9] == LONG
+    assert substrings.remove_repeats(none).count() == 0
+
+
+def test_sharding(odd, none):
+    found = sharding.interleave(odd).collect()
+    sizes = np.bincount([r.shard for r in found], minlength=8)
+    assert len(found) == len(_rows()) and sizes.max() - sizes.min() <= 1
+    for s in range(8):
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sizes[s]))
+    assert {r["size"] for r in found if r.doc_id == 0} == {1} and sharding.interleave(none).count() == 0
+
+
+def test_shards_match_the_mixture(spark):
+    df = spark.range(4_000).selectExpr("id as doc_id", "'x' as text", "case when id % 3 = 0 then 'hot' else concat('s', id % 7) end as source")
+    found = sharding.interleave(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source", "shard").count().collect()
+    by_source = {}
+    for r in found:
+        by_source.setdefault(r.source, []).append(r["count"])
+    assert all(len(c) == 8 and max(c) - min(c) <= 2 for c in by_source.values())
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for _ in range(12):
+        centre = rng.normal(size=16)
+        rows += [(centre + rng.normal(size=16) * rng.choice([0, 0.02, 0.15, 0.2])).astype(np.float32).tolist() for _ in range(rng.integers(1, 40))]
+    rows += [rows[0]] * 25
+    rows = [(int(i), v, int(rng.integers(0, 2)), "clash") for i, v in enumerate(rows)] + [(rows_id, v, 0, None) for rows_id, v in ((5_000, None), (5_001, []), (5_002, [0.0] * 16), (5_003, [float("nan")] * 16), (5_004, [None] * 16), (5_005, [1.0, 2.0]))]
+    rows += [(None, rows[0][1], 0, None), (6_000, rows[0][1], None, None), (3, rows[3][1], rows[3][2], None)]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n_links string")).collect()
+
+    def sound(r):
+        return r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])
+
+    links = []
+    for i, a in enumerate(rows):
+        near = []
+        for j, b in enumerate(rows):
+            if i != j and sound(a) and sound(b) and a[2] == b[2] and len(a[1]) == len(b[1]):
+                x, y = np.array(a[1], float), np.array(b[1], float)
+                if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
+                    near.append(j)
+        links.append(near)
+    want = []
+    for i, r in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += [j for j in links[todo.pop()] if j not in seen and not seen.add(j)]
+        keys = [rows[j][0] for j in seen if rows[j][0] is not None]
+        least = min(keys) if keys else None
+        want.append((r[0], len(links[i]), least, r[0] is not None and r[0] == least))
+    assert sorted([tuple(r) for r in found], key=repr) == sorted(want, key=repr)
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -28,7 +28,8 @@ from weekspan.llm.textbatch import ALNUM, Words, batch_column, slices, with_colu
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
 FILTER_BITS = 22
-REPORT, SPANS, DOCUMENTS = "report", "spans", "documents"
+SPANS, DOCUMENTS = "spans", "documents"
+FOUND = ("n_words", "hit_words", "items")
 
 
 class Index:
@@ -83,28 +84,27 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[str,
     return [[(r.item, r.text) for r in rows.filter(block == b).collect()] for b in range(count)]
 
 
-def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", kept: list[str] | None = None) -> DataFrame:
+def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", kept: list[str] | None = None, names: tuple[str, str, str] = FOUND) -> DataFrame:
     """``kept`` columns with n_words, hit_words (positions of hit words) and items (sorted ids of items that occur)."""
-    names = ["n_words", "hit_words", "items"]
     kept = [c for c in (df.columns if kept is None else kept) if c not in names]
     carried = kept if text in kept else [*kept, text]
     out = df.select(*[F.col(f"`{c}`") for c in carried])
-    added = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
+    added = [T.StructField(n, kind) for n, kind in zip(names, (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())), strict=True)]
     blocks = _blocks(benchmark, item, item_text)
     for i, block in enumerate(blocks):
         index = df.sparkSession.sparkContext.broadcast(Index(block))
         columns = kept if i == len(blocks) - 1 else carried
         schema = T.StructType([*[out.schema[c] for c in columns], *added])
-        out = out.mapInArrow(_pass(index, text, columns, i > 0), schema)
+        out = out.mapInArrow(_pass(index, text, columns, names, i > 0), schema)
     return out
 
 
-def _pass(index, text: str, kept: list[str], earlier: bool):
+def _pass(index, text: str, kept: list[str], names: tuple[str, str, str], earlier: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words = np.zeros(batch.num_rows, np.int64)
-            hit_words: list = batch_column(batch, "hit_words").to_pylist() if earlier else [[]] * batch.num_rows
-            items: list = batch_column(batch, "items").to_pylist() if earlier else [[]] * batch.num_rows
+            hit_words: list = batch_column(batch, names[1]).to_pylist() if earlier else [[]] * batch.num_rows
+            items: list = batch_column(batch, names[2]).to_pylist() if earlier else [[]] * batch.num_rows
             for first, last, texts in slices(batch_column(batch, text)):
                 words = texts.lower().words(ALNUM)
                 n_words[first:last] = words.counts()
@@ -117,23 +117,25 @@ def _pass(index, text: str, kept: list[str], earlier: bool):
                 for d in covered:
                     hit_words[first + d] = sorted(covered[d].union(hit_words[first + d]))
                     items[first + d] = sorted(found[d].union(items[first + d]))
-            yield with_columns(batch, kept, {"n_words": pa.array(n_words), "hit_words": pa.array(hit_words, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))})
+            found_arrays = (pa.array(n_words), pa.array(hit_words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())))
+            yield with_columns(batch, kept, dict(zip(names, found_arrays, strict=True)))
 
     return run
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, remove: str = DOCUMENTS, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``df`` without contaminated documents, or with the hit spans cut out of their texts, columns unchanged."""
-    if remove == DOCUMENTS:
-        return scan(df, benchmark, text, item, item_text).filter(F.size("items") == 0).select(*[f"`{c}`" for c in df.columns])
-    if remove != SPANS:
+    if remove not in (SPANS, DOCUMENTS):
         raise ValueError(f"remove must be {SPANS} or {DOCUMENTS}")
-    found = scan(df, benchmark, text, item, item_text)
+    columns, names = df.columns, ("_n_words", "_hit_words", "_items")
+    found = scan(df, benchmark, text, item, item_text, names=names)
+    if remove == DOCUMENTS:
+        return found.filter(F.size("_items") == 0).select(*[F.col(f"`{c}`") for c in columns])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts_out = batch_column(batch, text).to_pylist()
-            hit = batch_column(batch, "hit_words").to_pylist()
+            hit = batch_column(batch, "_hit_words").to_pylist()
             for first, last, texts in slices(batch_column(batch, text)):
                 words = texts.lower().words(ALNUM)
                 for d in range(last - first):
@@ -141,9 +143,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, remove: str = DOCUMENTS,
                         texts_out[first + d] = _without(texts.document(d), words, d, np.array(hit[first + d]), int(texts.bounds[d]))
             place = batch.schema.get_field_index(text)
             batch = batch.set_column(place, batch.schema.field(place), pa.array(texts_out, pa.string()))
-            yield batch.select(df.columns)
+            yield batch.select(columns)
 
-    return found.mapInArrow(cut, T.StructType([found.schema[c] for c in df.columns]))
+    return found.mapInArrow(cut, T.StructType([found.schema[c] for c in columns]))
 
 
 def _without(body: bytes, words: Words, d: int, hit: np.ndarray, origin: int) -> str:
