@@ -240,3 +240,51 @@ def test_duckdb_draws_equal_ours(spark):
     ours = [r[0] for r in spark.range(50).select(uniform("id", "s")).collect()]
     sql = "select cast('0x' || substr(md5(i || '|s'), 1, 8) as bigint) / 4294967296.0::double from range(50) t(i)"
     assert ours == [r[0] for r in duckdb.connect().execute(sql).fetchall()]
+
+
+def test_thresholds_in_any_order(spark):
+    df = spark.createDataFrame([(1, 0.5), (0, 0.4), (1, 0.95), (0, 0.1)], "y_true int, y_prob double")
+    ordered = {r["threshold"]: (r["tp"], r["fp"]) for r in E.threshold_sweep(df, thresholds=[0.1, 0.45, 0.9]).collect()}
+    mixed = E.threshold_sweep(df, thresholds=[0.9, 0.1, 0.45]).orderBy("position").collect()
+    assert [r["threshold"] for r in mixed] == [0.9, 0.1, 0.45]
+    assert {r["threshold"]: (r["tp"], r["fp"]) for r in mixed} == ordered == {0.1: (2, 1), 0.45: (2, 0), 0.9: (1, 0)}
+
+
+def test_false_in_any_case(spark):
+    from weekspan.functions.scalars import truthy
+
+    df = spark.createDataFrame([("FALSE",), ("False",), ("false",), ("",), (None,), ("TRUE",), ("yes",)], "v string")
+    assert [r[0] for r in df.select(truthy("v")).collect()] == [False] * 5 + [True] * 2
+
+
+def test_quota_levels():
+    """One by one to the smallest, or from the largest, equals the closed form."""
+    for counts, size in (({0: 1, 1: 1, 2: 1, 3: 997}, 3), ({0: 5, 1: 9, 2: 300}, 100), ({0: 2, 1: 2, 2: 2}, 5), ({c: c + 1 for c in range(30)}, 40)):
+        want = {c: max(1, n * size // sum(counts.values())) for c, n in counts.items()}
+        while sum(want.values()) > size:
+            want[max(sorted(want), key=want.get)] -= 1
+        while sum(want.values()) < size:
+            want[min(sorted(want), key=want.get)] += 1
+        assert P.floor_quota(counts, size) == want
+
+
+def test_silhouette_covers_every_row(spark):
+    """More rows than the former cap, against all pairs."""
+    import numpy as np
+
+    from weekspan.operators import clusters as C
+
+    rng = np.random.default_rng(0)
+    points = np.concatenate([rng.normal(size=(300, 3)), rng.normal(size=(150, 3)) + 2, [[9.0, 9.0, 9.0]]])
+    labels = [0] * 300 + [1] * 150 + [2]
+    df = spark.createDataFrame([(i, c, p.tolist()) for i, (c, p) in enumerate(zip(labels, points))], "id long, cluster int, vector array<double>")
+    got = {r["id"]: r["silhouette"] for r in C.silhouette_rows(df, "id", "cluster").collect()}
+    squared = ((points[:, None, :] - points[None, :, :]) ** 2).sum(2)
+    member = np.array(labels)
+    for i in range(0, len(points), 37):
+        inner = squared[i, member == member[i]].sum() / max((member == member[i]).sum() - 1, 1)
+        outer = min(squared[i, member == c].mean() for c in set(labels) if c != member[i])
+        assert math.isclose(got[i], (outer - inner) / max(outer, inner), abs_tol=1e-9)
+    assert got[450] == 0.0
+    many = spark.range(6_001).selectExpr("id", "cast(id % 3 as int) as cluster", "array(cast(id % 7 as double), cast(id % 3 as double)) as vector")
+    assert C.silhouette_rows(many, "id", "cluster").count() == 6_001

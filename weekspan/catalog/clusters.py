@@ -57,7 +57,7 @@ def epsilon_graph(spark, folder):
 @query(
     "silhouette_exact",
     "vec_id:i label:i silhouette:d",
-    """with d as (select a.vec_id, a.label, b.label as other, sum(list_distance(a.v, b.v)) as total, count(*) as n
+    """with d as (select a.vec_id, a.label, b.label as other, sum(power(list_distance(a.v, b.v), 2)) as total, count(*) as n
                   from vecs a cross join vecs b group by all),
             s as (select vec_id, label, max(case when other = label then total / nullif(n - 1, 0) end) as inner_d, max(case when other = label then n end) as own,
                          min(case when other <> label then total / n end) as outer_d from d group by all)
@@ -65,7 +65,7 @@ def epsilon_graph(spark, folder):
     "vecs",
 )
 def silhouette_exact(spark, folder):
-    """Every vector up to the sample size of 5,000; the label is the partition."""
+    """Every vector; the label is the partition. The oracle sums all squared distances."""
     return C.silhouette_rows(vectors(spark, folder), "vec_id", "label")
 
 
@@ -100,12 +100,12 @@ def kmeans_trajectories(spark, folder):
     weeks = durable(stage2(spark, folder).filter("is_dropout_point is not null").select("user_id", "relative_week", "is_dropout_point", *BEHAVIOUR_FEATURES))
     scaled, _ = sampling.impute_scale(weeks, BEHAVIOUR_FEATURES)
     df = Q.trajectory_sequences(scaled, BEHAVIOUR_FEATURES, 12)
-    sample = durable(sampling.stratified_subsample(df, ["user_id", "end_week"], "is_dropout_point", 7500))
+    df = durable(df)
     n = len(BEHAVIOUR_FEATURES)
     shapes = {
-        "pooled": C.pooled_vector(sample, n),
-        "shape": C.shape_vector(sample, n),
-        "raw": sample.withColumn("vector", F.flatten("seq")),
+        "pooled": C.pooled_vector(df, n),
+        "shape": C.shape_vector(df, n),
+        "raw": df.withColumn("vector", F.flatten("seq")),
     }
     out = None
     for name, view in shapes.items():

@@ -22,6 +22,10 @@ def short_logs(spark, folder):
     return timeline.clean_logs(star.short_view(spark, folder))
 
 
+def short_cleaned(spark, folder):
+    return timeline.cleaned_logs(star.short_view(spark, folder))
+
+
 def long_logs(spark, folder):
     return timeline.clean_logs(star.long_view(spark, folder))
 
@@ -123,7 +127,7 @@ def load_assignments(spark, folder):
     "lx_user_events",
 )
 def sink_roundtrip(spark, folder):
-    df = features.user_event_summary(short_logs(spark, folder).events)
+    df = features.user_event_summary(short_cleaned(spark, folder).events)
     out = None
     for suffix in ("parquet", "csv.gz"):
         path = logs_io.export_tables({"summary": df}, scratch_path(spark, "out"), f".{suffix}")["summary"]
@@ -410,7 +414,7 @@ def school_type_category(spark, folder):
     "lx_user_events",
 )
 def user_event_summary(spark, folder):
-    return features.user_event_summary(short_logs(spark, folder).events)
+    return features.user_event_summary(short_cleaned(spark, folder).events)
 
 
 @query(
@@ -421,7 +425,7 @@ def user_event_summary(spark, folder):
     "lx_user_tx",
 )
 def user_tx_summary(spark, folder):
-    return features.user_transaction_summary(short_logs(spark, folder).transactions)
+    return features.user_transaction_summary(short_cleaned(spark, folder).transactions)
 
 
 @query(
@@ -476,7 +480,7 @@ SUMMARY_COLUMNS = (
 
 
 def short_summary(spark, folder):
-    logs = short_logs(spark, folder)
+    logs = short_cleaned(spark, folder)
     return features.user_summary(logs.users, logs.events, logs.transactions, ACTIONS, TYPES)
 
 

@@ -146,7 +146,7 @@ def evaluation_summary(spark, folder):
     _, ablation = leave_out(spark, folder)
     sequences = X.sequence_splits(weeks(spark, folder), COLUMNS, L)
     model = trees(sequences.train, sequences.validation)
-    flat = M.permutation_importance(model, sequences.test, X.KEYS, flat_names(COLUMNS, L), repeats=2, sample=2000)
+    flat = M.permutation_importance(model, sequences.test, X.KEYS, flat_names(COLUMNS, L))
     return M.evaluation_summary(ablation, E.roll_up_importance(flat, original_feature(F.col("flat_feature"))))
 
 

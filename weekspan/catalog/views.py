@@ -260,7 +260,7 @@ from {v}_spine s left join {v}_weekly w using (user_id, relative_week) join {v}_
     cte(
         f"{v}_labels",
         f"""
-select a.user_id, a.idx, a.is_active,
+select a.user_id, a.idx, a.week_start, a.is_active,
        case when a.idx + 4 >= a.n_weeks then null
             when a.is_active_1 + a.is_active_2 + a.is_active_3 + a.is_active_4 > 0 then 0
             when (week_start + to_days(7) <= make_timestamp(year(week_start + to_days(7)), 8, 31, 0, 0, 0)

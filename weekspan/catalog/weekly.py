@@ -142,8 +142,8 @@ def week_dates(spark, folder):
 @query(
     "dropout_labels",
     f"{KEYS} week_start:t is_active:i is_dropout_point:i",
-    "select user_id, idx as relative_week, week_start, l.is_active, is_dropout_point from ll_labels l join ll_activity using (user_id, idx)",
-    "ll_labels ll_activity",
+    "select user_id, idx as relative_week, week_start, is_active, is_dropout_point from ll_labels",
+    "ll_labels",
 )
 def dropout_labels(spark, folder):
     """Every learner-week of the long view."""

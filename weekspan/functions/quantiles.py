@@ -21,7 +21,7 @@ def _brackets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bounds
             inside = F.when(F.col(c).between(low, high), F.col(c).cast("double"))
             # target position inside the bracket, as a share of the rows it holds
             share = bounds[c, i]["share"]
-            margin = 3 / accuracy
+            margin = bounds[c, i]["margin"] / accuracy
             ends = F.array(F.lit(max(share - margin, 0.0)), F.lit(min(share + margin, 1.0)))
             picks.append(F.percentile_approx(inside, ends, F.lit(accuracy)).alias(f"{c}|{i}"))
     row = df.agg(*picks).first()
@@ -54,7 +54,7 @@ def exact_quantiles(
         for i, p in enumerate(probs):
             position = p * (sizes[n] - 1)
             targets[n, i] = (math.floor(position), math.ceil(position))
-            bounds[n, i] = {"range": (row[f"lo{n}"], row[f"hi{n}"]), "share": p, "below": 0, "wide": None}
+            bounds[n, i] = {"range": (row[f"lo{n}"], row[f"hi{n}"]), "share": p, "margin": 3.0}
             bounds[n, i]["distinct"] = row[f"d{n}"]
 
     while True:
@@ -83,7 +83,9 @@ def exact_quantiles(
                     share=middle / max(within - 1, 1),
                     distinct=found[f"d{n}|{i}"],
                 )
-            else:  # cannot be narrowed further: order what is left
+            elif not holds and bounds[n, i]["margin"] < accuracy:  # the approximation was off: look in a wider bracket
+                bounds[n, i]["margin"] *= 4
+            else:  # no bracket is shorter than this one: order what is left
                 bounds[n, i]["distinct"] = 0
 
     result = {c: [None] * len(probs) for c in cols}

@@ -39,9 +39,9 @@ def parse_timestamp(c: str | Column) -> Column:
 
 
 def truthy(c: str | Column) -> Column:
-    """'False' and null are false, everything else is true."""
-    text = col(c).cast("string")
-    return F.when(text.isNull() | text.isin("False", "false", ""), F.lit(False)).otherwise(F.lit(True))
+    """'False' in any case, the empty text and null are false, everything else is true."""
+    text = F.lower(col(c).cast("string"))
+    return F.when(text.isNull() | text.isin("false", ""), F.lit(False)).otherwise(F.lit(True))
 
 
 def safe_divide(numerator: str | Column, denominator: str | Column) -> Column:

@@ -11,18 +11,18 @@ ROWS_PER_TASK = 5_000_000
 
 
 def attach(
-    big: DataFrame, lookup: DataFrame, key: str, spread: Sequence[str], rows_per_task: int = ROWS_PER_TASK
+    big: DataFrame, lookup: DataFrame, key: str, spread: Sequence[str], rows_per_task: int = ROWS_PER_TASK, sizes: DataFrame | None = None
 ) -> DataFrame:
     """Left join of a one-row-per-key ``lookup`` onto ``big``.
 
     Keys with more than ``rows_per_task`` rows are cut into that many slices by a hash of the ``spread`` columns and
     their lookup row is copied once per slice. The list of such keys is broadcast: it cannot hold more than
-    rows / rows_per_task entries. Without hot keys the plan is an ordinary join on the key.
+    rows / rows_per_task entries. Without hot keys the plan is an ordinary join on the key. ``sizes`` holds the number
+    of rows ``_n`` of every key where that is known already; else ``big`` is counted in a pass of its own.
     """
+    sizes = sizes if sizes is not None else big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = (
-        big.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter((F.col("_n") > rows_per_task) & F.col(key).isNotNull())
+        sizes.filter((F.col("_n") > rows_per_task) & F.col(key).isNotNull())
         .select(key, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_slices"))
     )
     slices = F.coalesce(F.col("_slices"), F.lit(1))

@@ -38,9 +38,10 @@ from weekspan.llm.textbatch import NOT_SPACE, Words, batch_column, buckets_for,
 from weekspan.session import durable
 
 WINDOW = 13
-EDGES = 1_500_000
+EDGES = 1_000_000
 WORD_BYTES = 6  # bytes of text taken for a word when buckets are counted
-DOCUMENT_BYTES = 16_000_000
+DOCUMENT_BYTES = 8_000_000
+NAMED_DOCUMENTS = 500_000  # keys of so many documents may be broadcast
 LEAST_BUCKETS = 48
 EDGE_BYTES = 5
 LAST_KEY = (1 << 63) - 1
@@ -260,8 +261,9 @@ def _release() -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps, whose rows are stored by now."""
     from pyspark.sql import SparkSession
 
-    gc.collect()
-    SparkSession.active().sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def _failed(found: DataFrame, documents: DataFrame, text: str) -> DataFrame | None:
@@ -274,8 +276,11 @@ def _failed(found: DataFrame, documents: DataFrame, text: str) -> DataFrame | No
     if alone.isEmpty():
         return None
     involved = path.join(alone.select("colour").distinct(), "colour", "left_semi")
-    places = involved.groupBy(KEY, ROW).agg(F.collect_list(F.struct("start", "n", "later")).alias("_places"))
-    joined = documents.select(KEY, ROW, text).join(places, [KEY, ROW])
+    places = durable(involved.groupBy(KEY, ROW).agg(F.collect_list(F.struct("start", "n", "later")).alias("_places")))
+    rows = documents.select(KEY, ROW, text)
+    if places.count() <= NAMED_DOCUMENTS:  # else all texts are shuffled
+        rows = rows.join(F.broadcast(places.select(ROW).distinct()), ROW, "left_semi")
+    joined = rows.join(places, [KEY, ROW])
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +299,7 @@ def _failed(found: DataFrame, documents: DataFrame, text: str) -> DataFrame | No
                             body = data[begin[p] : begin[p + WINDOW - 1] + sizes[p + WINDOW - 1]]
                             whole = int(hashes[np.searchsorted(where, p)].view(np.int64))
                             out.append((keys[first + d], rows[first + d], whole, hashlib.blake2b(body, digest_size=16).digest(), x["later"]))
-                        if len(out) > 100_000:
+                        if len(out) > 20_000:
                             yield _apart_batch(out)
                             out = []
                 if out:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 MASK = (1 << 64) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 

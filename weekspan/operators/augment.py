@@ -20,7 +20,6 @@ from weekspan.functions.quantiles import exact_medians
 from weekspan.operators.sampling import SEED, class_counts, stratified_cap
 
 BETA_ATTEMPTS = 12
-MAX_BROADCAST_BYTES = 2 * 1024**3
 
 
 def _pick(keys: Sequence[str | Column], seed: str, n: Column) -> Column:
@@ -147,10 +146,6 @@ def nearest_rows(df: DataFrame, k: int, values: str = "x", rank: str = "rank") -
 
     The rows are broadcast once and every task compares its own share against them block by block.
     """
-    size = df.count()
-    width = len(df.select(values).first()[0])
-    if size * width * 8 > MAX_BROADCAST_BYTES:
-        raise ValueError(f"{size} rows of {width} values are too many to broadcast; lower the sample cap")
     local = df.select(rank, values).toPandas().sort_values(rank)
     matrix = np.stack(local[values].to_numpy())
     ranks = local[rank].to_numpy()

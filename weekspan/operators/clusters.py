@@ -1,7 +1,7 @@
 """Clustering of vectors and trajectories, its diagnostics, and descriptive tables of the clusters.
 
-Nothing here builds an all-pairs matrix. Similarities are taken to a bounded number of landmark rows, which are
-broadcast; exact silhouettes are computed on a sample of bounded size.
+Nothing here builds an all-pairs matrix. Similarities are taken to a chosen number of landmark rows, which are
+broadcast, so the graphs are landmark graphs; silhouettes need only the sums of each cluster and cover every row.
 """
 
 from __future__ import annotations
@@ -18,12 +18,9 @@ from pyspark.sql import functions as F
 
 from weekspan.functions.arrays import flatten_sequence, l2_normalize, mean_over_time
 from weekspan.functions.hashing import hash32
-from weekspan.functions.skew import attach
 from weekspan.operators.profile import unpivot
 from weekspan.operators.sampling import SEED, fit_scaler, hash_sample
 
-MAX_LANDMARKS = 500
-SILHOUETTE_SAMPLE = 5_000
 EDGE_SIMILARITY = 0.5
 
 
@@ -44,9 +41,7 @@ def shape_vector(df: DataFrame, features: int, out: str = "vector") -> DataFrame
 
 
 def landmarks(df: DataFrame, key: str, count: int, values: str = "vector", seed=SEED) -> tuple[np.ndarray, np.ndarray]:
-    """``count`` rows drawn by hashed key: their keys and a matrix. The count is limited, so both are small."""
-    if count > MAX_LANDMARKS:
-        raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
+    """``count`` rows drawn by hashed key: their keys and a matrix. ``count`` rows are sent to the driver and all tasks."""
     rows = hash_sample(df.select(key, values), key, count, seed).orderBy(hash32(key, seed), key).collect()
     return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
 
@@ -196,57 +191,60 @@ def run_spectral(df: DataFrame, key: str, k: int, restarts: int = 10, seed: int
 # --- diagnostics ---------------------------------------------------------------------------------------------------
 
 
-def silhouette_rows(df: DataFrame, key: str, cluster: str, values: str = "vector", size: int = SILHOUETTE_SAMPLE, seed=SEED):
-    """Exact Euclidean silhouette of every row of a hashed sample of at most ``size`` rows."""
-    sample = hash_sample(df.select(key, cluster, values).filter(F.col(cluster).isNotNull()), key, size, seed).persist()
-    local = sample.toPandas()
-    labels, codes = np.unique(local[cluster].to_numpy(), return_inverse=True)
-    points = np.stack(local[values].to_numpy()).astype(float) if len(local) else np.zeros((0, 1))
-    member = np.eye(len(labels))[codes] if len(local) else np.zeros((0, 0))
-    shared = df.sparkSession.sparkContext.broadcast((points, labels, member, member.sum(axis=0)))
+def silhouette_rows(df: DataFrame, key: str, cluster: str, values: str = "vector") -> DataFrame:
+    """Silhouette of every clustered row by squared Euclidean distance.
+
+    The mean squared distance of a row x to a cluster of n rows with sum S and sum of squared norms Q is
+    |x|^2 - 2 x.S / n + Q / n, so one aggregation per cluster and one pass over the rows are exact. A row alone in its
+    cluster has 0, and so has every row where there is a single cluster.
+    """
+    rows = df.select(key, cluster, values).filter(F.col(cluster).isNotNull())
+    summed = rows.select(cluster, array_to_vector(F.col(values).cast("array<double>")).alias("v"), F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x).alias("q"))
+    totals = summed.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("v")).alias("s"), F.sum("q").alias("q"))
+    found = sorted(totals.collect(), key=lambda r: str(r[0]))  # one row per cluster
+    place = {r[0]: i for i, r in enumerate(found)}
+    n = np.array([r["n"] for r in found], dtype=float)
+    s = np.array([r["s"].toArray() for r in found]).reshape(len(found), -1)
+    q = np.array([r["q"] for r in found], dtype=float)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_points, names, one_hot, sizes = shared.value
         for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.iloc[start : start + 512]
-                block = np.stack(part[values].to_numpy()).astype(float)
-                lengths = (block**2).sum(axis=1)[:, None] + (all_points**2).sum(axis=1)[None, :]
-                squared = lengths - 2 * block @ all_points.T
-                squared[squared < 1e-13 * lengths] = 0.0  # equal points up to rounding, such as a row and itself
-                totals = np.sqrt(squared) @ one_hot
-                own = np.searchsorted(names, part[cluster].to_numpy())
-                rows = np.arange(len(part))
-                alone = sizes[own] <= 1
-                inner = totals[rows, own] / np.maximum(sizes[own] - 1, 1)
-                other = totals / sizes[None, :]
-                other[rows, own] = np.inf
-                nearest = other.min(axis=1)
-                top = np.maximum(inner, nearest)
-                value = np.where(alone | (top == 0) | ~np.isfinite(top), 0.0, (nearest - inner) / np.where(top == 0, 1, top))
-                yield pd.DataFrame({key: part[key], cluster: part[cluster], "silhouette": value})
+            if not len(batch):
+                continue
+            block = np.stack(batch[values].to_numpy()).astype(float)
+            own = batch[cluster].map(place).to_numpy()
+            at = np.arange(len(batch))
+            lengths = (block**2).sum(axis=1)[:, None]
+            totals = np.maximum(lengths * n - 2 * block @ s.T + q, 0.0)
+            totals[totals < 1e-12 * (lengths * n + q)] = 0.0  # equal points up to rounding
+            inner = totals[at, own] / np.maximum(n[own] - 1, 1)
+            other = totals / n
+            other[at, own] = np.inf
+            nearest = other.min(axis=1)
+            top = np.maximum(inner, nearest)
+            plain = (n[own] <= 1) | (top == 0) | ~np.isfinite(top)
+            value = np.where(plain, 0.0, (nearest - inner) / np.where(plain, 1.0, top))
+            yield pd.DataFrame({key: batch[key], cluster: batch[cluster], "silhouette": value})
 
     cluster_type = df.schema[cluster].dataType.simpleString()
-    return sample.mapInPandas(score, f"{key} long, {cluster} {cluster_type}, silhouette double")
+    return rows.mapInPandas(score, f"{key} {df.schema[key].dataType.simpleString()}, {cluster} {cluster_type}, silhouette double")
 
 
 def silhouette(df: DataFrame, key: str, cluster: str, **options) -> float:
     return silhouette_rows(df, key, cluster, **options).agg(F.avg("silhouette")).first()[0]
 
 
-def kmeans_k_sweep(
-    df: DataFrame, key: str, ks: Sequence[int], values: str = "vector", restarts: int = 10, sample: int = SILHOUETTE_SAMPLE
-) -> DataFrame:
-    """Silhouette (sampled) and cost per number of clusters, best first."""
+def kmeans_k_sweep(df: DataFrame, key: str, ks: Sequence[int], values: str = "vector", restarts: int = 10) -> DataFrame:
+    """Silhouette and cost per number of clusters, best first."""
     rows = []
     for k in ks:
         labelled, cost = run_kmeans(df, k, values, restarts)
-        rows.append((k, float(silhouette(labelled, key, "cluster", values=values, size=sample)), float(cost)))
+        rows.append((k, float(silhouette(labelled, key, "cluster", values=values)), float(cost)))
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double").orderBy(F.desc("silhouette"))
 
 
 def spectral_k_diagnostics(
-    df: DataFrame, key: str, ks: Sequence[int], restarts: int = 10, sample: int = SILHOUETTE_SAMPLE, seed: int = SEED, **options
+    df: DataFrame, key: str, ks: Sequence[int], restarts: int = 10, seed: int = SEED, **options
 ) -> DataFrame:
     """Silhouette on the embedding per k, with the Laplacian eigenvalue and gap at that position."""
     embedded, eigenvalues = spectral_embedding(df, key, max(ks) + 1, seed=seed, **options)
@@ -255,7 +253,7 @@ def spectral_k_diagnostics(
     for k in ks:
         view = embedded.select(key, F.slice("embedding", 1, k).alias("embedding"))
         labelled, _ = run_kmeans(view, k, "embedding", restarts, seed)
-        score = float(silhouette(labelled, key, "cluster", values="embedding", size=sample))
+        score = float(silhouette(labelled, key, "cluster", values="embedding"))
         gap = float(eigenvalues[k] - eigenvalues[k - 1]) if k < len(eigenvalues) else None
         rows.append((k, score, float(eigenvalues[k - 1]), gap))
     embedded.unpersist()
@@ -439,7 +437,7 @@ def shape_summary(
 
 def attach_groups(df: DataFrame, demographics: DataFrame, groups: Sequence[str], keep_unknown: bool = True) -> DataFrame:
     """Join group columns to trajectories; users without demographics are Unknown, or dropped."""
-    joined = attach(df, demographics.withColumn("_found", F.lit(1)), "user_id", ["end_week"])
+    joined = df.join(demographics.withColumn("_found", F.lit(1)), "user_id", "left")
     if not keep_unknown:
         return joined.filter(F.col("_found").isNotNull()).drop("_found")
     return joined.fillna("Unknown", subset=list(groups)).drop("_found")

@@ -47,7 +47,8 @@ def threshold_sweep(
 ) -> DataFrame:
     """tp, fp, fn, tn, F1, precision and recall at every threshold (``prob > t``, or ``>=`` if not strict).
 
-    Each row is reduced to the number of thresholds it passes, so the table is read once whatever the grid.
+    Each row is reduced to the number of thresholds it passes, so the table is read once whatever the grid. The
+    thresholds may come in any order: a row that passes n of them passes those of the n lowest ranks.
     """
     operator = ">" if strict else ">="
     passed = " + ".join(f"cast({prob} {operator} {t!r}D as int)" for t in thresholds)
@@ -59,15 +60,18 @@ def threshold_sweep(
     per_group = counts.groupBy(*by).agg(
         F.collect_list(F.struct("_passed", "pos", "neg")).alias("_h"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")
     )
-    points = F.array(*[F.lit(float(t)) for t in thresholds])
+    rank = {p: r for r, p in enumerate(sorted(range(len(thresholds)), key=lambda p: thresholds[p]))}
+    points = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(rank[p]).alias("rank")) for p, t in enumerate(thresholds)])
 
     def above(field: str) -> Column:
-        return F.expr(f"aggregate(filter(_h, x -> x._passed > position), 0L, (a, x) -> a + x.{field})")
+        return F.expr(f"aggregate(filter(_h, x -> x._passed > point.rank), 0L, (a, x) -> a + x.{field})")
 
     tp, fp = F.col("tp"), F.col("fp")
     return (
-        per_group.select(*by, "_h", "_p", "_n", F.posexplode(points).alias("position", "threshold"))
+        per_group.select(*by, "_h", "_p", "_n", F.posexplode(points).alias("position", "point"))
         .withColumns({"tp": above("pos"), "fp": above("neg")})
+        .withColumn("threshold", F.col("point.threshold"))
+        .drop("point")
         .withColumns({"fn": F.col("_p") - tp, "tn": F.col("_n") - fp})
         .withColumns(
             {

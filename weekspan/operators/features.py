@@ -190,15 +190,19 @@ def stage1_behavioral(events: DataFrame, transactions: DataFrame) -> DataFrame:
 # --- whole-history user summary ------------------------------------------------------------------------------------
 
 
-def user_event_summary(events: DataFrame) -> DataFrame:
-    return events.groupBy("user_id").agg(
+def _user_event_measures() -> list[Column]:
+    return [
         F.count("event_id").alias("n_events"),
         F.count_distinct("date").alias("n_active_days"),
         F.count_distinct("week").alias("n_active_weeks"),
         F.min("event_date").alias("first_event"),
         F.max("event_date").alias("last_event"),
         F.avg("hour").alias("mean_event_hour"),
-    )
+    ]
+
+
+def user_event_summary(events: DataFrame) -> DataFrame:
+    return events.groupBy("user_id").agg(*_user_event_measures())
 
 
 def user_transaction_summary(transactions: DataFrame) -> DataFrame:
@@ -222,10 +226,14 @@ def categories_of(df: DataFrame, column: str) -> list[str]:
     return sorted(r["v"] for r in rows)
 
 
+def _category_counts(df: DataFrame, column: str, prefix: str, values: Sequence[str] | None) -> list[Column]:
+    values = list(values) if values is not None else categories_of(df, column)
+    return [F.count_if(F.col(column) == v).alias(f"{prefix}_{v.lower()}") for v in values]
+
+
 def prefixed_crosstab(df: DataFrame, column: str, prefix: str, values: Sequence[str] | None = None) -> DataFrame:
     """Counts per user and category as columns ``<prefix>_<category in lower case>``; null categories drop out."""
-    values = list(values) if values is not None else categories_of(df, column)
-    counts = [F.count_if(F.col(column) == v).alias(f"{prefix}_{v.lower()}") for v in values]
+    counts = _category_counts(df, column, prefix, values)
     kept = df.filter(F.col(column).isNotNull())
     return kept.groupBy("user_id").agg(*counts) if counts else kept.select("user_id").distinct()
 
@@ -237,13 +245,13 @@ def user_summary(
     actions: Sequence[str] | None = None,
     event_types: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Profile of every user with whole-history activity measures and ratios."""
-    features = (
-        users.join(user_event_summary(events), "user_id", "left")
-        .join(user_transaction_summary(transactions), "user_id", "left")
-        .join(prefixed_crosstab(events, "action", "action", actions), "user_id", "left")
-        .join(prefixed_crosstab(events, "event_type", "event_type", event_types), "user_id", "left")
-    )
+    """Profile of every user with whole-history activity measures and ratios.
+
+    One aggregation of the events gives their summary and the counts of both categories.
+    """
+    counts = [*_category_counts(events, "action", "action", actions), *_category_counts(events, "event_type", "event_type", event_types)]
+    summary = events.groupBy("user_id").agg(*_user_event_measures(), *counts)
+    features = users.join(summary, "user_id", "left").join(user_transaction_summary(transactions), "user_id", "left")
     zero = [c for c in features.columns if c.startswith(("n_", "action_", "event_type_"))]
     return features.fillna(0, subset=[*zero, "correct_rate", "partial_rate"]).withColumns(
         {

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekspan.operators import evaluate as E
-from weekspan.operators.sampling import SEED, balanced_class_weights, fit_scaler, hash_sample
+from weekspan.operators.sampling import SEED, balanced_class_weights, fit_scaler
 from weekspan.functions.ordered import hash_rank
 
 
@@ -142,13 +142,13 @@ def feature_importance(spark: SparkSession, model, columns: Sequence[str]) -> Da
 
 
 def permutation_importance(
-    model, df: DataFrame, key: Sequence[str], columns: Sequence[str], repeats: int = 3, sample: int = 10_000, seed: int = SEED
+    model, df: DataFrame, key: Sequence[str], columns: Sequence[str], repeats: int = 3, seed: int = SEED
 ) -> DataFrame:
-    """Loss of ROC-AUC when one column is shuffled among the rows of a hashed sample; mean and spread over repeats.
+    """Loss of ROC-AUC when one column is shuffled among the rows; mean and spread over repeats.
 
     Each repeat pairs every row with another row by hashed rank; one pass then scores all single-column exchanges.
     """
-    rows = hash_sample(df.select(*key, "label", vector_to_array("features").alias("x")), key, sample, seed)
+    rows = df.select(*key, "label", vector_to_array("features").alias("x"))
     home = hash_rank(rows, key, f"{seed}|home").drop("rank_of")
     pairs = None
     for r in range(repeats):

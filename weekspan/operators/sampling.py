@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from weekspan.functions.ordered import hash_rank
 from weekspan.functions.quantiles import exact_medians
-from weekspan.functions.skew import attach
 
 SEED = 42
 
@@ -33,7 +32,7 @@ def split_users(
 
 def split_by_users(df: DataFrame, spread: Sequence[str] = ("relative_week",), **options) -> DataFrame:
     """Every row tagged with its user's part; rows without a user drop out."""
-    return attach(df.filter(F.col("user_id").isNotNull()), split_users(df, **options), "user_id", spread)
+    return df.filter(F.col("user_id").isNotNull()).join(split_users(df, **options), "user_id", "left")
 
 
 def stratified_split(
@@ -109,18 +108,28 @@ def largest_remainder(counts: dict, size: int) -> dict:
     return quota
 
 
+def raised(quota: dict, amount: int) -> dict:
+    """Quotas after ``amount`` rows went, one by one, to the smallest quota: all below a common level rise to it."""
+    low, high = min(quota.values()), max(quota.values()) + amount
+    while low < high:  # the highest level that the amount reaches
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(max(0, middle - n) for n in quota.values()) <= amount else (low, middle - 1)
+    rest = amount - sum(max(0, low - n) for n in quota.values())
+    level = {c: max(n, low) for c, n in quota.items()}
+    extra = [c for c in sorted(level) if level[c] == low][:rest]
+    return {c: n + (c in extra) for c, n in level.items()}
+
+
 def floor_quota(counts: dict, size: int) -> dict:
     """Floors of the class shares, at least one each; surplus leaves the largest quota, shortage joins the smallest."""
     total = sum(counts.values())
     if total <= size:
         return dict(counts)
-    classes = sorted(counts)
-    quota = {c: max(1, counts[c] * size // total) for c in classes}
-    while sum(quota.values()) > size:
-        quota[max(classes, key=lambda c: quota[c])] -= 1
-    while sum(quota.values()) < size:
-        quota[min(classes, key=lambda c: quota[c])] += 1
-    return quota
+    quota = {c: max(1, n * size // total) for c, n in counts.items()}
+    missing = size - sum(quota.values())
+    if missing >= 0:
+        return raised(quota, missing)
+    return {c: -n for c, n in raised({c: -n for c, n in quota.items()}, -missing).items()}
 
 
 def take_quota(df: DataFrame, key: str | Sequence[str], label: str, quota: dict, seed: int | str = SEED) -> DataFrame:

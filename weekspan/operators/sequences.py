@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekspan.functions.arrays import drop_positions, flatten_sequence, group_curve, left_pad
-from weekspan.functions.skew import attach
 
 LABEL = "is_dropout_point"
 
@@ -106,7 +105,7 @@ def drop_features(sequences: DataFrame, cols: Sequence[str], dropped: Sequence[s
 def attach_demographics(sequences: DataFrame, demographics: DataFrame) -> DataFrame:
     """Static user columns on every sequence, 0 for unknown users; users with very many sequences are spread."""
     cols = [c for c in demographics.columns if c != "user_id"]
-    joined = attach(sequences, demographics, "user_id", ["target_week"])
+    joined = sequences.join(demographics, "user_id", "left")
     return joined.fillna(0, subset=cols)
 
 

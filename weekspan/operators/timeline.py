@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weekspan.functions.scalars import WEEK_MICROS, days_after, floor_units, micros_between
 from weekspan.functions.skew import ROWS_PER_TASK, attach
 from weekspan.operators.clean import clean_events, clean_transactions, clean_users
+from weekspan.session import durable
 from weekspan.sources.logs import Logs
 
 
@@ -24,9 +25,11 @@ def relative_week(ts: str, anchor: str = "first_activity_time"):
 def add_relative_weeks(
     events: DataFrame, transactions: DataFrame, rows_per_task: int = ROWS_PER_TASK
 ) -> tuple[DataFrame, DataFrame]:
-    anchor = first_activity(transactions)
+    """Both logs with the anchor and the week; a stored table per user gives anchors and the sizes of hot users."""
+    per_user = durable(transactions.groupBy("user_id").agg(F.min("start_time").alias("first_activity_time"), F.count(F.lit(1)).alias("_n")), "per_user")
+    anchor, sizes = per_user.drop("_n"), per_user.select("user_id", "_n")
     events = attach(events, anchor, "user_id", ["event_id", "event_date"], rows_per_task)
-    transactions = attach(transactions, anchor, "user_id", ["transaction_id", "start_time"], rows_per_task)
+    transactions = attach(transactions, anchor, "user_id", ["transaction_id", "start_time"], rows_per_task, sizes)
     return (
         events.withColumn("relative_week", relative_week("event_date")),
         transactions.withColumn("relative_week", relative_week("start_time")),
@@ -34,11 +37,19 @@ def add_relative_weeks(
 
 
 def clean_logs(raw: Logs, rows_per_task: int = ROWS_PER_TASK) -> Logs:
-    """Cleaned users, and events and transactions placed on the user's own weekly clock."""
+    """Cleaned users, and events and transactions placed on the user's own weekly clock.
+
+    Both logs are stored once placed, so whatever is computed from them reads narrow columns of the stored copy.
+    """
     events, transactions = add_relative_weeks(
         clean_events(raw.events), clean_transactions(raw.transactions), rows_per_task
     )
-    return Logs(clean_users(raw.users), events, transactions)
+    return Logs(clean_users(raw.users), durable(events, "events"), durable(transactions, "transactions"))
+
+
+def cleaned_logs(raw: Logs) -> Logs:
+    """Cleaned users, events and transactions without weeks."""
+    return Logs(clean_users(raw.users), clean_events(raw.events), clean_transactions(raw.transactions))
 
 
 def early_window(df: DataFrame, first: int = 0, last: int = 2) -> DataFrame:

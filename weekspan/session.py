@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """Session for tests and benchmarks; a cluster job brings its own."""
+    """Session for tests and benchmarks; a cluster job brings its own and has this package on its workers' path."""
+    root = str(Path(__file__).resolve().parent.parent)
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("weekspan")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weekspan.functions.scalars import DAY_MICROS, micros_between
+from weekspan.session import durable
 from weekspan.sources.logs import Logs
 
 SESSION_GAP_MICROS = DAY_MICROS // 4
@@ -48,6 +49,7 @@ def number_sessions(df: DataFrame, ts: str, tie: str, gap_micros: int) -> DataFr
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     pause = (micros_between("_before", ts) > gap_micros).cast("int")
     rows = hours.withColumn("_before", F.lag(ts).over(inside)).withColumn("_new", F.coalesce(pause, F.lit(0)))
+    rows = durable(rows.withColumn("_sum", F.sum("_new").over(upto)), "hours")  # read by the chain and by the result
     per_hour = rows.groupBy("user_id", "_hour").agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_new").alias("_inner")
     )
@@ -58,8 +60,7 @@ def number_sessions(df: DataFrame, ts: str, tie: str, gap_micros: int) -> DataFr
         "user_id", "_hour", (F.col("_opens") + F.coalesce(before, F.lit(0))).alias("_offset")
     )
     return (
-        rows.withColumn("_sum", F.sum("_new").over(upto))
-        .join(chained, ["user_id", "_hour"])
+        rows.join(chained, ["user_id", "_hour"])
         .withColumn("sid", F.col("_sum") + F.col("_offset"))
         .drop("_hour", "_before", "_new", "_sum", "_offset")
     )
