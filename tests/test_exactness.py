@@ -210,8 +210,8 @@ def test_silhouette_against_brute_force(points):
     got = {r["id"]: r["silhouette"] for r in C.silhouette_rows(points, "id", "label", values="x").collect()}
     local = [(r["id"], r["label"], np.array(r["x"])) for r in points.collect()]
     for i, lab, x in local:
-        same = [np.linalg.norm(x - y) for j, l2, y in local if l2 == lab and j != i]
-        rest = [np.linalg.norm(x - y) for _, l2, y in local if l2 != lab]
+        same = [np.linalg.norm(x - y) ** 2 for j, l2, y in local if l2 == lab and j != i]
+        rest = [np.linalg.norm(x - y) ** 2 for _, l2, y in local if l2 != lab]
         a, b = np.mean(same), np.mean(rest)
         assert math.isclose(got[i], (b - a) / max(a, b), abs_tol=1e-9)
 
