@@ -230,8 +230,34 @@ def test_hierarchical_splits_centred_data(points):
 
 
 def test_best_round():
-    assert best_round([5, 4, 3, 3.5, 3.6, 2], patience=2) == 3
-    assert best_round([5, 4, 3, 3.5, 3.6, 2], patience=50) == 6
+    assert best_round([-5, -4, -3, -3.5, -3.6, -2], patience=2) == 3
+    assert best_round([-5, -4, -3, -3.5, -3.6, -2], patience=50) == 6
+    assert best_round([0.5, 0.7, 0.7], patience=1) == 2
+
+
+def test_boosted_trees_are_cut_at_the_best_area(spark):
+    """The cut ensemble equals a shorter fit, and the best round is neither the first nor the last."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.linalg import Vectors
+
+    from weekspan.operators import models as M
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 4))
+    y = (x[:, 0] + 0.7 * x[:, 1] * x[:, 2] + rng.normal(size=400) > 0).astype(int)
+    rows = [(int(c), Vectors.dense(v)) for c, v in zip(y, x)]
+    train, validation = (spark.createDataFrame(part, ["label", "features"]).repartition(2).persist() for part in (rows[:250], rows[250:]))
+    full = GBTClassifier(maxIter=6, maxDepth=3, stepSize=0.3, seed=1).fit(train)
+    short = GBTClassifier(maxIter=4, maxDepth=3, stepSize=0.3, seed=1).fit(train)
+    cut = M.first_trees(full, 4)
+    probabilities = lambda m: [r["y_prob"] for r in M.score(m, validation).collect()]
+    assert np.allclose(probabilities(cut), probabilities(short)) and not np.allclose(probabilities(cut), probabilities(full))
+    rounds = 25
+    model = M.fit_gbt(train, validation, rounds, depth=4, step=0.5, patience=rounds)
+    whole = M.fit_gbt(train, train, rounds, depth=4, step=0.5, patience=rounds)
+    areas = [E.roc_auc(M.score(M.first_trees(whole, n), validation)).first()["roc_auc"] for n in range(1, len(whole.treeWeights) + 1)]
+    kept = len(model.treeWeights)
+    assert areas[kept - 1] == max(areas[: len(whole.treeWeights)]) and 1 < kept < rounds
 
 
 def test_duckdb_draws_equal_ours(spark):

@@ -6,10 +6,12 @@ times, so pass stored tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import itertools
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark import SparkContext
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,11 @@ class Splits:
     def map(self, change: Callable[[DataFrame], DataFrame]) -> Splits:
         return Splits(change(self.train), change(self.validation), change(self.test))
 
+    def release(self) -> None:
+        """Drop stored copies of parts that were persisted."""
+        for part in (self.train, self.validation, self.test):
+            part.unpersist()
+
 
 def vector_of(df: DataFrame, columns: Sequence[str], label: str = "label", keep: Sequence[str] = ()) -> DataFrame:
     values = F.expr("array(" + ", ".join(f"coalesce(cast(`{c}` as double), 0D)" for c in columns) + ")")
@@ -48,29 +55,47 @@ def score(model, df: DataFrame) -> DataFrame:
 # --- learners ------------------------------------------------------------------------------------------------------
 
 
-def best_round(losses: Sequence[float], patience: int) -> int:
-    """Number of rounds up to the lowest loss, looking at most ``patience`` rounds past the best one so far."""
-    best, at = float("inf"), 0
-    for i, loss in enumerate(losses):
-        if loss < best:
-            best, at = loss, i
+def best_round(scores: Iterable[float], patience: int) -> int:
+    """Number of rounds up to the first highest score, looking at most ``patience`` rounds past the best one so far."""
+    best, at = float("-inf"), 0
+    for i, value in enumerate(scores):
+        if value > best:
+            best, at = value, i
         elif i - at >= patience:
             break
     return at + 1
 
 
+def first_trees(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The ensemble after its first rounds; nothing is fitted."""
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    name = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    cut = GBTClassificationModel(name(model.uid, trees, weights, model.numFeatures, model.numClasses))
+    cut._resetUid(model.uid)
+    return model._copyValues(cut)
+
+
 def fit_gbt(
     train: DataFrame, validation: DataFrame, rounds: int = 500, depth: int = 6, step: float = 0.05, patience: int = 50, seed: int = SEED
 ):
-    """Boosted trees with balanced weights, cut at the best validation round.
+    """Boosted trees with balanced weights, cut at the round with the best validation ROC-AUC.
 
-    All rounds are fitted once; the same seed then repeats the first rounds exactly when fewer are needed.
+    All rounds are fitted once and the ensemble is cut. The rounds are scored one after the other until ``patience`` of
+    them brought nothing better; rounds without a defined area (one class only) keep the whole ensemble.
     """
     weighted = balanced_class_weights(train, "label")
-    learner = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, weightCol="weight", seed=seed)
-    model = learner.fit(weighted)
-    keep = best_round(model.evaluateEachIteration(validation.withColumn("weight", F.lit(1.0))), patience)
-    return model if keep == rounds else learner.copy({learner.maxIter: keep}).fit(weighted)
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, weightCol="weight", seed=seed).fit(weighted)
+    fitted = len(model.treeWeights)
+    areas = (E.roc_auc(score(first_trees(model, n), validation)).first()["roc_auc"] for n in range(1, fitted + 1))
+    first = next(areas)
+    if first is None:
+        return model
+    keep = best_round(itertools.chain([first], areas), patience)
+    return model if keep == fitted else first_trees(model, keep)
 
 
 def fit_logistic(train: DataFrame, max_iter: int = 1000):
@@ -181,6 +206,8 @@ def ablation_cumulative(splits: Splits, groups: dict[str, Sequence[str]], label:
         linear = scaled_splits(splits, columns).map(lambda df: vector_of(df, columns, label).persist())
         rows.append(evaluate_model(f"boosted trees + {name}", fit_gbt(trees.train, trees.validation, rounds, depth), trees, len(columns)))
         rows.append(evaluate_model(f"logistic + {name}", fit_logistic(linear.train), linear, len(columns)))
+        trees.release()
+        linear.release()
     return results(splits.train.sparkSession, rows)
 
 
@@ -202,6 +229,7 @@ def ablation_leave_out(
         row = evaluate_model(name, model, parts, len(left))
         base = rows[0] if rows else row
         rows.append((*row, ", ".join(removed), base[2] - row[2], base[3] - row[3]))
+        parts.release()
     schema = RESULT + ", removed_features string, roc_auc_drop double, f1_drop double"
     return results(splits.train.sparkSession, rows, schema)
 
