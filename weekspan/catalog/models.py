@@ -115,7 +115,7 @@ def mlp_sequences_demographics(spark, folder):
     return M.results(spark, [M.evaluate_model("network + demographics", model, splits, L * 3 + len(block.columns) - 1)])
 
 
-@query("experiment_grid", "name:s n_features:i roc_auc:d f1:d precision:d recall:d threshold:d val_f1:d")
+@query("experiment_grid", "name:s n_features:i roc_auc:d f1:d precision:d recall:d threshold:d val_f1:d demographics:b drop_summer_test:b")
 def experiment_grid(spark, folder):
     specs = {
         "weekly": {"columns": COLUMNS},
@@ -135,6 +135,20 @@ def leave_out(spark, folder):
     return splits, M.ablation_leave_out(splits, STAGE1_FEATURES, removals, "came_back", ROUNDS, DEPTH)
 
 
+@query("ablation_cumulative_sequences", RESULT)
+def ablation_cumulative_sequences(spark, folder):
+    """Weekly activity, then objective time, then demographics."""
+    groups = {"baseline": COLUMNS[:4], "objective time": CALENDAR_FEATURES}
+    return X.cumulative_study(weeks(spark, folder), groups, L, trees, demographic_block(spark, folder))
+
+
+@query("ablation_leave_out_sequences", ABLATION)
+def ablation_leave_out_sequences(spark, folder):
+    """Without hours and without the calendar, then again from the baseline without the calendar."""
+    removals = {"without hours": ["mean_hour"], "without calendar": CALENDAR_FEATURES}
+    return X.leave_out_study(weeks(spark, folder), COLUMNS, removals, L, trees)
+
+
 @query("ablation_leave_out", ABLATION)
 def ablation_leave_out(spark, folder):
     return leave_out(spark, folder)[1]
@@ -142,9 +156,10 @@ def ablation_leave_out(spark, folder):
 
 @query("evaluation_summary", "analysis_type:s experiment:s removed_features:s roc_auc:d f1:d roc_auc_drop:d f1_drop:d")
 def evaluation_summary(spark, folder):
-    """Ablations of single features and permutation importances rolled up from weekly steps to features."""
-    _, ablation = leave_out(spark, folder)
-    sequences = X.sequence_splits(weeks(spark, folder), COLUMNS, L)
+    """Ablations of weekly features and permutation importances rolled up from weekly steps to features."""
+    table = weeks(spark, folder)
+    ablation = X.leave_out_study(table, COLUMNS, {"without hours": ["mean_hour"]}, L, trees)
+    sequences = X.sequence_splits(table, COLUMNS, L)
     model = trees(sequences.train, sequences.validation)
     flat = M.permutation_importance(model, sequences.test, X.KEYS, flat_names(COLUMNS, L))
     return M.evaluation_summary(ablation, E.roll_up_importance(flat, original_feature(F.col("flat_feature"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekspan.catalog.base import cte, query
-from weekspan.catalog.logs import long_logs, short_logs
+from weekspan.catalog.logs import ACTIONS, TYPES, long_logs, short_logs
 from weekspan.operators import features, labels, profile, timeline
 from weekspan.plans import stage2
 from weekspan.sources import star
@@ -187,6 +187,20 @@ def stage2_short(spark, folder):
     return stage2.stage2_dataset(star.short_view(spark, folder)).df
 
 
+@query(
+    "stage2_users",
+    "user_id:i gender:s canton:s study:b n_events:i n_transactions:i n_active_days:i correct_rate:d n_weeks:i",
+    """select s.user_id, s.gender, s.canton, s.study, s.n_events, s.n_transactions, s.n_active_days, s.correct_rate, count(t.idx) as n_weeks
+       from lx_summary s left join lx_timeline t using (user_id) group by all""",
+    "lx_summary lx_timeline",
+)
+def stage2_users(spark, folder):
+    """Users of the stage 2 result with their summary and the number of their weeks."""
+    result = stage2.stage2_result(star.short_view(spark, folder), actions=ACTIONS, event_types=TYPES)
+    spans = result.df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_weeks"))
+    return result.user_summary.join(spans, "user_id", "left").fillna(0, subset=["n_weeks"])
+
+
 AS_OF = "2001-12-01 00:00:00"
 TOUCHES_SUMMER = """exists(from range(1990, 2010) y(yr) where {0} <= make_timestamp(yr, 8, 31, 0, 0, 0) and {1} >= make_timestamp(yr, 7, 1, 0, 0, 0)
                     and yr between year({0}) and year({1}))"""

@@ -30,9 +30,12 @@ def _window(df: DataFrame, cols: Sequence[str], first: int, last: int) -> DataFr
 def make_sequences(
     df: DataFrame, cols: Sequence[str], length: int = 12, label: str = LABEL, drop_summer: bool = False
 ) -> DataFrame:
-    """For each labelled week with ``length`` weeks before it: those weeks (the labelled week is not part of them)."""
+    """For each labelled week with ``length`` weeks before it: those weeks (the labelled week is not part of them).
+
+    A table without ``is_summer`` has no summer weeks to drop.
+    """
     wanted = (F.size("seq") == length) & F.col(label).isNotNull()
-    if drop_summer:
+    if drop_summer and "is_summer" in df.columns:
         wanted = wanted & ~F.coalesce(F.col("is_summer"), F.lit(False))
     return (
         _window(df, cols, -length, -1)

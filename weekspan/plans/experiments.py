@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weekspan.operators import augment as A
 from weekspan.operators import evaluate as E
 from weekspan.operators import models as M
+from weekspan.operators.features import CALENDAR_FEATURES
 from weekspan.operators.sampling import SEED, fit_scaler, split_by_users
 from weekspan.operators.sequences import attach_demographics, make_sequences, with_vector
 from weekspan.session import durable
@@ -52,9 +53,51 @@ def experiment_grid(
     rows = []
     for name, spec in specs.items():
         splits = sequence_splits(weeks, length=length, **spec)
-        width = len(spec["columns"])
-        rows.append(M.evaluate_model(name, fit(splits.train, splits.validation), splits, width))
-    return E.experiment_comparison({"grid": M.results(weeks.sparkSession, rows).withColumnRenamed("experiment", "name")})
+        row = M.evaluate_model(name, fit(splits.train, splits.validation), splits, len(spec["columns"]))
+        rows.append((*row, spec.get("demographics") is not None, bool(spec.get("drop_summer_test"))))
+    table = M.results(weeks.sparkSession, rows, M.RESULT + ", demographics boolean, drop_summer_test boolean")
+    return E.experiment_comparison({"grid": table.withColumnRenamed("experiment", "name")})
+
+
+def cumulative_study(
+    weeks: DataFrame, groups: dict[str, Sequence[str]], length: int, fit: Callable[[DataFrame, DataFrame], object],
+    demographics: DataFrame | None = None,
+) -> DataFrame:
+    """Feature groups of the weeks added one after the other, demographics last; one row per step."""
+    rows, columns = [], []
+    steps = [(name, list(cols), None) for name, cols in groups.items()]
+    if demographics is not None:
+        steps.append(("demographics", [], demographics))
+    for name, added, block in steps:
+        columns = columns + added
+        splits = sequence_splits(weeks, columns, length, demographics=block)
+        width = length * len(columns) + (len(block.columns) - 1 if block is not None else 0)
+        rows.append(M.evaluate_model(f"+ {name}" if rows else name, fit(splits.train, splits.validation), splits, width))
+    return M.results(weeks.sparkSession, rows)
+
+
+def leave_out_study(
+    weeks: DataFrame, columns: Sequence[str], removals: dict[str, Sequence[str]], length: int, fit: Callable[[DataFrame, DataFrame], object],
+    second_without: Sequence[str] = CALENDAR_FEATURES,
+) -> DataFrame:
+    """Feature sets left out of flattened weeks, with the loss against the full set.
+
+    A second pass repeats this from a baseline that already lacks the ``second_without`` columns; its rows are named
+    after that baseline and compared with it. Removals that leave nothing to remove there are not repeated.
+    """
+    rows = []
+    for gone in ([], list(second_without)):
+        base = None
+        for name, removed in {"baseline": [], **removals}.items():
+            removed = [c for c in removed if c not in gone]
+            left = [c for c in columns if c not in {*gone, *removed}]
+            if name != "baseline" and not removed:
+                continue
+            splits = sequence_splits(weeks, left, length)
+            row = M.evaluate_model(f"no calendar, {name}" if gone else name, fit(splits.train, splits.validation), splits, length * len(left))
+            base = base or row
+            rows.append((*row, ", ".join([*gone, *removed]), base[2] - row[2], base[3] - row[3]))
+    return M.results(weeks.sparkSession, rows, M.RESULT + ", removed_features string, roc_auc_drop double, f1_drop double")
 
 
 def flat_augmentations(width: int, smote_cap: int = 200_000, seed: int = SEED) -> dict[str, Callable[[DataFrame], DataFrame]]:

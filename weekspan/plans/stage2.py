@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
 from weekspan.functions.scalars import in_summer
-from weekspan.operators.features import WEEKLY_FEATURES, fill_missing_columns, weekly_features
+from weekspan.operators.features import WEEKLY_FEATURES, fill_missing_columns, user_summary, weekly_features
 from weekspan.operators.labels import add_dropout_labels
 from weekspan.operators.timeline import add_week_dates, clean_logs, first_activity, weekly_timeline
 from weekspan.plans.stage1 import Dataset
@@ -19,7 +22,25 @@ def labelled_timeline(logs: Logs, horizon_weeks: int = 4) -> DataFrame:
     return add_dropout_labels(dated, horizon_weeks)
 
 
-def stage2_dataset(raw: Logs, horizon_weeks: int = 4) -> Dataset:
-    timeline = labelled_timeline(clean_logs(raw), horizon_weeks)
+@dataclass(frozen=True)
+class Stage2(Dataset):
+    """The weekly table with the cleaned users and their whole-history summary."""
+
+    users: DataFrame
+    user_summary: DataFrame
+
+
+def stage2_result(raw: Logs, horizon_weeks: int = 4, actions: Sequence[str] | None = None, event_types: Sequence[str] | None = None) -> Stage2:
+    """The stage 2 table together with its users; the logs are placed and stored once for both."""
+    logs = clean_logs(raw)
+    table = _filled(labelled_timeline(logs, horizon_weeks))
+    return Stage2(table.df, table.feature_cols, logs.users, user_summary(logs.users, logs.events, logs.transactions, actions, event_types))
+
+
+def _filled(timeline: DataFrame) -> Dataset:
     filled = fill_missing_columns(timeline, WEEKLY_FEATURES)
     return Dataset(filled.withColumn("is_summer", in_summer("week_start")), list(WEEKLY_FEATURES))
+
+
+def stage2_dataset(raw: Logs, horizon_weeks: int = 4) -> Dataset:
+    return _filled(labelled_timeline(clean_logs(raw), horizon_weeks))
