@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekspan.llm.textbatch import NOT_SPACE, Words, batch_column, buckets_for, mix, packed, slices, squeezed, text_volume
+from weekspan.llm.textbatch import NOT_SPACE, Words, batch_column, buckets_for, mix, packed, slices, squeezed, text_volume, tidy
 from weekspan.session import durable
 
 WINDOW = 13
@@ -114,7 +114,7 @@ def _edges(rows: DataFrame, text: str, names: Edges) -> DataFrame:
                     ["bucket", "edges", "documents", "keys", "row_keys"],
                 )
 
-    return rows.select(KEY, ROW, text).mapInArrow(emit, "bucket long, edges binary, documents binary, keys binary, row_keys binary")
+    return rows.select(KEY, ROW, text).mapInArrow(tidy(emit), "bucket long, edges binary, documents binary, keys binary, row_keys binary")
 
 
 def _repeated(blocks: DataFrame, groups: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _repeated(blocks: DataFrame, groups: int) -> DataFrame:
             }
         )
 
-    return blocks.groupBy("bucket").applyInArrow(find, HITS)
+    return blocks.groupBy("bucket").applyInArrow(tidy(find), HITS)
 
 
 def _joint(row_key: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -305,7 +305,7 @@ def _failed(found: DataFrame, documents: DataFrame, text: str) -> DataFrame | No
                 if out:
                     yield _apart_batch(out)
 
-    windows = durable(joined.mapInArrow(apart, f"{KEY} long, {ROW} long, hash long, digest binary, later boolean"))
+    windows = durable(joined.mapInArrow(tidy(apart), f"{KEY} long, {ROW} long, hash long, digest binary, later boolean"))
     held = windows.groupBy("hash", "digest").agg(F.min(KEY).alias("_least"))
     failed = durable(windows.filter("later").join(held, ["hash", "digest"]).filter(F.col("_least") >= F.col(KEY)).select(ROW, "hash").distinct())
     return None if failed.isEmpty() else failed
@@ -329,18 +329,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", diges
     hits = durable(_repeated(_edges(documents, text, edges), groups))
     _release()
     spec = T.StructType([*documents.schema.fields, T.StructField(BUCKET, T.LongType())])
-    dealt = documents.mapInArrow(_group_of(groups), spec)
+    dealt = documents.mapInArrow(tidy(_group_of(groups)), spec)
     kept = [*names, KEY, ROW]
     result = T.StructType([*[documents.schema[c] for c in kept], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256" if digest else text, T.StringType())])
     with_paths = T.StructType([*result.fields, T.StructField("_paths", T._parse_datatype_string(PATH_TYPE))])
-    found = durable(dealt.groupBy(BUCKET).cogroup(hits.groupBy(BUCKET)).applyInArrow(_cut_documents(kept, text, edges, digest, True), with_paths))
+    found = durable(dealt.groupBy(BUCKET).cogroup(hits.groupBy(BUCKET)).applyInArrow(tidy(_cut_documents(kept, text, edges, digest, True)), with_paths))
     _release()
     failed = _failed(found, documents, text)
     if failed is not None:  # practically only with colliding hashes
         again = failed.select(ROW).distinct()
         redo = dealt.join(again, ROW, "left_semi").select(dealt.columns)
         known = hits.unionByName(_left_in(failed, groups))
-        redone = redo.groupBy(BUCKET).cogroup(known.groupBy(BUCKET)).applyInArrow(_cut_documents(kept, text, edges, digest, False), result)
+        redone = redo.groupBy(BUCKET).cogroup(known.groupBy(BUCKET)).applyInArrow(tidy(_cut_documents(kept, text, edges, digest, False)), result)
         found = found.drop("_paths").join(again, ROW, "left_anti").select(result.names).unionByName(redone)
     counts = ["n_words", "n_removed"]
     columns = [key, *counts, "kept_sha256"] if digest else [*[c for c in df.columns if c not in counts], *counts]
@@ -357,4 +357,4 @@ def _left_in(failed: DataFrame, groups: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
         return pa.table({n.split()[0]: pa.array(c, k) for n, c, k in zip(HITS.split(", "), columns, kinds, strict=True)})
 
-    return failed.mapInArrow(_group_of(groups), schema).groupBy(BUCKET).applyInArrow(block, HITS)
+    return failed.mapInArrow(tidy(_group_of(groups)), schema).groupBy(BUCKET).applyInArrow(tidy(block), HITS)
