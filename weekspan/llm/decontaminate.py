@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekspan.llm.textbatch import ALNUM, Words, batch_column, slices, with_columns
+from weekspan.llm.textbatch import ALNUM, Words, batch_column, slices, tidy, with_columns
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
@@ -95,7 +95,7 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
         index = df.sparkSession.sparkContext.broadcast(Index(block))
         columns = kept if i == len(blocks) - 1 else carried
         schema = T.StructType([*[out.schema[c] for c in columns], *added])
-        out = out.mapInArrow(_pass(index, text, columns, names, i > 0), schema)
+        out = out.mapInArrow(tidy(_pass(index, text, columns, names, i > 0)), schema)
     return out
 
 
@@ -145,7 +145,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, remove: str = DOCUMENTS,
             batch = batch.set_column(place, batch.schema.field(place), pa.array(texts_out, pa.string()))
             yield batch.select(columns)
 
-    return found.mapInArrow(cut, T.StructType([found.schema[c] for c in columns]))
+    return found.mapInArrow(tidy(cut), T.StructType([found.schema[c] for c in columns]))
 
 
 def _without(body: bytes, words: Words, d: int, hit: np.ndarray, origin: int) -> str:

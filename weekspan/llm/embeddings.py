@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekspan.llm.components import connected_components
-from weekspan.llm.textbatch import batch_column, buckets_for, local_components
+from weekspan.llm.textbatch import batch_column, buckets_for, local_components, tidy
 from weekspan.session import durable
 
 THRESHOLD = 0.98
@@ -122,7 +122,7 @@ def near_links(reps: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(grid[:, i]) for i in range(GRID_DIMENSIONS)]], [*batch.schema.names, *cells])
 
     spec = "grp string, node string, vector array<double>, copies long"
-    placed = reps.select("grp", "node", F.col("vector").cast("array<double>").alias("vector"), "copies").mapInArrow(place, spec + "".join(f", {c} int" for c in cells))
+    placed = reps.select("grp", "node", F.col("vector").cast("array<double>").alias("vector"), "copies").mapInArrow(tidy(place), spec + "".join(f", {c} int" for c in cells))
     ordered = placed.repartitionByRange(buckets_for(count, BLOCK * BLOCKS_A_PARTITION, 1), *columns).sortWithinPartitions(*columns)
     sides = [f"{s}{i}" for s in ("low", "high") for i in range(GRID_DIMENSIONS)]
 
@@ -159,7 +159,7 @@ def near_links(reps: DataFrame, threshold: float) -> DataFrame:
             yield from cuts(pa.Table.from_batches(waiting), True)[0]
 
     spec = "grp string, block long, nodes array<string>, copies array<long>, vectors binary" + "".join(f", {s} double" for s in sides)
-    blocks = durable(ordered.mapInArrow(cut, spec))
+    blocks = durable(ordered.mapInArrow(tidy(cut), spec))
     content = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("nodes", "copies", "vectors")])
     pairs = _block_pairs(blocks, epsilon).join(content("a"), "a").join(content("b"), "b")
 
@@ -176,7 +176,7 @@ def near_links(reps: DataFrame, threshold: float) -> DataFrame:
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in at]), pa.array(n[at].astype(np.int64)), pa.array([nodes[first[i]] for i in at])], ["node", "n", "to"])
 
-    return pairs.drop("grp").mapInArrow(compare, "node string, n long, to string")
+    return pairs.drop("grp").mapInArrow(tidy(compare), "node string, n long, to string")
 
 
 def _links(a: np.ndarray, b: np.ndarray, rows: int, columns: int, same: bool, threshold: float) -> np.ndarray:

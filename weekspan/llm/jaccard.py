@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekspan.llm.components import connected_components
-from weekspan.llm.textbatch import NOT_SPACE, Texts, batch_column, local_components, mix, runs, slices
+from weekspan.llm.textbatch import NOT_SPACE, Texts, batch_column, local_components, mix, runs, slices, tidy
 from weekspan.session import durable
 
 SIZE = 5
@@ -113,7 +113,7 @@ def described(df: DataFrame, key: str, text: str, size: int, bands: int, rows: i
 
     kind = df.schema[key].dataType.simpleString()
     rows_in = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
-    return rows_in.mapInArrow(describe, f"key {kind}, row long, node binary, n_grams int, bands array<long>, signature binary")
+    return rows_in.mapInArrow(tidy(describe), f"key {kind}, row long, node binary, n_grams int, bands array<long>, signature binary")
 
 
 def _paired(df: DataFrame, chunks: str) -> DataFrame:
@@ -167,7 +167,7 @@ def candidates(reps: DataFrame, least_agreement: float) -> DataFrame:
                 us, vs = [], []
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
 
-    return signed.select(*keys, "chunk", "node", "signature").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(agree, "u binary, v binary")
+    return signed.select(*keys, "chunk", "node", "signature").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(agree), "u binary, v binary")
 
 
 def common_grams(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,7 +205,7 @@ def verified(families: DataFrame, df: DataFrame, key: str, text: str, size: int,
                 raw = [grams[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch_column(batch, n).slice(a, b - a) for n in ("root", "node", "copies", "chunks")], pa.array(raw, pa.binary())], ["root", "node", "copies", "chunks", "grams"])
 
-    held = texts_in.mapInArrow(sets, "root binary, node binary, copies long, chunks int, grams binary")
+    held = texts_in.mapInArrow(tidy(sets), "root binary, node binary, copies long, chunks int, grams binary")
     family = F.xxhash64("root").alias("family")
     keys = ["family", "root", "i", "j"]
     paired = _paired(held, "chunks").select(family, "root", "i", "j", "chunk", "node", "copies", "grams")
@@ -236,7 +236,7 @@ def verified(families: DataFrame, df: DataFrame, key: str, text: str, size: int,
             at = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array([nodes[members[i]] for i in at], pa.binary()), pa.array(links[at].astype(np.int64)), pa.array([nodes[members[first[i]]] for i in at], pa.binary())], ["node", "n", "to"])
 
-    return paired.repartition("family", "i", "j").sortWithinPartitions(*keys).mapInArrow(compare, "node binary, n long, to binary")
+    return paired.repartition("family", "i", "j").sortWithinPartitions(*keys).mapInArrow(tidy(compare), "node binary, n long, to binary")
 
 
 def _linked(df: DataFrame, key: str, text: str, size: int, threshold: float, recall: float) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekspan.llm.textbatch import LOWER, Texts, batch_column, slices, with_columns
+from weekspan.llm.textbatch import LOWER, Texts, batch_column, slices, tidy, with_columns
 
 DIMENSIONS = 4_096
 CENTROIDS = 3
@@ -121,7 +121,7 @@ def _document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
             where = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(where, -1), pa.int32()), pa.array(np.append(seen[where], total), pa.int64())], ["gram", "n"])
 
-    found = rows.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most DIMENSIONS + 1 rows
+    found = rows.mapInArrow(tidy(count), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most DIMENSIONS + 1 rows
     seen, total = np.zeros(DIMENSIONS), 0
     for r in found:
         if r.gram < 0:
@@ -168,7 +168,7 @@ def learn(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str =
                 v = unit_vectors(gram_counts(texts)[0], idf)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, last - first), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "vector"])
 
-    sampled = rows.filter(draw < share).select("text", "lang").mapInArrow(vectors_of, "lang string, vector binary").collect()  # about sample_rows rows
+    sampled = rows.filter(draw < share).select("text", "lang").mapInArrow(tidy(vectors_of), "lang string, vector binary").collect()  # about sample_rows rows
     by_language: dict[str, list[bytes]] = {}
     for r in sampled:
         by_language.setdefault(r.lang, []).append(bytes(r.vector))
@@ -204,7 +204,7 @@ def _floors(rows: DataFrame, model: Model) -> np.ndarray:
         where = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(seen[where], pa.int64())], ["cell", "n"])
 
-    found = rows.select("text", "lang").mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    found = rows.select("text", "lang").mapInArrow(tidy(histogram), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(len(place) * LENGTHS * BINS)
     for r in found:
         seen[r.cell] = r.n
@@ -235,4 +235,4 @@ def identify(df: DataFrame, model: Model, text: str = "text", kept: list[str] |
                     cosine[first:last] = np.where(lettered[first:last], near, 0)
             yield with_columns(batch, kept, {language: pa.array(names[best], pa.string()), score: pa.array(cosine, pa.float64())})
 
-    return read.mapInArrow(predict, schema)
+    return read.mapInArrow(tidy(predict), schema)

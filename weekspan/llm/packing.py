@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekspan.llm.textbatch import batch_column
+from weekspan.llm.textbatch import batch_column, tidy
 from weekspan.session import durable
 
 CAPACITY = 1_024
@@ -102,7 +102,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     names = [key, "piece", "start", "length", "ids_crc32", "task", "number"] + ["ids"] * with_ids
     kind = df.schema[key].dataType.simpleString()
     spec = f"`{key}` {kind}, piece int, start long, length int, ids_crc32 long, task int, number long" + ", ids array<int>" * with_ids
-    return df.select(F.col(key), F.col(text)).mapInArrow(encode, spec)
+    return df.select(F.col(key), F.col(text)).mapInArrow(tidy(encode), spec)
 
 
 def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekspan.llm.textbatch import NOT_SPACE, Texts, Words, batch_column, member, mix, slices, with_columns
+from weekspan.llm.textbatch import NOT_SPACE, Texts, Words, batch_column, member, mix, slices, tidy, with_columns
 
 SAMPLE_ROWS = 4_000
 SAMPLE_LINES = 256
@@ -198,7 +198,7 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
                 raw = [x[first[d] : first[d + 1]].astype(np.float32).tobytes() for d in chosen]
                 yield pa.RecordBatch.from_arrays([batch_column(batch, "label").slice(a, b - a).take(pa.array(chosen)), pa.array(raw, pa.binary())], ["label", "features"])
 
-    rows = sorted((bytes(r.features), r.label) for r in texts_in.select("text", "label").mapInArrow(features, "label int, features binary").collect())
+    rows = sorted((bytes(r.features), r.label) for r in texts_in.select("text", "label").mapInArrow(tidy(features), "label int, features binary").collect())
     if not rows:
         return Field(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1), np.zeros((2, 2)), 0.5)
     parts = [np.frombuffer(r, np.float32).reshape(-1, FEATURES) for r, _ in rows]
@@ -226,4 +226,4 @@ def score_documents(df: DataFrame, field: Field, text: str = "text", kept: list[
                 scores[a + found] = np.clip(np.bincount(owner, weights=size * p, minlength=len(texts))[found] / weight[found], 0, 1)
             yield with_columns(batch, kept, {score: pa.array(scores)})
 
-    return read.mapInArrow(apply, schema)
+    return read.mapInArrow(tidy(apply), schema)

@@ -30,6 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekspan.llm.textbatch import tidy
+
 ARCHIVE_BYTES = 24_000_000
 SAMPLE_BYTES = 2_000_000
 DICTIONARY_BYTES = 64_000
@@ -125,7 +127,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", address: s
         if waiting:
             yield pa.RecordBatch.from_arrays([pa.array(waiting, pa.binary())], ["frame"])
 
-    frames = with_roles(pages, key, address, payload, least_bytes).mapInArrow(archive, "frame binary")
+    frames = with_roles(pages, key, address, payload, least_bytes).mapInArrow(tidy(archive), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", FRAME_END).text(path)
 
 
@@ -187,4 +189,4 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(parse, RECORD + ", payload binary" * with_payload)
+    return files.mapInArrow(tidy(parse), RECORD + ", payload binary" * with_payload)
