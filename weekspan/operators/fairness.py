@@ -210,39 +210,28 @@ def contingency(df: DataFrame, methods: Sequence[str], attributes: Sequence[str]
 
 
 def chi_square(cells: DataFrame) -> DataFrame:
-    """Chi-square statistic, degrees of freedom and Cramer's V per (method, attribute).
+    """Chi-square statistic, degrees of freedom and Cramer's V per (method, attribute), from the seen cells alone.
 
-    Empty cells count with their expected value; the continuity correction applies to 2 x 2 tables.
+    An empty cell adds its expected value, and all expected values add up to the total, so empty cells add the total
+    less the expected values of the seen ones. The continuity correction applies to 2 x 2 tables, where all four
+    differences are equal and the inverse expected values add up to n^3 over the product of the four margins.
     """
     test = ["method", "attribute"]
-    whole = Window.partitionBy(*test)
     counted = cells.withColumns(
         {
-            "_row": F.sum("n").over(Window.partitionBy(*test, "cluster")),
-            "_col": F.sum("n").over(Window.partitionBy(*test, "group")),
-            "_n": F.sum("n").over(whole),
+            "_row": F.sum("n").over(Window.partitionBy(*test, "cluster")).cast("double"),
+            "_col": F.sum("n").over(Window.partitionBy(*test, "group")).cast("double"),
+            "_n": F.sum("n").over(Window.partitionBy(*test)),
         }
-    ).withColumn("_cols", F.collect_set(F.struct("group", "_col")).over(whole))
-    rows = counted.groupBy(*test, "cluster").agg(
-        F.first("_row").alias("_row"),
-        F.first("_n").alias("_n"),
-        F.first("_cols").alias("_cols"),
-        F.map_from_entries(F.collect_list(F.struct("group", "n"))).alias("_seen"),
-    )
-    grid = rows.withColumn("_g", F.explode("_cols")).select(
-        *test,
-        "cluster",
-        F.col("_g.group").alias("group"),
-        "_n",
-        F.coalesce(F.try_element_at("_seen", F.col("_g.group")), F.lit(0)).alias("_observed"),
-        (F.col("_row").cast("double") * F.col("_g._col") / F.col("_n")).alias("_expected"),
-    )
-    diff = F.abs(F.col("_observed") - F.col("_expected"))
+    ).withColumn("_expected", F.col("_row") * F.col("_col") / F.col("_n"))
     expected = F.col("_expected")
-    corrected = diff - F.least(F.lit(0.5), diff)
-    out = grid.groupBy(*test).agg(
-        F.sum(diff * diff / expected).alias("_plain"),
-        F.sum(corrected * corrected / expected).alias("_yates"),
+    diff = F.abs(F.col("n") - expected)
+    margins = F.max("_row") * F.min("_row") * F.max("_col") * F.min("_col")
+    corrected = F.max(diff) - F.least(F.lit(0.5), F.max(diff))
+    cube = F.max("_n").cast("double") * F.max("_n") * F.max("_n")
+    out = counted.groupBy(*test).agg(
+        (F.sum(diff * diff / expected) + F.max("_n") - F.sum(expected)).alias("_plain"),
+        (corrected * corrected * cube / margins).alias("_yates"),
         F.count_distinct("cluster").alias("_r"),
         F.count_distinct("group").alias("_c"),
         F.max("_n").alias("_n"),
