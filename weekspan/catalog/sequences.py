@@ -283,10 +283,9 @@ DIMENSION_SPEC = " ".join(f"{d}:d" for d in DIMENSIONS)
     "ll_traj",
 )
 def trajectory_dimension_curves(spark, folder):
-    from weekspan.operators.clusters import curve_profiles
-
-    df = trajectories(spark, folder).withColumn("end_year", F.floor(F.col("end_week") / 52))
-    return curve_profiles(df, BEHAVIOUR_FEATURES, TRAJECTORY_GROUPS, "end_year")
+    curves = Q.dimension_curves(trajectories(spark, folder), BEHAVIOUR_FEATURES, TRAJECTORY_GROUPS)
+    weeks = curves.select(F.floor(F.col("end_week") / 52).alias("end_year"), F.posexplode(F.arrays_zip(*DIMENSIONS)).alias("week", "v"))
+    return weeks.groupBy("end_year", "week").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"v.{d}").alias(d) for d in DIMENSIONS])
 
 
 @query(

@@ -38,23 +38,6 @@ def previous_value(
     )
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str, out: str
-) -> DataFrame:
-    """Running sum of ``value`` per key in ``order``, the current row included."""
-    cut = df.withColumn("_bucket", bucket)
-    group = [*keys, "_bucket"]
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = cut.groupBy(*group).agg(F.sum(value).alias("_sum"))
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(_before(keys, "_bucket")), F.lit(0))).drop("_sum")
-    return (
-        cut.withColumn("_inner", F.sum(value).over(inside))
-        .join(offsets, group, "left")
-        .withColumn(out, F.col("_inner") + F.col("_offset"))
-        .drop("_bucket", "_inner", "_offset")
-    )
-
-
 def hash_rank(
     df: DataFrame, key: str | Sequence[str], seed: str | int, by: Sequence[str] = (), out: str = "rank", bits: int = 12
 ) -> DataFrame:

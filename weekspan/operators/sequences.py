@@ -89,12 +89,6 @@ def with_vector(sequences: DataFrame, extra: Sequence[str] = (), out: str = "fea
     return sequences.withColumn(out, array_to_vector(values))
 
 
-def with_named_values(sequences: DataFrame, cols: Sequence[str], length: int) -> DataFrame:
-    """One column ``t<step>_<feature>`` per value."""
-    picks = [f"seq[{t}][{i}] as `t{t}_{c}`" for t in range(length) for i, c in enumerate(cols)]
-    return sequences.selectExpr(*[f"`{c}`" for c in sequences.columns if c != "seq"], *picks)
-
-
 def drop_features(sequences: DataFrame, cols: Sequence[str], dropped: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Sequences without the given features at any step, and the remaining feature list."""
     absent = set(dropped) - set(cols)
