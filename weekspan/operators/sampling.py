@@ -11,10 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekspan.functions.hashing import HASH_BITS, hash32
 from weekspan.functions.ordered import hash_rank
 from weekspan.functions.quantiles import exact_medians
 
 SEED = 42
+SAMPLE_BITS = 12
 
 
 def split_users(
@@ -149,8 +151,18 @@ def stratified_cap(df: DataFrame, key, label: str, size: int = 200_000, seed: in
 
 
 def hash_sample(df: DataFrame, key: str | Sequence[str], size: int, seed: int | str = SEED) -> DataFrame:
-    """A plain random sample of ``size`` rows."""
-    return hash_rank(df, key, seed).filter(F.col("rank") < size).drop("rank", "rank_of")
+    """A plain random sample of ``size`` rows: those with the smallest hashes.
+
+    A histogram of the leading bits of the hash shows where the sample ends, so only rows up to there are ranked.
+    """
+    bucket = F.shiftright(hash32(key, seed), HASH_BITS - SAMPLE_BITS)
+    counts = sorted((r["b"], r["n"]) for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    seen, last = 0, -1
+    for b, n in counts:  # at most 2**SAMPLE_BITS rows
+        if seen >= size:
+            break
+        seen, last = seen + n, b
+    return hash_rank(df.filter(bucket <= last), key, seed).filter(F.col("rank") < size).drop("rank", "rank_of")
 
 
 def balanced_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
