@@ -20,11 +20,21 @@ from weekspan.session import durable
 
 ROUNDS = 60
 ROWS_A_FILE = 200_000
+LEAST_FILES = 12
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """(node, root) for every node of the edges; nodes have the same root exactly if a path joins them."""
-    ends = durable(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u is not null and v is not null").distinct())
+def stored(df: DataFrame, rows: int, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
+    """A durable table of about ``rows`` rows in few files, made by as many tasks."""
+    return durable(df.coalesce(max(LEAST_FILES, -(-rows // rows_a_file))))
+
+
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rows: int | None = None) -> DataFrame:
+    """(node, root) for every node of the edges; nodes have the same root exactly if a path joins them.
+
+    ``rows`` is a bound on the number of edges, where one is known; it only sizes the stored files.
+    """
+    ends = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u is not null and v is not null").distinct()
+    ends = durable(ends) if rows is None else stored(ends, rows)
     alive = ends.filter("u <> v")
     places = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node"))
     for turn in range(ROUNDS):

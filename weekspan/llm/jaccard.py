@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekspan.llm.components import connected_components
+from weekspan.llm.components import connected_components, stored
 from weekspan.llm.textbatch import NOT_SPACE, Texts, batch_column, local_components, mix, runs, slices, tidy
 from weekspan.session import durable
 
@@ -44,6 +44,9 @@ BUCKET_CHUNK = 1_024
 FAMILY_CHUNK = 512
 FAMILY_GRAMS = 300_000
 VOCABULARY_STEP = 4_096
+TABLE_ROWS = 20_000  # rows of a stored file
+FAMILY_ROWS = 2_000
+NAMED_ROWS = 200_000  # members whose places may be broadcast, about 20 MB
 
 
 def bands_for(threshold: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
@@ -189,13 +192,15 @@ def common_grams(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nda
     return total.astype(np.int64)
 
 
-def verified(families: DataFrame, df: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
+def verified(families: DataFrame, rows_of: int, df: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
     """(node, n, to): links of each node by pair of chunks, weighted by copies, and its local component's first node."""
     sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams"))
     chunks = F.greatest(F.ceil(F.col("m") / FAMILY_CHUNK), F.ceil(F.col("grams") / FAMILY_GRAMS)).cast("int")
     members = families.join(sizes.select("root", chunks.alias("chunks")), "root").select(F.col("key").alias("_key"), F.col("row").alias("_row"), "node", "root", "copies", "chunks")
     rows = df.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_row"), F.col(text).alias("text"))
     same = rows["_key"].eqNullSafe(members["_key"]) & (rows["_row"] == members["_row"])
+    if rows_of <= NAMED_ROWS:  # else the texts are shuffled
+        members = F.broadcast(members)
     texts_in = rows.join(members, same).select("root", "node", "copies", "chunks", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,13 +251,15 @@ def _linked(df: DataFrame, key: str, text: str, size: int, threshold: float, rec
     sound = found.filter("node is not null")
     first = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "row")).alias("first")
     reps = sound.groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("n_grams").alias("n_grams"))
-    reps = durable(reps.select("node", "first.key", "first.row", "copies", "bands", "signature", "n_grams"))
+    total = found.count()
+    reps = stored(reps.select("node", "first.key", "first.row", "copies", "bands", "signature", "n_grams"), total, TABLE_ROWS)
     agreement = LEAST_AGREEMENT * threshold / THRESHOLD
-    roots = connected_components(candidates(reps, agreement))
-    families = durable(reps.select("node", "key", "row", "copies", "n_grams").join(roots, "node"))
-    links = durable(verified(families, df, key, text, size, threshold))
+    roots = connected_components(candidates(reps, agreement), rows=total * bands)
+    families = stored(reps.select("node", "key", "row", "copies", "n_grams").join(roots, "node"), total, TABLE_ROWS)
+    size_of = families.count()
+    links = stored(verified(families, size_of, df, key, text, size, threshold), size_of, FAMILY_ROWS)
     degrees = links.groupBy("node").agg(F.sum("n").alias("n"))
-    members = reps.select("node", "key", "copies").join(connected_components(links, "node", "to"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = reps.select("node", "key", "copies").join(connected_components(links, "node", "to", rows=total), "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = members.groupBy("root").agg(F.min("key").alias("class_id"))
     classes = members.join(names, "root").join(degrees, "node", "left").select("node", "class_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = found.select("key", "row", "node").join(classes, "node", "left")
@@ -266,12 +273,13 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``df`` with one row of each class, that with the smallest key; rows that link with nothing stay."""
-    found = durable(_linked(df, key, text, size, threshold, recall))
+    found = _linked(df, key, text, size, threshold, recall)
+    found = stored(found, df.count(), TABLE_ROWS)
     gone = found.filter(~F.col("key").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_key"), F.col("row").alias("_row")).distinct()
     named = found.filter(F.col("node").isNotNull() & F.col("key").eqNullSafe(F.col("class_id")))
     rows = df.withColumn("_row", F.xxhash64(F.col(text)))
     stay = rows.join(gone, rows[key].eqNullSafe(gone["_key"]) & (rows["_row"] == gone["_row"]), "left_anti")
-    tied = durable(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("_least")).filter("n > 1"))
+    tied = stored(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("_least")).filter("n > 1"), 0)
     if not tied.isEmpty():  # rows that repeat the smallest key of their class: one of them stays
         tied = tied.select(F.col("class_id").alias("_class"), "_least")
         marked = stay.join(tied, stay[key].eqNullSafe(tied["_class"]), "left")
