@@ -319,3 +319,14 @@ def test_embeddings(spark):
         want.append((r[0], len(links[i]), least, r[0] is not None and r[0] == least))
     assert sorted([tuple(r) for r in found], key=repr) == sorted(want, key=repr)
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_word_counts_around_one_byte(spark):
+    """Numbers of a word in a document on both sides of what one byte holds."""
+    rows = [(i, " ".join(["same"] * n + [f"w{i}"])) for i, n in enumerate((254, 255, 256, 300, 70_000, 1))]
+    found = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), steps=1).collect()}
+    total = sum(n for n in (254, 255, 256, 300, 70_000, 1))
+    size, distinct = total + 2 * len(rows), 1 + len(rows) + 1
+    for i, n in enumerate((254, 255, 256, 300, 70_000, 1)):
+        terms = n * np.log10(total + 0.1) + np.log10(1.1) + np.log10(len(rows) + 0.1) - (n + 2) * np.log10(size + 0.1 * (distinct + 1))
+        assert found[i].base_score == pytest.approx(terms, rel=1e-12) and found[i].n_tokens == found[i].n_known == n + 2
