@@ -90,6 +90,19 @@ def test_jaccard(spark, odd, none, monkeypatch):
     assert len([t for t in texts if t and t.startswith("the quick")]) == 1 and len([t for t in texts if t is None]) == 2
 
 
+def test_deduplicate_judges_rows_of_one_key_by_their_texts(spark):
+    base = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
+    text = [" ".join(w) for w in base]
+    near = [" ".join([*w[:-1], "other"]) for w in base]
+    rows = [(5, text[0]), (5, text[1]), (5, None), (5, " "), (5, None)]  # link with nothing
+    rows += [(None, text[2]), (None, near[2]), (None, text[2])]  # a class without a key
+    rows += [(7, text[3]), (7, near[3]), (8, near[3]), (7, text[3]), (None, near[3])]  # a class whose smallest key repeats
+    kept = [tuple(r) for r in jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(r for r in kept if r[0] == 5 and r[1] and r[1].strip()) == [(5, text[0]), (5, text[1])]
+    assert sorted((r[1] for r in kept if r[0] == 5 and not (r[1] or "").strip()), key=repr) == [" ", None, None]
+    assert len([r for r in kept if r[0] is None]) == 1 and len([r for r in kept if r[0] == 7]) == 1 and len(kept) == 7
+
+
 def test_jaccard_group_of_near_copies(spark, monkeypatch):
     random.seed(5)
     base = [f"w{random.randrange(10_000)}" for _ in range(120)]

@@ -17,8 +17,9 @@ own, so no task holds a whole group. A group of m different near copies costs m
 links does, but rows only in proportion to m times its number of chunks.
 
 Defined cases: null texts and texts without words link with nothing; repeated rows are rows of their own and link with
-each other; a class is named by the smallest key in it, null keys only if there is no other; an empty table gives no
-rows; other columns are not read by ``link``, and kept by ``deduplicate``.
+each other; a class is named by the smallest key in it, null keys only if there is no other; rows that repeat a key with
+another text are judged by their own text; an empty table gives no rows; other columns are not read by ``link``, and
+kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -245,7 +246,7 @@ def verified(families: DataFrame, rows_of: int, df: DataFrame, key: str, text: s
 
 
 def _linked(df: DataFrame, key: str, text: str, size: int, threshold: float, recall: float) -> DataFrame:
-    """key, row, node, class_id, n_links of every row."""
+    """key, row, node, class_id, least_row (text hash of the class's first row), n_links of every row."""
     bands, rows = bands_for(threshold, recall)
     found = durable(described(df, key, text, size, bands, rows))
     sound = found.filter("node is not null")
@@ -259,11 +260,12 @@ def _linked(df: DataFrame, key: str, text: str, size: int, threshold: float, rec
     size_of = families.count()
     links = stored(verified(families, size_of, df, key, text, size, threshold), size_of, FAMILY_ROWS)
     degrees = links.groupBy("node").agg(F.sum("n").alias("n"))
-    members = reps.select("node", "key", "copies").join(connected_components(links, "node", "to", rows=total), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = members.groupBy("root").agg(F.min("key").alias("class_id"))
-    classes = members.join(names, "root").join(degrees, "node", "left").select("node", "class_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    members = reps.select("node", "key", "row", "copies").join(connected_components(links, "node", "to", rows=total), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "row")).alias("first")
+    names = members.groupBy("root").agg(least).select("root", F.col("first.key").alias("class_id"), F.col("first.row").alias("least_row"))
+    classes = members.join(names, "root").join(degrees, "node", "left").select("node", "class_id", "least_row", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = found.select("key", "row", "node").join(classes, "node", "left")
-    return out.select("key", "row", "node", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("key", "row", "node", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), "least_row", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def link(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -272,18 +274,20 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``df`` with one row of each class, that with the smallest key; rows that link with nothing stay."""
+    """``df`` with one row of each class, that with the smallest key (of these, the smallest text hash); rows that link
+    with nothing stay."""
     found = _linked(df, key, text, size, threshold, recall)
     found = stored(found, df.count(), TABLE_ROWS)
-    gone = found.filter(~F.col("key").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_key"), F.col("row").alias("_row")).distinct()
-    named = found.filter(F.col("node").isNotNull() & F.col("key").eqNullSafe(F.col("class_id")))
+    first = F.col("key").eqNullSafe(F.col("class_id")) & (F.col("row") == F.col("least_row"))
+    name = [F.col("key").alias("_key"), F.col("row").alias("_hash")]
+    sound = found.filter("node is not null")
+    gone = sound.filter(~first).select(*name).distinct()
     rows = df.withColumn("_row", F.xxhash64(F.col(text)))
-    stay = rows.join(gone, rows[key].eqNullSafe(gone["_key"]) & (rows["_row"] == gone["_row"]), "left_anti")
-    tied = stored(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("_least")).filter("n > 1"), 0)
-    if not tied.isEmpty():  # rows that repeat the smallest key of their class: one of them stays
-        tied = tied.select(F.col("class_id").alias("_class"), "_least")
-        marked = stay.join(tied, stay[key].eqNullSafe(tied["_class"]), "left")
-        several = marked.filter(F.col("_class").isNotNull() & (F.col("_row") == F.col("_least"))).dropDuplicates([key, "_row"])
-        single = marked.filter(F.col("_class").isNull())
-        stay = single.unionByName(several)
+    same = lambda named: rows[key].eqNullSafe(named["_key"]) & (rows["_row"] == named["_hash"])
+    stay = rows.join(gone, same(gone), "left_anti")
+    tied = stored(sound.filter(first).groupBy(*name).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1"), 0)
+    if not tied.isEmpty():  # rows that repeat the first row of their class: one of them stays
+        marked = stay.join(tied, same(tied), "left")
+        several = marked.filter(F.col("_times").isNotNull()).dropDuplicates(["_key", "_hash"])
+        stay = marked.filter(F.col("_times").isNull()).unionByName(several)
     return stay.select(*[F.col(f"`{c}`") for c in df.columns])
