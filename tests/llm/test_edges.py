@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weekspan.llm import components, decontaminate, embeddings, jaccard, language, lm, packing, quality, sharding, substrings, warc
+from weekspan.llm import common, components, decontaminate, embeddings, jaccard, language, lm, packing, quality, sharding, substrings, warc
 from weekspan.session import scratch_path
 
 LONG = " ".join(f"word{i}" for i in range(30_000))
@@ -343,3 +343,48 @@ def test_word_counts_around_one_byte(spark):
     for i, n in enumerate((254, 255, 256, 300, 70_000, 1)):
         terms = n * np.log10(total + 0.1) + np.log10(1.1) + np.log10(len(rows) + 0.1) - (n + 2) * np.log10(size + 0.1 * (distinct + 1))
         assert found[i].base_score == pytest.approx(terms, rel=1e-12) and found[i].n_tokens == found[i].n_known == n + 2
+
+
+def test_common_words_are_counted_apart(spark, monkeypatch):
+    """A word of most documents goes into no bucket, and the base scores stay those of the definition."""
+    rows = [(i, f"hot {'hot ' * (i % 3)}w{i % 40} v{i}") for i in range(120)] + [(3, "hot w3 v3"), (3, "hot w3 v3"), (500, None), (None, "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = F.col("doc_id") % 10 == 0
+    monkeypatch.setattr(common, "COMMON", 60)
+    monkeypatch.setattr(common, "HITS", 60)
+    found = sorted([tuple(r)[:6] for r in lm.score(df, held, steps=1).collect()], key=repr)
+    marked = df.select(F.col("doc_id").alias(lm.KEY), F.coalesce(held, F.lit(False)).alias(lm.HELD), F.xxhash64("doc_id", "text").alias(lm.ROW), F.coalesce("text", F.lit("")).alias("text"))
+    words, often = lm._common_words(marked, len(rows))
+    entries = lm._entries(marked, 4, spark.sparkContext.broadcast((words, often))).collect()
+    times = {}
+    for k, t in rows:
+        for w in [*(t or "").lower().split(), 0] if k is None or k % 10 else []:
+            times[w] = times.get(w, 0) + 1
+    assert list(often) == [times["hot"]]
+    assert not any(words[0] in np.frombuffer(bytes(r.hashes), "<u8") for r in entries)
+    total, n = sum(times.values()), len(times)
+    want = []
+    for k, t in rows:
+        every = [*(t or "").lower().split(), 0]
+        score = sum(np.log10(times.get(w, 0) + 0.1) - np.log10(total + 0.1 * (n + 1)) for w in every)
+        want.append((k, k is not None and k % 10 == 0, len(every), sum(w in times for w in every), total, score))
+    for a, b in zip(found, sorted(want, key=repr), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9)
+
+
+@pytest.mark.parametrize("bits", [40, 6])
+def test_common_passages_are_marked_apart(spark, monkeypatch, bits):
+    """Windows of most documents go into no bucket, and the words removed stay those of the definition."""
+    monkeypatch.setattr(common, "COMMON", 40)
+    monkeypatch.setattr(common, "HITS", 40)
+    random.seed(4)
+    base = [f"p{i}" for i in range(40)]
+    rows = [(random.choice([i, i // 2, None]), " ".join([f"a{i}", *base[: random.choice([40, 40, 30, 5])], f"b{i % 9}", *base[3:20]])) for i in range(100)] + [(7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.remove_repeats(df, digest=True, edge_bits=bits).collect()
+    assert sorted([tuple(r) for r in found], key=repr) == _without_repeats(rows)
+    names = substrings.Edges(4, bits)
+    keyed = df.select(F.coalesce("doc_id", F.lit(substrings.LAST_KEY)).alias(substrings.KEY), F.xxhash64("doc_id", "text").alias(substrings.ROW), "text")
+    apart = substrings._common_edges(keyed, "text", names, len(rows))
+    blocks = substrings._edges(keyed, "text", names, spark.sparkContext.broadcast(apart)).collect()
+    assert len(apart[0]) and not any(np.isin(substrings.Edges.whole(r.bucket, substrings.from_bytes(bytes(r.edges))), apart[0]).any() for r in blocks)

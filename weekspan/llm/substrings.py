@@ -6,8 +6,9 @@ the next edge is not repeated or has another colour, that is at every branching
 of words is one row per document instead of thousands.
 
 1. One scan hashes all windows and deals (hash, document) into buckets by hash, packed into byte blocks that hold a pair
-   once per document. A bucket has about ``EDGES`` pairs however large the table is, so memory is bounded; a passage in a
-   third of all documents is one pair per document in each of its buckets.
+   once per document. A bucket has about ``EDGES`` pairs however large the table is. More buckets do not split an edge,
+   so edges of very many documents (``common``) go into none: their smallest and largest key and colour are computed by
+   map-side sums over all documents, and this list of bounded length is broadcast to where documents are cut.
 2. Each bucket finds its repeated edges and sends (document, edge, colour, later) back to the document; ``later`` says
    that a document with a smaller key holds the edge as well.
 3. Documents meet their edges, form paths with the source coordinates (key, first word) and a 128-bit digest of the
@@ -34,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekspan.llm.textbatch import NOT_SPACE, Words, batch_column, buckets_for, mix, packed, slices, squeezed, text_volume, tidy
+from weekspan.llm import common
+from weekspan.llm.textbatch import NOT_SPACE, Texts, Words, batch_column, buckets_for, mix, packed, slices, squeezed, text_volume, tidy
 from weekspan.session import durable
 
 WINDOW = 13
@@ -84,20 +86,78 @@ def _cuts(sorted_codes: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, sorted_codes[1:] != sorted_codes[:-1])), len(sorted_codes))
 
 
-def _edges(rows: DataFrame, text: str, names: Edges) -> DataFrame:
-    """Blocks of (edge, document) pairs by bucket; a document is a number into the block's lists of keys."""
+def _windows(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    words = texts.words(NOT_SPACE)
+    where, hashes = words.windows(WINDOW)
+    return hashes, words.documents()[where]
+
+
+def _whole(names: Edges, hashes: np.ndarray) -> np.ndarray:
+    return Edges.whole(names.bucket(hashes), names.stored(hashes))
+
+
+def _common_edges(rows: DataFrame, text: str, names: Edges, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of very many documents, sorted, with the smallest and the largest key and the colour of each."""
+
+    def values(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        hashes, owner = _windows(texts)
+        return _whole(names, hashes), owner
+
+    edges = common.candidates(rows, text, count, values)
+    least, most, colour = np.full(len(edges), LAST_KEY), np.full(len(edges), -LAST_KEY - 1), np.zeros(len(edges), np.uint64)
+    if not len(edges):
+        return edges, least, most, colour
+    known = rows.sparkSession.sparkContext.broadcast(edges)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, sums = np.full(len(known.value), LAST_KEY), np.full(len(known.value), -LAST_KEY - 1), np.zeros(len(known.value), np.uint64)
+        for batch in batches:
+            keys, row_keys = batch_column(batch, KEY).to_numpy(), batch_column(batch, ROW).to_numpy()
+            for first, last, texts in slices(batch_column(batch, text), rows=60_000):
+                hashes, owner = _windows(texts)
+                found = common.places(known.value, _whole(names, hashes))[1]
+                hashes, owner = common.once(hashes[found], owner[found])  # as in _edges, once per hash and document
+                at = common.places(known.value, _whole(names, hashes))[0]
+                order = np.argsort(at, kind="stable")
+                at, owner = at[order], owner[order]
+                if len(at):
+                    starts = _cuts(at)[:-1]
+                    key = keys[first:last][owner]
+                    at = at[starts]
+                    low[at], high[at] = np.minimum(low[at], np.minimum.reduceat(key, starts)), np.maximum(high[at], np.maximum.reduceat(key, starts))
+                    sums[at] += np.add.reduceat(mix(row_keys[first:last][owner].view(np.uint64)), starts)
+        at = np.flatnonzero(low <= high)
+        halves = [(sums[at] & np.uint64(0xFFFFFFFF)).astype(np.int64), (sums[at] >> np.uint64(32)).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at.astype(np.int64), low[at], high[at], *halves)], ["at", "least", "most", "lower", "upper"])
+
+    found = rows.select(KEY, ROW, text).mapInArrow(tidy(tally), "at long, least long, most long, lower long, upper long")
+    total = found.groupBy("at").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("lower").alias("lower"), F.sum("upper").alias("upper")).toArrow()
+    at, low, high, lower, upper = (total.column(n).to_numpy() for n in ("at", "least", "most", "lower", "upper"))
+    least[at], most[at], colour[at] = low, high, lower.astype(np.uint64) + (upper.astype(np.uint64) << np.uint64(32))
+    return edges, least, most, colour
+
+
+def _mark(colour: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """The upper bits of a colour with the ``later`` bit."""
+    return (colour >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | later.astype(np.uint32)
+
+
+def _edges(rows: DataFrame, text: str, names: Edges, apart) -> DataFrame:
+    """Blocks of (edge, document) pairs by bucket, without the edges of the broadcast ``apart``; a document is a number
+    into the block's lists of keys."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch_column(batch, KEY).to_numpy()
             row_keys = batch_column(batch, ROW).to_numpy()
             for first, last, texts in slices(batch_column(batch, text), rows=60_000):
-                words = texts.words(NOT_SPACE)
-                where, hashes = words.windows(WINDOW)
-                if not len(where):
+                hashes, owner = _windows(texts)
+                left = ~common.places(apart.value[0], _whole(names, hashes))[1]
+                hashes, owner = hashes[left], owner[left]
+                if not len(hashes):
                     continue
                 order = np.argsort(hashes, kind="stable")
-                hashes, owner = hashes[order], words.documents()[where][order]
+                hashes, owner = hashes[order], owner[order]
                 once = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))
                 hashes, owner = hashes[once], owner[once]
                 bucket = names.bucket(hashes)
@@ -144,7 +204,7 @@ def _repeated(blocks: DataFrame, groups: int) -> DataFrame:
             colour = np.add.reduceat(mix(row_key.view(np.uint64)), cuts[:-1])
             shared = np.repeat(least < most, sizes)
             later = key > np.repeat(least, sizes)
-            mark = (np.repeat(colour, sizes) >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | later.astype(np.uint32)
+            mark = _mark(np.repeat(colour, sizes), later)
             edge, row_key, mark = edge[shared], row_key[shared], mark[shared]
         else:
             mark = np.zeros(0, np.uint32)
@@ -181,7 +241,7 @@ def _group_of(groups: int):
     return of
 
 
-def _cut_documents(kept: list[str], text: str, names: Edges, digest: bool, with_paths: bool):
+def _cut_documents(kept: list[str], text: str, names: Edges, digest: bool, with_paths: bool, apart):
     """Left: documents of a group; right: blocks of their repeated edges and, when cut again, of windows to leave in."""
 
     def run(documents: pa.Table, blocks: pa.Table) -> pa.Table:
@@ -200,20 +260,28 @@ def _cut_documents(kept: list[str], text: str, names: Edges, digest: bool, with_
         n_removed = np.zeros(documents.num_rows, np.int64)
         kept_out: list = [None] * documents.num_rows if digest else documents.column(text).to_pylist()
         paths: list = [[] for _ in range(documents.num_rows)] if with_paths else []
-        row_keys = documents.column(ROW).to_numpy()
+        row_keys, keys = documents.column(ROW).to_numpy(), documents.column(KEY).to_numpy()
+        often, least, most, often_colour = apart.value
         for first, last, texts in slices(documents.column(text)):
             words = texts.words(NOT_SPACE)
             n_words[first:last] = words.counts()
             where, hashes = words.windows(WINDOW)
             owner = words.documents()
-            edge = Edges.whole(names.bucket(hashes), names.stored(hashes))
+            edge = _whole(names, hashes)
             row = row_keys[first:last][owner[where]]
             wanted = _joint(row, edge)
-            at = np.minimum(np.searchsorted(joint, wanted), max(len(joint) - 1, 0))
-            found = np.flatnonzero(joint[at] == wanted) if len(joint) else np.zeros(0, np.int64)
+            at, here = common.places(joint, wanted)
+            marked = np.zeros(len(edge), np.uint32)
+            marked[here] = mark[at[here]]
+            at, shared = common.places(often, edge)
+            shared = np.flatnonzero(shared)
+            shared = shared[least[at[shared]] < most[at[shared]]]
+            at, here[shared] = at[shared], True
+            marked[shared] = _mark(often_colour[at], keys[first:last][owner[where[shared]]] > least[at])
+            found = np.flatnonzero(here)
             if len(unwanted):
                 found = found[~np.isin(_joint(row[found], hashes[found]), unwanted)]
-            colour, place = mark[at[found]], where[found]
+            colour, place = marked[found], where[found]
             later = (colour & np.uint32(1)).astype(bool)
             steps = np.zeros(len(words) + 1, np.int32)
             np.add.at(steps, place[later], 1)
@@ -321,26 +389,27 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", diges
     kept words with one space between them). With ``digest`` the texts are replaced by kept_sha256, the hash of the kept
     words with one space between them, and only the key column is kept."""
     names = [key] if digest else [c for c in df.columns if c not in (text, "n_words", "n_removed")]
-    volume = text_volume(df, text)[1]
+    count, volume = text_volume(df, text)
     edges = Edges(buckets_for(volume // WORD_BYTES, EDGES, LEAST_BUCKETS), edge_bits)
     groups = buckets_for(volume, DOCUMENT_BYTES, LEAST_BUCKETS)
     order_key = F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias(KEY)
     documents = df.select(*[F.col(f"`{c}`") for c in names], F.col(text), order_key, F.xxhash64(F.col(key), F.col(text)).alias(ROW))
-    hits = durable(_repeated(_edges(documents, text, edges), groups))
+    apart = df.sparkSession.sparkContext.broadcast(_common_edges(documents, text, edges, count))
+    hits = durable(_repeated(_edges(documents, text, edges, apart), groups))
     _release()
     spec = T.StructType([*documents.schema.fields, T.StructField(BUCKET, T.LongType())])
     dealt = documents.mapInArrow(tidy(_group_of(groups)), spec)
     kept = [*names, KEY, ROW]
     result = T.StructType([*[documents.schema[c] for c in kept], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256" if digest else text, T.StringType())])
     with_paths = T.StructType([*result.fields, T.StructField("_paths", T._parse_datatype_string(PATH_TYPE))])
-    found = durable(dealt.groupBy(BUCKET).cogroup(hits.groupBy(BUCKET)).applyInArrow(tidy(_cut_documents(kept, text, edges, digest, True)), with_paths))
+    found = durable(dealt.groupBy(BUCKET).cogroup(hits.groupBy(BUCKET)).applyInArrow(tidy(_cut_documents(kept, text, edges, digest, True, apart)), with_paths))
     _release()
     failed = _failed(found, documents, text)
     if failed is not None:  # practically only with colliding hashes
         again = failed.select(ROW).distinct()
         redo = dealt.join(again, ROW, "left_semi").select(dealt.columns)
         known = hits.unionByName(_left_in(failed, groups))
-        redone = redo.groupBy(BUCKET).cogroup(known.groupBy(BUCKET)).applyInArrow(tidy(_cut_documents(kept, text, edges, digest, False)), result)
+        redone = redo.groupBy(BUCKET).cogroup(known.groupBy(BUCKET)).applyInArrow(tidy(_cut_documents(kept, text, edges, digest, False, apart)), result)
         found = found.drop("_paths").join(again, ROW, "left_anti").select(result.names).unionByName(redone)
     counts = ["n_words", "n_removed"]
     columns = [key, *counts, "kept_sha256"] if digest else [*[c for c in df.columns if c not in counts], *counts]
