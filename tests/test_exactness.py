@@ -313,3 +313,15 @@ def test_silhouette_covers_every_row(spark):
     assert got[450] == 0.0
     many = spark.range(6_001).selectExpr("id", "cast(id % 3 as int) as cluster", "array(cast(id % 7 as double), cast(id % 3 as double)) as vector")
     assert C.silhouette_rows(many, "id", "cluster").count() == 6_001
+
+
+def test_cluster_queries_run_the_full_settings(monkeypatch):
+    from weekspan.catalog import clusters
+
+    calls = []
+    monkeypatch.setattr(clusters, "vectors", lambda *a: "vectors")
+    monkeypatch.setattr(clusters, "durable", lambda df: df)
+    for name in ("kmeans_k_sweep", "spectral_k_diagnostics"):
+        monkeypatch.setattr(clusters.C, name, lambda *a, **options: calls.append((a, options)))
+        getattr(clusters, name)(None, "")
+    assert calls == [(("vectors", "vec_id", range(2, 9)), {})] * 2

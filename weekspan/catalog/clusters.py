@@ -16,6 +16,7 @@ from weekspan.sources import star
 
 METHODS = ["spectral_eucl", "kmeans_flat", "kmeans_eucl"]
 LANDMARKS = 40
+KS = range(2, 9)
 
 
 def vectors(spark, folder):
@@ -74,24 +75,24 @@ def silhouette_exact(spark, folder):
 
 @query("spectral_landmark", "vec_id:i cluster:i")
 def spectral_landmark(spark, folder):
-    labelled, _ = C.run_spectral(durable(vectors(spark, folder)), "vec_id", 4, restarts=2, count=100)
+    labelled, _ = C.run_spectral(durable(vectors(spark, folder)), "vec_id", 4)
     return labelled.drop("embedding")
 
 
 @query("spectral_pic", "row:i cluster:i")
 def spectral_pic(spark, folder):
     similarity = C.rbf_similarity(vectors(spark, folder), "vec_id", LANDMARKS, base_gamma=10.0)
-    return C.run_power_iteration(durable(similarity), 4, iterations=10)
+    return C.run_power_iteration(durable(similarity), 4)
 
 
 @query("spectral_k_diagnostics", "k:i silhouette:d eigenvalue:d eigengap:d")
 def spectral_k_diagnostics(spark, folder):
-    return C.spectral_k_diagnostics(durable(vectors(spark, folder)), "vec_id", range(2, 5), restarts=1, count=100)
+    return C.spectral_k_diagnostics(durable(vectors(spark, folder)), "vec_id", KS)
 
 
 @query("kmeans_k_sweep", "k:i silhouette:d inertia:d")
 def kmeans_k_sweep(spark, folder):
-    return C.kmeans_k_sweep(durable(vectors(spark, folder)), "vec_id", range(2, 6), restarts=2)
+    return C.kmeans_k_sweep(durable(vectors(spark, folder)), "vec_id", KS)
 
 
 @query("kmeans_trajectories", "representation:s cluster:i n_sequences:i n_users:i dropout_point_rate:d share_sequences:d")
@@ -109,7 +110,7 @@ def kmeans_trajectories(spark, folder):
     }
     out = None
     for name, view in shapes.items():
-        labelled, _ = C.run_kmeans(view.persist(), 4, restarts=1)
+        labelled, _ = C.run_kmeans(view.persist(), 4)
         part = C.trajectory_overview(labelled, "cluster").withColumn("representation", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
@@ -123,7 +124,7 @@ def stage1_vectors(spark, folder):
 
 @query("gmm_profiles", "cluster:i n_users:i continuation_rate:d dropout_rate:d share_users:d")
 def gmm_profiles(spark, folder):
-    return C.cluster_overview(C.run_gaussian_mixture(stage1_vectors(spark, folder), 3, iterations=5), "cluster")
+    return C.cluster_overview(C.run_gaussian_mixture(stage1_vectors(spark, folder), 3), "cluster")
 
 
 @query("hierarchical_profiles", "cluster:i n_users:i continuation_rate:d dropout_rate:d share_users:d")
