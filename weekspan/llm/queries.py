@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekspan.llm import lm, quality, sql
+from weekspan.llm import filters, lm, negatives, quality, sql
 from weekspan.llm.decontaminate import scan
 from weekspan.llm.embeddings import near_duplicates
 from weekspan.llm.jaccard import link
@@ -77,6 +77,18 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_filters(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels")
+    marks = labels.select(F.col("doc_id").alias("key"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return filters.audit(filters.fail_masks(table(spark, folder, "documents")), marks, ["good", "toxic"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -88,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_sharding": op9_sharding,
     "op10_embeddings": op10_embeddings,
+    "op11_negatives": op11_negatives,
+    "op12_filters": op12_filters,
 }
 
 

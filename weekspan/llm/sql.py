@@ -141,4 +141,62 @@ degrees as (select a as r, count(*) as n from links group by a)
 select doc_id, class_id, cast(coalesce(n, 0) as bigint) as n_links from docs join classes using (r) left join degrees using (r)
 """
 
-ORACLES: dict[str, str] = {"op3_jaccard": OP3, "op4_warc": OP4, "op5_decontamination": OP5, "op8_substrings": OP8, "op9_sharding": OP9, "op10_embeddings": OP10}
+OP11 = """
+with rows_in as materialized (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as materialized (
+  select a.r as anchor, a.vec_id as anchor_id, b.r, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from rows_in a join rows_in b on a.vec_id % 100 = 0 and a.r <> b.r and len(a.v) = len(b.v)
+),
+positives as materialized (
+  select * from scored where same qualify row_number() over (partition by anchor order by score desc, vec_id nulls last, r) <= 5
+),
+hits as (
+  select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.anchor, p.r order by n.score desc, n.vec_id nulls last, n.r) as rank,
+    n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+  from positives p join scored n on p.anchor = n.anchor and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from hits where rank <= 10
+"""
+
+OP12 = r"""
+with recursive docs as materialized (
+  select row_number() over () as r, doc_id, coalesce(source, '') as part, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    min(doc_id) over (partition by coalesce(text, '')) as first
+  from documents
+),
+failing as materialized (
+  select r, doc_id, part, unnest(['A', 'B', 'C', 'D', 'E']) as f,
+    unnest([len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body), regexp_matches(body, '[#$%&*|]'), coalesce(doc_id > first, false)]) as fails
+  from docs
+),
+marks as (select doc_id, max(coalesce(quality = 1, false)) as good, max(coalesce(toxic = 1, false)) as toxic from labels where doc_id is not null group by doc_id),
+sets as materialized (select r, doc_id, part, coalesce(string_agg(f, '' order by f) filter (fails), '') as failed from failing group by r, doc_id, part),
+kinds as materialized (
+  select part, failed, count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic
+  from sets left join marks using (doc_id) group by part, failed
+),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+orders(o) as (select c from letters union all select o || c from orders, letters where not contains(o, c)),
+steps as (select o as filter_order, unnest(range(1, 6)) as step from orders where length(o) = 5),
+cells as materialized (
+  select part, filter_order, cast(step as int) as step, substr(filter_order, step, 1) as f,
+    sum(n) filter (length(translate(substr(filter_order, 1, step), failed, '')) = step) as kept,
+    sum(n) filter (contains(failed, substr(filter_order, step, 1)) and length(translate(substr(filter_order, 1, step - 1), failed, '')) = step - 1) as removed,
+    sum(n) filter (contains(failed, substr(filter_order, step, 1)) and length(translate(substr(filter_order, 1, step - 1), failed, '')) < step - 1) as redundant,
+    sum(n) filter (failed = substr(filter_order, step, 1)) as unique_fails,
+    sum(n_good) filter (contains(failed, substr(filter_order, step, 1)) and length(translate(substr(filter_order, 1, step - 1), failed, '')) = step - 1) as good_lost,
+    sum(n_toxic) filter (contains(failed, substr(filter_order, step, 1)) and length(translate(substr(filter_order, 1, step - 1), failed, '')) = step - 1) as toxic_lost
+  from kinds, steps group by part, filter_order, step
+)
+select part, filter_order, step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed, cast(coalesce(redundant, 0) as bigint) as redundant,
+  cast(coalesce(unique_fails, 0) as bigint) as unique_fails, cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost,
+  cast(coalesce(sum(removed) over (partition by part, f), 0) as bigint) as shapley
+from cells
+"""
+
+ORACLES: dict[str, str] = {"op3_jaccard": OP3, "op4_warc": OP4, "op5_decontamination": OP5, "op8_substrings": OP8, "op9_sharding": OP9, "op10_embeddings": OP10, "op11_negatives": OP11, "op12_filters": OP12}
