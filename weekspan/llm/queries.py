@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekspan.llm import filters, lm, negatives, quality, sql
+from weekspan.llm import filters, lm, negatives, pii, quality, sql
 from weekspan.llm.decontaminate import scan
 from weekspan.llm.embeddings import near_duplicates
 from weekspan.llm.jaccard import link
@@ -89,6 +89,16 @@ def op12_filters(spark: SparkSession, folder: str) -> DataFrame:
     return filters.audit(filters.fail_masks(table(spark, folder, "documents")), marks, ["good", "toxic"])
 
 
+def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find(documents, pii.learn(documents), kept=["doc_id"])
+    base = F.filter("pii", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.filter(base, lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("pii").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -102,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embeddings": op10_embeddings,
     "op11_negatives": op11_negatives,
     "op12_filters": op12_filters,
+    "op13_pii": op13_pii,
 }
 
 
