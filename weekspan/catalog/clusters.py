@@ -10,6 +10,7 @@ from weekspan.catalog.sequences import stage2
 from weekspan.operators import clusters as C
 from weekspan.operators import sampling
 from weekspan.operators import sequences as Q
+from weekspan.operators.ward import run_ward
 from weekspan.operators.features import BEHAVIOUR_FEATURES, STAGE1_FEATURES, STAGE1_GROUPS
 from weekspan.session import durable
 from weekspan.sources import star
@@ -39,20 +40,30 @@ def rbf_similarity(spark, folder):
     return C.rbf_similarity(vectors(spark, folder), "vec_id", LANDMARKS)
 
 
-EPSILON = "exp(-40 * power(list_distance(a.v, b.v), 2) / len(a.v))"
+SPREAD = 28.0  #: base gamma of the graphs: similarity one half at a cosine of about 0.2 between unit vectors of 64 values
 
 
 @query(
     "epsilon_graph",
-    "row:i landmark:i weight:d",
-    f"""select a.vec_id as row, b.vec_id as landmark, 1.0 as weight from vecs a
-        join (select * from vecs order by cast('0x' || substr(md5(vec_id || '|42'), 1, 8) as bigint), vec_id limit {LANDMARKS}) b
-        on {EPSILON} > 0.5""",
+    "row:i neighbour:i weight:d",
+    f"""select a.vec_id as row, b.vec_id as neighbour, 1.0 as weight from vecs a join vecs b
+        on exp(-{SPREAD} * power(list_distance(a.v, b.v), 2) / len(a.v)) > 0.5""",
     "vecs",
 )
 def epsilon_graph(spark, folder):
-    similarity = C.rbf_similarity(vectors(spark, folder), "vec_id", LANDMARKS, base_gamma=40.0)
-    return C.adjacency(similarity, "epsilon")
+    return C.epsilon_graph(vectors(spark, folder), "vec_id", base_gamma=SPREAD)
+
+
+@query(
+    "nearest_neighbours",
+    "key:i neighbour:i rank:i squared:d",
+    """select * from (select a.vec_id as key, b.vec_id as neighbour, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) as rank,
+       power(list_distance(a.v, b.v), 2) as squared from vecs a join vecs b on a.vec_id <> b.vec_id) where rank <= 5""",
+    "vecs",
+)
+def nearest_neighbours(spark, folder):
+    """The rows between which synthetic rows are placed."""
+    return C.nearest_neighbours(vectors(spark, folder), "vec_id", 5)
 
 
 @query(
@@ -70,6 +81,21 @@ def silhouette_exact(spark, folder):
     return C.silhouette_rows(vectors(spark, folder), "vec_id", "label")
 
 
+@query(
+    "silhouette_euclidean",
+    "vec_id:i label:i silhouette:d",
+    """with d as (select a.vec_id, a.label, b.label as other, sum(list_distance(a.v, b.v)) as total, count(*) as n
+                  from (select * from vecs order by cast('0x' || substr(md5(vec_id || '|42'), 1, 8) as bigint), vec_id limit 300) a cross join vecs b group by all),
+            s as (select vec_id, label, max(case when other = label then total / nullif(n - 1, 0) end) as inner_d, max(case when other = label then n end) as own,
+                         min(case when other <> label then total / n end) as outer_d from d group by all)
+       select vec_id, label, case when own = 1 or greatest(inner_d, outer_d) = 0 then 0 else (outer_d - inner_d) / greatest(inner_d, outer_d) end as silhouette from s""",
+    "vecs",
+)
+def silhouette_euclidean(spark, folder):
+    """A sample of rows, as the feature, each against all rows."""
+    return C.silhouette_euclidean(vectors(spark, folder), "vec_id", "label", 300)
+
+
 # --- partitions ----------------------------------------------------------------------------------------------------
 
 
@@ -90,6 +116,21 @@ def spectral_k_diagnostics(spark, folder):
     return C.spectral_k_diagnostics(durable(vectors(spark, folder)), "vec_id", KS)
 
 
+@query("spectral_graph", "row:i cluster:i")
+def spectral_graph(spark, folder):
+    """Eigenvectors of the complete epsilon graph, clustered."""
+    rows = vectors(spark, folder)
+    edges = durable(C.epsilon_graph(rows, "vec_id", base_gamma=SPREAD))
+    return C.run_spectral_graph(edges, rows.select(F.col("vec_id").alias("row")), 4)[0].drop("embedding")
+
+
+@query("spectral_graph_diagnostics", "k:i silhouette:d eigenvalue:d eigengap:d")
+def spectral_graph_diagnostics(spark, folder):
+    rows = vectors(spark, folder)
+    edges = durable(C.epsilon_graph(rows, "vec_id", base_gamma=SPREAD))
+    return C.spectral_graph_diagnostics(edges, rows.select(F.col("vec_id").alias("row")), KS)
+
+
 @query("kmeans_k_sweep", "k:i silhouette:d inertia:d")
 def kmeans_k_sweep(spark, folder):
     return C.kmeans_k_sweep(durable(vectors(spark, folder)), "vec_id", KS)
@@ -110,7 +151,7 @@ def kmeans_trajectories(spark, folder):
     }
     out = None
     for name, view in shapes.items():
-        labelled, _ = C.run_kmeans(view.persist(), 4)
+        labelled, _ = C.run_kmeans(durable(view.drop("seq")), 4)
         part = C.trajectory_overview(labelled, "cluster").withColumn("representation", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
@@ -127,6 +168,12 @@ def gmm_profiles(spark, folder):
     return C.cluster_overview(C.run_gaussian_mixture(stage1_vectors(spark, folder), 3), "cluster")
 
 
+@query("ward_profiles", "cluster:i n_users:i continuation_rate:d dropout_rate:d share_users:d")
+def ward_profiles(spark, folder):
+    """Bottom-up merging by Ward's cost, four clusters."""
+    return C.cluster_overview(run_ward(stage1_vectors(spark, folder), 4), "cluster")
+
+
 @query("hierarchical_profiles", "cluster:i n_users:i continuation_rate:d dropout_rate:d share_users:d")
 def hierarchical_profiles(spark, folder):
     return C.cluster_overview(C.run_hierarchical(stage1_vectors(spark, folder), 4), "cluster")

@@ -436,13 +436,24 @@ def chi_sql(method: str, attribute: str) -> str:
 
 
 cte("chi_rows", 'select *, spectral_eucl >= 2 as is_upper from clusters', "clusters")
-cte(
-    "chi",
-    """select method, attribute, case when (nr - 1) * (nc - 1) = 1 then yates else plain end as chi2, (nr - 1) * (nc - 1) as dof, n,
+def chi_table(tests) -> str:
+    return (
+        """select method, attribute, case when (nr - 1) * (nc - 1) = 1 then yates else plain end as chi2, (nr - 1) * (nc - 1) as dof, n,
        least(nr, nc) - 1 as smaller from ("""
-    + " union all ".join(chi_sql(m, a) for m, a in CHI_TESTS)
-    + ")",
-    "chi_rows",
+        + " union all ".join(chi_sql(m, a) for m, a in tests)
+        + ")"
+    )
+
+
+cte("chi", chi_table(CHI_TESTS), "chi_rows")
+cte("chi_all", chi_table([(m, a) for m in [*METHODS, "is_upper"] for a in [*ATTRIBUTES, "is_dropout_point"]]), "chi_rows")
+cte(
+    "chi_halves",
+    """select method, attribute, chi2, dof, chi2 / 2 as h,
+       list_reduce([chi2 / 2 + 400.5] || list_transform(range(1, 201), lambda k: cast(k as double)),
+                   lambda f, k: chi2 / 2 + 2 * (200 - k) + 0.5 - (201 - k) * (200.5 - k) / f) as fraction
+       from chi_all""",
+    "chi_all",
 )
 
 
@@ -466,7 +477,15 @@ def cramers_v(spark, folder):
     return chi_tests(spark, folder)
 
 
-@query("chi_square_p", "method:s attribute:s chi2:d dof:i p_value:d significant:b")
+#: P(X >= chi2): for odd dof the complementary error function by its continued fraction, then terms h^a exp(-h) / Gamma(a + 1).
+CHI_P = """select method, attribute, chi2, dof, p_value, p_value < 0.05 as significant from (
+    select method, attribute, chi2, dof, case when dof <= 0 or h <= 0 then 1.0 else least(1.0,
+        case when dof % 2 = 1 then sqrt(h / pi()) * exp(-h) / fraction else 0 end
+        + coalesce(list_sum(list_transform(range(0, dof // 2), lambda i: exp((i + (dof % 2) / 2.0) * ln(h) - h - lgamma(i + (dof % 2) / 2.0 + 1)))), 0)) end as p_value
+    from chi_halves)"""
+
+
+@query("chi_square_p", "method:s attribute:s chi2:d dof:i p_value:d significant:b", CHI_P, "chi_halves")
 def chi_square_p(spark, folder):
     return G.chi_square_test(chi_rows(spark, folder), [*METHODS, "is_upper"], [*ATTRIBUTES, "is_dropout_point"])
 

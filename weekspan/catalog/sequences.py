@@ -34,13 +34,15 @@ def weighted(cols: list[str], t: str = "t") -> str:
 
 
 def condensed(df, seq="seq", label="label", week="target_week", by="user_id"):
-    cells = df.select(by, F.col(label).alias("_y"), F.col(week).alias("_week"), F.posexplode(F.flatten(seq)).alias("i", "x"))
-    return cells.groupBy(by).agg(
-        F.count_if(F.col("i") == 0).alias("n_sequences"),
-        F.expr("sum(if(i = 0, _y, 0))").alias("n_positive"),
+    """Every value is weighted and summed inside its row; nothing is exploded."""
+    weighted_values = F.transform(F.flatten(seq), lambda x, i: x * (i % 97 + 1))
+    rows = df.select(by, F.col(label).alias("_y"), F.col(week).alias("_week"), F.aggregate(weighted_values, F.lit(0.0), lambda a, x: a + x).alias("_sum"))
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_sequences"),
+        F.sum("_y").alias("n_positive"),
         F.min("_week").alias("first_week"),
         F.max("_week").alias("last_week"),
-        F.expr(f"sum(x * (i % 97 + 1)) / {SCALE}").alias("checksum"),
+        F.expr(f"sum(_sum) / {SCALE}").alias("checksum"),
     )
 
 

@@ -7,13 +7,16 @@ equal to the plain window's; a key that owns a third of all rows is spread over
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekspan.functions.hashing import HASH_BITS, hash32
 
+SLICE_BITS = 12
+ROWS_A_SLICE = 200_000
+
 
 def _before(keys: Sequence[str], order: str) -> Window:
     scope = list(keys) or [F.lit(0)]
@@ -69,6 +72,82 @@ def hash_rank(
     )
 
 
+def _hash_cuts(hashed: DataFrame, by: Sequence[str], cuts: Callable[[tuple, int], Sequence[int]], rows_a_slice: int) -> dict[tuple, list[tuple[int, int, int]]]:
+    """For every stratum, the hash slice (first, end) in which each cut falls and how many rows of it lie before the cut.
+
+    A histogram of the leading hash bits finds the slices; those with more than ``rows_a_slice`` rows are divided again.
+    Counts per stratum and slice come to the driver: ``by`` is meant for label-like columns.
+    """
+
+    def histogram(bits: int, where: Column) -> dict[tuple, dict[int, int]]:
+        found: dict[tuple, dict[int, int]] = {}
+        for r in hashed.filter(where).groupBy(*by, F.shiftright("_hash", HASH_BITS - bits).alias("_slice")).count().collect():
+            found.setdefault(tuple(r)[: len(by)], {})[r["_slice"]] = r["count"]
+        return found
+
+    bits, out, open_cuts = SLICE_BITS, {}, []
+    for stratum, slices in histogram(bits, F.lit(True)).items():
+        out[stratum] = []
+        for place, rank in enumerate(cuts(stratum, sum(slices.values()))):
+            out[stratum].append((0, 0, 0))
+            open_cuts.append((stratum, place, rank, slices))
+    while open_cuts:
+        waiting = []
+        for stratum, place, rank, slices in open_cuts:
+            before = 0
+            for at in sorted(slices):
+                if before + slices[at] > rank:
+                    break
+                before += slices[at]
+            else:
+                out[stratum][place] = (1 << HASH_BITS, 1 << HASH_BITS, 0)  # all rows lie before the cut
+                continue
+            width = HASH_BITS - bits
+            out[stratum][place] = (at << width, at + 1 << width, rank - before)
+            if slices[at] > rows_a_slice and bits < HASH_BITS and 0 < rank - before:
+                waiting.append((stratum, place, rank - before, at))
+        if not waiting:
+            break
+        finer = min(bits + SLICE_BITS, HASH_BITS)
+        inside = F.lit(False)
+        for at in sorted({w[3] for w in waiting}):
+            inside = inside | (F.shiftright("_hash", HASH_BITS - bits) == at)
+        counts, step = histogram(finer, inside), finer - bits
+        open_cuts = [(stratum, place, rank, {x: n for x, n in counts[stratum].items() if x >> step == at}) for stratum, place, rank, at in waiting]
+        bits = finer
+    return out
+
+
+def hash_parts(
+    df: DataFrame, key: str | Sequence[str], seed: str | int, cuts: Callable[[tuple, int], Sequence[int]], by: Sequence[str] = (), out: str = "part", rows_a_slice: int = ROWS_A_SLICE
+) -> DataFrame:
+    """Number of cuts at or before every row's rank in hashed order within its stratum ``by``: 0 before the first cut.
+
+    ``cuts`` gives increasing ranks for a stratum and its number of rows; ``key`` must identify a row. Only the rows of the hash
+    slices in which a cut falls are ordered, one slice of at most about ``rows_a_slice`` rows per task.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    hashed = df.withColumn("_hash", hash32(keys, seed))
+    found = _hash_cuts(hashed, by, cuts, rows_a_slice)
+    limits = F.array().cast("array<struct<first:bigint,end:bigint,need:bigint>>")
+    for stratum, places in found.items():
+        here = F.lit(True)
+        for c, v in zip(by, stratum, strict=True):
+            here = here & F.col(c).eqNullSafe(F.lit(v))
+        listed = F.array(*[F.struct(F.lit(a).cast("long").alias("first"), F.lit(b).cast("long").alias("end"), F.lit(n).cast("long").alias("need")) for a, b, n in places])
+        limits = F.when(here, listed.cast("array<struct<first:bigint,end:bigint,need:bigint>>")).otherwise(limits)
+    placed = hashed.withColumn("_cuts", limits)
+    h = F.col("_hash")
+    met = F.filter("_cuts", lambda c: (h >= c["first"]) & (h < c["end"]))
+    cut = placed.withColumn("_slice", F.get(met, 0)["first"])
+    plain = cut.filter("_slice is null").withColumn(out, F.size(F.filter("_cuts", lambda c: h >= c["end"])))
+    inner = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_hash", *keys)) - 1
+    ranked = cut.filter("_slice is not null").withColumn("_inner", inner)
+    passed = F.filter("_cuts", lambda c: (h >= c["end"]) | ((h >= c["first"]) & (F.col("_inner") >= c["need"])))
+    ranked = ranked.withColumn(out, F.size(passed)).drop("_inner")
+    return plain.unionByName(ranked).drop("_hash", "_cuts", "_slice")
+
+
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str, width: float, out: str) -> DataFrame:
     """Exact median per key of a value with a bounded range, by counting buckets of ``width`` first.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,9 @@ from weekspan.functions.arrays import bind, reorder_weeks, swap_positions, zero_
 from weekspan.functions.hashing import gaussian, uniform
 from weekspan.functions.ordered import hash_rank
 from weekspan.functions.quantiles import exact_medians
+from weekspan.operators.neighbours import nearest_neighbours
 from weekspan.operators.sampling import SEED, class_counts, stratified_cap
+from weekspan.session import durable
 
 BETA_ATTEMPTS = 12
 
@@ -100,12 +102,42 @@ def mixup(
 
 
 def column_spread(df: DataFrame, values: str, width: int, min_distinct: int = 50) -> list[float]:
-    """Population deviation of every position with at least ``min_distinct`` distinct values, else 0."""
-    cells = df.select(F.posexplode(values).alias("pos", "v")).filter(F.col("v").isNotNull())
-    distinct = cells.groupBy("pos", "v").agg(F.count(F.lit(1)).alias("_n")).groupBy("pos").agg(F.count(F.lit(1)).alias("d"))
-    wide = {r["pos"] for r in distinct.filter(F.col("d") >= min_distinct).collect()}
-    row = df.agg(*[F.stddev_pop(F.col(values)[i]).alias(str(i)) for i in range(width)]).first()
-    return [float(row[str(i)] or 0.0) if i in wide else 0.0 for i in range(width)]
+    """Population deviation of every position with at least ``min_distinct`` distinct values, else 0; nulls do not count.
+
+    Tasks keep at most ``min_distinct`` distinct values per position, and count, mean and squared deviations; one row per
+    task and position is merged.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [np.zeros(0) for _ in range(width)]
+        n, mean, squares = np.zeros(width), np.zeros(width), np.zeros(width)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+            for i in range(width):
+                column = x[~np.isnan(x[:, i]), i]
+                if not len(column):
+                    continue
+                if len(seen[i]) < min_distinct:
+                    seen[i] = np.unique(np.concatenate([seen[i], column]))[:min_distinct]
+                more, centre = len(column), column.mean()
+                squares[i] += ((column - centre) ** 2).sum() + (centre - mean[i]) ** 2 * n[i] * more / (n[i] + more)
+                mean[i] += (centre - mean[i]) * more / (n[i] + more)
+                n[i] += more
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(mean[at]), pa.array(squares[at]), pa.array([seen[i] for i in at], pa.list_(pa.float64()))], ["pos", "n", "mean", "squares", "seen"]
+        )
+
+    parts = df.filter(F.col(values).isNotNull()).select(F.col(values).cast("array<double>").alias("x")).mapInArrow(tally, "pos int, n double, mean double, squares double, seen array<double>")
+    merged = parts.groupBy("pos").agg(F.collect_list(F.struct("n", "mean", "squares")).alias("parts"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("distinct"))
+    out = [0.0] * width
+    for r in merged.filter(F.col("distinct") >= min_distinct).collect():  # a row per position
+        n, mean, squares = (np.array([p[c] for p in r["parts"]]) for c in ("n", "mean", "squares"))
+        centre = (n * mean).sum() / n.sum()
+        out[r["pos"]] = float(np.sqrt((squares.sum() + (n * (mean - centre) ** 2).sum()) / n.sum()))
+    return out
 
 
 def continuous_noise(
@@ -141,33 +173,6 @@ def masking(
     return _append(df, extra)
 
 
-def nearest_rows(df: DataFrame, k: int, values: str = "x", rank: str = "rank") -> DataFrame:
-    """Exact k nearest other rows of every row, as ranks, for a table of bounded size.
-
-    The rows are broadcast once and every task compares its own share against them block by block.
-    """
-    local = df.select(rank, values).toPandas().sort_values(rank)
-    matrix = np.stack(local[values].to_numpy())
-    ranks = local[rank].to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast((ranks, matrix, (matrix**2).sum(axis=1)))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_ranks, points, norms = shared.value
-        for batch in batches:
-            mine = np.stack(batch[values].to_numpy())
-            found = []
-            for start in range(0, len(mine), 256):
-                block = mine[start : start + 256]
-                distance = norms[None, :] - 2 * block @ points.T
-                own = batch[rank].to_numpy()[start : start + 256]
-                distance[own[:, None] == all_ranks[None, :]] = np.inf
-                near = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                found.extend(all_ranks[near].tolist())
-            yield pd.DataFrame({rank: batch[rank], "near": found})
-
-    return df.select(rank, values).mapInPandas(search, f"{rank} long, near array<long>")
-
-
 def smote(
     df: DataFrame, key: Sequence[str], label: str, values: str = "x", max_samples: int = 200_000, k: int = 5, seed=SEED
 ) -> DataFrame:
@@ -183,8 +188,8 @@ def smote(
     for value, n in sorted(counts.items()):
         if n == top:
             continue
-        members = _ranked(subset.filter(F.col(label) == value), key, seed)
-        near = nearest_rows(members.repartition("rank"), k, values)
+        members = durable(_ranked(subset.filter(F.col(label) == value), key, seed))
+        near = nearest_neighbours(members, "rank", k, values).select(F.col("key").alias("rank"), (F.col("rank") - 1).alias("_slot"), F.col("neighbour").alias("_other"))
         draws = (
             _draws(df, top - n)
             .withColumn("rank", _pick(["draw"], f"{seed}|base", F.lit(n)))
@@ -195,8 +200,7 @@ def smote(
         u = F.col("_u")
         made = (
             draws.join(members, "rank")
-            .join(near, "rank")
-            .withColumn("_other", F.get("near", F.col("_slot")))
+            .join(near, ["rank", "_slot"])
             .join(other, "_other")
             .withColumn(values, F.zip_with(values, "_b", lambda a, b: a + u * (b - a)))
             .select(*key, label, values, "draw")

@@ -1,16 +1,18 @@
 """Clustering of vectors and trajectories, its diagnostics, and descriptive tables of the clusters.
 
-Nothing here builds an all-pairs matrix. Similarities are taken to a chosen number of landmark rows, which are
-broadcast, so the graphs are landmark graphs; silhouettes need only the sums of each cluster and cover every row.
+Nothing here builds an all-pairs matrix. Landmark similarities are taken to a chosen number of rows, which are broadcast;
+the epsilon graph holds the edges between all rows, found by a join within a radius; silhouettes need only the sums of
+each cluster and cover every row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +20,12 @@ from pyspark.sql import functions as F
 
 from weekspan.functions.arrays import flatten_sequence, l2_normalize, mean_over_time
 from weekspan.functions.hashing import hash32
+from weekspan.operators.kmeans import assign, joint_kmeans, pack, silhouette_values, silhouettes, squared_distances
+from weekspan.operators.neighbours import near_pairs, nearest_neighbours
 from weekspan.operators.profile import unpivot
 from weekspan.operators.sampling import SEED, fit_scaler, hash_sample
+from weekspan.operators.spectral import graph_embedding
+from weekspan.session import durable
 
 EDGE_SIMILARITY = 0.5
 
@@ -82,6 +88,21 @@ def adjacency(similarity: DataFrame, connectivity: str = "full") -> DataFrame:
     raise ValueError(f"unknown connectivity: {connectivity}")
 
 
+def epsilon_graph(df: DataFrame, key: str, values: str = "vector", base_gamma: float = 1.0) -> DataFrame:
+    """(row, neighbour, weight 1) wherever the similarity exp(-gamma d^2), gamma = base / width, exceeds one half.
+
+    All rows, both directions and every row with itself; the pairs come from an exact join within the radius at which the
+    similarity is one half.
+    """
+    first = df.filter(F.col(values).isNotNull()).select(F.size(values)).first()
+    gamma = base_gamma / max(first[0] if first else 1, 1)
+    found = near_pairs(df, key, math.sqrt(math.log(1 / EDGE_SIMILARITY) / gamma), values)
+    pairs = durable(found.filter(F.exp(-F.lit(gamma) * F.col("squared")) > EDGE_SIMILARITY).select("a", "b"))
+    both = F.explode(F.array(F.struct(F.col("a").alias("row"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("row"), F.col("a").alias("neighbour"))))
+    own = df.filter(F.col(values).isNotNull()).select(F.col(key).cast("long").alias("row")).withColumn("neighbour", F.col("row"))
+    return pairs.select(both.alias("e")).select("e.*").unionByName(own).withColumn("weight", F.lit(1.0))
+
+
 def spectral_embedding(
     df: DataFrame, key: str, components: int, count: int = 200, values: str = "vector", base_gamma: float = 1.0, seed=SEED
 ) -> tuple[DataFrame, np.ndarray]:
@@ -141,17 +162,9 @@ def _as_vectors(df: DataFrame, values: str) -> DataFrame:
 
 
 def run_kmeans(df: DataFrame, k: int, values: str = "vector", restarts: int = 10, seed: int = SEED, out: str = "cluster"):
-    """Best of several seeded K-Means runs by cost; returns the labelled table and that cost.
-
-    The table is read by every run: pass a stored one.
-    """
-    data = _as_vectors(df, values)
-    best = None
-    for r in range(restarts):
-        model = KMeans(k=k, seed=seed + r, featuresCol="_vector", predictionCol=out).fit(data)
-        if best is None or model.summary.trainingCost < best[0]:
-            best = (model.summary.trainingCost, model)
-    return best[1].transform(data).drop("_vector"), best[0]
+    """Best of several seeded K-Means runs by cost; returns the labelled table and that cost."""
+    best = joint_kmeans(df, [k], values, restarts, seed)[0]
+    return assign(df, best.centres, values, out), best.cost
 
 
 def run_gaussian_mixture(df: DataFrame, k: int, values: str = "vector", seed: int = SEED, out: str = "cluster", iterations: int = 100):
@@ -184,10 +197,38 @@ def run_power_iteration(similarity: DataFrame, k: int, iterations: int = 20, see
 def run_spectral(df: DataFrame, key: str, k: int, restarts: int = 10, seed: int = SEED, out: str = "cluster", **options):
     """Landmark embedding in k coordinates followed by K-Means; returns labels and Laplacian eigenvalues."""
     embedded, eigenvalues = spectral_embedding(df, key, k, seed=seed, **options)
-    labelled, _ = run_kmeans(embedded.persist(), k, "embedding", restarts, seed, out)
+    labelled, _ = run_kmeans(durable(embedded), k, "embedding", restarts, seed, out)
     return labelled, eigenvalues
 
 
+def run_spectral_graph(edges: DataFrame, nodes: DataFrame, k: int, restarts: int = 10, seed: int = SEED, out: str = "cluster"):
+    """K-Means on the first k eigenvectors of a graph of any rows; returns (row, embedding, label) and k + 1 eigenvalues.
+
+    ``edges`` has row, neighbour and weight in both directions, ``nodes`` every row.
+    """
+    embedded, eigenvalues = graph_embedding(edges, nodes, k + 1)
+    labelled, _ = run_kmeans(durable(embedded.withColumn("embedding", F.slice("embedding", 1, k))), k, "embedding", restarts, seed, out)
+    return labelled, eigenvalues
+
+
+def spectral_graph_diagnostics(edges: DataFrame, nodes: DataFrame, ks: Sequence[int], restarts: int = 10, seed: int = SEED) -> DataFrame:
+    """Silhouette on the embedding per k, with the Laplacian eigenvalue and gap at that position."""
+    embedded, eigenvalues = graph_embedding(edges, nodes, max(ks) + 1)
+    return _diagnose(embedded, eigenvalues, ks, restarts, seed)
+
+
+def _diagnose(embedded: DataFrame, eigenvalues: np.ndarray, ks: Sequence[int], restarts: int, seed: int) -> DataFrame:
+    """The first k coordinates clustered for every k; all runs share the scans of the embedding."""
+    ks = [k for k in ks if k <= len(eigenvalues)]
+    blocks = pack(embedded, "embedding")
+    runs = joint_kmeans(embedded, ks, "embedding", restarts, seed, blocks=blocks, widths=ks)
+    rows = []
+    for r, score in zip(runs, silhouettes(blocks, runs), strict=True):
+        gap = float(eigenvalues[r.k] - eigenvalues[r.k - 1]) if r.k < len(eigenvalues) else None
+        rows.append((r.k, score, float(eigenvalues[r.k - 1]), gap))
+    return embedded.sparkSession.createDataFrame(rows, "k int, silhouette double, eigenvalue double, eigengap double")
+
+
 # --- diagnostics ---------------------------------------------------------------------------------------------------
 
 
@@ -213,33 +254,63 @@ def silhouette_rows(df: DataFrame, key: str, cluster: str, values: str = "vector
                 continue
             block = np.stack(batch[values].to_numpy()).astype(float)
             own = batch[cluster].map(place).to_numpy()
-            at = np.arange(len(batch))
-            lengths = (block**2).sum(axis=1)[:, None]
-            totals = np.maximum(lengths * n - 2 * block @ s.T + q, 0.0)
-            totals[totals < 1e-12 * (lengths * n + q)] = 0.0  # equal points up to rounding
-            inner = totals[at, own] / np.maximum(n[own] - 1, 1)
-            other = totals / n
-            other[at, own] = np.inf
-            nearest = other.min(axis=1)
-            top = np.maximum(inner, nearest)
-            plain = (n[own] <= 1) | (top == 0) | ~np.isfinite(top)
-            value = np.where(plain, 0.0, (nearest - inner) / np.where(plain, 1.0, top))
+            value = silhouette_values(block, own, n, s, q)
             yield pd.DataFrame({key: batch[key], cluster: batch[cluster], "silhouette": value})
 
     cluster_type = df.schema[cluster].dataType.simpleString()
     return rows.mapInPandas(score, f"{key} {df.schema[key].dataType.simpleString()}, {cluster} {cluster_type}, silhouette double")
 
 
+def silhouette_euclidean(df: DataFrame, key: str, cluster: str, count: int = 5_000, values: str = "vector", seed=SEED) -> DataFrame:
+    """Silhouette by Euclidean distance of ``count`` rows drawn by hashed key, each against all clustered rows.
+
+    The drawn rows are broadcast; tasks return their sums of distances to each cluster. The whole column would need every
+    distance between two rows; ``silhouette_rows`` covers all rows by squared distance.
+    """
+    rows = df.select(key, cluster, values).filter(F.col(cluster).isNotNull() & F.col(values).isNotNull())
+    drawn = hash_sample(rows, key, count, seed).collect()  # at most ``count`` rows
+    sizes = {r[0]: r[1] for r in rows.groupBy(cluster).count().collect()}  # one row per cluster
+    names = sorted(sizes, key=str)
+    place = {c: i for i, c in enumerate(names)}
+    points = np.array([r[values] for r in drawn], float).reshape(len(drawn), -1)
+    shared = df.sparkSession.sparkContext.broadcast(points)
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(names), len(drawn)))
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.iloc[start : start + 1024]
+                block = np.stack(part[values].to_numpy()).astype(float)
+                far = np.sqrt(squared_distances(block, shared.value))
+                np.add.at(total, part[cluster].map(place).to_numpy(), far)
+        yield pd.DataFrame({"i": np.arange(len(names)), "part": list(total)})
+
+    sums = np.zeros((len(names), len(drawn)))
+    if drawn:
+        parts = rows.mapInPandas(distances, "i int, part array<double>").groupBy("i").agg(Summarizer.sum(array_to_vector("part")).alias("s"))
+        for r in parts.collect():  # a row per cluster
+            sums[r["i"]] = r["s"].toArray()
+    n = np.array([sizes[c] for c in names], float)
+    out = []
+    for j, r in enumerate(drawn):
+        own = place[r[cluster]]
+        others = [sums[c, j] / n[c] for c in range(len(names)) if c != own]
+        inner, outer = sums[own, j] / max(n[own] - 1, 1), min(others, default=0.0)
+        top = max(inner, outer)
+        out.append((r[key], r[cluster], 0.0 if n[own] <= 1 or not others or top == 0 else float((outer - inner) / top)))
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    return df.sparkSession.createDataFrame(out, f"{key} {kind(key)}, {cluster} {kind(cluster)}, silhouette double")
+
+
 def silhouette(df: DataFrame, key: str, cluster: str, **options) -> float:
     return silhouette_rows(df, key, cluster, **options).agg(F.avg("silhouette")).first()[0]
 
 
-def kmeans_k_sweep(df: DataFrame, key: str, ks: Sequence[int], values: str = "vector", restarts: int = 10) -> DataFrame:
-    """Silhouette and cost per number of clusters, best first."""
-    rows = []
-    for k in ks:
-        labelled, cost = run_kmeans(df, k, values, restarts)
-        rows.append((k, float(silhouette(labelled, key, "cluster", values=values)), float(cost)))
+def kmeans_k_sweep(df: DataFrame, key: str, ks: Sequence[int], values: str = "vector", restarts: int = 10, seed: int = SEED) -> DataFrame:
+    """Silhouette and cost per number of clusters, best first; all k and restarts share the scans of the table."""
+    blocks = pack(df, values)
+    runs = joint_kmeans(df, ks, values, restarts, seed, blocks=blocks)
+    rows = [(r.k, score, r.cost) for r, score in zip(runs, silhouettes(blocks, runs), strict=True)]
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double").orderBy(F.desc("silhouette"))
 
 
@@ -248,16 +319,7 @@ def spectral_k_diagnostics(
 ) -> DataFrame:
     """Silhouette on the embedding per k, with the Laplacian eigenvalue and gap at that position."""
     embedded, eigenvalues = spectral_embedding(df, key, max(ks) + 1, seed=seed, **options)
-    embedded = embedded.persist()
-    rows = []
-    for k in ks:
-        view = embedded.select(key, F.slice("embedding", 1, k).alias("embedding"))
-        labelled, _ = run_kmeans(view, k, "embedding", restarts, seed)
-        score = float(silhouette(labelled, key, "cluster", values="embedding"))
-        gap = float(eigenvalues[k] - eigenvalues[k - 1]) if k < len(eigenvalues) else None
-        rows.append((k, score, float(eigenvalues[k - 1]), gap))
-    embedded.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double, eigenvalue double, eigengap double")
+    return _diagnose(durable(embedded), eigenvalues, ks, restarts, seed)
 
 
 def adjusted_rand(df: DataFrame, methods: Sequence[str]) -> DataFrame:

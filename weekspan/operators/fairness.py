@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,30 +245,48 @@ def chi_square(cells: DataFrame) -> DataFrame:
     )
 
 
-def chi_square_survival(statistic: float, dof: int) -> float:
-    """P(X >= statistic) of a chi-square variable, by the finite series for even and odd dof."""
-    half = statistic / 2
-    if dof <= 0 or half <= 0:
-        return 1.0
-    total = 0.0 if dof % 2 == 0 else math.erfc(math.sqrt(half))
-    first = 0.0 if dof % 2 == 0 else 0.5
-    for i in range(dof // 2):
-        power = first + i
-        total += math.exp(power * math.log(half) - half - math.lgamma(power + 1))
-    return min(total, 1.0)
+FRACTION_STEPS = 200
+SERIES_STEPS = 60
 
 
-def chi_square_test(df: DataFrame, methods: Sequence[str], attributes: Sequence[str], level: float = 0.05) -> DataFrame:
-    """``chi_square`` with p-value and significance; one row per (method, attribute)."""
+def _half_tail(half: Column) -> Column:
+    """erfc(sqrt(half)): the upper incomplete gamma function of order 1/2 over its whole, by series or continued fraction."""
+    steps = lambda n: F.sequence(F.lit(1), F.lit(n))
+    front = F.sqrt(half / F.pi()) * F.exp(-half)
+    start = F.struct(F.lit(2.0).alias("term"), F.lit(2.0).alias("total"))
+
+    def longer(s: Column, k: Column) -> Column:
+        term = s["term"] * half / (k + F.lit(0.5))
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    below = front * F.aggregate(steps(SERIES_STEPS), start, longer, lambda s: s["total"])
+    last = half + F.lit(2 * FRACTION_STEPS + 0.5)
+    bottom = F.aggregate(steps(FRACTION_STEPS), last, lambda f, k: half + 2 * (FRACTION_STEPS - k) + 0.5 - (FRACTION_STEPS - k + 1) * (FRACTION_STEPS - k + 0.5) / f)
+    return F.when(half < 1.5, 1 - below).otherwise(front / bottom)
+
+
+def chi_square_survival(statistic: Column, dof: Column) -> Column:
+    """P(X >= statistic) of a chi-square variable: a finite series, for odd dof after the tail of one degree of freedom.
 
-    def with_p(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for tests in batches:
-            tests["p_value"] = [chi_square_survival(s, d) for s, d in zip(tests["chi2"], tests["dof"])]
-            yield tests
+    Terms are summed with their logarithms carried along, so they neither overflow nor vanish early.
+    """
+    half = statistic.cast("double") / 2
+    odd = dof % 2 == 1
+    first = F.when(odd, -half + F.log(half) / 2 - F.log(F.sqrt(F.pi()) / 2)).otherwise(-half)
+    start = F.struct(F.lit(0.0).alias("total"), first.alias("log"))
+
+    def longer(s: Column, i: Column) -> Column:
+        return F.struct((s["total"] + F.exp(s["log"])).alias("total"), (s["log"] + F.log(half) - F.log(i + F.when(odd, 0.5).otherwise(0.0))).alias("log"))
+
+    terms = F.when(dof >= 2, F.sequence(F.lit(1).cast("long"), F.floor(dof / 2))).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(terms, start, longer, lambda s: s["total"]) + F.when(odd, _half_tail(half)).otherwise(0.0)
+    return F.when((dof <= 0) | (half <= 0), F.lit(1.0)).otherwise(F.least(tail, F.lit(1.0)))
 
-    tests = chi_square(contingency(df, methods, attributes))
-    schema = "method string, attribute string, chi2 double, dof long, cramers_v double, p_value double"
-    return tests.mapInPandas(with_p, schema).withColumn("significant", F.col("p_value") < level)
+
+def chi_square_test(df: DataFrame, methods: Sequence[str], attributes: Sequence[str], level: float = 0.05) -> DataFrame:
+    """``chi_square`` with p-value and significance; one row per (method, attribute)."""
+    tests = chi_square(contingency(df, methods, attributes)).withColumn("p_value", chi_square_survival(F.col("chi2"), F.col("dof")))
+    return tests.withColumn("significant", F.col("p_value") < level)
 
 
 def method_cluster_summary(df: DataFrame, methods: Sequence[str], outcome="is_dropout_point", user="user_id") -> DataFrame:

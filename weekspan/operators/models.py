@@ -6,14 +6,15 @@ times, so pass stored tables.
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weekspan.operators import evaluate as E
@@ -79,23 +80,119 @@ def first_trees(model: GBTClassificationModel, rounds: int) -> GBTClassification
     return model._copyValues(cut)
 
 
+def leaf_values(model: GBTClassificationModel) -> np.ndarray:
+    """Weighted prediction of every leaf, from left to right, in one row per tree; read from the model's printed form."""
+    trees: list[list[float]] = []
+    weights: list[float] = []
+    for line in model.toDebugString.splitlines():
+        text = line.strip()
+        if text.startswith("Tree "):
+            weights.append(float(text[text.index("weight ") + 7 : text.index(")")]))
+            trees.append([])
+        elif text.startswith("Predict: "):
+            trees[-1].append(float(text[9:]))
+    out = np.zeros((len(trees), max(map(len, trees), default=0)))
+    for t, (w, values) in enumerate(zip(weights, trees, strict=True)):
+        out[t, : len(values)] = np.array(values) * w
+    return out
+
+
+def staged_scores(table: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """Probability of class 1 after every round, one row per table row, from ``leaf_values`` and each row's leaf numbers."""
+    margins = np.cumsum(table[np.arange(len(table)), leaves.astype(np.int64)], 1)
+    return 1 / (1 + np.exp(np.clip(-2 * margins, -700, 700)))
+
+
+def _leaf_rows(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
+    found = model.copy().setLeafCol("leaf").transform(df)
+    return found.select(F.col("label").cast("int").alias("y"), vector_to_array("leaf").alias("leaf"))
+
+
+def staged_areas(model: GBTClassificationModel, df: DataFrame, bins: int = 4096) -> tuple[np.ndarray, np.ndarray] | None:
+    """Lower and upper bounds of the ROC-AUC after every round, from one scoring pass; None without both classes.
+
+    A row's leaves give its probability after every round at once. Tasks count the classes by round and probability bin,
+    Spark chains the bins; pairs of rows that share a bin make the difference between the bounds.
+    """
+    table = df.sparkSession.sparkContext.broadcast(leaf_values(model))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rounds = len(table.value)
+        total = np.zeros((rounds, bins, 2), np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                y = part.column(0).to_numpy()
+                leaves = np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(part.num_rows, -1)
+                at = np.minimum((staged_scores(table.value, leaves) * bins).astype(np.int64), bins - 1)
+                np.add.at(total, (np.arange(rounds)[None, :], at, y[:, None]), 1)
+        r, b = np.nonzero(total.any(2))
+        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[r, b, 0]), pa.array(total[r, b, 1])], ["round", "bin", "neg", "pos"])
+
+    cells = _leaf_rows(model, df).mapInArrow(count, "round int, bin int, neg long, pos long").groupBy("round", "bin").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    below = F.sum("neg").over(Window.partitionBy("round").orderBy("bin")) - F.col("neg")
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    areas = cells.withColumn("below", below).groupBy("round").agg(
+        (F.sum(F.col("pos").cast("double") * F.col("below")) / F.nullif(pairs, F.lit(0.0))).alias("low"),
+        (F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg"))) / F.nullif(pairs, F.lit(0.0))).alias("high"),
+    )
+    rows = sorted((r["round"], r["low"], r["high"]) for r in areas.collect())  # a row per round
+    if not rows or rows[0][1] is None:
+        return None
+    return np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+
+def exact_areas(model: GBTClassificationModel, df: DataFrame, rounds: Sequence[int]) -> dict[int, float]:
+    """ROC-AUC after the given rounds (0-based), in one pass."""
+    wanted = np.array(sorted(rounds))
+    table = df.sparkSession.sparkContext.broadcast(leaf_values(model))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
+            found = staged_scores(table.value, leaves)[:, wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(wanted.astype(np.int32), len(found))), pa.array(np.repeat(batch.column(0).to_numpy(), len(wanted))), pa.array(found.ravel())], ["round", "y_true", "y_prob"])
+
+    rows = _leaf_rows(model, df).mapInArrow(scores, "round int, y_true int, y_prob double")
+    return {r["round"]: r["roc_auc"] for r in E.roc_auc(rows, by=["round"]).collect()}
+
+
+def decided_round(low: Sequence[float], high: Sequence[float], patience: int, exact: Callable[[Sequence[int]], dict[int, float]]) -> int:
+    """``best_round`` of values known within bounds; values whose bounds leave a comparison open are asked for."""
+    known: dict[int, tuple[float, float]] = {}
+    while True:
+        best, at, unsure = (float("-inf"), float("-inf")), 0, set()
+        for i, bounds in enumerate(zip(low, high, strict=True)):
+            a, b = known.get(i, bounds)
+            if a > best[1]:
+                best, at = (a, b), i
+            elif b > best[0]:
+                unsure |= {i, at} - known.keys()
+                if (a + b) > sum(best):
+                    best, at = (a, b), i
+            if i - at >= patience:
+                break
+        if not unsure:
+            return at + 1
+        known |= {i: (v, v) for i, v in exact(sorted(unsure)).items()}
+
+
 def fit_gbt(
     train: DataFrame, validation: DataFrame, rounds: int = 500, depth: int = 6, step: float = 0.05, patience: int = 50, seed: int = SEED
 ):
     """Boosted trees with balanced weights, cut at the round with the best validation ROC-AUC.
 
-    All rounds are fitted once and the ensemble is cut. The rounds are scored one after the other until ``patience`` of
-    them brought nothing better; rounds without a defined area (one class only) keep the whole ensemble.
+    All rounds are fitted once and the ensemble is cut where ``patience`` further rounds brought nothing better. One pass
+    scores every round; a second one settles the rounds that the first leaves open. Without both classes in the
+    validation rows the whole ensemble is kept.
     """
     weighted = balanced_class_weights(train, "label")
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, weightCol="weight", seed=seed).fit(weighted)
-    fitted = len(model.treeWeights)
-    areas = (E.roc_auc(score(first_trees(model, n), validation)).first()["roc_auc"] for n in range(1, fitted + 1))
-    first = next(areas)
-    if first is None:
+    areas = staged_areas(model, validation)
+    if areas is None:
         return model
-    keep = best_round(itertools.chain([first], areas), patience)
-    return model if keep == fitted else first_trees(model, keep)
+    keep = decided_round(*areas, patience, lambda open_rounds: exact_areas(model, validation, open_rounds))
+    return model if keep == len(model.treeWeights) else first_trees(model, keep)
 
 
 def fit_logistic(train: DataFrame, max_iter: int = 1000):

@@ -5,18 +5,35 @@ The same key always lands in the same part; results do not depend on partitionin
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekspan.functions.hashing import HASH_BITS, hash32
-from weekspan.functions.ordered import hash_rank
+from weekspan.functions.ordered import hash_parts
 from weekspan.functions.quantiles import exact_medians
 
 SEED = 42
-SAMPLE_BITS = 12
+
+
+PARTS = ("test", "validation", "train")
+
+
+def _part_cuts(test: float, validation: float) -> Callable[[tuple, int], list[int]]:
+    """Where the test part and then the validation part end, among n rows in hashed order."""
+
+    def cuts(stratum: tuple, n: int) -> list[int]:
+        n_test = math.ceil(n * test)
+        return [n_test, n_test + math.ceil((n - n_test) * validation)]
+
+    return cuts
+
+
+def _named_parts(df: DataFrame, key: str, seed: int | str, test: float, validation: float, by: Sequence[str] = ()) -> DataFrame:
+    names = F.array(*[F.lit(p) for p in PARTS])
+    return hash_parts(df, key, seed, _part_cuts(test, validation), by, "_part").withColumn("part", F.get(names, F.col("_part"))).drop("_part")
 
 
 def split_users(
@@ -25,11 +42,7 @@ def split_users(
     """user -> part. The first ceil(n * test) users in hashed order are the test part, then the validation share of
     the rest, then train."""
     distinct = users.select(user).filter(F.col(user).isNotNull()).distinct()
-    n = F.col("rank_of")
-    n_test = F.ceil(n * test)
-    n_validation = F.ceil((n - n_test) * validation)
-    part = F.when(F.col("rank") < n_test, "test").when(F.col("rank") < n_test + n_validation, "validation").otherwise("train")
-    return hash_rank(distinct, user, seed).select(user, part.alias("part"))
+    return _named_parts(distinct, user, seed, test, validation)
 
 
 def split_by_users(df: DataFrame, spread: Sequence[str] = ("relative_week",), **options) -> DataFrame:
@@ -41,11 +54,7 @@ def stratified_split(
     df: DataFrame, key: str, label: str, test: float = 0.20, validation: float = 0.20, seed: int | str = SEED
 ) -> DataFrame:
     """Row split with the same shares inside every label class."""
-    n = F.col("rank_of")
-    n_test = F.ceil(n * test)
-    n_validation = F.ceil((n - n_test) * validation)
-    part = F.when(F.col("rank") < n_test, "test").when(F.col("rank") < n_test + n_validation, "validation").otherwise("train")
-    return hash_rank(df, key, seed, [label]).withColumn("part", part).drop("rank", "rank_of")
+    return _named_parts(df, key, seed, test, validation, [label])
 
 
 @dataclass(frozen=True)
@@ -136,10 +145,8 @@ def floor_quota(counts: dict, size: int) -> dict:
 
 def take_quota(df: DataFrame, key: str | Sequence[str], label: str, quota: dict, seed: int | str = SEED) -> DataFrame:
     """The first rows of each class in hashed order, as many as its quota."""
-    limit = F.lit(0)
-    for c, n in quota.items():
-        limit = F.when(F.col(label) == c, F.lit(n)).otherwise(limit)
-    return hash_rank(df, key, seed, [label]).filter(F.col("rank") < limit).drop("rank", "rank_of")
+    classes = df.filter(F.col(label).isin(list(quota)))
+    return hash_parts(classes, key, seed, lambda stratum, n: [quota[stratum[0]]], [label], "_part").filter("_part = 0").drop("_part")
 
 
 def stratified_subsample(df: DataFrame, key, label: str, size: int, seed: int | str = SEED) -> DataFrame:
@@ -151,18 +158,8 @@ def stratified_cap(df: DataFrame, key, label: str, size: int = 200_000, seed: in
 
 
 def hash_sample(df: DataFrame, key: str | Sequence[str], size: int, seed: int | str = SEED) -> DataFrame:
-    """A plain random sample of ``size`` rows: those with the smallest hashes.
-
-    A histogram of the leading bits of the hash shows where the sample ends, so only rows up to there are ranked.
-    """
-    bucket = F.shiftright(hash32(key, seed), HASH_BITS - SAMPLE_BITS)
-    counts = sorted((r["b"], r["n"]) for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-    seen, last = 0, -1
-    for b, n in counts:  # at most 2**SAMPLE_BITS rows
-        if seen >= size:
-            break
-        seen, last = seen + n, b
-    return hash_rank(df.filter(bucket <= last), key, seed).filter(F.col("rank") < size).drop("rank", "rank_of")
+    """A plain random sample of ``size`` rows: those with the smallest hashes."""
+    return hash_parts(df, key, seed, lambda stratum, n: [size], (), "_part").filter("_part = 0").drop("_part")
 
 
 def balanced_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -22,11 +22,16 @@ def relative_week(ts: str, anchor: str = "first_activity_time"):
     return floor_units(micros_between(anchor, ts), WEEK_MICROS)
 
 
+def user_anchors(transactions: DataFrame) -> DataFrame:
+    """(user_id, first_activity_time, _n): anchor and number of transactions of every user, stored."""
+    return durable(transactions.groupBy("user_id").agg(F.min("start_time").alias("first_activity_time"), F.count(F.lit(1)).alias("_n")), "per_user")
+
+
 def add_relative_weeks(
-    events: DataFrame, transactions: DataFrame, rows_per_task: int = ROWS_PER_TASK
+    events: DataFrame, transactions: DataFrame, rows_per_task: int = ROWS_PER_TASK, per_user: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Both logs with the anchor and the week; a stored table per user gives anchors and the sizes of hot users."""
-    per_user = durable(transactions.groupBy("user_id").agg(F.min("start_time").alias("first_activity_time"), F.count(F.lit(1)).alias("_n")), "per_user")
+    per_user = user_anchors(transactions) if per_user is None else per_user
     anchor, sizes = per_user.drop("_n"), per_user.select("user_id", "_n")
     events = attach(events, anchor, "user_id", ["event_id", "event_date"], rows_per_task)
     transactions = attach(transactions, anchor, "user_id", ["transaction_id", "start_time"], rows_per_task, sizes)
@@ -36,15 +41,21 @@ def add_relative_weeks(
     )
 
 
-def clean_logs(raw: Logs, rows_per_task: int = ROWS_PER_TASK) -> Logs:
-    """Cleaned users, and events and transactions placed on the user's own weekly clock.
+def placed_logs(raw: Logs, rows_per_task: int = ROWS_PER_TASK) -> tuple[Logs, DataFrame]:
+    """Cleaned users, events and transactions on the user's own weekly clock, and the anchors of ``user_anchors``.
 
-    Both logs are stored once placed, so whatever is computed from them reads narrow columns of the stored copy.
+    Nothing but the anchors is stored: for whoever reads each log once, only the columns it needs are read and placed.
     """
-    events, transactions = add_relative_weeks(
-        clean_events(raw.events), clean_transactions(raw.transactions), rows_per_task
-    )
-    return Logs(clean_users(raw.users), durable(events, "events"), durable(transactions, "transactions"))
+    transactions = clean_transactions(raw.transactions)
+    per_user = user_anchors(transactions)
+    events, transactions = add_relative_weeks(clean_events(raw.events), transactions, rows_per_task, per_user)
+    return Logs(clean_users(raw.users), events, transactions), per_user.drop("_n")
+
+
+def clean_logs(raw: Logs, rows_per_task: int = ROWS_PER_TASK) -> Logs:
+    """The logs of ``placed_logs``, both stored once placed, for several readers."""
+    logs, _ = placed_logs(raw, rows_per_task)
+    return Logs(logs.users, durable(logs.events, "events"), durable(logs.transactions, "transactions"))
 
 
 def cleaned_logs(raw: Logs) -> Logs:

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from weekspan.operators.clean import clean_events, clean_transactions
+from weekspan.operators.clean import clean_events
 from weekspan.operators.demographics import demographic_categories, demographic_features
 from weekspan.operators.features import STAGE1_FEATURES, stage1_behavioral
 from weekspan.operators.labels import came_back, came_back_by_last_event
-from weekspan.operators.timeline import clean_logs, early_window, first_activity
+from weekspan.operators.timeline import early_window, placed_logs
 from weekspan.session import durable
 from weekspan.sources.logs import Logs
 
@@ -35,8 +35,8 @@ def stage1_dataset(
     return_from: int = 3,
     return_to: int | None = None,
 ) -> Dataset:
-    logs = clean_logs(raw)
-    # two aggregations read the early events: store those few weeks once instead of joining the raw log twice
+    logs, anchors = placed_logs(raw)
+    # several aggregations read the early events: those few weeks are stored once, the whole log never
     early_events = durable(early_window(logs.events, 0, early_end).select(*EARLY_EVENT_COLUMNS))
     early_transactions = early_window(logs.transactions, 0, early_end)
     df = stage1_behavioral(early_events, early_transactions)
@@ -48,7 +48,7 @@ def stage1_dataset(
         df = df.join(demographics, "user_id", "left").fillna(0, subset=extra)
         features += extra
     if return_to is None:
-        df = came_back_by_last_event(clean_events(raw.events), first_activity(clean_transactions(raw.transactions)), df, return_from)
+        df = came_back_by_last_event(clean_events(raw.events), anchors, df, return_from)
     else:
         df = came_back(logs.events, df, return_from, return_to)
     return Dataset(df.select("user_id", *features, "came_back"), features)

@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame
 from weekspan.functions.scalars import in_summer
 from weekspan.operators.features import WEEKLY_FEATURES, fill_missing_columns, user_summary, weekly_features
 from weekspan.operators.labels import add_dropout_labels
-from weekspan.operators.timeline import add_week_dates, clean_logs, first_activity, weekly_timeline
+from weekspan.operators.timeline import add_week_dates, cleaned_logs, first_activity, placed_logs, weekly_timeline
 from weekspan.plans.stage1 import Dataset
+from weekspan.session import durable
 from weekspan.sources.logs import Logs
 
 
-def labelled_timeline(logs: Logs, horizon_weeks: int = 4) -> DataFrame:
-    """Dense weeks with dates and labels, features still null where nothing was observed."""
-    timeline = weekly_timeline(weekly_features(logs.events, logs.transactions))
-    dated = add_week_dates(timeline, first_activity(logs.transactions))
+def labelled_timeline(logs: Logs, horizon_weeks: int = 4, anchors: DataFrame | None = None) -> DataFrame:
+    """Dense weeks with dates and labels, features still null where nothing was observed.
+
+    The weekly table is stored, as the spine and the weeks on it both read it; ``anchors`` saves a pass over the logs.
+    """
+    timeline = weekly_timeline(durable(weekly_features(logs.events, logs.transactions), "weekly"))
+    dated = add_week_dates(timeline, first_activity(logs.transactions) if anchors is None else anchors)
     return add_dropout_labels(dated, horizon_weeks)
 
 
@@ -31,10 +35,11 @@ class Stage2(Dataset):
 
 
 def stage2_result(raw: Logs, horizon_weeks: int = 4, actions: Sequence[str] | None = None, event_types: Sequence[str] | None = None) -> Stage2:
-    """The stage 2 table together with its users; the logs are placed and stored once for both."""
-    logs = clean_logs(raw)
-    table = _filled(labelled_timeline(logs, horizon_weeks))
-    return Stage2(table.df, table.feature_cols, logs.users, user_summary(logs.users, logs.events, logs.transactions, actions, event_types))
+    """The stage 2 table together with its users; each log is placed for the weeks and read once more for the summary."""
+    logs, anchors = placed_logs(raw)
+    table = _filled(labelled_timeline(logs, horizon_weeks, anchors))
+    plain = cleaned_logs(raw)
+    return Stage2(table.df, table.feature_cols, logs.users, user_summary(plain.users, plain.events, plain.transactions, actions, event_types))
 
 
 def _filled(timeline: DataFrame) -> Dataset:
@@ -43,4 +48,5 @@ def _filled(timeline: DataFrame) -> Dataset:
 
 
 def stage2_dataset(raw: Logs, horizon_weeks: int = 4) -> Dataset:
-    return _filled(labelled_timeline(clean_logs(raw), horizon_weeks))
+    logs, anchors = placed_logs(raw)
+    return _filled(labelled_timeline(logs, horizon_weeks, anchors))
