@@ -1,13 +1,16 @@
 """Defined results on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weekspan.llm import common, components, decontaminate, embeddings, jaccard, language, lm, packing, quality, sharding, substrings, warc
+from weekspan.llm.textbatch import Texts
 from weekspan.session import scratch_path
 
 LONG = " ".join(f"word{i}" for i in range(30_000))
@@ -36,7 +39,10 @@ def test_language(odd, none):
     assert len(found) == len(_rows())
     assert all(r.lang_pred == language.UNKNOWN and r.score == 0 for r in found if r.text is None or not any(c.isalpha() for c in r.text))
     assert all(r.lang_pred == "en" for r in found if r.text and r.text.startswith("the quick"))
-    assert language.identify(odd, model).columns == [c for c in odd.columns if c != "score"] + ["lang_pred", "score"]
+    assert language.identify(odd, model).columns == [c for c in odd.columns if c != "score"] + ["lang_pred", "score", "rejected"]
+    assert all(r.rejected for r in found if r.lang_pred == language.UNKNOWN)
+    kept = language.keep_known(odd, model)
+    assert kept.columns == odd.columns and kept.count() == sum(not r.rejected for r in found)
     assert language.identify(none, model).count() == 0
     nothing = language.learn(none)
     assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {language.UNKNOWN}
@@ -209,36 +215,106 @@ def test_special_token_is_one_id():
     assert list(packing.token_ids(text)) == [*packing._full(packing.TOKENIZER).encode(text, add_special_tokens=False).ids, packing.END_ID]
 
 
-def test_attention_gradient_and_shares():
+def test_attention_gradient():
     rng = np.random.default_rng(0)
     p = {n: x.astype(np.float64) for n, x in lm.start_parameters(12).items()}
     context, target, weight = rng.integers(0, 12, (2, 2 * lm.STRIDE)), rng.integers(0, lm.CLASSES, (2, lm.STRIDE)), np.ones((2, lm.STRIDE))
-    _, g = lm.gradients(p, context, target, weight)
+    prior = np.log(rng.dirichlet(np.ones(lm.CLASSES), 2 * lm.STRIDE))
+    _, g = lm.gradients(p, context, target, weight, prior)
     for n in p:
         at = tuple(rng.integers(0, s) for s in p[n].shape)
         held, step = p[n][at], 1e-5
         p[n][at] = held + step
-        above = lm.gradients(p, context, target, weight)[0]
+        above = lm.gradients(p, context, target, weight, prior)[0]
         p[n][at] = held - step
-        below = lm.gradients(p, context, target, weight)[0]
+        below = lm.gradients(p, context, target, weight, prior)[0]
         p[n][at] = held
         assert (above - below) / (2 * step) == pytest.approx(g[n][at], abs=1e-6)
     small = {n: x.astype(np.float32) for n, x in p.items()}
-    assert np.allclose(lm.forward(small, context, lm.projections(small))["classes"], lm.class_scores(small, context, lm.scoring_tables(small)), atol=1e-4)
+    prior = prior.astype(np.float32)
+    assert np.allclose(lm.forward(small, context, lm.projections(small), prior)["classes"], lm.class_scores(small, context, lm.scoring_tables(small), prior), atol=1e-4)
     # the future does not reach a prediction
     changed = context.copy()
     changed[:, -1] = (changed[:, -1] + 1) % 12
-    a, b = (lm.class_scores(small, c, lm.scoring_tables(small)).reshape(2, lm.STRIDE, -1) for c in (context, changed))
+    a, b = (lm.class_scores(small, c, lm.scoring_tables(small), prior).reshape(2, lm.STRIDE, -1) for c in (context, changed))
     assert np.array_equal(a, b)
 
 
+def _model_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").alias(lm.KEY), F.lit(False).alias(lm.HELD), F.xxhash64("doc_id", "text").alias(lm.ROW), F.coalesce("text", F.lit("")).alias("text"))
+    nothing = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    return lm.learn(lm.encoded(df, lm.TOKENIZER, nothing))
+
+
+def _chances(model, context):
+    """log10 of the probability of every id after the ids of ``context`` (-1 is no id), by plain loops over the window."""
+    p, e = model.parameters, model.parameters["e"].astype(float)
+    row = [e[model.compact[i]] for i in context]
+    last, earlier = row[-1], row[-2]
+    query = last @ p["wq"] / np.sqrt(lm.WIDTH)
+    scores = [query @ (row[k] @ p["wk"]) + p["rb"][len(row) - 1 - k] for k in range(len(row))]
+    weights = np.exp(np.array(scores) - max(scores))
+    mixed = sum(w * (r @ p["wv"]) for w, r in zip(weights / weights.sum(), row))
+    z = np.maximum(last @ p["r1"] + p["b"] + earlier @ p["r2"] + mixed, 0)
+    logits = z @ p["wc"] + model.prior[context[-1]]
+    classes = logits - np.log(np.exp(logits).sum())
+    ids = np.arange(lm.VOCABULARY)
+    return classes[model.classes] / np.log(10) + model.conditional(np.full(lm.VOCABULARY, context[-1]), ids)
+
+
+@pytest.mark.parametrize("rows", [[(i, f"the cat {i} sat on mat {i * 7 % 11} and the dog ran " * (1 + i % 4)) for i in range(80)], [(1, "a b a"), (2, None)], []])
+def test_probabilities_sum_to_one_and_scores_follow_them(spark, rows):
+    model = _model_of(spark, rows)
+    for context in ([-1] * 16, [-1] * 10 + [5, 9, 700, 262, 3797, 319], list(range(20, 36)), [50256] * 16):
+        assert (10.0 ** _chances(model, context)).sum() == pytest.approx(1, abs=1e-4)
+    tables = lm.scoring_tables(model.parameters)
+    for text in ("the cat sat", "", "zzz qq the dog ran over the mat and 11 cats sat on 3 mats in the far and unseen house"):
+        blocks, _, owner = lm.streams(Texts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])))
+        ids = blocks[blocks >= 0]
+        want = 0.0
+        for k, i in enumerate(ids):
+            start = k // lm.STRIDE * lm.STRIDE - lm.STRIDE  # a window begins a stride before the block of the id
+            context = [ids[x] if x >= 0 else -1 for x in range(start, k)]
+            want += _chances(model, [-1] * max(0, 2 - len(context)) + context)[i]
+        assert lm.score_blocks(model, blocks, owner, 1, tables)[0] == pytest.approx(want, abs=1e-3)
+
+
+def test_pair_table():
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 10**9, 5000))
+    table = lm.PairTable(codes, np.arange(len(codes), dtype=np.float32))
+    asked = np.concatenate([codes[::3], rng.integers(0, 10**9, 500)])
+    at, values = table.find(asked)
+    known = {int(c): i for i, c in enumerate(codes)}
+    assert {int(a): float(v) for a, v in zip(at, values)} == {k: float(known[int(c)]) for k, c in enumerate(asked) if int(c) in known}
+    assert len(lm.PairTable(codes[:0], np.zeros(0, np.float32)).find(asked)[0]) == 0
+
+
+def test_pairs_kept_are_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PAIR_CODES", 50)
+    rows = [(i, " ".join(f"w{(i * k) % 9} x{k % 5}" for k in range(60))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").alias(lm.KEY), F.lit(False).alias(lm.HELD), F.col("doc_id").alias(lm.ROW), "text")
+    ids = lm.encoded(df, lm.TOKENIZER, spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64))))
+    counts = {}
+    for r in ids.collect():
+        for _, _, blocks, _ in lm.decoded(pa.array([bytes(r.ids)], pa.binary())):
+            for a, b in zip(*lm.neighbours_of(blocks)):
+                counts[(a + 1) * lm.VOCABULARY + b] = counts.get((a + 1) * lm.VOCABULARY + b, 0) + 1
+    codes, n = lm._pair_sums(ids, 5000, 20)
+    order = sorted(counts.values(), reverse=True)
+    assert len(codes) <= 20 and all(counts[c] == x for c, x in zip(codes, n)) and min(n) > order[20]
+    assert len(lm._pair_sums(ids, 5000, 10**6)[0]) == sum(x > 1 for x in counts.values())
+
+
 def test_language_model(odd, none):
-    found = lm.score(odd, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, steps=3).collect()
+    found = lm.score(odd, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).collect()
     assert len(found) == len(_rows()) and all(r.score < 0 and r.base_score < 0 for r in found)
     assert {r.n_tokens for r in found if r.doc_id in (0, 1, 2)} == {1}
     same = [r for r in found if r.doc_id == 6]
     assert len(same) == 2 and len({(r.score, r.base_score, r.n_known) for r in same}) == 1
-    assert lm.score(none, F.lit(False), steps=1).count() == 0
+    assert lm.score(none, F.lit(False)).count() == 0
+    untrained = lm.score(odd, F.lit(True)).collect()
+    assert {r.train_tokens for r in untrained} == {0} and all(r.score < 0 for r in untrained)
 
 
 def _without_repeats(rows):
@@ -337,7 +413,7 @@ def test_embeddings(spark):
 def test_word_counts_around_one_byte(spark):
     """Numbers of a word in a document on both sides of what one byte holds."""
     rows = [(i, " ".join(["same"] * n + [f"w{i}"])) for i, n in enumerate((254, 255, 256, 300, 70_000, 1))]
-    found = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), steps=1).collect()}
+    found = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
     total = sum(n for n in (254, 255, 256, 300, 70_000, 1))
     size, distinct = total + 2 * len(rows), 1 + len(rows) + 1
     for i, n in enumerate((254, 255, 256, 300, 70_000, 1)):
@@ -352,7 +428,7 @@ def test_common_words_are_counted_apart(spark, monkeypatch):
     held = F.col("doc_id") % 10 == 0
     monkeypatch.setattr(common, "COMMON", 60)
     monkeypatch.setattr(common, "HITS", 60)
-    found = sorted([tuple(r)[:6] for r in lm.score(df, held, steps=1).collect()], key=repr)
+    found = sorted([tuple(r)[:6] for r in lm.score(df, held).collect()], key=repr)
     marked = df.select(F.col("doc_id").alias(lm.KEY), F.coalesce(held, F.lit(False)).alias(lm.HELD), F.xxhash64("doc_id", "text").alias(lm.ROW), F.coalesce("text", F.lit("")).alias("text"))
     words, often = lm._common_words(marked, len(rows))
     entries = lm._entries(marked, 4, spark.sparkContext.broadcast((words, often))).collect()
@@ -388,3 +464,47 @@ def test_common_passages_are_marked_apart(spark, monkeypatch, bits):
     apart = substrings._common_edges(keyed, "text", names, len(rows))
     blocks = substrings._edges(keyed, "text", names, spark.sparkContext.broadcast(apart)).collect()
     assert len(apart[0]) and not any(np.isin(substrings.Edges.whole(r.bucket, substrings.from_bytes(bytes(r.edges))), apart[0]).any() for r in blocks)
+
+
+def test_packing_goes_through_configurations():
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(rng.lognormal(5.8, 1.0, 30_000).astype(int) + 1, 1024)
+    counts = {int(s): int(n) for s, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    plan = packing.Plan(counts, 1024, 256)
+    least = -(-int(lengths.sum()) // 1024)
+    assert plan.configured >= 0.9 * plan.large and plan.sequences <= 1.005 * least
+
+
+def test_most_valuable_configuration():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        capacity = int(rng.integers(8, 200))
+        sizes = np.unique(rng.integers(capacity // 4 + 1, capacity + 1, rng.integers(1, 12)))
+        worth = np.round(rng.random(len(sizes)) * rng.integers(0, 2, len(sizes)), 3)
+        best, counts = packing._best_configuration(sizes, worth, capacity)
+        every = [c for r in range(4) for c in itertools.combinations_with_replacement(range(len(sizes)), r) if sizes[list(c)].sum() <= capacity]
+        assert best == pytest.approx(max(worth[list(c)].sum() for c in every))
+        assert counts @ sizes <= capacity and counts @ worth == pytest.approx(best)
+
+
+INNER = "doc_id long, text string, lang string, source string, n_chars long, _row string, row string, own int, named int, times int, _items string, _hit_words int, items string, hit_words int, `n_words` string, n_removed int, _row_key string, _order_key int, _bucket string, _paths int, verdict string, rejected int, language int, score string"
+
+
+def test_working_names_are_no_columns(spark):
+    prose = "the quick brown fox jumps over the lazy dog and runs through the wide green forest until night"
+    texts = [prose, prose + " x", "one two three four five six seven eight nine ten " + prose, "quite another text of its own", None, ""]
+    rows = [(i, t, "en", "s", 1, *[str(i) if c.endswith("string") else i for c in INNER.split(", ")[5:]]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, INNER)
+    before = {r.doc_id: tuple(r) for r in df.collect()}
+    benchmark = spark.createDataFrame([(1, "quite another text of its own")], "item_id long, text string")
+    for kept in (jaccard.deduplicate(df), decontaminate.decontaminate(df, benchmark), language.keep_known(df, language.learn(df))):
+        assert kept.columns == df.columns
+        found = kept.collect()
+        assert found and all(tuple(r) == before[r.doc_id] for r in found)
+    cut = decontaminate.decontaminate(df, benchmark, decontaminate.SPANS)
+    assert all(tuple(r)[2:] == before[r.doc_id][2:] for r in cut.collect()) and cut.columns == df.columns
+    repeats = substrings.remove_repeats(df)
+    assert repeats.columns == [c for c in df.columns if c not in ("n_words", "n_removed")] + ["n_words", "n_removed"]
+    place = {c: i for i, c in enumerate(df.columns)}
+    for r in repeats.collect():
+        assert all(r[c] == before[r.doc_id][place[c]] for c in df.columns if c not in ("text", "n_words", "n_removed"))

@@ -21,6 +21,8 @@ from weekspan.session import durable
 ROUNDS = 60
 ROWS_A_FILE = 200_000
 LEAST_FILES = 12
+HOT_KEYS = 2_000
+LEAST_HOT = 256
 
 
 def stored(df: DataFrame, rows: int, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
@@ -28,6 +30,11 @@ def stored(df: DataFrame, rows: int, rows_a_file: int = ROWS_A_FILE) -> DataFram
     return durable(df.coalesce(max(LEAST_FILES, -(-rows // rows_a_file))))
 
 
+def hot_rows(rows: int) -> int:
+    """From how many rows on a component counts as large: at most ``HOT_KEYS`` components of ``rows`` rows are."""
+    return max(LEAST_HOT, -(-rows // HOT_KEYS))
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rows: int | None = None) -> DataFrame:
     """(node, root) for every node of the edges; nodes have the same root exactly if a path joins them.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekspan.llm.textbatch import ALNUM, Words, batch_column, slices, tidy, with_columns
+from weekspan.llm.textbatch import ALNUM, Words, batch_column, fresh, slices, tidy, with_columns
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
@@ -127,15 +127,15 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, remove: str = DOCUMENTS,
     """``df`` without contaminated documents, or with the hit spans cut out of their texts, columns unchanged."""
     if remove not in (SPANS, DOCUMENTS):
         raise ValueError(f"remove must be {SPANS} or {DOCUMENTS}")
-    columns, names = df.columns, ("_n_words", "_hit_words", "_items")
+    columns, names = df.columns, fresh(df, *FOUND)
     found = scan(df, benchmark, text, item, item_text, names=names)
     if remove == DOCUMENTS:
-        return found.filter(F.size("_items") == 0).select(*[F.col(f"`{c}`") for c in columns])
+        return found.filter(F.size(names[2]) == 0).select(*[F.col(f"`{c}`") for c in columns])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts_out = batch_column(batch, text).to_pylist()
-            hit = batch_column(batch, "_hit_words").to_pylist()
+            hit = batch_column(batch, names[1]).to_pylist()
             for first, last, texts in slices(batch_column(batch, text)):
                 words = texts.lower().words(ALNUM)
                 for d in range(last - first):

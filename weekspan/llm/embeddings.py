@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekspan.llm.components import connected_components
+from weekspan.functions.skew import attach
+from weekspan.llm.components import connected_components, hot_rows
 from weekspan.llm.textbatch import batch_column, buckets_for, local_components, tidy
 from weekspan.session import durable
 
@@ -205,7 +206,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     roots = connected_components(links, "node", "to")
     members = reps.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = members.join(names, "root").join(degrees, "node", "left").select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    found = attach(members, names, "root", ["node"], hot_rows(reps.count()), sizes).join(degrees, "node", "left").select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("key", "node").join(found, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))

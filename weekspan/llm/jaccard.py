@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekspan.llm.components import connected_components, stored
-from weekspan.llm.textbatch import NOT_SPACE, Texts, batch_column, local_components, mix, runs, slices, tidy
+from weekspan.functions.skew import attach
+from weekspan.llm.components import connected_components, hot_rows, stored
+from weekspan.llm.textbatch import NOT_SPACE, Texts, batch_column, fresh, local_components, mix, runs, slices, tidy
 from weekspan.session import durable
 
 SIZE = 5
@@ -263,7 +264,8 @@ def _linked(df: DataFrame, key: str, text: str, size: int, threshold: float, rec
     members = reps.select("node", "key", "row", "copies").join(connected_components(links, "node", "to", rows=total), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "row")).alias("first")
     names = members.groupBy("root").agg(least).select("root", F.col("first.key").alias("class_id"), F.col("first.row").alias("least_row"))
-    classes = members.join(names, "root").join(degrees, "node", "left").select("node", "class_id", "least_row", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    classes = attach(members, names, "root", ["node"], hot_rows(total), sizes).join(degrees, "node", "left").select("node", "class_id", "least_row", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = found.select("key", "row", "node").join(classes, "node", "left")
     return out.select("key", "row", "node", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), "least_row", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -279,15 +281,16 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     found = _linked(df, key, text, size, threshold, recall)
     found = stored(found, df.count(), TABLE_ROWS)
     first = F.col("key").eqNullSafe(F.col("class_id")) & (F.col("row") == F.col("least_row"))
-    name = [F.col("key").alias("_key"), F.col("row").alias("_hash")]
+    row, own, named, times = fresh(df, "row", "own", "named", "times")
+    name = [F.col("key").alias(own), F.col("row").alias(named)]
     sound = found.filter("node is not null")
     gone = sound.filter(~first).select(*name).distinct()
-    rows = df.withColumn("_row", F.xxhash64(F.col(text)))
-    same = lambda named: rows[key].eqNullSafe(named["_key"]) & (rows["_row"] == named["_hash"])
+    rows = df.withColumn(row, F.xxhash64(F.col(text)))
+    same = lambda other: rows[key].eqNullSafe(other[own]) & (rows[row] == other[named])
     stay = rows.join(gone, same(gone), "left_anti")
-    tied = stored(sound.filter(first).groupBy(*name).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1"), 0)
+    tied = stored(sound.filter(first).groupBy(*name).agg(F.count(F.lit(1)).alias(times)).filter(F.col(times) > 1), 0)
     if not tied.isEmpty():  # rows that repeat the first row of their class: one of them stays
         marked = stay.join(tied, same(tied), "left")
-        several = marked.filter(F.col("_times").isNotNull()).dropDuplicates(["_key", "_hash"])
-        stay = marked.filter(F.col("_times").isNull()).unionByName(several)
+        several = marked.filter(F.col(times).isNotNull()).dropDuplicates([own, named])
+        stay = marked.filter(F.col(times).isNull()).unionByName(several)
     return stay.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -6,15 +6,17 @@ centroids (spherical k-means on a bounded sample of labelled texts); a text gets
 largest cosine, which is also its score.
 
 Rejection by distance: over all training rows, the cosine to the own language's nearest centroid is counted by language
-and by text length (powers of two). A text is rejected as ``und`` if its cosine is below ``SLACK`` times the
-``REJECTED_SHARE`` quantile of its predicted language and length class, so texts like those of the training rows stay.
+and by text length (powers of two). A text is rejected if its cosine is below ``SLACK`` times the ``REJECTED_SHARE`` quantile
+of its predicted language and length class, so texts like those of the training rows stay; ``identify`` still names the
+nearest language of such a text and marks it in a further column, ``keep_known`` drops it.
 
 Document frequencies and rejection thresholds are taken from all training rows; only the centroids are fitted on a
 sample of ``SAMPLE_ROWS`` rows at most in expectation, split evenly over the languages and drawn by a hash of the key.
 
-Defined cases: null, empty and letterless texts get ``und`` and score 0; with no labelled rows every text gets ``und``;
-ties between centroids go to the alphabetically first language; equal texts get equal results; an empty table gives no
+Defined cases: null, empty and letterless texts get ``und`` and score 0 and are rejected; so is every text where there are
+no labelled rows; ties between centroids go to the alphabetically first language; equal texts get equal results; an empty table gives no
 rows. Extra columns are kept by ``identify`` unless they have the name of a result column, which then replaces them.
+Rows with a null key are learned from like any others by the registered query.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekspan.llm.textbatch import LOWER, Texts, batch_column, slices, tidy, with_columns
+from weekspan.llm.textbatch import LOWER, Texts, fresh, give_back, slices, tidy
 
 DIMENSIONS = 4_096
 CENTROIDS = 3
@@ -214,25 +216,42 @@ def _floors(rows: DataFrame, model: Model) -> np.ndarray:
     return np.where(known[:, :, 0], below, 0) * SLACK
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", kept: list[str] | None = None, language: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``df`` (or its ``kept`` columns) with the predicted language and the score, in one narrow pass."""
-    kept = [c for c in (df.columns if kept is None else kept) if c not in (language, score)]
-    has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_has_letter")
-    read = df.select(*[F.col(f"`{c}`") for c in kept], *([] if text in kept else [F.col(text)]), has_letter)
-    schema = T.StructType([*[read.schema[c] for c in kept], T.StructField(language, T.StringType()), T.StructField(score, T.DoubleType())])
+VERDICT = T.StructType([T.StructField("language", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+
+
+def verdicts(model: Model, text: Column) -> Column:
+    """Struct (language, score, rejected) of a text column. Only texts go to Python, and only verdicts come back."""
     names = np.array([*model.languages, UNKNOWN], object)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best = np.full(batch.num_rows, len(names) - 1)
-            cosine = np.zeros(batch.num_rows)
-            lettered = np.array(batch_column(batch, "_has_letter").to_pylist(), bool)
-            if len(model.centroids):
-                for first, last, texts in slices(batch_column(batch, text), rows=ROWS_AT_ONCE):
-                    lang, near, length = model.nearest(texts)
-                    good = lettered[first:last] & (near >= model.floors[lang, length]) & (near > 0)
-                    best[first:last] = np.where(good, lang, len(names) - 1)
-                    cosine[first:last] = np.where(lettered[first:last], near, 0)
-            yield with_columns(batch, kept, {language: pa.array(names[best], pa.string()), score: pa.array(cosine, pa.float64())})
-
-    return read.mapInArrow(tidy(predict), schema)
+    @F.arrow_udf(VERDICT)
+    def predict(texts_in: pa.Array, has_letter: pa.Array) -> pa.Array:
+        n = len(texts_in)
+        best, cosine, refused = np.full(n, len(names) - 1), np.zeros(n), np.ones(n, bool)
+        lettered = np.array(has_letter.to_pylist(), bool)
+        if len(model.centroids):
+            for first, last, texts in slices(texts_in, rows=ROWS_AT_ONCE):
+                lang, near, length = model.nearest(texts)
+                known = lettered[first:last]
+                best[first:last] = np.where(known, lang, len(names) - 1)
+                cosine[first:last] = np.where(known, np.clip(near, 0, 1), 0)
+                refused[first:last] = ~known | (near < model.floors[lang, length]) | (near <= 0)
+        give_back()
+        return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(cosine, pa.float64()), pa.array(refused)], ["language", "score", "rejected"])
+
+    return predict.asNondeterministic()(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))  # so that it is evaluated once
+
+
+def identify(df: DataFrame, model: Model, text: str = "text", kept: list[str] | None = None, language: str = "lang_pred", score: str = "score", rejected: str = "rejected") -> DataFrame:
+    """``df`` (or its ``kept`` columns) with the nearest language, the cosine to it, and whether its distance rejects it."""
+    kept = [c for c in (df.columns if kept is None else kept) if c not in (language, score, rejected)]
+    (verdict,) = fresh(df, "verdict")
+    found = df.withColumn(verdict, verdicts(model, F.col(text)))
+    of = lambda field, name: F.col(verdict)[field].alias(name)
+    return found.select(*[F.col(f"`{c}`") for c in kept], of("language", language), of("score", score), of("rejected", rejected))
+
+
+def keep_known(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a letter and is not rejected, columns unchanged."""
+    (verdict,) = fresh(df, "verdict")
+    found = df.withColumn(verdict, verdicts(model, F.col(text)))
+    return found.filter(~F.col(verdict)["rejected"]).select(*[F.col(f"`{c}`") for c in df.columns])

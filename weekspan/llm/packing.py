@@ -7,8 +7,8 @@ most ``capacity`` numbers, so it is planned on the driver whatever the number of
    equal cardinality and rounded up to the longest of their group.
 2. The cheapest mix of configurations (how many of each rounded length share a sequence) is a linear program with one
    row per group, solved by column generation; whole multiples of each configuration are used.
-3. Actual pieces take the places of the rounded ones, which leaves room; sequences that would keep more than
-   1 / ``LOOSE_PART`` of the capacity free are given up again.
+3. Actual pieces take the places of the rounded ones, which leaves room. Pieces that whole multiples leave over are
+   grouped and placed again, ``ROUNDS`` times in all.
 4. What is left over and the small pieces go, longest first, where they fit best, into that room or new sequences.
 
 The plan is a list of runs: the pieces of one length with ranks a to b go, k to a sequence, into consecutive sequences
@@ -39,9 +39,9 @@ from weekspan.session import durable
 
 CAPACITY = 1_024
 END_ID = 2
-GROUPS = 64
+GROUPS = 768
 SMALL_PART = 4
-LOOSE_PART = 128
+ROUNDS = 3
 TOKENIZER = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 
@@ -106,32 +106,45 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
 
 
 def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable set of items that fits (an unbounded knapsack over the capacity)."""
-    value = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        value[room] = value[room - 1]
-        fits = sizes <= room
-        if fits.any():
-            total = np.where(fits, value[np.maximum(room - sizes, 0)] + worth, -1)
-            best = total.argmax()
-            if total[best] > value[room] + 1e-12:
-                value[room], took[room] = total[best], best
-    counts, room = np.zeros(len(sizes)), capacity
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
-            counts[took[room]] += 1
-            room -= sizes[took[room]]
-    return value[capacity], counts
-
-
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int = 4_000) -> list[tuple[np.ndarray, int]]:
+    """The most valuable set of at most three items that fits; a fourth never does, as all are above a quarter."""
+    order = np.argsort(sizes, kind="stable")
+    by_size, value = sizes[order], worth[order]
+    at = np.arange(len(value))
+    best = np.maximum.accumulate(np.where(value > 0, value, 0))  # the best single item up to each size
+    who = np.maximum.accumulate(np.where(value >= best, at, -1))
+
+    def top(room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.searchsorted(by_size, room, "right") - 1
+        return np.where(k >= 0, best[np.maximum(k, 0)], 0.0), np.where(k >= 0, who[np.maximum(k, 0)], -1)
+
+    one, _ = top(np.array([capacity]))
+    pair, _ = top(capacity - by_size)
+    few = max(1, int(np.searchsorted(by_size, capacity - 2 * by_size[0], "right")))  # larger ones are in no triple
+    room = capacity - by_size[:few, None] - by_size[None, :few]
+    third, _ = top(room)
+    triple = np.where(room >= 0, value[:few, None] + value[None, :few] + third, -1.0)
+    i, j = np.unravel_index(triple.argmax(), triple.shape)
+    options = [(float(one[0]), [who[np.searchsorted(by_size, capacity, "right") - 1]]), (float((value + pair).max()), None), (float(triple[i, j]), None)]
+    which = max(range(3), key=lambda o: options[o][0])
+    if which == 0:
+        chosen = options[0][1]
+    elif which == 1:
+        a = int((value + pair).argmax())
+        chosen = [a, int(top(np.array([capacity - by_size[a]]))[1][0])]
+    else:
+        chosen = [int(i), int(j), int(top(np.array([room[i, j]]))[1][0])]
+    counts = np.zeros(len(sizes))
+    for x in chosen:
+        if x >= 0 and value[x] > 0:
+            counts[order[x]] += 1
+    return options[which][0], counts
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int = 12_000) -> list[tuple[np.ndarray, int]]:
     """(items of each size, how often), whole multiples that do not exceed the demand; by column generation."""
     k = len(sizes)
     columns = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1 / np.diag(columns))
+    inverse, change = np.diag(1 / np.diag(columns)), np.empty((k, k))
     for step in range(steps):
         worth = inverse.sum(0)
         best, column = _best_configuration(sizes, worth, capacity)
@@ -141,11 +154,12 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps:
         ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         leaving = int(ratio.argmin())
         columns[:, leaving] = column
-        if step % 25 == 24:
+        if step % 100 == 99:
             inverse = np.linalg.inv(columns)
         else:
             row = inverse[leaving] / direction[leaving]
-            inverse = inverse - np.outer(direction, row)
+            np.multiply(direction[:, None], row, out=change)
+            inverse -= change
             inverse[leaving] = row
     often = np.floor(np.maximum(np.linalg.solve(columns, demand.astype(float)), 0) + 1e-7)
     left = demand.astype(float).copy()
@@ -159,35 +173,60 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps:
     return out
 
 
+class Bins:
+    """Sequences that are filled alike: how many, [length, pieces a sequence] in order, the room left in each."""
+
+    __slots__ = ("items", "n", "room", "configured")
+
+    def __init__(self, n: int, items: tuple[tuple[int, int], ...], room: int, configured: int = 0):
+        self.n, self.items, self.room = n, items, room
+        self.configured = configured  # pieces a sequence that a configuration placed
+
+
 class Plan:
-    """Runs (length, first rank, pieces, first sequence, pieces a sequence, offset); sequences counts those used."""
+    """Runs (length, first rank, pieces, first sequence, pieces a sequence, offset); sequences counts those used.
+
+    ``configured`` is the number of large pieces in places that configurations gave them, ``large`` all large pieces.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS):
-        self.capacity, self.sequences = capacity, 0
-        self.runs: list[tuple[int, int, int, int, int, int]] = []
-        self.next_rank = dict.fromkeys(counts, 0)
-        self.left = dict(counts)
-        self.room: dict[int, list[tuple[int, int]]] = {}
+        self.capacity = capacity
+        self.left = {s: n for s, n in counts.items() if n}
+        self.room: dict[int, list[Bins]] = {}
         full = self.left.pop(capacity, 0)
         if full:
-            self._run(capacity, full, self._open(full), 1, 0)
-        self._large(groups)
+            self._add(Bins(full, ((capacity, 1),), 0))
+        self.large = sum(n for s, n in self.left.items() if s > capacity // SMALL_PART)
+        for _ in range(ROUNDS):  # what one round's whole multiples leave over is grouped again
+            if not self._large(groups):
+                break
+        self._fill()
+        self.sequences = 0
+        self.runs: list[tuple[int, int, int, int, int, int]] = []
+        self.configured = sum(b.n * b.configured for bins in self.room.values() for b in bins)
+        ranks = dict.fromkeys(counts, 0)
+        for b in (b for room in sorted(self.room) for b in self.room[room]):
+            at = 0
+            for length, each in b.items:
+                self.runs.append((length, ranks[length], b.n * each, self.sequences, each, at))
+                ranks[length] += b.n * each
+                at += length * each
+            self.sequences += b.n
+
+    def _add(self, bins: Bins) -> None:
+        if bins.n:
+            self.room.setdefault(bins.room, []).append(bins)
+
+    def _fill(self) -> None:
         for length in sorted(self.left, reverse=True):
-            self._best_fit(length, self.left[length])
-
-    def _open(self, n: int) -> int:
-        first, self.sequences = self.sequences, self.sequences + n
-        return first
+            self._best_fit(length, self.left.pop(length))
 
-    def _run(self, length: int, n: int, first: int, each: int, offset: int) -> None:
-        self.runs.append((length, self.next_rank[length], n, first, each, offset))
-        self.next_rank[length] += n
-
-    def _large(self, groups: int) -> None:
+    def _large(self, groups: int) -> int:
+        """Group the large pieces still left, place them by configurations; returns how many sequences were opened."""
         lengths = [s for s in sorted(self.left, reverse=True) if s > self.capacity // SMALL_PART]
         total = sum(self.left[s] for s in lengths)
         if not total:
-            return
+            return 0
         each = -(-total // groups)
         members: list[list[list[int]]] = [[]]  # of each group: [length, pieces], longest first
         taken = 0
@@ -207,14 +246,10 @@ class Plan:
         sizes = np.array(list(merged))
         queues = list(merged.values())
         demand = np.array([sum(n for _, n in q) for q in queues])
-        for items, often in configurations(sizes, demand, self.capacity):
-            self._substitute(items, often, queues)
-
-    def _substitute(self, items: np.ndarray, often: int, queues: list[list[list[int]]]) -> None:
-        """Fill ``often`` sequences of one configuration with actual pieces; equal neighbours form a run.
+        return sum(self._substitute(items, often, queues) for items, often in configurations(sizes, demand, self.capacity))
 
-        Where the actual pieces leave much room, the sequence is not opened and its pieces are left to best fit.
-        """
+    def _substitute(self, items: np.ndarray, often: int, queues: list[list[list[int]]]) -> int:
+        """Fill ``often`` sequences of one configuration with actual pieces; equal neighbours form a run."""
         slots = []
         for g in np.flatnonzero(items):
             for _ in range(items[g]):
@@ -232,45 +267,38 @@ class Plan:
         while done < often:
             n = min(slot[0][1] for slot in slots)
             lengths = [slot[0][0] for slot in slots]
-            if self.capacity - sum(lengths) <= self.capacity // LOOSE_PART:
-                first, offset = self._open(n), 0
-                for s in lengths:
-                    self._run(s, n, first, 1, offset)
-                    self.left[s] -= n
-                    offset += s
-                self._add_room(self.capacity - offset, first, n)
+            self._add(Bins(n, tuple((s, lengths.count(s)) for s in sorted(set(lengths), reverse=True)), self.capacity - sum(lengths), len(lengths)))
+            for s in lengths:
+                self.left[s] -= n
+                if not self.left[s]:
+                    del self.left[s]
             for slot in slots:
                 slot[0][1] -= n
                 if not slot[0][1]:
                     slot.pop(0)
             done += n
-
-    def _add_room(self, room: int, first: int, n: int) -> None:
-        if room and n:
-            self.room.setdefault(room, []).append((first, n))
+        return often
 
     def _best_fit(self, length: int, n: int) -> None:
         while n:
             room = min((r for r in self.room if r >= length), default=None)
             if room is None:
                 each = self.capacity // length
-                self._add_room(self.capacity, self._open(-(-n // each)), -(-n // each))
+                self._add(Bins(-(-n // each), (), self.capacity))
                 continue
-            first, bins = self.room[room].pop()
+            b = self.room[room].pop()
             if not self.room[room]:
                 del self.room[room]
-            each = room // length
+            each, bins = room // length, b.n
             whole = min(bins, n // each)
             if whole:
-                self._run(length, whole * each, first, each, self.capacity - room)
-                self._add_room(room - each * length, first, whole)
+                self._add(Bins(whole, (*b.items, (length, each)), room - each * length, b.configured))
                 n -= whole * each
-                first, bins = first + whole, bins - whole
+                bins -= whole
             if bins and 0 < n < each:
-                self._run(length, n, first, n, self.capacity - room)
-                self._add_room(room - n * length, first, 1)
-                first, bins, n = first + 1, bins - 1, 0
-            self._add_room(room, first, bins)
+                self._add(Bins(1, (*b.items, (length, n)), room - n * length, b.configured))
+                bins, n = bins - 1, 0
+            self._add(Bins(bins, b.items, room, b.configured))
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, groups: int = GROUPS, name: str = TOKENIZER, with_ids: bool = False) -> DataFrame:

@@ -22,10 +22,10 @@ from weekspan.session import scratch_path
 
 def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    remainder = key_remainder("doc_id", 4)
-    model = learn(documents.filter(remainder != 2))
+    held_out = F.coalesce(key_remainder("doc_id", 4) == 2, F.lit(False))
+    model = learn(documents.filter(~held_out))
     found = identify(documents.select("doc_id", "text"), model, kept=["doc_id"])
-    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:

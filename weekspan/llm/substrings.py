@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekspan.llm import common
-from weekspan.llm.textbatch import NOT_SPACE, Texts, Words, batch_column, buckets_for, mix, packed, slices, squeezed, text_volume, tidy
+from weekspan.llm.textbatch import NOT_SPACE, Texts, Words, batch_column, buckets_for, by_bucket, fresh, mix, packed, slices, squeezed, text_volume, tidy
 from weekspan.session import durable
 
 WINDOW = 13
@@ -47,7 +47,7 @@ NAMED_DOCUMENTS = 500_000  # keys of so many documents may be broadcast
 LEAST_BUCKETS = 48
 EDGE_BYTES = 5
 LAST_KEY = (1 << 63) - 1
-KEY, ROW, BUCKET = "_order_key", "_row_key", "_bucket"
+KEY, ROW, BUCKET, PATHS = "_order_key", "_row_key", "_bucket", "_paths"
 HITS = f"{BUCKET} long, bucket long, rows binary, edges binary, marks binary, left_in binary"
 
 
@@ -103,7 +103,7 @@ def _common_edges(rows: DataFrame, text: str, names: Edges, count: int) -> tuple
         hashes, owner = _windows(texts)
         return _whole(names, hashes), owner
 
-    edges = common.candidates(rows, text, count, values)
+    edges = common.candidates(rows, text, ROW, count, values)
     least, most, colour = np.full(len(edges), LAST_KEY), np.full(len(edges), -LAST_KEY - 1), np.zeros(len(edges), np.uint64)
     if not len(edges):
         return edges, least, most, colour
@@ -177,7 +177,7 @@ def _edges(rows: DataFrame, text: str, names: Edges, apart) -> DataFrame:
     return rows.select(KEY, ROW, text).mapInArrow(tidy(emit), "bucket long, edges binary, documents binary, keys binary, row_keys binary")
 
 
-def _repeated(blocks: DataFrame, groups: int) -> DataFrame:
+def _repeated(blocks: DataFrame, buckets: int, groups: int) -> DataFrame:
     """For each document, blocks of its repeated edges: row key, edge, colour with the ``later`` bit."""
 
     def find(table: pa.Table) -> pa.Table:
@@ -221,7 +221,7 @@ def _repeated(blocks: DataFrame, groups: int) -> DataFrame:
             }
         )
 
-    return blocks.groupBy("bucket").applyInArrow(tidy(find), HITS)
+    return by_bucket(blocks, "bucket", buckets).groupBy("bucket").applyInArrow(tidy(find), HITS)
 
 
 def _joint(row_key: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -300,7 +300,7 @@ def _cut_documents(kept: list[str], text: str, names: Edges, digest: bool, with_
         out |= {"n_words": pa.array(n_words), "n_removed": pa.array(n_removed), "kept_sha256" if digest else text: pa.array(kept_out, pa.string())}
         if with_paths:
             kind = pa.list_(pa.struct([("colour", pa.int32()), ("edge", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("start", pa.int32()), ("later", pa.bool_())]))
-            out["_paths"] = pa.array(paths, kind)
+            out[PATHS] = pa.array(paths, kind)
         return pa.table(out)
 
     return run
@@ -336,7 +336,7 @@ def _release() -> None:
 
 def _failed(found: DataFrame, documents: DataFrame, text: str) -> DataFrame | None:
     """(row key, hash) of windows marked ``later`` whose words no smaller document holds; None if there are none."""
-    path = found.select(KEY, ROW, F.explode("_paths").alias("p")).select(KEY, ROW, "p.*")
+    path = found.select(KEY, ROW, F.explode(PATHS).alias("p")).select(KEY, ROW, "p.*")
     group = ["colour", "edge", "n", "digest"]
     least = path.groupBy(*group).agg(F.min(KEY).alias("_least"), F.max(KEY).alias("_most")).filter(F.col("_least") < F.col("_most"))
     alone = path.filter("later").join(least, group, "left").filter(F.col("_least").isNull() | (F.col("_least") >= F.col(KEY)))
@@ -388,6 +388,13 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", diges
     """``df`` with n_words, n_removed and the text without later repeats (unchanged where nothing is removed, else the
     kept words with one space between them). With ``digest`` the texts are replaced by kept_sha256, the hash of the kept
     words with one space between them, and only the key column is kept."""
+    clashing = [c for c in df.columns if c.lower() in {KEY, ROW, BUCKET, PATHS}]
+    inner = dict(zip(clashing, fresh(df, *[f"{c}_own" for c in clashing]), strict=True))
+    found = _without_repeats(df.withColumnsRenamed(inner), inner.get(key, key), inner.get(text, text), digest, edge_bits)
+    return found.withColumnsRenamed({v: k for k, v in inner.items()})
+
+
+def _without_repeats(df: DataFrame, key: str, text: str, digest: bool, edge_bits: int) -> DataFrame:
     names = [key] if digest else [c for c in df.columns if c not in (text, "n_words", "n_removed")]
     count, volume = text_volume(df, text)
     edges = Edges(buckets_for(volume // WORD_BYTES, EDGES, LEAST_BUCKETS), edge_bits)
@@ -395,14 +402,14 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", diges
     order_key = F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias(KEY)
     documents = df.select(*[F.col(f"`{c}`") for c in names], F.col(text), order_key, F.xxhash64(F.col(key), F.col(text)).alias(ROW))
     apart = df.sparkSession.sparkContext.broadcast(_common_edges(documents, text, edges, count))
-    hits = durable(_repeated(_edges(documents, text, edges, apart), groups))
+    hits = durable(_repeated(_edges(documents, text, edges, apart), int(edges.buckets), groups))
     _release()
     spec = T.StructType([*documents.schema.fields, T.StructField(BUCKET, T.LongType())])
     dealt = documents.mapInArrow(tidy(_group_of(groups)), spec)
     kept = [*names, KEY, ROW]
     result = T.StructType([*[documents.schema[c] for c in kept], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256" if digest else text, T.StringType())])
-    with_paths = T.StructType([*result.fields, T.StructField("_paths", T._parse_datatype_string(PATH_TYPE))])
-    found = durable(dealt.groupBy(BUCKET).cogroup(hits.groupBy(BUCKET)).applyInArrow(tidy(_cut_documents(kept, text, edges, digest, True, apart)), with_paths))
+    with_paths = T.StructType([*result.fields, T.StructField(PATHS, T._parse_datatype_string(PATH_TYPE))])
+    found = durable(by_bucket(dealt, BUCKET, groups).groupBy(BUCKET).cogroup(by_bucket(hits, BUCKET, groups).groupBy(BUCKET)).applyInArrow(tidy(_cut_documents(kept, text, edges, digest, True, apart)), with_paths))
     _release()
     failed = _failed(found, documents, text)
     if failed is not None:  # practically only with colliding hashes
@@ -410,7 +417,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", diges
         redo = dealt.join(again, ROW, "left_semi").select(dealt.columns)
         known = hits.unionByName(_left_in(failed, groups))
         redone = redo.groupBy(BUCKET).cogroup(known.groupBy(BUCKET)).applyInArrow(tidy(_cut_documents(kept, text, edges, digest, False, apart)), result)
-        found = found.drop("_paths").join(again, ROW, "left_anti").select(result.names).unionByName(redone)
+        found = found.drop(PATHS).join(again, ROW, "left_anti").select(result.names).unionByName(redone)
     counts = ["n_words", "n_removed"]
     columns = [key, *counts, "kept_sha256"] if digest else [*[c for c in df.columns if c not in counts], *counts]
     return found.select(*[F.col(f"`{c}`") for c in columns])

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1_000_000
+MOST_TASKS = 20_000
 MASK = (1 << 64) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
@@ -71,6 +72,11 @@ def buckets_for(amount: int, per_bucket: int, least: int = 8) -> int:
     return max(least, -(-amount // per_bucket))
 
 
+def by_bucket(df: DataFrame, bucket: str, buckets: int) -> DataFrame:
+    """``df`` by bucket, a task for each up to ``MOST_TASKS``; grouping by the bucket then needs no further shuffle."""
+    return df.repartition(min(buckets, MOST_TASKS), bucket)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -241,6 +247,18 @@ def key_remainder(key: str, divisor: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % divisor
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names like the given ones that no column of ``df`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def batch_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
