@@ -14,15 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekspan.llm import decontaminate, jaccard, language, packing, substrings
-from weekspan.llm.textbatch import key_remainder, table
+from weekspan.llm.textbatch import fresh, key_remainder, table
 from weekspan.session import scratch_path
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language is identified; the language is learned as for the registered query."""
-    model = language.learn(docs.filter(key_remainder("doc_id", 4) != 2))
-    found = language.identify(docs, model, language="_language", score="_score")
-    return found.filter(F.col("_language") != language.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held_out = F.coalesce(key_remainder("doc_id", 4) == 2, F.lit(False))
+    return language.keep_known(docs, language.learn(docs.filter(~held_out)))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -32,8 +31,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Every document, without the passages that one with a smaller doc_id holds; n_chars follows the text."""
-    cut = substrings.remove_repeats(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [c for c in docs.columns if c.lower() in ("n_words", "n_removed")]
+    spare = dict(zip(own, fresh(docs, *own, "n_words", "n_removed"), strict=False))
+    cut = substrings.remove_repeats(docs.withColumnsRenamed(spare))
+    length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    cut = cut.withColumn("n_chars", length)
+    return cut.select(*[F.col(f"`{spare.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
