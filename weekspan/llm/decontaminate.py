@@ -6,8 +6,9 @@ pass: window hashes are looked up in the broadcast hash set, every hit is verifi
 inside a verified window are hit. Nothing is shuffled, so a hot source or a passage in a third of all documents costs
 no more than any other text.
 
-The benchmark is cut into blocks of at most ``BLOCK_BYTES`` of text, the proven bound of each broadcast. One block is
-the normal case; a larger benchmark adds further passes to the same stage, each with one block, whose hits are united.
+Equal item texts are collapsed, and the benchmark is cut into blocks of about ``BLOCK_BYTES`` of text and ids, the bound of
+each broadcast and of what the driver holds at a time. One block is the normal case; a larger benchmark takes a pass for
+each block, whose hits are united with those of the passes before and stored, before the next block is fetched.
 
 Defined cases: null texts, on either side, have no words; repeated items count once per item id; a null item id is the
 text ``null``; an empty benchmark hits nothing; extra columns are kept unless they have the name of a result column.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekspan.llm.textbatch import ALNUM, Words, batch_column, fresh, slices, tidy, with_columns
+from weekspan.session import durable
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
@@ -35,7 +37,7 @@ FOUND = ("n_words", "hit_words", "items")
 class Index:
     """Windows of one block of the benchmark: sorted hashes by window length, and the items of each window."""
 
-    def __init__(self, items: list[tuple[str, str | None]]):
+    def __init__(self, items: list[tuple[list[str], str]]):
         self.items: dict[bytes, set[str]] = {}
         hashes: dict[int, list[np.ndarray]] = {}
         names = [i for i, _ in items]
@@ -47,7 +49,7 @@ class Index:
                     continue
                 size = min(int(n), WINDOW)
                 for p in range(words.first[d], words.first[d + 1] - size + 1):
-                    self.items.setdefault(words.joined(np.arange(p, p + size)), set()).add(names[first + d])
+                    self.items.setdefault(words.joined(np.arange(p, p + size)), set()).update(names[first + d])
             for size in {min(int(n), WINDOW) for n in words.counts() if n}:
                 where, found = words.windows(size, own)
                 owner = words.documents()[where]
@@ -75,13 +77,15 @@ class Index:
                     yield int(p), size, items
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[str, str | None]]]:
-    """The benchmark in blocks of bounded size, fetched one at a time."""
+def _blocks(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, int]:
+    """(names, text, block) of each distinct item text, stored, and the number of blocks."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    distinct = rows.groupBy("text").agg(F.sort_array(F.collect_set("item")).alias("names"))
+    sized = distinct.withColumn("bytes", F.octet_length("text") + F.octet_length(F.concat_ws(",", "names")))
+    sized = durable(sized, "items")
+    volume = sized.agg(F.sum("bytes")).first()[0] or 0
     count = max(1, -(-volume // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("text"), F.lit(count))
-    return [[(r.item, r.text) for r in rows.filter(block == b).collect()] for b in range(count)]
+    return sized.select("names", "text", F.pmod(F.xxhash64("text"), F.lit(count)).alias("block")), count
 
 
 def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", kept: list[str] | None = None, names: tuple[str, str, str] = FOUND) -> DataFrame:
@@ -90,12 +94,16 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
     carried = kept if text in kept else [*kept, text]
     out = df.select(*[F.col(f"`{c}`") for c in carried])
     added = [T.StructField(n, kind) for n, kind in zip(names, (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())), strict=True)]
-    blocks = _blocks(benchmark, item, item_text)
-    for i, block in enumerate(blocks):
+    items, count = _blocks(benchmark, item, item_text)
+    for i in range(count):
+        block = sorted((r.names, r.text) for r in items.filter(F.col("block") == i).collect())
         index = df.sparkSession.sparkContext.broadcast(Index(block))
-        columns = kept if i == len(blocks) - 1 else carried
+        columns = kept if i == count - 1 else carried
         schema = T.StructType([*[out.schema[c] for c in columns], *added])
         out = out.mapInArrow(tidy(_pass(index, text, columns, names, i > 0)), schema)
+        if i < count - 1:
+            out = durable(out, "passed")
+            index.unpersist()
     return out
 
 
