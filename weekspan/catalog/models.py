@@ -1,4 +1,8 @@
-"""Queries that fit models. Rounds and iterations are kept small here; they are arguments of the operators."""
+"""Queries that fit models.
+
+Single fits on the stage 1 table run the operators' full settings. Studies of several fits, and fits on sequences, run
+fewer rounds and epochs (``FEW_ROUNDS``, ``EPOCHS``) on all columns and weeks; the README lists them with their seconds.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +14,16 @@ from weekspan.catalog.sequences import stage2
 from weekspan.operators import clean, demographics
 from weekspan.operators import evaluate as E
 from weekspan.operators import models as M
-from weekspan.operators.features import CALENDAR_FEATURES, STAGE1_ADDITIONAL, STAGE1_BASELINE, STAGE1_FEATURES
+from weekspan.operators.features import CALENDAR_FEATURES, STAGE1_ADDITIONAL, STAGE1_BASELINE, STAGE1_FEATURES, WEEKLY_FEATURES
 from weekspan.operators.sampling import stratified_split
 from weekspan.operators.sequences import flat_names, original_feature
 from weekspan.plans import experiments as X
 from weekspan.session import durable
 from weekspan.sources import star
 
-ROUNDS, DEPTH, L = 3, 3, 4
-COLUMNS = ["n_events", "n_transactions", "activity_score", "mean_hour", "year", "day"]
+FEW_ROUNDS, DEPTH, L = 10, 6, 12
+EPOCHS, HIDDEN = 3, 64
+COLUMNS = list(WEEKLY_FEATURES)
 RESULT = "experiment:s n_features:i roc_auc:d f1:d precision:d recall:d threshold:d val_f1:d"
 
 
@@ -33,11 +38,11 @@ def stage1_trees(spark, folder):
 
 
 def trees(train, validation):
-    return M.fit_gbt(train, validation, ROUNDS, DEPTH)
+    return M.fit_gbt(train, validation, FEW_ROUNDS, DEPTH)
 
 
 def network(train, validation):
-    return M.fit_mlp(train, validation, hidden=8, epochs=2, block=5)[0]
+    return M.fit_mlp(train, validation, hidden=HIDDEN, epochs=EPOCHS, block=5)[0]
 
 
 def weeks(spark, folder):
@@ -47,7 +52,7 @@ def weeks(spark, folder):
 @query("gbt_stage1", RESULT)
 def gbt_stage1(spark, folder):
     splits = stage1_trees(spark, folder)
-    model = trees(splits.train, splits.validation)
+    model = M.fit_gbt(splits.train, splits.validation)
     return M.results(spark, [M.evaluate_model("boosted trees", model, splits, len(STAGE1_FEATURES))])
 
 
@@ -55,13 +60,13 @@ def gbt_stage1(spark, folder):
 def logreg_stage1(spark, folder):
     splits, _ = stage1_parts(spark, folder)
     scaled = M.scaled_splits(splits, STAGE1_FEATURES).map(lambda df: M.vector_of(df, STAGE1_FEATURES, "came_back").persist())
-    return M.results(spark, [M.evaluate_model("logistic", M.fit_logistic(scaled.train, 50), scaled, len(STAGE1_FEATURES))])
+    return M.results(spark, [M.evaluate_model("logistic", M.fit_logistic(scaled.train), scaled, len(STAGE1_FEATURES))])
 
 
 @query("predictions", "user_id:i came_back:i came_back_probability:d prediction:i")
 def predictions(spark, folder):
     splits = stage1_trees(spark, folder)
-    model = trees(splits.train, splits.validation)
+    model = M.fit_gbt(splits.train, splits.validation)
     threshold = E.best_threshold(M.score(model, splits.validation)).first()["threshold"]
     return M.predictions(model, splits.test, threshold, ["user_id"], "came_back")
 
@@ -69,20 +74,20 @@ def predictions(spark, folder):
 @query("feature_importance", "feature:s importance:d rank:i")
 def feature_importance(spark, folder):
     splits = stage1_trees(spark, folder)
-    return M.feature_importance(spark, trees(splits.train, splits.validation), STAGE1_FEATURES)
+    return M.feature_importance(spark, M.fit_gbt(splits.train, splits.validation), STAGE1_FEATURES)
 
 
 @query("permutation_importance", "flat_feature:s importance_mean:d importance_std:d")
 def permutation_importance(spark, folder):
     splits = stage1_trees(spark, folder)
-    return M.permutation_importance(trees(splits.train, splits.validation), splits.test, ["user_id"], STAGE1_FEATURES)
+    return M.permutation_importance(M.fit_gbt(splits.train, splits.validation), splits.test, ["user_id"], STAGE1_FEATURES)
 
 
 @query("ablation_cumulative", RESULT)
 def ablation_cumulative(spark, folder):
     splits, columns = stage1_parts(spark, folder)
     groups = {"baseline": STAGE1_BASELINE, "additional": STAGE1_ADDITIONAL, "demographics": demographics.demographic_columns(columns)}
-    return M.ablation_cumulative(splits, groups, "came_back", ROUNDS, DEPTH)
+    return M.ablation_cumulative(splits, groups, "came_back", FEW_ROUNDS, DEPTH)
 
 
 @query("gbt_sequences", RESULT)
@@ -95,7 +100,7 @@ def gbt_sequences(spark, folder):
 def mlp_sequences(spark, folder):
     """Training history of the network."""
     splits = X.sequence_splits(weeks(spark, folder), COLUMNS, L)
-    _, history = M.fit_mlp(splits.train, splits.validation, hidden=8, epochs=3, block=5)
+    _, history = M.fit_mlp(splits.train, splits.validation, hidden=HIDDEN, epochs=EPOCHS, block=5)
     return M.results(spark, history, "epoch int, train_loss double, val_f1 double, val_threshold double")
 
 
@@ -110,9 +115,9 @@ def demographic_block(spark, folder):
 @query("mlp_sequences_demographics", RESULT)
 def mlp_sequences_demographics(spark, folder):
     block = demographic_block(spark, folder)
-    splits = X.sequence_splits(weeks(spark, folder), COLUMNS[:3], L, demographics=block)
+    splits = X.sequence_splits(weeks(spark, folder), COLUMNS, L, demographics=block)
     model = network(splits.train, splits.validation)
-    return M.results(spark, [M.evaluate_model("network + demographics", model, splits, L * 3 + len(block.columns) - 1)])
+    return M.results(spark, [M.evaluate_model("network + demographics", model, splits, L * len(COLUMNS) + len(block.columns) - 1)])
 
 
 @query("experiment_grid", "name:s n_features:i roc_auc:d f1:d precision:d recall:d threshold:d val_f1:d demographics:b drop_summer_test:b")
@@ -132,13 +137,13 @@ ABLATION = RESULT + " removed_features:s roc_auc_drop:d f1_drop:d"
 def leave_out(spark, folder):
     splits, _ = stage1_parts(spark, folder)
     removals = {"without hours": ["mean_hour_0_2", "std_hour_0_2"], "without days": ["n_active_days_0_2"]}
-    return splits, M.ablation_leave_out(splits, STAGE1_FEATURES, removals, "came_back", ROUNDS, DEPTH)
+    return splits, M.ablation_leave_out(splits, STAGE1_FEATURES, removals, "came_back", FEW_ROUNDS, DEPTH)
 
 
 @query("ablation_cumulative_sequences", RESULT)
 def ablation_cumulative_sequences(spark, folder):
     """Weekly activity, then objective time, then demographics."""
-    groups = {"baseline": COLUMNS[:4], "objective time": CALENDAR_FEATURES}
+    groups = {"baseline": [c for c in COLUMNS if c not in CALENDAR_FEATURES], "objective time": CALENDAR_FEATURES}
     return X.cumulative_study(weeks(spark, folder), groups, L, trees, demographic_block(spark, folder))
 
 
@@ -170,9 +175,9 @@ CONFUSION = "train_rows:i tn:i fp:i fn:i tp:i accuracy:d"
 
 @query("augmentation_comparison", f"{RESULT} {CONFUSION}")
 def augmentation_comparison(spark, folder):
-    cols = COLUMNS[:3]
+    cols = COLUMNS
     splits = X.sequence_splits(weeks(spark, folder), cols, L)
-    variants = X.flat_augmentations(L * len(cols), smote_cap=3000)
+    variants = X.flat_augmentations(L * len(cols))
     return M.compare_augmentations(splits, variants, trees, L * len(cols))
 
 
@@ -181,6 +186,6 @@ def augmentation_comparison(spark, folder):
     "model:s augmentation:s roc_auc:d f1:d accuracy:d roc_auc_delta:d f1_delta:d precision_delta:d recall_delta:d accuracy_delta:d",
 )
 def augmentation_matrix(spark, folder):
-    cols = COLUMNS[:3]
+    cols = COLUMNS
     splits = X.sequence_splits(weeks(spark, folder), cols, L, keep_sequences=True)
     return X.augmentation_matrix(splits, {"boosted trees": trees, "network": network}, L, len(cols))

@@ -203,12 +203,59 @@ def mixup(spark, folder):
     return spread_out(A.mixup(rows_with_array(spark, folder), KEY, "label"))
 
 
-@query("continuous_noise", ROW_SPEC)
+UNTOUCHED = ", ".join(f"case when (select count(distinct {c}) from weeks) < 50 then {c} end as x{i}" for i, c in enumerate(VALUES))
+
+
+@query(
+    "continuous_noise",
+    f"{ROW_SPEC} moved:i far:i",
+    f"""with ranked as (select *, row_number() over ({ORDER}) - 1 as r, count(*) over () as n from weeks),
+        draws as (select draw, floor({u_sql('draw', '42|pick')} * n) as r from (select unnest(range(0, count(*) // 2)) as draw, count(*) as n from weeks))
+        select null as draw, user_id, relative_week, label, {XS}, 0 as moved, 0 as far from weeks
+        union all select draw, user_id, relative_week, label, {UNTOUCHED},
+               {' + '.join(f'(select (count(distinct {c}) >= 50)::int from weeks)' for c in VALUES)} as moved, 0 as far from draws join ranked using (r)""",
+    "weeks",
+)
 def continuous_noise(spark, folder):
-    return spread_out(A.continuous_noise(rows_with_array(spark, folder), KEY, width=len(VALUES)))
+    """Hashed normal draws cannot be repeated in SQL: noisy values of added rows are shown as null, with how many values
+    moved from their original and how many by more than nine deviations of the noise."""
+    rows = durable(rows_with_array(spark, folder))
+    spread = A.column_spread(rows, "x", len(VALUES))
+    noisy = F.array(*[F.lit(v > 0) for v in spread])
+    limit = F.array(*[F.lit(9 * 0.01 * v) for v in spread])
+    added = A.continuous_noise(rows, KEY, width=len(VALUES))
+    joined = added.join(rows.select(*KEY, F.col("x").alias("before")), KEY)
+    away = F.zip_with("x", "before", lambda a, b: F.abs(a - b))
+    count = lambda flags: F.aggregate(F.transform(flags, lambda f: f.cast("int")), F.lit(0), lambda a, v: a + v)
+    moved, far = count(F.transform(away, lambda v: v > 0)), count(F.transform(away, lambda v, i: v > F.get(limit, i)))
+    fresh = F.col("draw").isNotNull()
+    shown = F.transform("x", lambda v, i: F.when(fresh & F.get(noisy, i), F.lit(None)).otherwise(v))
+    out = joined.select("draw", *KEY, "label", shown.alias("x"), moved.alias("moved"), far.alias("far"))
+    return out.selectExpr("draw", *KEY, "label", *[f"x[{i}] as x{i}" for i in range(len(VALUES))], "moved", "far")
+
+
+SQUARED = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in VALUES)
 
 
-@query("smote_subset", ROW_SPEC)
+@query(
+    "smote_subset",
+    ROW_SPEC,
+    f"""with c as (select label, count(*) as n, sum(count(*)) over () as total, greatest(1, floor(count(*) * 5000.0::double / sum(count(*)) over ())) as base from weeks group by label),
+        quota as (select label, case when total <= 5000 then n else base + case when row_number() over (order by base, label) = 1 then 5000 - sum(base) over () else 0 end end as q from c),
+        cut as (select w.*, q from (select *, row_number() over (partition by label order by {HASH.format(WEEK_KEY, 42)}, user_id, relative_week) as rn from weeks) w
+                join quota using (label) where rn <= q),
+        members as (select *, row_number() over (partition by label {ORDER}) - 1 as r, count(*) over (partition by label) as n from cut
+                    where q < (select max(q) from quota)),
+        pairs as (select a.label, a.r, b.r as other, row_number() over (partition by a.label, a.r order by {SQUARED}, b.r) - 1 as slot
+                  from members a join members b on a.label = b.label and a.r <> b.r),
+        sizes as (select label, max(n) as n, (select max(q) from quota) - max(n) as missing from members group by label),
+        draws as (select label, n, unnest(range(0, missing::bigint)) as draw from sizes),
+        picked as (select label, draw, floor({u_sql('draw', '42|base')} * n) as r, floor({u_sql('draw', '42|slot')} * 5) as slot, {u_sql('draw', '42|step')} as u from draws)
+        select null as draw, user_id, relative_week, label, {XS} from cut
+        union all select p.draw, a.user_id, a.relative_week, a.label, {', '.join(f'a.{c} + u * (b.{c} - a.{c})' for c in VALUES)}
+        from picked p join pairs using (label, r, slot) join members a on a.label = p.label and a.r = p.r join members b on b.label = p.label and b.r = pairs.other""",
+    "weeks",
+)
 def smote_subset(spark, folder):
     return spread_out(A.smote(rows_with_array(spark, folder), KEY, "label", max_samples=5000))
 

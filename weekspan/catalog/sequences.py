@@ -20,7 +20,7 @@ from weekspan.session import durable
 from weekspan.sources import star
 
 L = 12
-FEW = ["n_events", "n_transactions", "activity_score"]
+ALL = list(WEEKLY_FEATURES)
 SCALE = "(pi() * 10000)"
 
 
@@ -74,9 +74,9 @@ def seq_fixed(spark, folder):
     return condensed(Q.make_sequences(stage2(spark, folder), WEEKLY_FEATURES, L))
 
 
-@query("seq_no_summer", CONDENSED, condensed_sql("ll_cells", FEW, "not is_summer"), "ll_cells")
+@query("seq_no_summer", CONDENSED, condensed_sql("ll_cells", ALL, "not is_summer"), "ll_cells")
 def seq_no_summer(spark, folder):
-    return condensed(Q.make_sequences(stage2(spark, folder), FEW, L, drop_summer=True))
+    return condensed(Q.make_sequences(stage2(spark, folder), ALL, L, drop_summer=True))
 
 
 def _multi_window_sql(cols: list[str]) -> str:
@@ -92,32 +92,32 @@ def _multi_window_sql(cols: list[str]) -> str:
     )
     return f"""select user_id, sum(case when k = 1 then longest - 1 end) as n_sequences, sum(case when k = 1 then label * (longest - 1) end) as n_positive,
         min(target) as first_week, max(target) as last_week, sum({terms}) / {SCALE} as checksum
-        from (select q.user_id, q.idx as target, label, longest, k, s.n_events, s.n_transactions
+        from (select q.user_id, q.idx as target, label, longest, k, {', '.join('s.' + c for c in cols)}
               from (select user_id, idx, is_dropout_point as label, least(12, idx) as longest from ll_stage2
                     where is_dropout_point is not null and idx >= 2) q
               cross join range(1, 13) r(k) join ll_stage2 s on s.user_id = q.user_id and s.idx = q.idx - k where k <= longest)
         group by user_id"""
 
 
-@query("seq_multi_window", CONDENSED, _multi_window_sql(FEW[:2]), "ll_stage2")
+@query("seq_multi_window", CONDENSED, _multi_window_sql(ALL), "ll_stage2")
 def seq_multi_window(spark, folder):
-    return condensed(Q.make_sequences_multi_window(stage2(spark, folder), FEW[:2], L))
+    return condensed(Q.make_sequences_multi_window(stage2(spark, folder), ALL, L))
 
 
 @query(
     "seq_flat",
     "user_id:i target_week:i label:i first_value:f last_value:f width:i",
-    """select user_id, target_week, label, max(case when t = 0 then n_transactions end) as first_value,
-       max(case when t = 11 then activity_score end) as last_value, 24 as width from ll_cells group by all""",
+    f"""select user_id, target_week, label, max(case when t = 0 then {ALL[0]} end) as first_value,
+       max(case when t = 11 then {ALL[-1]} end) as last_value, {12 * len(ALL)} as width from ll_cells group by all""",
     "ll_cells",
 )
 def seq_flat(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
-    df = Q.with_vector(Q.make_sequences(stage2(spark, folder), FEW[1:], L))
+    df = Q.with_vector(Q.make_sequences(stage2(spark, folder), ALL, L))
     values = vector_to_array("features")
     return df.select(
-        "user_id", "target_week", "label", values[0].alias("first_value"), values[23].alias("last_value"), F.size(values).alias("width")
+        "user_id", "target_week", "label", values[0].alias("first_value"), values[L * len(ALL) - 1].alias("last_value"), F.size(values).alias("width")
     )
 
 
@@ -145,7 +145,7 @@ def drop_feature_all_timesteps(spark, folder):
 def seq_with_demographics(spark, folder):
     users = clean.clean_users(star.star_users(spark, folder))
     block = demographics.demographic_features(users, CATEGORIES)
-    df = Q.attach_demographics(Q.make_sequences(stage2(spark, folder), FEW, L), block)
+    df = Q.attach_demographics(Q.make_sequences(stage2(spark, folder), ALL, L), block)
     return (
         df.withColumn("canton", demographics.one_hot_label(df, "canton_"))
         .groupBy("canton")
@@ -250,26 +250,26 @@ def trajectory_sequences(spark, folder):
     CONDENSED,
     condensed_sql(
         f"""(select user_id, target_week, label, t, {', '.join(
-            f'{c} / coalesce(nullif(sqrt(sum({c} * {c}) over (partition by user_id, target_week)), 0), 1) as {c}' for c in FEW)} from ll_traj)""",
-        FEW,
+            f'{c} / coalesce(nullif(sqrt(sum({c} * {c}) over (partition by user_id, target_week)), 0), 1) as {c}' for c in BEHAVIOUR_FEATURES)} from ll_traj)""",
+        BEHAVIOUR_FEATURES,
     ),
     "ll_traj",
 )
 def l2_normalize_sequences(spark, folder):
-    df = trajectories(spark, folder, FEW)
-    return condensed(df.withColumn("seq", arrays.l2_normalize("seq", len(FEW))), label="is_dropout_point", week="end_week")
+    df = trajectories(spark, folder)
+    return condensed(df.withColumn("seq", arrays.l2_normalize("seq", len(BEHAVIOUR_FEATURES))), label="is_dropout_point", week="end_week")
 
 
 @query(
     "trajectory_mean",
-    "user_id:i n_sequences:i " + " ".join(f"{c}:d" for c in FEW),
-    f"select user_id, count(*) / 12 as n_sequences, {', '.join(f'avg({c}) as {c}' for c in FEW)} from ll_traj group by user_id",
+    "user_id:i n_sequences:i " + " ".join(f"{c}:d" for c in BEHAVIOUR_FEATURES),
+    f"select user_id, count(*) / 12 as n_sequences, {', '.join(f'avg({c}) as {c}' for c in BEHAVIOUR_FEATURES)} from ll_traj group by user_id",
     "ll_traj",
 )
 def trajectory_mean(spark, folder):
-    df = trajectories(spark, folder, FEW).withColumn("pooled", arrays.mean_over_time("seq", len(FEW)))
+    df = trajectories(spark, folder).withColumn("pooled", arrays.mean_over_time("seq", len(BEHAVIOUR_FEATURES)))
     return df.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_sequences"), *[F.avg(F.col("pooled")[i]).alias(c) for i, c in enumerate(FEW)]
+        F.count(F.lit(1)).alias("n_sequences"), *[F.avg(F.col("pooled")[i]).alias(c) for i, c in enumerate(BEHAVIOUR_FEATURES)]
     )
 
 
@@ -339,7 +339,7 @@ def trajectory_demographics(spark, folder):
     users = clean.clean_users(star.star_users(spark, folder)).select("user_id", "gender", "canton")
     known = users.join(star.table(spark, folder, "events").select("user_id").distinct(), "user_id", "left_semi")
     weeks = stage2(spark, folder).filter("is_dropout_point is not null")
-    df = attach_groups(Q.trajectory_sequences(weeks, FEW, L), known, ["gender", "canton"])
+    df = attach_groups(Q.trajectory_sequences(weeks, BEHAVIOUR_FEATURES, L), known, ["gender", "canton"])
     return df.groupBy("gender", "canton").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_users"), F.sum("is_dropout_point").alias("n_positive")
     )
@@ -358,12 +358,12 @@ ROW = "user_id || '|' || target_week"
 
 
 def base_sequences(spark, folder):
-    return Q.make_sequences(stage2(spark, folder), FEW, L)
+    return Q.make_sequences(stage2(spark, folder), ALL, L)
 
 
 cte(
-    "few",
-    f"""select user_id, target_week, label, t, {', '.join(FEW)},
+    "masked",
+    f"""select user_id, target_week, label, t, {', '.join(ALL)},
         row_number() over (partition by user_id, target_week order by {u_sql(ROW + " || '|' || t", 's|mask')}, t) as mask_order
         from ll_cells""",
     "ll_cells",
@@ -371,30 +371,30 @@ cte(
 
 
 def zeroed(n: str) -> str:
-    return ", ".join(f"case when mask_order <= {n} then 0 else {c} end as {c}" for c in FEW)
+    return ", ".join(f"case when mask_order <= {n} then 0 else {c} end as {c}" for c in ALL)
 
 
 @query(
     "mask_timesteps",
     CONDENSED,
-    condensed_sql(f"(select user_id, target_week, label, t, {zeroed('3')} from few)", FEW),
-    "few",
+    condensed_sql(f"(select user_id, target_week, label, t, {zeroed('3')} from masked)", ALL),
+    "masked",
 )
 def mask_timesteps(spark, folder):
     df = base_sequences(spark, folder)
-    return condensed(df.withColumn("seq", A.mask_weeks(F.col("seq"), SEQ_KEYS, "s", L, len(FEW), 3)))
+    return condensed(df.withColumn("seq", A.mask_weeks(F.col("seq"), SEQ_KEYS, "s", L, len(ALL), 3)))
 
 
 @query(
     "week_dropout",
     CONDENSED,
-    condensed_sql(f"(select user_id, target_week, label, t, {zeroed('2')} from few)", FEW),
-    "few",
+    condensed_sql(f"(select user_id, target_week, label, t, {zeroed('2')} from masked)", ALL),
+    "masked",
 )
 def week_dropout(spark, folder):
     df = base_sequences(spark, folder)
     n = max(1, round(L * 0.2))
-    return condensed(df.withColumn("seq", A.mask_weeks(F.col("seq"), SEQ_KEYS, "s", L, len(FEW), n)))
+    return condensed(df.withColumn("seq", A.mask_weeks(F.col("seq"), SEQ_KEYS, "s", L, len(ALL), n)))
 
 
 CROP = f"(6 + floor({u_sql(ROW, 's|crop')} * 6))::int"
@@ -407,13 +407,13 @@ cte("started", f"select *, floor({u_sql(ROW, 's|start')} * (12 - crop + 1))::int
     CONDENSED,
     f"""select user_id, count(distinct target_week) as n_sequences, sum(label) filter (t = 0) as n_positive, min(target_week) as first_week,
         max(target_week) as last_week,
-        sum(case when t >= start and t < start + crop then {weighted(FEW, 't - start + 12 - crop')} else 0 end) / {SCALE} as checksum
+        sum(case when t >= start and t < start + crop then {weighted(ALL, 't - start + 12 - crop')} else 0 end) / {SCALE} as checksum
         from started group by user_id""",
     "started",
 )
 def crop_pad(spark, folder):
     df = base_sequences(spark, folder)
-    return condensed(df.withColumn("seq", A.crop_and_pad(F.col("seq"), SEQ_KEYS, "s", L, len(FEW))))
+    return condensed(df.withColumn("seq", A.crop_and_pad(F.col("seq"), SEQ_KEYS, "s", L, len(ALL))))
 
 
 def _swap_sql() -> str:
@@ -425,7 +425,7 @@ def _swap_sql() -> str:
     return f"select *, case when n < 2 then t1 when t1 = i1 then j1 when t1 = j1 then i1 else t1 end as t2 from ({third})"
 
 
-@query("local_swap", CONDENSED, condensed_sql(f"({_swap_sql()})", FEW, t="t2"), "ll_cells")
+@query("local_swap", CONDENSED, condensed_sql(f"({_swap_sql()})", ALL, t="t2"), "ll_cells")
 def local_swap(spark, folder):
     df = base_sequences(spark, folder)
     return condensed(df.withColumn("seq", A.swap_nearby(F.col("seq"), SEQ_KEYS, "s", L)))
@@ -434,15 +434,17 @@ def local_swap(spark, folder):
 cte(
     "policy",
     f"""select *, {u_sql(ROW, 's|do_mask')} < 0.5 as m, {u_sql(ROW, 's|do_crop')} < 0.5 as c, {u_sql(ROW, 's|fallback')} < 0.5 as f
-        from (select s.*, few.mask_order from started s join few using (user_id, target_week, t))""",
+        from (select s.*, masked.mask_order from started s join masked using (user_id, target_week, t))""",
     "started",
-    "few",
+    "masked",
 )
 cte(
     "policy_cells",
     """select user_id, target_week, label, t, case when (m or (not m and not c and f)) and mask_order <= 3 then 0 else 1 end as kept,
        case when c or (not m and not c and not f) then case when t >= start and t < start + crop then t - start + 12 - crop end else t end as t2,
-       n_events, n_transactions, activity_score from policy""",
+       """
+    + ", ".join(ALL)
+    + " from policy",
     "policy",
 )
 
@@ -450,18 +452,18 @@ cte(
 @query(
     "augment_policy_mask_crop",
     "user_id:i copy:i n_sequences:i n_positive:i checksum:f",
-    f"""select user_id, 0 as copy, count(*) / 12 as n_sequences, sum(label) / 12 as n_positive, sum({weighted(FEW)}) / {SCALE} as checksum
+    f"""select user_id, 0 as copy, count(*) / 12 as n_sequences, sum(label) / 12 as n_positive, sum({weighted(ALL)}) / {SCALE} as checksum
         from ll_cells group by user_id
         union all
         select user_id, 1, count(*) / 12, sum(label) / 12,
-               sum(case when t2 is null then 0 else kept * ({weighted(FEW, 't2')}) end) / {SCALE} from policy_cells group by user_id""",
+               sum(case when t2 is null then 0 else kept * ({weighted(ALL, 't2')}) end) / {SCALE} from policy_cells group by user_id""",
     "ll_cells policy_cells",
 )
 def augment_policy_mask_crop(spark, folder):
     df = base_sequences(spark, folder)
 
     def policy(df, seed, **options):
-        return A.policy_mask_crop(df, SEQ_KEYS, L, len(FEW), "s")
+        return A.policy_mask_crop(df, SEQ_KEYS, L, len(ALL), "s")
 
     both = A.augmented_train_set(df, policy)
     parts = [condensed(both.filter(F.col("copy") == c)).withColumn("copy", F.lit(c)) for c in (0, 1)]
@@ -471,25 +473,51 @@ def augment_policy_mask_crop(spark, folder):
 @query(
     "augmentation_audit",
     "changed_ratio:d mean_changed:d median_changed:d min_changed:i max_changed:i",
-    """select avg((n > 0)::int) as changed_ratio, avg(n) as mean_changed, median(n) as median_changed, min(n) as min_changed, max(n) as max_changed
-       from (select user_id, target_week, sum((mask_order <= 3 and n_events <> 0)::int + (mask_order <= 3 and n_transactions <> 0)::int
-                    + (mask_order <= 3 and activity_score <> 0)::int) as n from few group by all)""",
-    "few",
+    f"""select avg((n > 0)::int) as changed_ratio, avg(n) as mean_changed, median(n) as median_changed, min(n) as min_changed, max(n) as max_changed
+       from (select user_id, target_week, sum({' + '.join(f'(mask_order <= 3 and {c} <> 0)::int' for c in ALL)}) as n from masked group by all)""",
+    "masked",
 )
 def augmentation_audit(spark, folder):
     df = base_sequences(spark, folder)
-    return A.augmentation_audit(df.withColumn("augmented", A.mask_weeks(F.col("seq"), SEQ_KEYS, "s", L, len(FEW), 3)))
+    return A.augmentation_audit(df.withColumn("augmented", A.mask_weeks(F.col("seq"), SEQ_KEYS, "s", L, len(ALL), 3)))
 
 
-@query("gaussian_jitter", "user_id:i n_sequences:i n_positive:i checksum:f")
+MOVED = "user_id:i n_sequences:i n_positive:i n_cells:i n_moved:i n_far:i"
+
+
+def moved(df, keys=("user_id",), bound=0.03 * 9):
+    """Sequences, cells, cells that changed and cells that moved by more than nine deviations, from ``before`` to ``seq``."""
+    pairs = F.zip_with(F.flatten("before"), F.flatten("seq"), lambda a, b: F.abs(a - b))
+    count = lambda test: F.sum(F.aggregate(F.transform(pairs, lambda v: test(v).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v))
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_sequences"), F.sum("label").alias("n_positive"), F.sum(F.size(F.flatten("seq"))).alias("n_cells"),
+        count(lambda v: v > 0).alias("n_moved"), count(lambda v: v > bound).alias("n_far"),
+    )
+
+
+@query(
+    "gaussian_jitter",
+    MOVED,
+    f"""select user_id, count(*) / 12 as n_sequences, sum(label) / 12 as n_positive, count(*) * {len(ALL)} as n_cells, count(*) * {len(ALL)} as n_moved, 0 as n_far
+        from ll_cells group by user_id""",
+    "ll_cells",
+)
 def gaussian_jitter(spark, folder):
-    df = base_sequences(spark, folder)
-    return condensed(df.withColumn("seq", A.jitter(F.col("seq"), SEQ_KEYS, "s")))
+    """The draws are hashed and cannot be repeated in SQL; every cell must move, and none by more than nine deviations."""
+    df = base_sequences(spark, folder).withColumn("before", F.col("seq"))
+    return moved(df.withColumn("seq", A.jitter(F.col("seq"), SEQ_KEYS, "s")))
 
 
-@query("augment_policy_conservative", "user_id:i copy:i n_sequences:i n_positive:i checksum:f")
+@query(
+    "augment_policy_conservative",
+    "user_id:i copy:i n_sequences:i n_positive:i n_same:i",
+    """select user_id, copy, n as n_sequences, positive as n_positive, case when copy = 0 then n else 0 end as n_same
+       from (select user_id, count(*) / 12 as n, sum(label) / 12 as positive from ll_cells group by user_id) cross join (select unnest([0, 1]) as copy)""",
+    "ll_cells",
+)
 def augment_policy_conservative(spark, folder):
-    df = base_sequences(spark, folder)
-    both = A.augmented_train_set(df, A.policy_conservative, keys=SEQ_KEYS, length=L, features=len(FEW))
-    parts = [condensed(both.filter(F.col("copy") == c)).withColumn("copy", F.lit(c)) for c in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    """Originals stay as they are and every sequence has one copy; what the copy holds is drawn by hash."""
+    df = base_sequences(spark, folder).withColumn("before", F.col("seq"))
+    both = A.augmented_train_set(df, A.policy_conservative, keys=SEQ_KEYS, length=L, features=len(ALL))
+    same = (F.col("seq") == F.col("before")) & (F.col("copy") == 0)
+    return both.groupBy("user_id", "copy").agg(F.count(F.lit(1)).alias("n_sequences"), F.sum("label").alias("n_positive"), F.count_if(same).alias("n_same"))

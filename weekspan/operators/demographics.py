@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekspan.functions.scalars import (
@@ -107,10 +107,8 @@ def demographic_index(users: DataFrame, genders: Sequence[str] | None = None) ->
     genders = genders or categories_of(users, "gender")
     out = users.select("user_id", "gender", "canton", "class_level")
     for c in ("canton", "class_level"):
-        # one row per distinct value: a vocabulary, ordered in one small task
-        index = (
-            users.select(c).distinct().withColumn(f"{c}_index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c)) - 1)
-        )
-        out = out.join(index, c)
+        values = categories_of(users, c)  # of checked length
+        index = users.sparkSession.createDataFrame(list(enumerate(values)), f"{c}_index int, {c} string")
+        out = out.join(F.broadcast(index), c)
     flags = [f"cast(gender = {sql_text(g)} as double) as `gender_{g}`" for g in genders]
     return out.selectExpr("user_id", "canton_index", "class_level_index", *flags)

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekspan.functions.scalars import col
+from weekspan.session import durable
 
-SCORE_BUCKETS = 65_536
+MOST_BUCKETS = 1_000
+SCORES_A_BUCKET = 100_000
 
 
 def grid(start: float, stop: float, count: int) -> list[float]:
@@ -92,30 +94,41 @@ def best_threshold(df: DataFrame, by: Sequence[str] = (), **options) -> DataFram
     return threshold_sweep(df, by=by, **options).groupBy(*by).agg(best).select(*by, "best.*")
 
 
+def score_bounds(scores: DataFrame, scores_a_bucket: int = SCORES_A_BUCKET) -> list[float]:
+    """Increasing bounds that cut the distinct scores ``_s`` into buckets of about equal numbers, from a quantile sketch."""
+    probs = F.lit([i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)])
+    found = scores.agg(F.count("_s"), F.percentile_approx("_s", probs, F.lit(10 * MOST_BUCKETS))).first()
+    wanted = min(MOST_BUCKETS, -(-found[0] // scores_a_bucket))
+    if wanted <= 1:
+        return []
+    return sorted({found[1][i * MOST_BUCKETS // wanted - 1] for i in range(1, wanted)})
+
+
 def roc_auc(
-    df: DataFrame, label: str = "y_true", prob: str = "y_prob", by: Sequence[str] = (), buckets: int = SCORE_BUCKETS
+    df: DataFrame, label: str = "y_true", prob: str = "y_prob", by: Sequence[str] = (), scores_a_bucket: int = SCORES_A_BUCKET
 ) -> DataFrame:
     """Exact area under the ROC curve with ties counted half; null when a class is absent.
 
-    Counts per distinct score are ranked inside score buckets and the buckets are chained by their totals, so the
-    distinct scores are never ordered in a single task.
+    Counts per distinct score are ranked inside buckets of about ``scores_a_bucket`` distinct scores, whatever their
+    distribution, and the buckets are chained by their totals, so the distinct scores are never ordered in a single task.
     """
     y = F.col(label) == 1
-    scores = (
-        df.groupBy(*by, F.col(prob).cast("double").alias("_s"))
-        .agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
-        .withColumn("_bucket", F.floor(F.col("_s") * buckets))
-    )
+    scores = durable(df.groupBy(*by, F.col(prob).cast("double").alias("_s")).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n")), "scores")
+    bounds = score_bounds(scores, scores_a_bucket)
     scope = list(by) or [F.lit(0)]
-    before = Window.partitionBy(*scope).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        scores.groupBy(*by, "_bucket")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_below", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-        .drop("_bn")
-    )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = scores.withColumn("_inner", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, [*by, "_bucket"])
+    if bounds:
+        scores = scores.withColumn("_bucket", F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("_s"))))
+        before = Window.partitionBy(*scope).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = scores.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_bn"))
+        offsets = sums.select(F.col("_bucket").alias("_at"), F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_below"), *[F.col(b).alias(f"_by_{b}") for b in by])
+        inside = Window.partitionBy(*by, "_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        match = F.col("_bucket") == F.col("_at")
+        for b in by:
+            match = match & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+        ranked = scores.withColumn("_inner", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, match)
+    else:  # few distinct scores
+        inside = Window.partitionBy(*scope).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = scores.withColumn("_inner", F.coalesce(F.sum("_n").over(inside), F.lit(0))).withColumn("_below", F.lit(0))
     wins = F.sum(F.col("_p").cast("double") * (F.col("_below") + F.col("_inner") + F.col("_n") / 2))
     area = wins / F.nullif(F.sum("_p").cast("double") * F.sum("_n"), F.lit(0.0))
     return ranked.groupBy(*by).agg(area.alias("roc_auc"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))

@@ -220,9 +220,14 @@ def user_transaction_summary(transactions: DataFrame) -> DataFrame:
     return summary.join(median, "user_id", "left")
 
 
-def categories_of(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct non-null values of a category column (a vocabulary, not data)."""
-    rows = df.select(F.col(column).cast("string").alias("v")).filter("v is not null").distinct().collect()
+MOST_CATEGORIES = 10_000
+
+
+def categories_of(df: DataFrame, column: str, most: int = MOST_CATEGORIES) -> list[str]:
+    """Sorted distinct non-null values of a category column. More than ``most`` are no vocabulary: pass them in instead."""
+    rows = df.select(F.col(column).cast("string").alias("v")).filter("v is not null").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} values; pass the wanted ones")
     return sorted(r["v"] for r in rows)
 
 

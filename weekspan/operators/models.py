@@ -157,11 +157,12 @@ def exact_areas(model: GBTClassificationModel, df: DataFrame, rounds: Sequence[i
     return {r["round"]: r["roc_auc"] for r in E.roc_auc(rows, by=["round"]).collect()}
 
 
-def decided_round(low: Sequence[float], high: Sequence[float], patience: int, exact: Callable[[Sequence[int]], dict[int, float]]) -> int:
-    """``best_round`` of values known within bounds; values whose bounds leave a comparison open are asked for."""
+def decided_round(low: Sequence[float], high: Sequence[float], patience: int, exact: Callable[[Sequence[int]], dict[int, float]]) -> tuple[int, bool]:
+    """``best_round`` of values known within bounds, and whether patience ended the search; values whose bounds leave a
+    comparison open are asked for."""
     known: dict[int, tuple[float, float]] = {}
     while True:
-        best, at, unsure = (float("-inf"), float("-inf")), 0, set()
+        best, at, unsure, ended = (float("-inf"), float("-inf")), 0, set(), False
         for i, bounds in enumerate(zip(low, high, strict=True)):
             a, b = known.get(i, bounds)
             if a > best[1]:
@@ -171,9 +172,10 @@ def decided_round(low: Sequence[float], high: Sequence[float], patience: int, ex
                 if (a + b) > sum(best):
                     best, at = (a, b), i
             if i - at >= patience:
+                ended = True
                 break
         if not unsure:
-            return at + 1
+            return at + 1, ended
         known |= {i: (v, v) for i, v in exact(sorted(unsure)).items()}
 
 
@@ -182,17 +184,29 @@ def fit_gbt(
 ):
     """Boosted trees with balanced weights, cut at the round with the best validation ROC-AUC.
 
-    All rounds are fitted once and the ensemble is cut where ``patience`` further rounds brought nothing better. One pass
+    The search ends when ``patience`` further rounds brought nothing better. Twice the patience is fitted first; only if
+    the search has not ended there, twice as many rounds are (the first ones come out the same), up to ``rounds``. One pass
     scores every round; a second one settles the rounds that the first leaves open. Without both classes in the
-    validation rows the whole ensemble is kept.
+    validation rows all rounds are kept.
     """
-    weighted = balanced_class_weights(train, "label")
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, weightCol="weight", seed=seed).fit(weighted)
-    areas = staged_areas(model, validation)
-    if areas is None:
-        return model
-    keep = decided_round(*areas, patience, lambda open_rounds: exact_areas(model, validation, open_rounds))
-    return model if keep == len(model.treeWeights) else first_trees(model, keep)
+    weighted = balanced_class_weights(train, "label").persist()
+    count = min(rounds, 2 * patience)
+    try:
+        while True:
+            model = GBTClassifier(maxIter=count, maxDepth=depth, stepSize=step, weightCol="weight", seed=seed).fit(weighted)
+            fitted = len(model.treeWeights)
+            areas = staged_areas(model, validation)
+            if areas is None:
+                if count >= rounds:
+                    return model
+                count = rounds
+                continue
+            keep, ended = decided_round(*areas, patience, lambda open_rounds, model=model: exact_areas(model, validation, open_rounds))
+            if ended or count >= rounds or fitted < count:
+                return model if keep == fitted else first_trees(model, keep)
+            count = min(rounds, 2 * count)
+    finally:
+        weighted.unpersist()
 
 
 def fit_logistic(train: DataFrame, max_iter: int = 1000):

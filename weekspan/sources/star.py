@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weekspan.functions.scalars import DAY_MICROS, micros_between
+from weekspan.functions.skew import ROWS_PER_TASK
 from weekspan.session import durable
 from weekspan.sources.logs import Logs
 
 SESSION_GAP_MICROS = DAY_MICROS // 4
+HOUR_MICROS = DAY_MICROS // 24
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,13 +40,27 @@ def short_transactions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def number_sessions(df: DataFrame, ts: str, tie: str, gap_micros: int) -> DataFrame:
+def time_slices(df: DataFrame, ts: str, rows_a_slice: int = ROWS_PER_TASK) -> DataFrame:
+    """Add ``_hour``: the start in microseconds of the row's hour, or of an equal part of it where the user has more than
+    ``rows_a_slice`` rows in that hour; the list of such hours has at most rows / ``rows_a_slice`` entries."""
+    at = F.col(ts).cast("timestamp")
+    micros, hour = F.unix_micros(at), F.unix_micros(F.date_trunc("hour", at))
+    hours = df.withColumn("_start", hour)
+    sizes = hours.groupBy("user_id", "_start").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_a_slice)
+    parts = sizes.select("user_id", "_start", F.ceil(F.col("_n") / rows_a_slice).alias("_parts"))
+    width = F.floor(F.lit(HOUR_MICROS) / F.coalesce("_parts", F.lit(1))).cast("long")
+    cut = hours.join(F.broadcast(parts), ["user_id", "_start"], "left")
+    return cut.withColumn("_hour", F.col("_start") + F.floor((micros - F.col("_start")) / width) * width).drop("_start", "_parts")
+
+
+def number_sessions(df: DataFrame, ts: str, tie: str, gap_micros: int, rows_a_slice: int = ROWS_PER_TASK) -> DataFrame:
     """Add ``sid``: 1 for a user's first row, one more after every pause longer than ``gap_micros``.
 
-    Rows are ordered inside user-hours; the hours of a user are then chained by their first and last time and their
-    number of pauses, so a very active user is spread over as many tasks as they have active hours.
+    Rows are ordered inside user-hours, or parts of them (``time_slices``); the slices of a user are then chained by
+    their first and last time and their number of pauses, so a very active user is spread over as many tasks as they have
+    slices. Rows of one user at the same microsecond stay together.
     """
-    hours = df.withColumn("_hour", F.date_trunc("hour", ts))
+    hours = time_slices(df, ts, rows_a_slice)
     inside = Window.partitionBy("user_id", "_hour").orderBy(ts, tie)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     pause = (micros_between("_before", ts) > gap_micros).cast("int")
