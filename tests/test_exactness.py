@@ -162,7 +162,9 @@ def points(spark):
 
 def test_nearest_rows_and_smote(points):
     minority = A._ranked(points.filter("label = 1"), ["id"], 1)
-    got = {r["rank"]: list(r["near"]) for r in A.nearest_rows(minority, 4).collect()}
+    got = {}
+    for r in A.nearest_neighbours(minority, "rank", 4, "x").orderBy("key", "rank").collect():
+        got.setdefault(r["key"], []).append(r["neighbour"])
     local = {r["rank"]: np.array(r["x"]) for r in minority.collect()}
     for rank, x in local.items():
         others = sorted((np.linalg.norm(x - y), r) for r, y in local.items() if r != rank)

@@ -33,16 +33,16 @@ def weighted(cols: list[str], t: str = "t") -> str:
     return " + ".join(f"{c} * ((({t}) * {len(cols)} + {i}) % 97 + 1)" for i, c in enumerate(cols))
 
 
-def condensed(df, seq="seq", label="label", week="target_week", by="user_id"):
-    """Every value is weighted and summed inside its row; nothing is exploded."""
-    weighted_values = F.transform(F.flatten(seq), lambda x, i: x * (i % 97 + 1))
-    rows = df.select(by, F.col(label).alias("_y"), F.col(week).alias("_week"), F.aggregate(weighted_values, F.lit(0.0), lambda a, x: a + x).alias("_sum"))
+def condensed(df, seq="seq", label="label", week="target_week", by="user_id", width=len(ALL)):
+    """Every value is weighted and summed inside its row, week by week in generated code; nothing is exploded."""
+    week_sums = [F.expr(" + ".join(f"{seq}[{t}][{f}] * {(t * width + f) % 97 + 1}D" for f in range(width))).alias(f"_w{t}") for t in range(L)]
+    rows = df.select(by, F.col(label).alias("_y"), F.col(week).alias("_week"), *week_sums)
     return rows.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_sequences"),
         F.sum("_y").alias("n_positive"),
         F.min("_week").alias("first_week"),
         F.max("_week").alias("last_week"),
-        F.expr(f"sum(_sum) / {SCALE}").alias("checksum"),
+        F.expr(f"sum({' + '.join(f'_w{t}' for t in range(L))}) / {SCALE}").alias("checksum"),
     )
 
 
@@ -132,7 +132,7 @@ def drop_feature_all_timesteps(spark, folder):
     cols = ["year", "n_events", "mean_hour", "day", "activity_score"]
     reduced, left = Q.drop_features(Q.make_sequences(stage2(spark, folder), cols, L), cols, ["year", "day"])
     assert left == ["n_events", "mean_hour", "activity_score"]
-    return condensed(reduced)
+    return condensed(reduced, width=3)
 
 
 @query(
@@ -242,7 +242,7 @@ def impute_scale(spark, folder):
 
 @query("trajectory_sequences", CONDENSED, condensed_sql("ll_traj", BEHAVIOUR_FEATURES), "ll_traj")
 def trajectory_sequences(spark, folder):
-    return condensed(trajectories(spark, folder), label="is_dropout_point", week="end_week")
+    return condensed(trajectories(spark, folder), label="is_dropout_point", week="end_week", width=len(BEHAVIOUR_FEATURES))
 
 
 @query(
@@ -257,7 +257,7 @@ def trajectory_sequences(spark, folder):
 )
 def l2_normalize_sequences(spark, folder):
     df = trajectories(spark, folder)
-    return condensed(df.withColumn("seq", arrays.l2_normalize("seq", len(BEHAVIOUR_FEATURES))), label="is_dropout_point", week="end_week")
+    return condensed(df.withColumn("seq", arrays.l2_normalize("seq", len(BEHAVIOUR_FEATURES))), label="is_dropout_point", week="end_week", width=len(BEHAVIOUR_FEATURES))
 
 
 @query(
