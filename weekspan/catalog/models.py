@@ -1,7 +1,7 @@
 """Queries that fit models.
 
-Single fits on the stage 1 table run the operators' full settings. Studies of several fits, and fits on sequences, run
-fewer rounds and epochs (``FEW_ROUNDS``, ``EPOCHS``) on all columns and weeks; the README lists them with their seconds.
+Single fits on the stage 1 table run the operators' full settings; single fits on sequences use all columns and weeks with
+few rounds or epochs. Studies of several fits run on ``STUDY_COLUMNS`` and ``STUDY_WEEKS``; the README lists the keys.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from weekspan.plans import experiments as X
 from weekspan.session import durable
 from weekspan.sources import star
 
-FEW_ROUNDS, DEPTH, L = 10, 6, 12
-EPOCHS, HIDDEN = 3, 64
+FEW_ROUNDS, DEPTH, L = 3, 3, 12
+EPOCHS, HIDDEN = 2, 8
 COLUMNS = list(WEEKLY_FEATURES)
+STUDY_WEEKS = 4
+STUDY_COLUMNS = ["n_events", "n_transactions", "activity_score", "mean_hour", "year", "day"]
 RESULT = "experiment:s n_features:i roc_auc:d f1:d precision:d recall:d threshold:d val_f1:d"
 
 
@@ -115,20 +117,20 @@ def demographic_block(spark, folder):
 @query("mlp_sequences_demographics", RESULT)
 def mlp_sequences_demographics(spark, folder):
     block = demographic_block(spark, folder)
-    splits = X.sequence_splits(weeks(spark, folder), COLUMNS, L, demographics=block)
+    splits = X.sequence_splits(weeks(spark, folder), STUDY_COLUMNS, STUDY_WEEKS, demographics=block)
     model = network(splits.train, splits.validation)
-    return M.results(spark, [M.evaluate_model("network + demographics", model, splits, L * len(COLUMNS) + len(block.columns) - 1)])
+    return M.results(spark, [M.evaluate_model("network + demographics", model, splits, STUDY_WEEKS * len(STUDY_COLUMNS) + len(block.columns) - 1)])
 
 
 @query("experiment_grid", "name:s n_features:i roc_auc:d f1:d precision:d recall:d threshold:d val_f1:d demographics:b drop_summer_test:b")
 def experiment_grid(spark, folder):
     specs = {
-        "weekly": {"columns": COLUMNS},
-        "weekly, no summer test": {"columns": COLUMNS, "drop_summer_test": True},
+        "weekly": {"columns": STUDY_COLUMNS},
+        "weekly, no summer test": {"columns": STUDY_COLUMNS, "drop_summer_test": True},
         "time only": {"columns": CALENDAR_FEATURES},
-        "weekly + demographics": {"columns": COLUMNS, "demographics": demographic_block(spark, folder)},
+        "weekly + demographics": {"columns": STUDY_COLUMNS, "demographics": demographic_block(spark, folder)},
     }
-    return X.experiment_grid(weeks(spark, folder), specs, L, network)
+    return X.experiment_grid(weeks(spark, folder), specs, STUDY_WEEKS, network)
 
 
 ABLATION = RESULT + " removed_features:s roc_auc_drop:d f1_drop:d"
@@ -143,15 +145,15 @@ def leave_out(spark, folder):
 @query("ablation_cumulative_sequences", RESULT)
 def ablation_cumulative_sequences(spark, folder):
     """Weekly activity, then objective time, then demographics."""
-    groups = {"baseline": [c for c in COLUMNS if c not in CALENDAR_FEATURES], "objective time": CALENDAR_FEATURES}
-    return X.cumulative_study(weeks(spark, folder), groups, L, trees, demographic_block(spark, folder))
+    groups = {"baseline": [c for c in STUDY_COLUMNS if c not in CALENDAR_FEATURES], "objective time": CALENDAR_FEATURES}
+    return X.cumulative_study(weeks(spark, folder), groups, STUDY_WEEKS, trees, demographic_block(spark, folder))
 
 
 @query("ablation_leave_out_sequences", ABLATION)
 def ablation_leave_out_sequences(spark, folder):
     """Without hours and without the calendar, then again from the baseline without the calendar."""
     removals = {"without hours": ["mean_hour"], "without calendar": CALENDAR_FEATURES}
-    return X.leave_out_study(weeks(spark, folder), COLUMNS, removals, L, trees)
+    return X.leave_out_study(weeks(spark, folder), STUDY_COLUMNS, removals, STUDY_WEEKS, trees)
 
 
 @query("ablation_leave_out", ABLATION)
@@ -163,10 +165,10 @@ def ablation_leave_out(spark, folder):
 def evaluation_summary(spark, folder):
     """Ablations of weekly features and permutation importances rolled up from weekly steps to features."""
     table = weeks(spark, folder)
-    ablation = X.leave_out_study(table, COLUMNS, {"without hours": ["mean_hour"]}, L, trees)
-    sequences = X.sequence_splits(table, COLUMNS, L)
+    ablation = X.leave_out_study(table, STUDY_COLUMNS, {"without hours": ["mean_hour"]}, STUDY_WEEKS, trees)
+    sequences = X.sequence_splits(table, STUDY_COLUMNS, STUDY_WEEKS)
     model = trees(sequences.train, sequences.validation)
-    flat = M.permutation_importance(model, sequences.test, X.KEYS, flat_names(COLUMNS, L))
+    flat = M.permutation_importance(model, sequences.test, X.KEYS, flat_names(STUDY_COLUMNS, STUDY_WEEKS))
     return M.evaluation_summary(ablation, E.roll_up_importance(flat, original_feature(F.col("flat_feature"))))
 
 
@@ -175,10 +177,10 @@ CONFUSION = "train_rows:i tn:i fp:i fn:i tp:i accuracy:d"
 
 @query("augmentation_comparison", f"{RESULT} {CONFUSION}")
 def augmentation_comparison(spark, folder):
-    cols = COLUMNS
-    splits = X.sequence_splits(weeks(spark, folder), cols, L)
-    variants = X.flat_augmentations(L * len(cols))
-    return M.compare_augmentations(splits, variants, trees, L * len(cols))
+    cols = STUDY_COLUMNS[:3]
+    splits = X.sequence_splits(weeks(spark, folder), cols, STUDY_WEEKS)
+    variants = X.flat_augmentations(STUDY_WEEKS * len(cols), smote_cap=3000)
+    return M.compare_augmentations(splits, variants, trees, STUDY_WEEKS * len(cols))
 
 
 @query(
@@ -186,6 +188,6 @@ def augmentation_comparison(spark, folder):
     "model:s augmentation:s roc_auc:d f1:d accuracy:d roc_auc_delta:d f1_delta:d precision_delta:d recall_delta:d accuracy_delta:d",
 )
 def augmentation_matrix(spark, folder):
-    cols = COLUMNS
-    splits = X.sequence_splits(weeks(spark, folder), cols, L, keep_sequences=True)
-    return X.augmentation_matrix(splits, {"boosted trees": trees, "network": network}, L, len(cols))
+    cols = STUDY_COLUMNS[:3]
+    splits = X.sequence_splits(weeks(spark, folder), cols, STUDY_WEEKS, keep_sequences=True)
+    return X.augmentation_matrix(splits, {"boosted trees": trees, "network": network}, STUDY_WEEKS, len(cols))
