@@ -169,6 +169,7 @@ class Words:
 
     def __init__(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
         self.texts, self.starts, self.ends, self.first = texts, starts, ends, first
+        self.known: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -180,7 +181,9 @@ class Words:
         return np.repeat(np.arange(len(self.texts)), self.counts())
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.texts.data, self.starts, self.ends)
+        if self.known is None:
+            self.known = span_hashes(self.texts.data, self.starts, self.ends)
+        return self.known
 
     def joined(self, positions: np.ndarray) -> bytes:
         """The words at these positions with one space between them."""
