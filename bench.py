@@ -21,7 +21,6 @@ HEADLINE = [
     "dropout_labels",
     "seq_no_summer",
     "seq_fixed",
-    "seq_multi_window",
     "split_by_users",
     "outcome_by_cluster_group",
     "chi_square",
