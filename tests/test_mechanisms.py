@@ -57,6 +57,18 @@ def test_sweep_scans_and_scores(spark, monkeypatch):
     assert math.isclose(rows[0]["silhouette"], by_hand, rel_tol=1e-9) and math.isclose(rows[0]["inertia"], cost, rel_tol=1e-9)
 
 
+def test_stored_blocks_are_small_whatever_the_width(spark):
+    rng = np.random.default_rng(5)
+    for rows, width in ((700, 3), (300, 204), (40, 700)):
+        x = rng.normal(size=(rows, width))
+        blocks = kmeans.pack(table(spark, x.tolist()))
+        sizes = [len(r.body) for r in blocks.collect()]
+        assert sum(sizes) == x.nbytes and max(sizes) <= max(2_048, 8 * width)
+        found = [m for b in blocks.toArrow().to_batches() for m in kmeans.matrices(b)]
+        assert max(len(m) for m in found) <= kmeans.ROWS_A_BLOCK
+        assert np.array_equal(np.sort(np.concatenate(found), axis=0), np.sort(x, axis=0))
+
+
 def test_kmeans_of_odd_tables(spark):
     same = table(spark, [[1.0, 2.0]] * 50 + [[3.0, 4.0]])
     labelled, cost = C.run_kmeans(same, 4)
