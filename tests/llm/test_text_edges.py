@@ -279,6 +279,21 @@ def test_probabilities_sum_to_one_and_scores_follow_them(spark, rows):
         assert lm.score_blocks(model, blocks, owner, 1, tables)[0] == pytest.approx(want, abs=1e-3)
 
 
+def test_training_takes_every_window(spark, monkeypatch):
+    for turns in (1, 4):
+        for times in range(1, 1 << turns):
+            taken = np.concatenate([lm.in_turn(100, t, turns, times) for t in range(turns)])
+            assert set(taken) == set(range(100)) and (times > 1 or len(taken) == 100)
+    assert all(len(lm.in_turn(100, t, 4, 15)) == 100 for t in range(4))
+    for name, value in (("FEW_WINDOWS", 1), ("LEAST_WINDOWS", 1), ("LEAST_TALLY", 1)):  # a table far above the few
+        monkeypatch.setattr(lm, name, value, raising=False)
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + k % 26)}{k * i % 90}" for k in range(60))) for i in range(60)]
+    model = _model_of(spark, rows)
+    moved = (model.parameters["e"] != lm.start_parameters(len(model.parameters["e"]))["e"]).any(1)
+    known = np.flatnonzero(model.compact[:-1] < len(moved) - lm.CLASSES - 1)
+    assert len(known) > 200 and set(known[~moved[model.compact[known]]]) <= {lm.END}
+
+
 def test_pair_table():
     rng = np.random.default_rng(1)
     codes = np.unique(rng.integers(0, 10**9, 5000))

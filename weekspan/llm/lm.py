@@ -11,10 +11,10 @@ windows of ``2 * STRIDE`` ids overlap by half and only the ids of the second hal
 Every text is written as ids once, into a stored table that all later passes read. Counts of ids, of classes and of pairs
 of neighbours cover all training documents and are summed in Spark; ids become classes by what stands next to them
 (k-means on counts of hashed neighbours), all ids of the vocabulary included. Of the pairs the ``PAIRS`` most frequent are
-kept one by one, the proven bound of that table; the others count in their class. The attention layer is trained by the
-tasks on one window in ``1 / WINDOW_SHARE``, at least ``LEAST_WINDOWS``, so training grows with the input: in each of
-``TURNS`` turns every partition of about ``WINDOWS_A_TASK`` windows improves the shared weights by steps of its own, and
-their mean is the next turn's start.
+kept one by one, the proven bound of that table; the others count in their class. The attention layer is trained on every
+window of the training documents: in each of ``TURNS`` turns, every task that reads ids improves the shared weights by
+steps of its own over the turn's windows, and the mean of all, by their numbers of windows, is the next turn's start. Tables
+of ``FEW_WINDOWS`` or fewer pass in every turn; the more windows there are, the fewer turns each takes part in, at least one.
 
 The unigram model needs every document's words to meet their counts. Words are dealt by hash in packed blocks, once per
 document and slice with their number; sums return to the documents the same way. More buckets do not split a word, so
@@ -57,13 +57,13 @@ NEIGHBOURS = 64
 PAIRS = 500_000
 STRIDE = 16
 WIDTH = 16
-WINDOW_SHARE = 0.004
-LEAST_WINDOWS = 80_000
-WINDOWS_A_TASK = 12_000
+FEW_WINDOWS = 80_000
 TURNS = 4
 BATCH = 192
 PAIR_CODES = 4_000_000
 RATE = 0.02
+LEAST_RATE = 0.02  # of the rate, where a task holds more windows than most
+PIECE = 4_096
 PRIOR = 12.0
 CLASS_PRIOR = 12.0
 LARGEST = 60.0  # exponents are cut here, far above what training reaches
@@ -145,8 +145,9 @@ def streams(texts: Texts, name: str = TOKENIZER, words: Words | None = None) ->
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    x /= x.sum(-1, keepdims=True)
+    x = np.minimum(x, LARGEST)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
     return x
 
 
@@ -227,35 +228,41 @@ def start_parameters(rows: int, seed: int = 7) -> dict[str, np.ndarray]:
 def forward(p: dict[str, np.ndarray], context: np.ndarray, tables: dict[str, np.ndarray], prior: np.ndarray) -> dict[str, np.ndarray]:
     """Class scores for the second half of each window; ``tables`` are the projections of every input row, ``prior`` the
     log probabilities of the classes after each window's last ids."""
-    last, earlier = context[:, STRIDE - 1 : -1], context[:, STRIDE - 2 : -2]
-    keys, values = tables["k"][context[:, :-1]], tables["v"][context[:, :-1]]
-    queries = tables["q"][last]
+    seen, last = tables["seen"].take(context[:, :-1], 0), tables["last"].take(context[:, STRIDE - 1 : -1], 0)
+    keys, values, queries = seen[:, :, :WIDTH], seen[:, :, WIDTH:], last[:, :, :WIDTH]
     scores = queries @ keys.transpose(0, 2, 1)
     scores += p["rb"][DISTANCE] + MASK
     weights = _softmax(scores)
-    hidden = tables["r1"][last] + tables["r2"][earlier] + weights @ values
-    z = np.maximum(hidden, 0)
+    mixed = weights @ values
+    z = mixed + last[:, :, WIDTH:]
+    z += tables["earlier"].take(context[:, STRIDE - 2 : -2], 0)
+    np.maximum(z, 0, out=z)
     logits = z.reshape(-1, WIDTH) @ p["wc"]
     logits += prior
-    return {"classes": logits, "z": z, "weights": weights, "keys": keys, "values": values, "queries": queries, "last": last, "earlier": earlier}
+    return {"classes": logits, "z": z, "weights": weights, "mixed": mixed, "keys": keys, "values": values, "queries": queries}
 
 
 def projections(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    return {"q": p["e"] @ p["wq"] * scale, "k": p["e"] @ p["wk"], "v": p["e"] @ p["wv"], "r1": p["e"] @ p["r1"] + p["b"], "r2": p["e"] @ p["r2"]}
+    """Every input row as query and own part of the hidden layer, as key and value, and as the row before the last."""
+    scale = p["e"].dtype.type(1 / np.sqrt(WIDTH))
+    last = p["e"] @ np.concatenate([p["wq"] * scale, p["r1"]], 1)
+    last[:, WIDTH:] += p["b"]
+    return {"last": last, "seen": p["e"] @ np.concatenate([p["wk"], p["wv"]], 1), "earlier": p["e"] @ p["r2"]}
 
 
 def scoring_tables(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Projections side by side, so that scoring gathers one row per input; the ones sum the attention weights."""
+    """The projections with ones beside keys and values, which sum the attention weights."""
     t = projections(p)
-    ones = np.ones((len(p["e"]), 1), np.float32)
-    return {"last": np.concatenate([t["q"], t["r1"]], 1), "seen": np.concatenate([t["k"], t["v"], ones], 1), "earlier": np.ascontiguousarray(t["r2"])}
+    return t | {"seen": np.concatenate([t["seen"], np.ones((len(p["e"]), 1), np.float32)], 1)}
 
 
 def class_scores(p: dict[str, np.ndarray], context: np.ndarray, tables: dict[str, np.ndarray], prior: np.ndarray) -> np.ndarray:
-    """The class scores of ``forward`` before normalisation, without what only gradients need."""
-    last = tables["last"][context[:, STRIDE - 1 : -1]]
-    seen = tables["seen"][context[:, :-1]]
+    """The class scores of ``forward`` before normalisation, without what only gradients need.
+
+    Products are taken window by window: a window's scores then do not depend on its place in the batch.
+    """
+    last = tables["last"].take(context[:, STRIDE - 1 : -1], 0)
+    seen = tables["seen"].take(context[:, :-1], 0)
     weights = last[:, :, :WIDTH] @ seen[:, :, :WIDTH].transpose(0, 2, 1)
     weights += p["rb"][DISTANCE] + MASK
     np.minimum(weights, LARGEST, out=weights)
@@ -263,9 +270,9 @@ def class_scores(p: dict[str, np.ndarray], context: np.ndarray, tables: dict[str
     mixed = weights @ seen[:, :, WIDTH:]
     z = mixed[:, :, :WIDTH] / mixed[:, :, WIDTH:]
     z += last[:, :, WIDTH:]
-    z += tables["earlier"][context[:, STRIDE - 2 : -2]]
+    z += tables["earlier"].take(context[:, STRIDE - 2 : -2], 0)
     np.maximum(z, 0, out=z)
-    scores = z.reshape(-1, WIDTH) @ p["wc"]
+    scores = (z @ p["wc"]).reshape(-1, CLASSES)
     scores += prior
     return scores
 
@@ -280,31 +287,39 @@ def gradients(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
     loss = -(np.log(np.maximum(prob[at, flat], 1e-12)) * w).sum()
     d = prob
     d[at, flat] -= 1
-    d *= w[:, None].astype(np.float32)
-    g = {n: np.zeros_like(x) for n, x in p.items()}
+    d *= w[:, None].astype(d.dtype)
+    g = {}
     z = f["z"].reshape(-1, WIDTH)
-    g["wc"] = z.T @ d
-    hidden = (d @ p["wc"].T) * (z > 0)
-    last, earlier = f["last"].reshape(-1), f["earlier"].reshape(-1)
-    e_last, e_earlier = p["e"][last], p["e"][earlier]
-    g["b"] = hidden.sum(0)
-    g["r1"], g["r2"] = e_last.T @ hidden, e_earlier.T @ hidden
+    g["wc"] = (d.T @ z).T
+    hidden = d @ p["wc"].T
+    hidden *= z > 0
     out = hidden.reshape(f["z"].shape)
-    d_weights = out @ f["values"].transpose(0, 2, 1)
-    d_values = f["weights"].transpose(0, 2, 1) @ out
-    d_scores = f["weights"] * (d_weights - (f["weights"] * d_weights).sum(-1, keepdims=True))
-    g["rb"] = np.bincount(DISTANCE.reshape(-1), weights=d_scores.sum(0).reshape(-1), minlength=len(p["rb"])).astype(np.float32)
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    d_queries = (d_scores @ f["keys"] * scale).reshape(-1, WIDTH)
-    d_keys = (d_scores.transpose(0, 2, 1) @ f["queries"]).reshape(-1, WIDTH)
-    d_values = d_values.reshape(-1, WIDTH)
-    seen = context[:, :-1].reshape(-1)
-    e_seen = p["e"][seen]
-    g["wq"], g["wk"], g["wv"] = e_last.T @ d_queries, e_seen.T @ d_keys, e_seen.T @ d_values
-    np.add.at(g["e"], last, d_queries @ p["wq"].T + hidden @ p["r1"].T)
-    np.add.at(g["e"], earlier, hidden @ p["r2"].T)
-    np.add.at(g["e"], seen, d_keys @ p["wk"].T + d_values @ p["wv"].T)
-    return float(loss), g
+    seen = context[:, :-1]
+    e = p["e"].take(seen, 0)
+    e_seen, e_last, e_earlier = (x.reshape(-1, WIDTH) for x in (e, e[:, STRIDE - 1 :], e[:, STRIDE - 2 : -1]))
+    d_scores = out @ f["values"].transpose(0, 2, 1)
+    d_scores -= (out * f["mixed"]).sum(-1, keepdims=True)
+    d_scores *= f["weights"]
+    g["rb"] = np.bincount(DISTANCE.reshape(-1), weights=d_scores.sum(0).reshape(-1), minlength=len(p["rb"])).astype(d.dtype)
+    # beside each other: what reaches queries and the hidden layer, and what reaches keys and values
+    above = np.empty((*out.shape[:2], 2 * WIDTH), d.dtype)
+    np.matmul(d_scores, f["keys"], out=above[:, :, :WIDTH])
+    above[:, :, :WIDTH] *= d.dtype.type(1 / np.sqrt(WIDTH))
+    above[:, :, WIDTH:] = out
+    below = np.empty((*seen.shape, 2 * WIDTH), d.dtype)
+    np.matmul(d_scores.transpose(0, 2, 1), f["queries"], out=below[:, :, :WIDTH])
+    np.matmul(f["weights"].transpose(0, 2, 1), out, out=below[:, :, WIDTH:])
+    above, below = above.reshape(-1, 2 * WIDTH), below.reshape(-1, 2 * WIDTH)
+    from_last, from_seen = e_last.T @ above, e_seen.T @ below
+    g["wq"], g["r1"], g["wk"], g["wv"] = from_last[:, :WIDTH], from_last[:, WIDTH:], from_seen[:, :WIDTH], from_seen[:, WIDTH:]
+    g["r2"], g["b"] = e_earlier.T @ hidden, hidden.sum(0)
+    # the last ids and those before them are among the ids seen: one sum by input row
+    d_e = (below @ np.concatenate([p["wk"], p["wv"]], 1).T).reshape(e.shape)
+    d_e[:, STRIDE - 1 :] += (above @ np.concatenate([p["wq"], p["r1"]], 1).T).reshape(out.shape)
+    d_e[:, STRIDE - 2 : -1] += (hidden @ p["r2"].T).reshape(out.shape)
+    cells = (seen.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
+    g["e"] = np.bincount(cells, d_e.reshape(-1), p["e"].size).astype(d.dtype).reshape(p["e"].shape)
+    return float(loss), {n: g[n] for n in p}
 
 
 def classes_of(tally: np.ndarray, beside: np.ndarray) -> np.ndarray:
@@ -531,13 +546,13 @@ def score_blocks(model: Model, blocks: np.ndarray, owner: np.ndarray, texts: int
         window = np.concatenate([blocks[chosen - 1], blocks[chosen]], 1)
         target = window[:, STRIDE:].reshape(-1)
         before = window[:, STRIDE - 1 : -1].reshape(-1)
-        scores = class_scores(model.parameters, model.compact[window], tables, model.prior[before])
+        scores = class_scores(model.parameters, model.compact[window], tables, model.prior.take(before, 0))
         np.minimum(scores, LARGEST, out=scores)
         chance = scores[np.arange(len(target)), model.classes[target]]
         np.exp(scores, out=scores)
         chance = (chance - np.log(scores.sum(1))) * np.float32(0.4342944819)
         value = np.where(target >= 0, chance + model.conditional(before, target), 0).reshape(len(chosen), STRIDE).sum(1, dtype=np.float64)
-        out += np.bincount(owner[chosen], weights=value, minlength=len(out))
+        np.add.at(out, owner[chosen], value)  # in order, wherever a batch ends
     return out
 
 
@@ -664,67 +679,89 @@ def _document_sums(sums: DataFrame, groups: int) -> DataFrame:
     return by_bucket(sums, "_group", groups).groupBy("_group").applyInArrow(tidy(add), f"{ROW} long, logs double, known double, counted double")
 
 
-def improved(p: dict[str, np.ndarray], model: Model, windows: np.ndarray, turn: int, turns: int) -> dict[str, np.ndarray]:
-    """The weights after steps over the windows (rows of 2 * STRIDE ids) in a drawn order; fewer than a batch are one step."""
-    p = {n: x.copy() for n, x in p.items()}
-    m, v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
-    order = np.random.default_rng(11 + turn).permutation(len(windows))
-    steps = max(1, len(windows) // BATCH)
-    for step in range(1, steps + 1):
-        window = windows[order[(step - 1) * BATCH : step * BATCH]]
-        target = window[:, STRIDE:]
-        before = window[:, STRIDE - 1 : -1].reshape(-1)
-        _, g = gradients(p, model.compact[window], model.classes[target], (target >= 0).astype(np.float64), model.prior[before])
-        rate = RATE * min(1.0, 2 * (1 - (turn + step / (steps + 1)) / turns))
-        for n in p:
-            m[n] = 0.9 * m[n] + 0.1 * g[n]
-            v[n] = 0.99 * v[n] + 0.01 * g[n] ** 2
-            p[n] = (p[n] - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return p
+class Steps:
+    """Weights that take a step (Adam) for every batch of windows; all of them lie in one vector."""
+
+    def __init__(self, start: dict[str, np.ndarray]):
+        self.vector = np.concatenate([x.ravel() for x in start.values()]).astype(np.float32)
+        self.p = views(self.vector, start)
+        self.m, self.v, self.hold = (np.zeros_like(self.vector) for _ in range(3))
+        self.steps = self.windows = 0
+
+    def take(self, model: Model, windows: np.ndarray, rate: float) -> None:
+        """One step over the windows (rows of 2 * STRIDE ids)."""
+        target = windows[:, STRIDE:]
+        before = windows[:, STRIDE - 1 : -1].reshape(-1)
+        _, found = gradients(self.p, model.compact[windows], model.classes[target], (target >= 0).astype(np.float64), model.prior.take(before, 0))
+        g, hold = np.concatenate([found[n].ravel() for n in self.p]), self.hold
+        self.steps += 1
+        self.windows += len(windows)
+        self.m *= np.float32(0.9)
+        self.m += np.multiply(g, np.float32(0.1), out=hold)
+        self.v *= np.float32(0.99)
+        g *= g
+        self.v += np.multiply(g, np.float32(0.01), out=hold)
+        np.sqrt(self.v, out=hold)
+        hold *= np.float32(1 / np.sqrt(1 - 0.99**self.steps))
+        hold += np.float32(1e-8)
+        np.divide(self.m, hold, out=hold)
+        hold *= np.float32(rate / (1 - 0.9**self.steps))
+        self.vector -= hold
+
+
+def views(vector: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The parts of ``vector`` in the shapes of ``like``."""
+    cuts = np.cumsum([0, *[x.size for x in like.values()]])
+    return {n: vector[a:b].reshape(x.shape) for (n, x), a, b in zip(like.items(), cuts[:-1], cuts[1:], strict=True)}
+
+
+def in_turn(count: int, turn: int, turns: int, times: int) -> np.ndarray:
+    """Which of ``count`` windows take part in a turn: ``times`` * 2**turn of every 2**turns - 1, all of them at most.
+
+    Every window takes part in one turn at least, whatever ``times``; early turns are short, as their mean is of little use.
+    """
+    cycle = (1 << turns) - 1
+    return np.flatnonzero((np.arange(count) - ((1 << turn) - 1)) % cycle < min(cycle, times << turn))
 
 
 def train(ids: DataFrame, model: Model, windows: int, turns: int = TURNS) -> dict[str, np.ndarray]:
-    """Weights of the attention layer from about one window in ``1 / WINDOW_SHARE``, at least ``LEAST_WINDOWS``."""
-    share = min(1.0, max(WINDOW_SHARE, LEAST_WINDOWS / max(windows, 1)))
+    """Weights of the attention layer from all windows of ``ids``, each at least once; of ``FEW_WINDOWS`` or fewer in every turn."""
     p = model.parameters
     if not windows:
         return p
-    tasks = max(1, round(share * windows / WINDOWS_A_TASK))
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, blocks, owner in decoded(batch.column(0)):
-                at = np.flatnonzero(np.append(False, owner[1:] == owner[:-1]))
-                window = np.concatenate([blocks[at - 1], blocks[at]], 1)
-                hashed = mix(roll(window.reshape(-1).astype(np.uint64), 2 * STRIDE)[:: 2 * STRIDE]) if len(at) else np.zeros(0, np.uint64)
-                chosen = window[(hashed >> np.uint64(11)).astype(np.float64) < share * float(1 << 53)]
-                part = (mix(hashed ^ np.uint64(77)) >> np.uint64(33))[(hashed >> np.uint64(11)).astype(np.float64) < share * float(1 << 53)] % np.uint64(tasks)
-                order = np.argsort(part, kind="stable")
-                cuts = _cuts(part[order])
-                raw = [chosen[order[a:b]].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[order][cuts[:-1]].astype(np.int32)), pa.array(raw, pa.binary())], ["part", "windows"])
-
-    drawn = durable(ids.select("ids").mapInArrow(tidy(draw), "part int, windows binary").repartition(tasks, "part"), "windows")
+    cycle = (1 << turns) - 1
+    times = min(cycle, max(1, -(-cycle * FEW_WINDOWS // windows)))
+    context = ids.sparkSession.sparkContext
+    tables = context.broadcast((model.compact, model.classes, model.prior))
+    in_task = windows / max(1, ids.rdd.getNumPartitions()) / cycle
 
     for turn in range(turns):
-        shared = ids.sparkSession.sparkContext.broadcast((p, model.compact, model.classes, model.prior))
-
-        def improve(table: pa.Table, turn: int = turn, shared=shared) -> pa.Table:
-            start, *rest = shared.value
-            held = np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 2 * STRIDE) for x in table.column("windows").to_pylist()]).astype(np.int64)
-            held = held[np.lexsort(held.T)]
-            found = improved(start, Model(rest[0], rest[1], start, rest[2], None, None, None), held, turn, turns)
-            rows = [pa.array(x.astype(np.float64).ravel() * len(held)) for x in found.values()]
-            return pa.table({"name": pa.array(list(found)), "n": pa.array([len(held)] * len(found), pa.int64()), "weights": pa.array([r.to_numpy() for r in rows], pa.list_(pa.float64()))})
-
-        def one(table: pa.Table) -> pa.Table:
-            return improve(table)
-
-        means = drawn.groupBy("part").applyInArrow(tidy(one), "name string, n long, weights array<double>").groupBy("name").agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("weights")).alias("weights"))
-        found = {r["name"]: r["weights"].toArray() / r["n"] for r in means.collect()}  # one set of weights
-        if not found:
+        shared = context.broadcast(p)
+        expected = in_task * min(cycle, times << turn)
+
+        def improve(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared, expected: float = expected) -> Iterator[pa.RecordBatch]:
+            compact, classes, prior = tables.value
+            known = Model(compact, classes, shared.value, prior, None, None, None)
+            steps, draw = Steps(shared.value), np.random.default_rng(11 + turn)
+            for batch in batches:
+                for _, _, blocks, owner in decoded(batch.column(0)):
+                    at = np.flatnonzero(np.append(False, owner[1:] == owner[:-1]))
+                    at = draw.permutation(at[in_turn(len(at), turn, turns, times)])
+                    for part in np.array_split(at, -(-len(at) // BATCH)) if len(at) else []:
+                        done = (turn + min(1.0, steps.windows / expected)) / turns
+                        steps.take(known, np.concatenate([blocks[part - 1], blocks[part]], 1), RATE * min(1.0, max(2 * (1 - done), LEAST_RATE)))
+            if steps.windows:
+                cuts = np.arange(0, len(steps.vector), PIECE)
+                weights = steps.vector.astype(np.float64) * steps.windows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(cuts), dtype=np.int32)), pa.array([steps.windows] * len(cuts), pa.int64()), pa.array([weights[a : a + PIECE] for a in cuts], pa.list_(pa.float64()))], ["piece", "n", "weights"]
+                )
+
+        pieces = ids.select("ids").mapInArrow(tidy(improve), "piece int, n long, weights array<double>")
+        means = pieces.groupBy("piece").agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("weights")).alias("weights")).orderBy("piece").collect()  # one set of weights
+        if not means:
             break
-        p = {k: found[k].reshape(x.shape).astype(np.float32) for k, x in p.items()}
+        p = views(np.concatenate([r["weights"].toArray() / r["n"] for r in means]).astype(np.float32), p)
     return p
 
 
