@@ -294,6 +294,38 @@ def test_training_takes_every_window(spark, monkeypatch):
     assert len(known) > 200 and set(known[~moved[model.compact[known]]]) <= {lm.END}
 
 
+def test_training_steps_reuse_memory():
+    """A step neither asks the system for the pages of its arrays again nor works on input rows its windows do not name."""
+    import resource
+
+    rng = np.random.default_rng(2)
+    rows = lm.FREQUENT + lm.CLASSES + 1
+    compact, classes = np.arange(lm.VOCABULARY + 1) % rows, np.arange(lm.VOCABULARY) % lm.CLASSES
+    prior = np.log(np.full((lm.VOCABULARY + 1, lm.CLASSES), 1 / lm.CLASSES, np.float32))
+    steps = lm.Steps(lm.start_parameters(rows))
+    model = lm.Model(compact, classes, steps.p, prior, None, None, None)
+    windows = rng.integers(0, 900, (25, lm.BATCH, 2 * lm.STRIDE))
+    lm.keep_freed()
+    for x in windows[:5]:
+        steps.take(model, x, 0.01)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for x in windows[5:]:
+        steps.take(model, x, 0.01)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 200 * 20  # about 2,000 a step where every array is new
+    assert steps.windows == 25 * lm.BATCH and np.isfinite(steps.vector).all()
+    assert np.array_equal(steps.p["e"][900:], lm.start_parameters(rows)["e"][900:])
+
+
+def test_no_exponent_exceeds_its_bound():
+    rng = np.random.default_rng(5)
+    for size in (0.1, 1.0, 6.0):
+        p = {n: (x + rng.normal(size=x.shape) * size).astype(np.float32) for n, x in lm.start_parameters(30).items()}
+        context = rng.integers(0, 30, (40, 2 * lm.STRIDE))
+        tables, prior = lm.projections(p), np.log(rng.dirichlet(np.ones(lm.CLASSES), 40 * lm.STRIDE)).astype(np.float32)
+        scores = tables["last"][context[:, lm.STRIDE - 1 : -1]][:, :, : lm.WIDTH] @ tables["seen"][context[:, :-1]][:, :, : lm.WIDTH].transpose(0, 2, 1) + p["rb"][lm.DISTANCE]
+        assert scores.max() <= tables["most_weight"] and lm.class_scores(p, context, tables, prior).max() <= tables["most_class"]
+
+
 def test_pair_table():
     rng = np.random.default_rng(1)
     codes = np.unique(rng.integers(0, 10**9, 5000))

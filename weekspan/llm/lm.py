@@ -30,6 +30,7 @@ meet their sums by a 64-bit hash of key and text: two different documents share
 from __future__ import annotations
 
 import base64
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -91,12 +92,12 @@ def _coder(name: str):
     return tiktoken.Encoding(f"{name}-words", pat_str=r" ?[^ ]+| ", mergeable_ranks=ranks, special_tokens={}), begins
 
 
-def subwords(words: Words, name: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: Words, name: str = TOKENIZER, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words, one after another, and the number of ids of each word; each distinct word is encoded once."""
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = words.hashes()
+    hashes = words.hashes() if hashes is None else hashes
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     chosen = np.zeros(n, bool)
     chosen[first] = True
@@ -124,13 +125,13 @@ def _spaced(words: Words, chosen: np.ndarray) -> str:
     return out.tobytes().decode("utf-8", "replace")
 
 
-def streams(texts: Texts, name: str = TOKENIZER, words: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def streams(texts: Texts, name: str = TOKENIZER, words: Words | None = None, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(blocks x STRIDE) ids, -1 before a text's start and after its end; which blocks hold ids to score; their document.
 
     Each document is one block of starts, then its ids and the end.
     """
     words = texts.lower().words(NOT_SPACE) if words is None else words
-    ids, sizes = subwords(words, name)
+    ids, sizes = subwords(words, name, hashes)
     before = np.concatenate([[0], np.cumsum(sizes)])
     first = before[words.first]
     n = np.diff(first) + 1
@@ -144,24 +145,44 @@ def streams(texts: Texts, name: str = TOKENIZER, words: Words | None = None) ->
     return out.reshape(-1, STRIDE), scored, np.repeat(np.arange(len(texts)), blocks)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.minimum(x, LARGEST)
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
-    return x
+def keep_freed() -> None:
+    """Let this process keep up to 64 MB that it freed, until ``tidy`` gives them back.
+
+    Arrays of the same sizes are made for every batch; if each is given back to the system, as happens above 128 KB, getting
+    their pages again takes as long as the work on them.
+    """
+    try:
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+        library.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_batch(context: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The input rows that ``context`` names, sorted, and ``context`` in numbers of these."""
+    there = np.zeros(rows, bool)
+    there[context] = True
+    found = np.flatnonzero(there)
+    number = np.empty(rows, np.int64)
+    number[found] = np.arange(len(found))
+    return found, number.take(context)
 
 
 class PairTable:
     """Values of (id before, id) pairs in an open hash table; pairs that are not held have none."""
 
+    NONE = np.uint32(0xFFFFFFFF)  # above all codes
+
     def __init__(self, codes: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(np.ceil(np.log2(3 * len(codes) + 1))))
-        self.mask = np.uint64(size - 1)
-        self.codes, self.values, self.steps = np.full(size, -1, np.int64), np.zeros(size, np.float32), 0
+        bits = max(4, int(np.ceil(np.log2(3 * len(codes) + 1))))
+        self.shift, self.mask = np.uint32(32 - bits), (1 << bits) - 1
+        self.codes, self.values, self.steps = np.full(1 << bits, self.NONE), np.zeros(1 << bits, np.float32), 0
+        codes = codes.astype(np.uint32)
         left = np.arange(len(codes))
         while len(left):
             at = self._place(codes[left], self.steps)
-            free = self.codes[at] < 0
+            free = self.codes[at] == self.NONE
             _, first = np.unique(at[free], return_index=True)
             taken = np.flatnonzero(free)[first]
             self.codes[at[taken]], self.values[at[taken]] = codes[left[taken]], values[left[taken]]
@@ -169,25 +190,31 @@ class PairTable:
             self.steps += 1
 
     def _place(self, codes: np.ndarray, step: int) -> np.ndarray:
-        return ((((codes.view(np.uint64) * np.uint64(MULTIPLIER)) >> np.uint64(32)) + np.uint64(step)) & self.mask).view(np.int64)
+        at = ((codes * np.uint32(0x9E3779B1)) >> self.shift).astype(np.int64)
+        return (at + step) & self.mask if step else at
 
-    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the codes that are held, and their values."""
+    def look_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of every code, and whether it is held; those that are not have any value."""
+        codes = codes.astype(np.uint32)
         at = self._place(codes, 0)
-        seen = self.codes[at]
-        held = [np.flatnonzero(seen == codes)]
-        values = [self.values[at[held[0]]]]
-        left = np.flatnonzero((seen != codes) & (seen >= 0))
+        seen, values = self.codes.take(at), self.values.take(at)
+        held = seen == codes
+        left = np.flatnonzero(~held)
+        left = left[seen[left] != self.NONE]
         for step in range(1, self.steps):
             if not len(left):
                 break
             at = self._place(codes[left], step)
             seen = self.codes[at]
             hit = seen == codes[left]
-            held.append(left[hit])
-            values.append(self.values[at[hit]])
-            left = left[~hit & (seen >= 0)]
-        return np.concatenate(held), np.concatenate(values)
+            held[left[hit]], values[left[hit]] = True, self.values[at[hit]]
+            left = left[~hit & (seen != self.NONE)]
+        return values, held
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the codes that are held, and their values."""
+        values, held = self.look_up(codes)
+        return np.flatnonzero(held), values[held]
 
 
 @dataclass
@@ -202,11 +229,8 @@ class Model:
 
     def conditional(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 P(target | its class, id before); -1 is the start of a text."""
-        at, values = self.pairs.find((before + 1) * VOCABULARY + target)
-        rest = np.ones(len(target), bool)
-        rest[at] = False
-        out = np.empty(len(target), np.float32)
-        out[at] = values
+        out, held = self.pairs.look_up((before + 1) * VOCABULARY + target)
+        rest = np.flatnonzero(~held)
         before, target = before[rest], target[rest]
         previous = np.where(before >= 0, self.classes[before], CLASSES)
         out[rest] = self.within[previous, target] + self.share[before, self.classes[target]]
@@ -225,101 +249,135 @@ def start_parameters(rows: int, seed: int = 7) -> dict[str, np.ndarray]:
     return out | {"b": np.zeros(WIDTH, np.float32), "rb": np.zeros(2 * STRIDE - 1, np.float32)}
 
 
-def forward(p: dict[str, np.ndarray], context: np.ndarray, tables: dict[str, np.ndarray], prior: np.ndarray) -> dict[str, np.ndarray]:
-    """Class scores for the second half of each window; ``tables`` are the projections of every input row, ``prior`` the
-    log probabilities of the classes after each window's last ids."""
-    seen, last = tables["seen"].take(context[:, :-1], 0), tables["last"].take(context[:, STRIDE - 1 : -1], 0)
-    keys, values, queries = seen[:, :, :WIDTH], seen[:, :, WIDTH:], last[:, :, :WIDTH]
-    scores = queries @ keys.transpose(0, 2, 1)
-    scores += p["rb"][DISTANCE] + MASK
-    weights = _softmax(scores)
-    mixed = weights @ values
-    z = mixed + last[:, :, WIDTH:]
-    z += tables["earlier"].take(context[:, STRIDE - 2 : -2], 0)
-    np.maximum(z, 0, out=z)
-    logits = z.reshape(-1, WIDTH) @ p["wc"]
-    logits += prior
-    return {"classes": logits, "z": z, "weights": weights, "mixed": mixed, "keys": keys, "values": values, "queries": queries}
-
-
 def projections(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Every input row as query and own part of the hidden layer, as key and value, and as the row before the last."""
+    """Every input row as query and own part of the hidden layer, as key and value, and as the row before the last.
+
+    Ones beside keys and values sum the attention weights.
+    """
     scale = p["e"].dtype.type(1 / np.sqrt(WIDTH))
     last = p["e"] @ np.concatenate([p["wq"] * scale, p["r1"]], 1)
     last[:, WIDTH:] += p["b"]
-    return {"last": last, "seen": p["e"] @ np.concatenate([p["wk"], p["wv"]], 1), "earlier": p["e"] @ p["r2"]}
-
-
-def scoring_tables(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The projections with ones beside keys and values, which sum the attention weights."""
-    t = projections(p)
-    return t | {"seen": np.concatenate([t["seen"], np.ones((len(p["e"]), 1), np.float32)], 1)}
-
-
-def class_scores(p: dict[str, np.ndarray], context: np.ndarray, tables: dict[str, np.ndarray], prior: np.ndarray) -> np.ndarray:
-    """The class scores of ``forward`` before normalisation, without what only gradients need.
-
-    Products are taken window by window: a window's scores then do not depend on its place in the batch.
-    """
+    seen = np.ones((len(p["e"]), 2 * WIDTH + 1), p["e"].dtype)
+    np.matmul(p["e"], np.concatenate([p["wk"], p["wv"]], 1), out=seen[:, :-1])
+    earlier = p["e"] @ p["r2"]
+    # what no exponent exceeds: by the longest query and key, and by the largest values of each hidden unit
+    longest = [np.einsum("rw,rw->r", x, x).max() for x in (last[:, :WIDTH], seen[:, :WIDTH])]
+    largest = np.maximum(last[:, WIDTH:].max(0) + seen[:, WIDTH:-1].max(0) + earlier.max(0), 0)
+    most = {"most_weight": np.sqrt(longest[0] * longest[1]) + p["rb"].max(), "most_class": (largest @ np.maximum(p["wc"], 0)).max()}
+    return {"last": last, "seen": seen, "earlier": earlier} | {n: float(x) * 1.001 for n, x in most.items()}
+
+
+def exponentials(x: np.ndarray, most: float) -> np.ndarray:
+    """exp of ``x``, in its place and cut at ``LARGEST``; nothing in it exceeds ``most`` (logarithms of chances added to it
+    are not above 0)."""
+    if not most <= LARGEST:
+        np.minimum(x, LARGEST, out=x)
+    return np.exp(x, out=x)
+
+
+def hidden_layer(p: dict[str, np.ndarray], context: np.ndarray, tables: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The hidden layer ``z`` at the second half of each window, and what it is made of; ``weights`` and ``mixed`` are
+    still to be divided by the sums of the weights, the last column of ``mixed``."""
     last = tables["last"].take(context[:, STRIDE - 1 : -1], 0)
     seen = tables["seen"].take(context[:, :-1], 0)
     weights = last[:, :, :WIDTH] @ seen[:, :, :WIDTH].transpose(0, 2, 1)
     weights += p["rb"][DISTANCE] + MASK
-    np.minimum(weights, LARGEST, out=weights)
-    np.exp(weights, out=weights)
+    exponentials(weights, tables["most_weight"])
     mixed = weights @ seen[:, :, WIDTH:]
     z = mixed[:, :, :WIDTH] / mixed[:, :, WIDTH:]
     z += last[:, :, WIDTH:]
     z += tables["earlier"].take(context[:, STRIDE - 2 : -2], 0)
     np.maximum(z, 0, out=z)
-    scores = (z @ p["wc"]).reshape(-1, CLASSES)
+    return {"z": z, "weights": weights, "mixed": mixed, "seen": seen, "last": last}
+
+
+def forward(p: dict[str, np.ndarray], context: np.ndarray, tables: dict[str, np.ndarray], prior: np.ndarray) -> dict[str, np.ndarray]:
+    """Class scores for the second half of each window; ``tables`` are the projections of every input row, ``prior`` the
+    log probabilities of the classes after each window's last ids."""
+    f = hidden_layer(p, context, tables)
+    f["classes"] = f["z"].reshape(-1, WIDTH) @ p["wc"]
+    f["classes"] += prior
+    return f
+
+
+scoring_tables = projections
+
+
+def class_scores(p: dict[str, np.ndarray], context: np.ndarray, tables: dict[str, np.ndarray], prior: np.ndarray) -> np.ndarray:
+    """The class scores of ``forward``, with products taken window by window: a window's scores then do not depend on its
+    place in the batch."""
+    scores = (hidden_layer(p, context, tables)["z"] @ p["wc"]).reshape(-1, CLASSES)
     scores += prior
     return scores
 
 
 def gradients(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, weight: np.ndarray, prior: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss and its gradient for windows ``context`` whose second halves have classes ``target``."""
-    f = forward(p, context, projections(p), prior)
-    prob = _softmax(f["classes"])
-    total = max(weight.sum(), 1.0)
-    flat, w = target.reshape(-1), weight.reshape(-1) / total
+    rows, context = in_batch(context, len(p["e"]))
+    chance, g = batch_gradients(p | {"e": p["e"][rows]}, context, target, weight, prior)
+    w = weight.reshape(-1) / max(weight.sum(), 1.0)
+    of_e = np.zeros_like(p["e"])
+    of_e[rows] = g["e"]
+    return float(-(np.log(np.maximum(chance, 1e-12)) * w).sum()), {n: g[n] for n in p} | {"e": of_e}
+
+
+def by_row(context: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of ``values`` by the input row, one of ``rows``, that ``context`` names at each place."""
+    at, values = context.reshape(-1), values.reshape(context.size, -1)
+    order = np.argsort(at.astype(np.min_scalar_type(rows)), kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out = np.zeros((rows, values.shape[1]), values.dtype)
+    out[at[first]] = np.add.reduceat(values.take(order, 0), first, axis=0)
+    return out
+
+
+def batch_gradients(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, weight: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The chances of the targets and the gradient of the mean loss.
+
+    Neither weights of attention nor chances of classes are divided by their sums as wholes: the sums meet what is narrower
+    or multiplied anyway.
+    """
+    tables = projections(p)
+    f = forward(p, context, tables, prior)
+    kind = f["z"].dtype.type
+    seen, last, weights, mixed = f["seen"], f["last"], f["weights"], f["mixed"]
+    flat, w = target.reshape(-1), (weight.reshape(-1) / max(weight.sum(), 1.0)).astype(kind)
     at = np.arange(len(flat))
-    loss = -(np.log(np.maximum(prob[at, flat], 1e-12)) * w).sum()
-    d = prob
-    d[at, flat] -= 1
-    d *= w[:, None].astype(d.dtype)
-    g = {}
+    d = exponentials(f["classes"], tables["most_class"])
+    sums = d @ np.ones(CLASSES, kind)
+    chance = d[at, flat] / sums
+    d *= (w / sums)[:, None]
+    d[at, flat] -= w
     z = f["z"].reshape(-1, WIDTH)
-    g["wc"] = (d.T @ z).T
+    g = {"wc": (d.T @ z).T}
     hidden = d @ p["wc"].T
     hidden *= z > 0
     out = hidden.reshape(f["z"].shape)
-    seen = context[:, :-1]
-    e = p["e"].take(seen, 0)
-    e_seen, e_last, e_earlier = (x.reshape(-1, WIDTH) for x in (e, e[:, STRIDE - 1 :], e[:, STRIDE - 2 : -1]))
-    d_scores = out @ f["values"].transpose(0, 2, 1)
-    d_scores -= (out * f["mixed"]).sum(-1, keepdims=True)
-    d_scores *= f["weights"]
-    g["rb"] = np.bincount(DISTANCE.reshape(-1), weights=d_scores.sum(0).reshape(-1), minlength=len(p["rb"])).astype(d.dtype)
+    # beside what reaches a window's mean: what the division by the sum of its weights takes off
+    reached = np.empty((*out.shape[:2], WIDTH + 1), kind)
+    np.divide(out, mixed[:, :, WIDTH:], out=reached[:, :, :WIDTH])
+    reached[:, :, WIDTH] = -np.einsum("bqw,bqw->bq", reached[:, :, :WIDTH], mixed[:, :, :WIDTH]) / mixed[:, :, WIDTH]
+    d_scores = reached @ seen[:, :, WIDTH:].transpose(0, 2, 1)
+    d_scores *= weights
+    g["rb"] = np.bincount(DISTANCE.reshape(-1), weights=d_scores.sum(0).reshape(-1), minlength=len(p["rb"])).astype(kind)
     # beside each other: what reaches queries and the hidden layer, and what reaches keys and values
-    above = np.empty((*out.shape[:2], 2 * WIDTH), d.dtype)
-    np.matmul(d_scores, f["keys"], out=above[:, :, :WIDTH])
-    above[:, :, :WIDTH] *= d.dtype.type(1 / np.sqrt(WIDTH))
+    above = np.empty((*out.shape[:2], 2 * WIDTH), kind)
+    np.matmul(d_scores, seen[:, :, :WIDTH], out=above[:, :, :WIDTH])
     above[:, :, WIDTH:] = out
-    below = np.empty((*seen.shape, 2 * WIDTH), d.dtype)
-    np.matmul(d_scores.transpose(0, 2, 1), f["queries"], out=below[:, :, :WIDTH])
-    np.matmul(f["weights"].transpose(0, 2, 1), out, out=below[:, :, WIDTH:])
-    above, below = above.reshape(-1, 2 * WIDTH), below.reshape(-1, 2 * WIDTH)
-    from_last, from_seen = e_last.T @ above, e_seen.T @ below
-    g["wq"], g["r1"], g["wk"], g["wv"] = from_last[:, :WIDTH], from_last[:, WIDTH:], from_seen[:, :WIDTH], from_seen[:, WIDTH:]
-    g["r2"], g["b"] = e_earlier.T @ hidden, hidden.sum(0)
-    # the last ids and those before them are among the ids seen: one sum by input row
-    d_e = (below @ np.concatenate([p["wk"], p["wv"]], 1).T).reshape(e.shape)
-    d_e[:, STRIDE - 1 :] += (above @ np.concatenate([p["wq"], p["r1"]], 1).T).reshape(out.shape)
-    d_e[:, STRIDE - 2 : -1] += (hidden @ p["r2"].T).reshape(out.shape)
-    cells = (seen.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).reshape(-1)
-    g["e"] = np.bincount(cells, d_e.reshape(-1), p["e"].size).astype(d.dtype).reshape(p["e"].shape)
-    return float(loss), {n: g[n] for n in p}
+    below = np.empty((*seen.shape[:2], 2 * WIDTH), kind)
+    np.matmul(d_scores.transpose(0, 2, 1), last[:, :, :WIDTH], out=below[:, :, :WIDTH])
+    np.matmul(weights.transpose(0, 2, 1), reached[:, :, :WIDTH], out=below[:, :, WIDTH:])
+    # every input row's sums of what reaches its projections, then from these to the weights and to the row
+    e, rows = p["e"], len(p["e"])
+    of_last, of_seen = by_row(context[:, STRIDE - 1 : -1], above, rows), by_row(context[:, :-1], below, rows)
+    of_earlier = by_row(context[:, STRIDE - 2 : -2], hidden, rows)
+    scale = kind(1 / np.sqrt(WIDTH))
+    from_last, from_seen = e.T @ of_last, e.T @ of_seen
+    g["wq"], g["r1"], g["wk"], g["wv"] = from_last[:, :WIDTH] * scale, from_last[:, WIDTH:], from_seen[:, :WIDTH], from_seen[:, WIDTH:]
+    g["r2"], g["b"] = e.T @ of_earlier, of_earlier.sum(0)
+    g["e"] = of_seen @ np.concatenate([p["wk"], p["wv"]], 1).T + of_last @ np.concatenate([p["wq"] * scale, p["r1"]], 1).T + of_earlier @ p["r2"].T
+    return chance, g
 
 
 def classes_of(tally: np.ndarray, beside: np.ndarray) -> np.ndarray:
@@ -353,16 +411,18 @@ def encoded(rows: DataFrame, name: str, apart) -> DataFrame:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         words, often = apart.value
         logs = np.log10(often + 0.1)
         for batch in batches:
             for a, b, texts in slices(batch_column(batch, "text"), rows=30_000):
                 found = texts.lower().words(NOT_SPACE)
-                blocks, _, owner = streams(texts, name, found)
+                hashes = found.hashes() if len(found) else np.zeros(0, np.uint64)
+                blocks, _, owner = streams(texts, name, found, hashes)
                 cuts = np.searchsorted(owner, np.arange(len(texts) + 1)) * STRIDE
                 raw = packed((blocks.reshape(-1) + 1).astype("<u2"), cuts)
                 document = found.documents()
-                at, here = common.places(words, found.hashes() if len(words) else document)
+                at, here = common.places(words, hashes)
                 at, apart_of = at[here], document[here]
                 sums = [np.bincount(document, minlength=b - a), np.bincount(apart_of, minlength=b - a), np.bincount(apart_of[often[at] > 0], minlength=b - a), np.bincount(apart_of, logs[at], b - a).astype(np.float64)]
                 yield pa.RecordBatch.from_arrays(
@@ -398,10 +458,11 @@ def _summed(ids: DataFrame, size: int, cells: Callable[[np.ndarray], np.ndarray]
     """Counts of ``cells`` (numbers below ``size``, a fixed bound) over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         total = np.zeros(size, np.int64)
         for batch in batches:
             for _, _, blocks, _ in decoded(batch.column(0)):
-                total += np.bincount(cells(blocks), minlength=size)
+                np.add.at(total, cells(blocks), 1)  # the cells of one run are few beside ``size``
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((at // CELLS_A_ROW).astype(np.int32)), pa.array(at.astype(np.int64)), pa.array(total[at])], ["part", "cell", "n"])
 
@@ -541,17 +602,19 @@ def score_blocks(model: Model, blocks: np.ndarray, owner: np.ndarray, texts: int
     """log10 probability of every text from its blocks; the first block of a text holds no ids."""
     out = np.zeros(texts)
     at = np.flatnonzero(np.append(False, owner[1:] == owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+    rows, of_class, ones = model.compact.take(blocks), model.classes.take(blocks), np.ones(CLASSES, np.float32)
     for i in range(0, len(at), batch):
         chosen = at[i : i + batch]
-        window = np.concatenate([blocks[chosen - 1], blocks[chosen]], 1)
-        target = window[:, STRIDE:].reshape(-1)
-        before = window[:, STRIDE - 1 : -1].reshape(-1)
-        scores = class_scores(model.parameters, model.compact[window], tables, model.prior.take(before, 0))
-        np.minimum(scores, LARGEST, out=scores)
-        chance = scores[np.arange(len(target)), model.classes[target]]
-        np.exp(scores, out=scores)
-        chance = (chance - np.log(scores.sum(1))) * np.float32(0.4342944819)
-        value = np.where(target >= 0, chance + model.conditional(before, target), 0).reshape(len(chosen), STRIDE).sum(1, dtype=np.float64)
+        target = blocks.take(chosen, 0)
+        before = np.concatenate([blocks[chosen - 1, -1:], target[:, :-1]], 1).reshape(-1)
+        scores = class_scores(model.parameters, np.concatenate([rows.take(chosen - 1, 0), rows.take(chosen, 0)], 1), tables, model.prior.take(before, 0))
+        chance = scores.take(np.arange(0, scores.size, CLASSES) + of_class.take(chosen, 0).reshape(-1))
+        chance = np.minimum(chance, LARGEST)
+        exponentials(scores, tables["most_class"])
+        chance -= np.log(scores.reshape(-1, STRIDE, CLASSES) @ ones).reshape(-1)
+        chance *= np.float32(0.4342944819)
+        chance += model.conditional(before, target.reshape(-1))
+        value = np.where(target >= 0, chance.reshape(target.shape), 0).sum(1, dtype=np.float64)
         np.add.at(out, owner[chosen], value)  # in order, wherever a batch ends
     return out
 
@@ -595,6 +658,7 @@ def _entries(rows: DataFrame, buckets: int, apart) -> DataFrame:
     """Blocks of (word hash, document, times) by bucket of the hash, without the words of the broadcast ``apart``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         for batch in batches:
             keys, held = batch_column(batch, ROW).to_numpy(), np.array(batch_column(batch, HELD).to_pylist(), bool)
             for first, last, texts in slices(batch_column(batch, "text"), rows=30_000):
@@ -680,32 +744,39 @@ def _document_sums(sums: DataFrame, groups: int) -> DataFrame:
 
 
 class Steps:
-    """Weights that take a step (Adam) for every batch of windows; all of them lie in one vector."""
+    """Weights that take a step (Adam) for every batch of windows; all of them lie in one vector.
+
+    Moments are kept without their factors 0.1 and 0.01, which go into the rate.
+    """
 
     def __init__(self, start: dict[str, np.ndarray]):
         self.vector = np.concatenate([x.ravel() for x in start.values()]).astype(np.float32)
         self.p = views(self.vector, start)
-        self.m, self.v, self.hold = (np.zeros_like(self.vector) for _ in range(3))
+        self.m, self.v, self.g, self.hold = (np.zeros_like(self.vector) for _ in range(4))
+        self.found = views(self.g, start)
         self.steps = self.windows = 0
 
     def take(self, model: Model, windows: np.ndarray, rate: float) -> None:
         """One step over the windows (rows of 2 * STRIDE ids)."""
         target = windows[:, STRIDE:]
         before = windows[:, STRIDE - 1 : -1].reshape(-1)
-        _, found = gradients(self.p, model.compact[windows], model.classes[target], (target >= 0).astype(np.float64), model.prior.take(before, 0))
-        g, hold = np.concatenate([found[n].ravel() for n in self.p]), self.hold
+        rows, context = in_batch(model.compact.take(windows), len(self.p["e"]))
+        _, found = batch_gradients(self.p | {"e": self.p["e"].take(rows, 0)}, context, model.classes.take(target), target >= 0, model.prior.take(before, 0))
+        for n, x in self.found.items():
+            x[rows if n == "e" else ...] = found[n]
+        g, hold = self.g, self.hold
         self.steps += 1
         self.windows += len(windows)
         self.m *= np.float32(0.9)
-        self.m += np.multiply(g, np.float32(0.1), out=hold)
+        self.m += g
         self.v *= np.float32(0.99)
-        g *= g
-        self.v += np.multiply(g, np.float32(0.01), out=hold)
+        self.v += np.multiply(g, g, out=hold)
+        self.found["e"][rows] = 0
+        unit = np.sqrt(0.01 / (1 - 0.99**self.steps))
         np.sqrt(self.v, out=hold)
-        hold *= np.float32(1 / np.sqrt(1 - 0.99**self.steps))
-        hold += np.float32(1e-8)
+        hold += np.float32(1e-8 / unit)
         np.divide(self.m, hold, out=hold)
-        hold *= np.float32(rate / (1 - 0.9**self.steps))
+        hold *= np.float32(0.1 * rate / (1 - 0.9**self.steps) / unit)
         self.vector -= hold
 
 
@@ -740,6 +811,7 @@ def train(ids: DataFrame, model: Model, windows: int, turns: int = TURNS) -> dic
         expected = in_task * min(cycle, times << turn)
 
         def improve(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared, expected: float = expected) -> Iterator[pa.RecordBatch]:
+            keep_freed()
             compact, classes, prior = tables.value
             known = Model(compact, classes, shared.value, prior, None, None, None)
             steps, draw = Steps(shared.value), np.random.default_rng(11 + turn)
@@ -817,6 +889,7 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", name
     carried = [KEY, HELD, ROW, "n_words", "n_apart", "known_apart", "logs_apart"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         m = model.value
         tables = scoring_tables(m.parameters)
         for batch in batches:
