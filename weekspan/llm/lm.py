@@ -321,17 +321,6 @@ def gradients(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
     return float(-(np.log(np.maximum(chance, 1e-12)) * w).sum()), {n: g[n] for n in p} | {"e": of_e}
 
 
-def by_row(context: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    """Sums of ``values`` by the input row, one of ``rows``, that ``context`` names at each place."""
-    at, values = context.reshape(-1), values.reshape(context.size, -1)
-    order = np.argsort(at.astype(np.min_scalar_type(rows)), kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    out = np.zeros((rows, values.shape[1]), values.dtype)
-    out[at[first]] = np.add.reduceat(values.take(order, 0), first, axis=0)
-    return out
-
-
 def batch_gradients(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, weight: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The chances of the targets and the gradient of the mean loss.
 
@@ -368,15 +357,19 @@ def batch_gradients(p: dict[str, np.ndarray], context: np.ndarray, target: np.nd
     below = np.empty((*seen.shape[:2], 2 * WIDTH), kind)
     np.matmul(d_scores.transpose(0, 2, 1), last[:, :, :WIDTH], out=below[:, :, :WIDTH])
     np.matmul(weights.transpose(0, 2, 1), reached[:, :, :WIDTH], out=below[:, :, WIDTH:])
-    # every input row's sums of what reaches its projections, then from these to the weights and to the row
-    e, rows = p["e"], len(p["e"])
-    of_last, of_seen = by_row(context[:, STRIDE - 1 : -1], above, rows), by_row(context[:, :-1], below, rows)
-    of_earlier = by_row(context[:, STRIDE - 2 : -2], hidden, rows)
+    above, below = above.reshape(-1, 2 * WIDTH), below.reshape(-1, 2 * WIDTH)
+    e = p["e"].take(context[:, :-1], 0)
+    e_seen, e_last, e_earlier = (x.reshape(-1, WIDTH) for x in (e, e[:, STRIDE - 1 :], e[:, STRIDE - 2 : -1]))
     scale = kind(1 / np.sqrt(WIDTH))
-    from_last, from_seen = e.T @ of_last, e.T @ of_seen
+    from_last, from_seen = e_last.T @ above, (below.T @ e_seen).T
     g["wq"], g["r1"], g["wk"], g["wv"] = from_last[:, :WIDTH] * scale, from_last[:, WIDTH:], from_seen[:, :WIDTH], from_seen[:, WIDTH:]
-    g["r2"], g["b"] = e.T @ of_earlier, of_earlier.sum(0)
-    g["e"] = of_seen @ np.concatenate([p["wk"], p["wv"]], 1).T + of_last @ np.concatenate([p["wq"] * scale, p["r1"]], 1).T + of_earlier @ p["r2"].T
+    g["r2"], g["b"] = e_earlier.T @ hidden, np.ones(len(hidden), kind) @ hidden
+    # the last ids and those before them are among the ids seen: one sum by input row
+    d_e = (below @ np.concatenate([p["wk"], p["wv"]], 1).T).reshape(e.shape)
+    d_e[:, STRIDE - 1 :] += (above @ np.concatenate([p["wq"] * scale, p["r1"]], 1).T).reshape(out.shape)
+    d_e[:, STRIDE - 2 : -1] += (hidden @ p["r2"].T).reshape(out.shape)
+    cells = np.arange(p["e"].size).reshape(p["e"].shape).take(context[:, :-1], 0)
+    g["e"] = np.bincount(cells.reshape(-1), d_e.reshape(-1), p["e"].size).astype(kind).reshape(p["e"].shape)
     return chance, g
 
 
