@@ -61,3 +61,28 @@ def test_masked_weeks_follow_the_smallest_hashes(spark):
     for r in df.select(draws.alias("d"), "seq", masked.alias("m")).collect():
         gone = set(np.argsort(r["d"], kind="stable")[:3])
         assert r["m"] == [[0.0] * 3 if t in gone else r["seq"][t] for t in range(12)]
+
+
+@pytest.mark.parametrize("seed", ["s", "a seed of many more than thirty-two bytes"])
+def test_jitter_draws_are_those_of_the_expressions(spark, seed):
+    df = sequences(spark, odd=True).withColumn("seq", F.when(F.col("target_week") != 22, F.col("seq")))
+    cols = [F.col(k) for k in KEYS]
+    each = F.transform("seq", lambda week, t: F.transform(week, lambda v, f: v + F.lit(0.03) * hashing.gaussian([*cols, t, f], f"{seed}|jitter")))
+    got = df.select("seq", each.alias("a"), A.jitter(F.col("seq"), KEYS, seed).alias("b"), A.jitter(F.col("seq"), KEYS, seed, wanted=F.col("label") == 1).alias("c"), "label")
+    assert "ArrowEvalPython" in plan(got)
+    for r in got.collect():
+        if r["seq"] is None:
+            assert r["a"] is None and r["b"] is None and r["c"] is None
+            continue
+        a, b, c, s = (np.array(r[x], float) for x in ("a", "b", "c", "seq"))
+        assert np.allclose(a, b, rtol=0, atol=1e-9, equal_nan=True)
+        assert np.allclose(c, a if r["label"] == 1 else s, rtol=0, atol=1e-9, equal_nan=True)
+
+
+def test_moved_cells_are_counted_as_they_were(spark):
+    df = sequences(spark, odd=True).withColumn("before", F.col("seq")).withColumn("seq", A.jitter(F.col("seq"), KEYS, "s"))
+    pairs = F.zip_with(F.flatten("before"), F.flatten("seq"), lambda a, b: F.abs(a - b))
+    count = lambda bound: F.sum(F.size(F.filter(pairs, lambda v: v > bound)))
+    expected = df.groupBy("user_id").agg(count(0).alias("m"), count(0.05).alias("f")).collect()
+    got = catalog.moved(df, bound=0.05).collect()
+    assert sorted((r["user_id"], r["n_moved"], r["n_far"]) for r in got) == sorted(map(tuple, expected))
