@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weekspan.catalog import sequences as catalog
-from weekspan.functions import hashing
+from weekspan.functions import arrays, hashing
 from weekspan.operators import augment as A
 from weekspan.operators import timeline
 
@@ -86,3 +86,9 @@ def test_moved_cells_are_counted_as_they_were(spark):
     expected = df.groupBy("user_id").agg(count(0).alias("m"), count(0.05).alias("f")).collect()
     got = catalog.moved(df, bound=0.05).collect()
     assert sorted((r["user_id"], r["n_moved"], r["n_far"]) for r in got) == sorted(map(tuple, expected))
+
+
+def test_l2_norms_are_computed_once_a_row(spark):
+    """Inside the function over the weeks they were computed again for every week."""
+    text = plan(sequences(spark, odd=True).select(arrays.l2_normalize("seq", 3).alias("x")))
+    assert text.index("aggregate(") < text.index("transform(seq")
